@@ -3,77 +3,108 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import ColumnLike, col, let, texts, trim_chars
-from curricle.functions.text import normalize_text
-from curricle.functions.tokens import Tokenizer, tokenize
+from curricle.functions.exprs import (
+    ColumnLike,
+    apply,
+    each,
+    found,
+    fresh,
+    keep,
+    let,
+    one_of,
+    replaced,
+    sql_text,
+)
+from curricle.functions.tokens import tokens_rule
 
 
-def clean_fragment(c: ColumnLike) -> Column:
-    text = F.regexp_replace(normalize_text(c), fv.LECTURE_TOTAL, " ")
-    text = F.regexp_replace(text, fv.FRAGMENT_PREFIX, "")
-    return normalize_text(trim_chars(text, fv.FRAGMENT_EDGE))
+def normal_rule(x: str) -> str:
+    return f"trim({replaced(x, fv.WHITESPACE, ' ')})"
+
+
+def clean_rule(x: str) -> str:
+    text = replaced(normal_rule(x), fv.LECTURE_TOTAL, " ")
+    text = replaced(text, fv.FRAGMENT_PREFIX)
+    return normal_rule(f"trim(BOTH {sql_text(fv.FRAGMENT_EDGE)} FROM {text})")
 
 
-def fragment_key(c: ColumnLike, mode: str, tokenizer: Tokenizer = tokenize) -> Column:
+def key_rule(x: str, mode: str) -> str:
     """Significant tokens of a fragment, or an empty string."""
-    singular = F.create_map(*[F.lit(x) for pair in fv.SINGULAR_FORMS.items() for x in pair])
-    tokens = F.transform(
-        F.filter(tokenizer(clean_fragment(c)), lambda t: ~F.regexp_like(t, F.lit(r"^\p{Nd}+$"))),
-        lambda t: F.coalesce(F.try_element_at(singular, t), t),
-    )
-    kept = F.filter(tokens, lambda t: ~t.isin(*fv.STRUCTURAL_WORDS[mode]))
+
+    def singular(t: str) -> str:
+        cases = " ".join(
+            f"WHEN {sql_text(many)} THEN {sql_text(one)}" for many, one in fv.SINGULAR_FORMS.items()
+        )
+        return f"CASE {t} {cases} ELSE {t} END"
+
+    digits = r"^\p{Nd}+$"
+    words = each(keep(tokens_rule(clean_rule(x)), lambda t: f"NOT {found(t, digits)}"), singular)
+    kept = keep(words, lambda t: f"NOT {one_of(t, fv.STRUCTURAL_WORDS[mode])}")
+    low = fresh("low")
     return let(
         kept,
-        lambda ts: F.when(
-            F.forall(ts, lambda t: t.isin(*fv.LOW_SIGNAL_WORDS[mode])), F.lit("")
-        ).otherwise(F.array_join(ts, " ")),
+        lambda ts: f"if(forall({ts}, {low} -> {one_of(low, fv.LOW_SIGNAL_WORDS[mode])}), '', "
+        f"array_join({ts}, ' '))",
     )
 
 
-def fragment_terms(c: ColumnLike, mode: str, tokenizer: Tokenizer = tokenize) -> Column:
+def terms_rule(x: str, mode: str) -> str:
     """Distinct keys of a heading, its parts, and their acronym and plural forms."""
 
-    def variants(candidate: Column) -> Column:
-        def with_key(key: Column) -> Column:
-            forms = [key]
-            for group in (1, 2):
-                piece = F.regexp_extract(candidate, fv.ACRONYM_SUFFIX, group)
-                forms.append(fragment_key(piece, mode, tokenizer))
+    def variants(candidate: str) -> str:
+        suffix = sql_text(fv.ACRONYM_SUFFIX)
+        pieces = (
+            f"array({candidate}, regexp_extract({candidate}, {suffix}, 1), "
+            f"regexp_extract({candidate}, {suffix}, 2))"
+        )
+
+        def with_keys(keys: str) -> str:
+            forms = keys
             if mode == "speech":
-                words = F.split(key, " ")
-                plural = F.when(
-                    (F.size(words) >= 2) & F.element_at(words, -1).isin(*fv.PLURAL_READY),
-                    F.concat(key, F.lit("s")),
+                words = f"split({keys}[0], ' ')"
+                plural = (
+                    f"if(size({words}) >= 2 AND {one_of(f'element_at({words}, -1)', fv.PLURAL_READY)}, "
+                    f"concat({keys}[0], 's'), '')"
                 )
-                forms.append(F.coalesce(plural, F.lit("")))
-            return F.struct(
-                key.alias("key"), F.filter(F.array(*forms), lambda x: x != "").alias("forms")
-            )
-
-        return let(fragment_key(candidate, mode, tokenizer), with_key)
-
-    def collect(cleaned: Column) -> Column:
-        parts = F.filter(F.split(cleaned, fv.FRAGMENT_BREAK), lambda x: x != "")
-        keyed = F.transform(F.concat(F.array(cleaned), parts), variants)
-        return F.aggregate(
-            keyed,
-            texts([]),
-            lambda seen, k: F.when(
-                (k["key"] == "") | F.array_contains(seen, k["key"]), seen
-            ).otherwise(F.array_union(seen, k["forms"])),
+                forms = f"concat({keys}, array({plural}))"
+            kept = keep(forms, lambda f: f"{f} <> ''")
+            return f"named_struct('key', {keys}[0], 'forms', {kept})"
+
+        return let(each(pieces, lambda p: key_rule(p, mode)), with_keys)
+
+    def collect(cleaned: str) -> str:
+        parts = keep(f"split({cleaned}, {sql_text(fv.FRAGMENT_BREAK)})", lambda p: f"{p} <> ''")
+        keyed = each(f"concat(array({cleaned}), {parts})", variants)
+        return (
+            f"aggregate({keyed}, cast(array() AS array<string>), (seen, k) -> "
+            "if(k.key = '' OR array_contains(seen, k.key), seen, array_union(seen, k.forms)))"
         )
 
-    return F.when(col(c).isNull(), texts([])).otherwise(let(clean_fragment(c), collect))
+    return f"if({x} IS NULL, cast(array() AS array<string>), {let(clean_rule(x), collect)})"
 
 
-def distinct_terms(terms: Column) -> Column:
+def distinct_rule(terms: str) -> str:
     """Normalised, non-empty, case-insensitively distinct terms; first one wins."""
+    return (
+        f"aggregate({each(terms, normal_rule)}, cast(array() AS array<string>), (seen, term) -> "
+        "if(term = '' OR exists(seen, s -> lower(s) = lower(term)), seen, concat(seen, array(term))))"
+    )
+
+
+def clean_fragment(c: ColumnLike) -> Column:
+    return apply(c, clean_rule)
+
+
+def fragment_key(c: ColumnLike, mode: str) -> Column:
+    return apply(c, lambda x: key_rule(x, mode))
+
+
+def fragment_terms(c: ColumnLike, mode: str) -> Column:
+    return apply(c, lambda x: terms_rule(x, mode))
+
 
-    def add(seen: Column, term: Column) -> Column:
-        known = F.exists(seen, lambda s: F.lower(s) == F.lower(term))
-        return F.when((term == "") | known, seen).otherwise(F.concat(seen, F.array(term)))
+def distinct_terms(terms: ColumnLike) -> Column:
+    return apply(terms, distinct_rule)
 
-    return F.aggregate(F.transform(terms, normalize_text), texts([]), add)

@@ -12,8 +12,6 @@ from curricle.functions.exprs import (
     capture,
     col,
     erase,
-    let,
-    matches,
     trim_chars,
 )
 from curricle.functions.tokens import count_tokens, tokenize, tokenize_keywords
@@ -29,6 +27,11 @@ __all__ = [
 ]
 
 
+def _once(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def normalize_text(c: ColumnLike) -> Column:
     return F.trim(F.regexp_replace(col(c), fv.WHITESPACE, " "))
 
@@ -72,7 +75,7 @@ def split_curriculum_line(c: ColumnLike) -> Column:
             chain = F.when(usable, parts) if chain is None else chain.when(usable, parts)
         return chain.otherwise(F.struct(text.alias("title"), text.alias("description")))
 
-    return let(line, choose)
+    return _once(line, choose)
 
 
 def snippet(c: ColumnLike, limit: int = fv.SNIPPET_LIMIT) -> Column:
@@ -117,7 +120,7 @@ def speech_title(c: ColumnLike) -> Column:
             F.coalesce(bracketed, label)
         )
 
-    return let(normalize_text(c), pick)
+    return _once(normalize_text(c), pick)
 
 
 def extract_week(c: ColumnLike) -> Column:
@@ -144,7 +147,7 @@ def week_metric(c: ColumnLike) -> Column:
         single = capture(text, fv.WEEKS, 1).try_cast("double")
         return F.when(last >= first, (last - first + 1).cast("double")).otherwise(single)
 
-    return let(_chapter_block_text(c), pick)
+    return _once(_chapter_block_text(c), pick)
 
 
 def weight_metric(c: ColumnLike) -> Column:
@@ -175,13 +178,14 @@ def strip_metrics(c: ColumnLike) -> Column:
 def trim_title(c: ColumnLike) -> Column:
     def shorten(text: Column) -> Column:
         parts = F.filter(
-            F.transform(F.split(text, r"[,·\-–—]"), F.trim), lambda part: part != ""
+            F.transform(F.split(text, r"[,·\-–—]"), lambda part: F.trim(part)),
+            lambda part: part != "",
         )
         return F.when(F.length(text) <= 40, text).otherwise(
             F.coalesce(F.get(parts, F.lit(0)), F.trim(F.substring(text, 1, 40)))
         )
 
-    return let(strip_metrics(c), shorten)
+    return _once(strip_metrics(c), shorten)
 
 
 def split_heading(c: ColumnLike) -> Column:
@@ -195,7 +199,7 @@ def split_heading(c: ColumnLike) -> Column:
             F.coalesce(F.nullif(hangul, F.lit("")), text).alias("description"),
         )
 
-    return let(normalize_text(erase(col(c), r"\b차$")), parts)
+    return _once(normalize_text(erase(col(c), r"\b차$")), parts)
 
 
 def parse_score(c: ColumnLike) -> Column:
@@ -248,7 +252,7 @@ def question_parts(c: ColumnLike, leaf: ColumnLike | None = None) -> Column:
             ).alias("label"),
         )
 
-    return let(question_id(text), parts)
+    return _once(question_id(text), parts)
 
 
 def is_free_text_header(c: ColumnLike) -> Column:

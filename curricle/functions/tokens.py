@@ -1,8 +1,9 @@
-"""Tokenizers and term counts as native column expressions.
+"""Tokenizers and term counts as native expressions.
 
-A tokenizer is any ``Column -> Column`` function that returns ``array<string>``.
-The default splits on everything that is neither letter nor digit; a
-morphological analyser can be plugged in through ``functions.plugins``.
+The default tokenizer splits on everything that is neither letter nor digit.  A
+morphological analyser can be plugged in through ``functions.plugins`` wherever
+a ``tokenizer`` argument is offered.  Names ending in ``_rule`` are SQL texts for
+use inside other rules.
 """
 
 from __future__ import annotations
@@ -13,19 +14,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import ColumnLike, col, let
+from curricle.functions.exprs import (
+    ColumnLike,
+    apply,
+    found,
+    keep,
+    let,
+    one_of,
+    replaced,
+    sql_text,
+)
 
 Tokenizer = Callable[[ColumnLike], Column]
 
 
-def word_pieces(c: ColumnLike) -> Column:
-    joined = F.regexp_replace(col(c), fv.HYPHEN_DIGIT, "$1$2")
-    return F.regexp_extract_all(F.lower(joined), F.lit(fv.TOKEN_PATTERN), F.lit(0))
+def pieces_rule(x: str) -> str:
+    joined = replaced(x, fv.HYPHEN_DIGIT, "$1$2")
+    return f"regexp_extract_all(lower({joined}), {sql_text(fv.TOKEN_PATTERN)}, 0)"
+
+
+def tokens_rule(x: str, stop_words: Iterable[str] = fv.STOP_WORDS) -> str:
+    return keep(
+        pieces_rule(x), lambda t: f"length({t}) > 1 AND NOT {one_of(t, stop_words)}", "t"
+    )
+
+
+def keywords_rule(x: str, stop_words: Iterable[str]) -> str:
+    letters = r"\p{L}"
+    return keep(
+        pieces_rule(x),
+        lambda t: f"length({t}) > 1 AND NOT {one_of(t, stop_words)} AND {found(t, letters)}",
+        "t",
+    )
+
+
+def total_rule(x: str) -> str:
+    return f"size({tokens_rule(x)})"
 
 
 def tokenize(c: ColumnLike, stop_words: Iterable[str] = fv.STOP_WORDS) -> Column:
-    stop = list(stop_words)
-    return F.filter(word_pieces(c), lambda t: (F.length(t) > 1) & ~t.isin(stop))
+    stop = tuple(stop_words)
+    return apply(c, lambda x: tokens_rule(x, stop))
 
 
 def tokenize_keywords(
@@ -33,58 +62,48 @@ def tokenize_keywords(
     stop_words: Iterable[str] = fv.STOP_WORDS,
     extra: Iterable[str] = fv.KEYWORD_STOP_WORDS,
 ) -> Column:
-    stop = [*stop_words, *extra]
-    return F.filter(
-        word_pieces(c),
-        lambda t: (F.length(t) > 1) & ~t.isin(stop) & F.regexp_like(t, F.lit(r"\p{L}")),
-    )
-
-
-def token_total(c: ColumnLike, tokenizer: Tokenizer = tokenize) -> Column:
-    return F.size(tokenizer(c))
+    stop = (*stop_words, *extra)
+    return apply(c, lambda x: keywords_rule(x, stop))
 
 
 def count_tokens(c: ColumnLike, tokenizer: Tokenizer = tokenize) -> Column:
-    return F.greatest(F.lit(1), token_total(c, tokenizer))
+    return F.greatest(F.lit(1), F.size(tokenizer(c)))
 
 
-def term_counts(tokens: Column) -> Column:
+def term_counts_rule(tokens: str) -> str:
     """``array<struct<term, n>>`` of one token array, without leaving the row.
 
     Sorting puts equal terms next to each other; a run starts where a term
     differs from its predecessor and ends where the next run starts.
     """
 
-    def runs(ordered: Column) -> Column:
-        starts = F.filter(
-            F.transform(ordered, lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
-            lambda p: (p["at"] == 0) | (F.get(ordered, p["at"] - 1) != p["term"]),
+    def runs(ordered: str) -> str:
+        starts = (
+            f"filter(transform({ordered}, (t_, i_) -> named_struct('term', t_, 'pos', i_)), "
+            f"p_ -> p_.pos = 0 OR get({ordered}, p_.pos - 1) <> p_.term)"
         )
         return let(
             starts,
-            lambda st: F.transform(
-                st,
-                lambda p, j: F.struct(
-                    p["term"].alias("term"),
-                    (F.coalesce(F.get(st, j + 1)["at"], F.size(ordered)) - p["at"]).alias("n"),
-                ),
-            ),
+            lambda st: f"transform({st}, (p_, j_) -> named_struct('term', p_.term, "
+            f"'n', coalesce(get({st}, j_ + 1).pos, size({ordered})) - p_.pos))",
+            "st",
         )
 
-    return let(F.array_sort(tokens), runs)
+    return let(f"array_sort({tokens})", runs, "ord")
+
 
+def term_counts(tokens: ColumnLike) -> Column:
+    return apply(tokens, term_counts_rule)
 
-def joined_terms(tokens: Column) -> Column:
+
+def padded_rule(tokens: str) -> str:
     """Tokens in one padded string; makes phrase look-ups plain substring tests."""
-    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return f"concat(' ', array_join({tokens}, ' '), ' ')"
 
 
-def phrase_count(tokens: Column, phrase: Column, phrase_size: Column) -> Column:
+def phrase_count_rule(tokens: str, phrase: str, size: str) -> str:
     """Occurrences of a token phrase, overlaps included, on token boundaries."""
-    last = F.size(tokens) - phrase_size + 1
-    positions = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.size(
-        F.filter(positions, lambda i: F.array_join(F.slice(tokens, i, phrase_size), " ") == phrase)
-    )
+    last = f"(size({tokens}) - {size} + 1)"
+    positions = f"if({last} >= 1, sequence(1, {last}), cast(array() AS array<int>))"
+    hits = keep(positions, lambda i: f"array_join(slice({tokens}, {i}, {size}), ' ') = {phrase}")
+    return f"size({hits})"

@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import any_contained, let, texts
+from curricle.functions.exprs import (
+    ColumnLike,
+    any_in,
+    apply,
+    each,
+    found,
+    keep,
+    one_of,
+    sql_text,
+)
 from curricle.functions.text import clean_speech, fingerprint, normalize_text
-from curricle.functions.tokens import Tokenizer, count_tokens, token_total, tokenize
-from curricle.operators.packing import greedy_parts, pack_groups
+from curricle.functions.tokens import Tokenizer, count_tokens, tokenize, total_rule
+from curricle.operators.packing import pack_groups, parts_rule
 from curricle.operators.scale import top_rows
 
 CARRIED = ("course_id", "instructor", "source_label", "source_type")
@@ -24,99 +33,85 @@ def sub_target(target: int, cap: int) -> int:
 
 
 # --- text splitting inside one segment ---------------------------------------
-def split_by_budget(text: Column, target: int, tokenizer: Tokenizer = tokenize) -> Column:
+def budget_rule(text: str, target: int) -> str:
     """Sentences packed up to the token budget; longer sentences word by word.
 
     A token never spans a space, so token counts of joined sentences add up.
     """
 
-    def sized(x: Column) -> Column:
-        return F.struct(x.alias("t"), token_total(x, tokenizer).alias("n"))
+    def sized(x: str) -> str:
+        return f"named_struct('t', {x}, 'n', {total_rule(x)})"
 
-    def by_words(sentence: Column) -> Column:
-        words = F.filter(F.split(sentence, " "), lambda w: w != "")
-        return F.transform(
-            greedy_parts(F.transform(words, sized), target), lambda p: p["t"]
-        )
+    def by_words(sentence: str) -> str:
+        words = keep(f"split({sentence}, ' ')", lambda w: f"{w} <> ''")
+        return each(parts_rule(each(words, sized), target), lambda p: f"{p}.t")
 
-    sentences = F.filter(F.split(text, rf"(?<={fv.SENTENCE_MARK})\s+"), lambda s: s != "")
-    parts = greedy_parts(F.transform(sentences, sized), target)
-    return F.flatten(
-        F.transform(
-            parts, lambda p: F.when(p["n"] <= target, F.array(p["t"])).otherwise(by_words(p["t"]))
-        )
+    boundary = rf"(?<={fv.SENTENCE_MARK})\s+"
+    sentences = keep(f"split({text}, {sql_text(boundary)})", lambda s: f"{s} <> ''")
+    packed = each(
+        parts_rule(each(sentences, sized), target),
+        lambda p: f"if({p}.n <= {target}, array({p}.t), {by_words(f'{p}.t')})",
     )
+    return f"flatten({packed})"
 
 
-def is_noise_block(block: Column) -> Column:
+def noise_rule(block: str) -> str:
     """Worksheet blocks: they repeat the material instead of teaching it."""
-    question = F.regexp_like(block, F.lit(fv.QUESTION_MARK))
-    answer = F.regexp_like(block, F.lit(fv.ANSWER_MARK))
-    gap = F.regexp_like(block, F.lit(fv.BLANK_LINE_MARK))
-    worksheet = any_contained(F.lower(block), fv.WORKSHEET_PHRASES)
-    return worksheet | (question & (answer | gap)) | (gap & answer)
-
-
-def drop_noise_blocks(blocks: DataFrame, column: str = "text") -> DataFrame:
-    return blocks.filter(~is_noise_block(normalize_text(column)) & (normalize_text(column) != ""))
+    question, answer = found(block, fv.QUESTION_MARK), found(block, fv.ANSWER_MARK)
+    gap = found(block, fv.BLANK_LINE_MARK)
+    worksheet = any_in(f"lower({block})", fv.WORKSHEET_PHRASES)
+    return f"({worksheet} OR ({question} AND ({answer} OR {gap})) OR ({gap} AND {answer}))"
 
 
-def semantic_parts(
-    text: Column, target: int = fv.CHUNK_TARGET, tokenizer: Tokenizer = tokenize
-) -> Column:
+def semantic_rule(text: str, target: int = fv.CHUNK_TARGET) -> str:
     """Parts of one material page (``text`` normalised); empty when all is noise."""
     budget = sub_target(target, fv.MATERIAL_SUBCHUNK)
-    marked = F.regexp_like(text, F.lit("(?i)" + fv.BLOCK_START))
     splits = (
-        marked
-        | any_contained(F.lower(text), fv.WORKSHEET_PHRASES)
-        | (token_total(text, tokenizer) > budget * 2)
-    )
-    blocks = F.filter(
-        F.transform(F.split(text, f"(?i)(?={fv.BLOCK_START})"), F.trim), lambda b: b != ""
+        f"({found(text, '(?i)' + fv.BLOCK_START)} OR {any_in(f'lower({text})', fv.WORKSHEET_PHRASES)} "
+        f"OR {total_rule(text)} > {budget * 2})"
     )
-    packed = F.flatten(
-        F.transform(blocks, lambda b: split_by_budget(b, fv.MATERIAL_SUBCHUNK, tokenizer))
+    before_block = f"(?i)(?={fv.BLOCK_START})"
+    blocks = keep(
+        each(f"split({text}, {sql_text(before_block)})", lambda b: f"trim({b})"),
+        lambda b: f"{b} <> ''",
     )
-    kept = F.filter(packed, lambda b: ~is_noise_block(b))
+    packed = f"flatten({each(blocks, lambda b: budget_rule(b, fv.MATERIAL_SUBCHUNK))})"
+    kept = keep(packed, lambda b: f"NOT {noise_rule(b)}")
     if budget < fv.MATERIAL_SUBCHUNK:
-        kept = F.flatten(F.transform(kept, lambda b: split_by_budget(b, budget, tokenizer)))
-    return F.when(splits, kept).otherwise(F.array(text))
+        kept = f"flatten({each(kept, lambda b: budget_rule(b, budget))})"
+    return f"if({splits}, {kept}, array({text}))"
 
 
-def semantic_split(
-    segments: DataFrame, target: int = fv.CHUNK_TARGET, tokenizer: Tokenizer = tokenize
-) -> DataFrame:
-    """Material segments as sub-page parts with ``(i/n)`` locators; row-local."""
-    return _explode_parts(
-        segments, lambda text: semantic_parts(text, target, tokenizer)
-    )
+def split_by_budget(text: ColumnLike, target: int) -> Column:
+    return apply(text, lambda x: budget_rule(x, target))
 
 
-def preserve_chunks(
-    segments: DataFrame, target: int = fv.CHUNK_TARGET, tokenizer: Tokenizer = tokenize
-) -> DataFrame:
-    """Chunks that never cross a segment border, whatever the source type."""
+def drop_noise_blocks(blocks: DataFrame, column: str = "text") -> DataFrame:
+    block = normalize_text(column)
+    return blocks.filter(~apply(block, noise_rule) & (block != ""))
 
-    def parts(text: Column) -> Column:
-        whole = token_total(text, tokenizer) <= target
-        return (
-            F.when(
-                F.lower(F.col("source_type")).isin(*fv.MATERIAL_TYPES),
-                semantic_parts(text, target, tokenizer),
-            )
-            .when(whole, F.array(text))
-            .otherwise(split_by_budget(text, target, tokenizer))
-        )
 
-    return _explode_parts(segments, parts)
+def semantic_split(segments: DataFrame, target: int = fv.CHUNK_TARGET) -> DataFrame:
+    """Material segments as sub-page parts with ``(i/n)`` locators; row-local."""
+    return _explode_parts(segments, semantic_rule("text", target))
 
 
-def _explode_parts(segments: DataFrame, parts) -> DataFrame:
+def preserve_chunks(segments: DataFrame, target: int = fv.CHUNK_TARGET) -> DataFrame:
+    """Chunks that never cross a segment border, whatever the source type."""
+    material = one_of("lower(source_type)", fv.MATERIAL_TYPES)
+    return _explode_parts(
+        segments,
+        f"CASE WHEN {material} THEN {semantic_rule('text', target)} "
+        f"WHEN {total_rule('text')} <= {target} THEN array(text) "
+        f"ELSE {budget_rule('text', target)} END",
+    )
+
+
+def _explode_parts(segments: DataFrame, parts: str) -> DataFrame:
     clean = segments.withColumn("text", normalize_text("text")).filter(F.col("text") != "")
     # the outer form keeps the optimizer from testing the parts a second time
     return (
-        clean.withColumn("_parts", parts(F.col("text")))
+        clean.withColumn("_parts", F.expr(parts))
         .drop("text")
         .withColumn("_total", F.size("_parts"))
         .select("*", F.posexplode_outer("_parts").alias("part_no", "text"))
@@ -205,7 +200,7 @@ def build_chunks(
     kind = F.lower(F.col("source_type"))
     wanted = ["source_id", *_carried(segments), "seq", "locator", "text"]
     rows = segments.select(*dict.fromkeys(wanted))
-    material = preserve_chunks(rows.filter(kind.isin(*fv.MATERIAL_TYPES)), target, tokenizer)
+    material = preserve_chunks(rows.filter(kind.isin(*fv.MATERIAL_TYPES)), target)
     is_speech = kind.isin(*fv.SPEECH_TYPES)
     ordered = (
         rows.filter(~kind.isin(*fv.MATERIAL_TYPES))
@@ -254,8 +249,3 @@ def plan_batches(
     """
     raise NotImplementedError
 
-
-__all__ = [
-    "assemble_chunks", "build_chunks", "dedupe_chunks", "drop_noise_blocks", "pack_segments",
-    "plan_batches", "preserve_chunks", "semantic_split", "split_by_budget", "texts", "let",
-]

@@ -12,14 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import any_contained, col, let, texts
-from curricle.functions.fragments import distinct_terms, fragment_terms
-from curricle.functions.text import normalize_text, slugify, split_curriculum_line
+from curricle.functions.exprs import (
+    any_in,
+    apply,
+    col,
+    each,
+    keep,
+    let,
+    replaced,
+    sql_text,
+    sql_texts,
+)
+from curricle.functions.fragments import distinct_rule, normal_rule, terms_rule
+from curricle.functions.text import (
+    normalize_text,
+    section_chapter_index,
+    slugify,
+    split_curriculum_line,
+)
 from curricle.functions.tokens import (
     Tokenizer,
     term_counts,
     tokenize,
     tokenize_keywords,
+    tokens_rule,
 )
 from curricle.operators.scale import broadcast_if_bounded
 
@@ -133,26 +149,33 @@ def _terms(value: str | Sequence[str]) -> list[str]:
     return [t.strip() for t in value.split("|")] if isinstance(value, str) else list(value)
 
 
-def _glossary_terms(glossary: Glossary, triggers: Triggers) -> Column:
-    title, description = col("title"), F.coalesce("description", F.lit(""))
-    both = F.concat_ws(" ", title, description)
-    keys = F.array(
-        F.lower(F.trim(F.col("section_id"))), slugify(title), slugify(description), slugify(both)
+def _slug_rule(x: str) -> str:
+    dashed = replaced(f"lower(trim({x}))", fv.SLUG_BREAK, "-")
+    return f"coalesce(nullif(trim(BOTH '-' FROM {dashed}), ''), 'section')"
+
+
+def _glossary_rule(glossary: Glossary, triggers: Triggers) -> str:
+    """Terms of the glossary entries that a section's slugs or words select."""
+    description = "coalesce(description, '')"
+    both = f"concat_ws(' ', title, {description})"
+    keys = (
+        f"array(lower(trim(section_id)), {_slug_rule('title')}, {_slug_rule(description)}, "
+        f"{_slug_rule(both)})"
     )
-    lowered = F.lower(normalize_text(both))
+    none = "cast(array() AS array<string>)"
 
-    def chosen(ks: Column) -> Column:
+    def chosen(ks: str) -> str:
         by_key = [
-            F.when(F.array_contains(ks, key), texts(_terms(terms))).otherwise(texts([]))
+            f"if(array_contains({ks}, {sql_text(key)}), {sql_texts(_terms(terms))}, {none})"
             for key, terms in glossary.items()
         ]
         by_trigger = [
-            F.when(any_contained(lowered, needles), texts(_terms(glossary[key]))).otherwise(texts([]))
+            f"if({any_in(f'lower({normal_rule(both)})', needles)}, "
+            f"{sql_texts(_terms(glossary[key]))}, {none})"
             for needles, key in triggers
             if key in glossary
         ]
-        groups = [*by_key, *by_trigger]
-        return F.concat(*groups) if groups else texts([])
+        return f"concat({', '.join([none, *by_key, *by_trigger])})"
 
     return let(keys, chosen)
 
@@ -163,51 +186,36 @@ def section_aliases(
     triggers: Triggers = fv.TOPIC_TRIGGERS,
 ) -> DataFrame:
     """``aliases``: glossary terms of a section by its slugs and by trigger words."""
-    return sections.withColumn("aliases", distinct_terms(_glossary_terms(glossary, triggers)))
+    return sections.withColumn("aliases", F.expr(distinct_rule(_glossary_rule(glossary, triggers))))
 
 
-def material_anchors(sections: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
+def material_anchors(sections: DataFrame) -> DataFrame:
     """``material_anchors``: fragment terms of title, description and aliases."""
-    from_aliases = F.flatten(
-        F.transform("aliases", lambda a: fragment_terms(a, "material", tokenizer))
-    )
-    return sections.withColumn(
-        "material_anchors",
-        F.array_distinct(
-            F.concat(
-                fragment_terms("title", "material", tokenizer),
-                fragment_terms("description", "material", tokenizer),
-                from_aliases,
-            )
-        ),
-    )
+    headings = "concat(array(title, coalesce(description, '')), aliases)"
+    terms = each(headings, lambda h: terms_rule(h, "material"))
+    return sections.withColumn("material_anchors", F.expr(f"array_distinct(flatten({terms}))"))
 
 
 def speech_anchors(
     sections: DataFrame,
     glossary: Glossary = fv.SPEECH_ANCHORS,
     triggers: Triggers = fv.TOPIC_TRIGGERS,
-    tokenizer: Tokenizer = tokenize,
 ) -> DataFrame:
     """``speech_anchors`` and ``title_fragments``, used by the speech rules."""
-    return sections.withColumn(
-        "title_fragments", fragment_terms("title", "speech", tokenizer)
-    ).withColumn(
-        "speech_anchors",
-        distinct_terms(
-            F.concat(
-                F.col("title_fragments"),
-                fragment_terms("description", "speech", tokenizer),
-                _glossary_terms(glossary, triggers),
-            )
-        ),
+    own = each("array(title, coalesce(description, ''))", lambda h: terms_rule(h, "speech"))
+    anchors = distinct_rule(f"concat(flatten(_own), {_glossary_rule(glossary, triggers)})")
+    return (
+        sections.withColumn("_own", F.expr(own))
+        .withColumn("speech_anchors", F.expr(anchors))
+        .withColumn("title_fragments", F.expr("_own[0]"))
+        .drop("_own")
     )
 
 
 def assignment_text(sections: DataFrame) -> DataFrame:
     """``assignment_text``: distinct lines of title, description and anchors."""
-    lines = F.concat(F.array(F.col("title"), F.col("description")), F.col("material_anchors"))
-    return sections.withColumn("assignment_text", F.array_join(distinct_terms(lines), "\n"))
+    lines = distinct_rule("concat(array(title, coalesce(description, '')), material_anchors)")
+    return sections.withColumn("assignment_text", F.expr(f"array_join({lines}, '\n')"))
 
 
 def describe_sections(
@@ -215,13 +223,10 @@ def describe_sections(
     aliases: Glossary = fv.SECTION_ALIASES,
     anchors: Glossary = fv.SPEECH_ANCHORS,
     triggers: Triggers = fv.TOPIC_TRIGGERS,
-    tokenizer: Tokenizer = tokenize,
 ) -> DataFrame:
     """Sections with aliases, both anchor sets and the assignment text."""
-    described = section_aliases(sections, aliases, triggers)
-    described = material_anchors(described, tokenizer)
-    described = speech_anchors(described, anchors, triggers, tokenizer)
-    return assignment_text(described)
+    described = material_anchors(section_aliases(sections, aliases, triggers))
+    return assignment_text(speech_anchors(described, anchors, triggers))
 
 
 def lexical_index(
@@ -242,24 +247,19 @@ def lexical_index(
 
 
 def _norm(terms: Column) -> Column:
-    squares = F.aggregate(
-        terms, F.lit(0).cast("long"), lambda a, t: a + t["n"].cast("long") * t["n"]
-    )
-    return F.sqrt(squares)
+    return F.sqrt(apply(terms, lambda ts: f"aggregate({ts}, 0L, (a_, t_) -> a_ + bigint(t_.n) * t_.n)"))
 
 
-def _phrases(anchors: Column, tokenizer: Tokenizer) -> Column:
+def _phrases_rule(anchors: str) -> str:
     """Anchors as token phrases; anchors without tokens can never match."""
-    phrases = F.transform(
+    phrases = each(
         anchors,
         lambda a: let(
-            tokenizer(a),
-            lambda ts: F.struct(
-                a.alias("anchor"), F.array_join(ts, " ").alias("phrase"), F.size(ts).alias("size")
-            ),
+            tokens_rule(a),
+            lambda ts: f"named_struct('anchor', {a}, 'phrase', array_join({ts}, ' '), 'size', size({ts}))",
         ),
     )
-    return F.filter(phrases, lambda p: p["size"] > 0)
+    return keep(phrases, lambda p: f"{p}.size > 0")
 
 
 def course_profiles(described: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
@@ -269,38 +269,25 @@ def course_profiles(described: DataFrame, tokenizer: Tokenizer = tokenize) -> Da
     holds the sections in order.  The row is small because a course holds only a
     few sections, and it is joined to chunks by ``course_id`` alone.
     """
+    enriched = (
+        described.withColumn("terms", term_counts(tokenizer("assignment_text")))
+        .withColumn("title_terms", F.array_distinct(tokenizer("title")))
+        .withColumn("norm", _norm(F.col("terms")))
+        .withColumn("material", F.expr(_phrases_rule("material_anchors")))
+        .withColumn("speech", F.expr(_phrases_rule("speech_anchors")))
+        .withColumn("chapter", section_chapter_index("title"))
+        .withColumn("ord", F.col("section_ord").cast("int"))
+        .withColumn("target_weight", F.col("target_weight").cast("double"))
+    )
     section = F.struct(
-        F.col("section_ord").cast("int").alias("ord"),
-        "section_id",
-        "title",
-        F.col("target_weight").cast("double").alias("target_weight"),
-        "terms",
-        _norm(F.col("terms")).alias("norm"),
-        "title_terms",
-        _phrases(F.col("material_anchors"), tokenizer).alias("material"),
-        _phrases(F.col("speech_anchors"), tokenizer).alias("speech"),
-        "title_fragments",
-        "speech_anchors",
-        F.regexp_extract(normalize_text("title"), "(?U)" + fv.SECTION_CHAPTER, 1)
-        .try_cast("int")
-        .alias("chapter"),
+        "ord", "section_id", "title", "target_weight", "terms", "norm", "title_terms",
+        "material", "speech", "title_fragments", "speech_anchors", "chapter",
     )
-    enriched = described.withColumn(
-        "terms", term_counts(tokenizer("assignment_text"))
-    ).withColumn("title_terms", F.array_distinct(tokenizer("title")))
+    vocab = "array_distinct(flatten(transform(secs, s -> concat(s.terms.term, s.title_terms))))"
     return (
         enriched.groupBy("course_id")
         .agg(F.sort_array(F.collect_list(section)).alias("secs"))
-        .withColumn(
-            "vocab",
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "secs", lambda s: F.concat(F.transform(s["terms"], lambda t: t["term"]), s["title_terms"])
-                    )
-                )
-            ),
-        )
+        .withColumn("vocab", F.expr(vocab))
     )
 
 
@@ -312,15 +299,12 @@ def curriculum_vocab(sections: DataFrame) -> DataFrame:
 
 def dictionary_terms(described: DataFrame) -> DataFrame:
     """Words of titles, aliases and anchors for a tokenizer's user dictionary."""
-    phrases = F.concat(F.array("title"), F.col("aliases"), F.col("material_anchors"))
-    words = F.flatten(
-        F.transform(
-            phrases,
-            lambda p: F.split(F.trim(F.regexp_replace(p, fv.DICTIONARY_BREAK, " ")), " +"),
-        )
+    cleaned = each(
+        "concat(array(title), aliases, material_anchors)",
+        lambda p: f"split(trim({replaced(p, fv.DICTIONARY_BREAK, ' ')}), ' +')",
     )
     return (
-        described.select("course_id", F.explode(words).alias("word"))
+        described.select("course_id", F.explode(F.expr(f"flatten({cleaned})")).alias("word"))
         .filter(F.length("word") >= 2)
         .select("course_id", F.lower("word").alias("term"))
         .distinct()

@@ -12,13 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import let
+from curricle.functions.exprs import each, keep, let
 from curricle.functions.fragments import fragment_terms
 from curricle.functions.text import source_chapter_index, speech_title
-from curricle.functions.tokens import Tokenizer, joined_terms, phrase_count, term_counts, tokenize
+from curricle.functions.tokens import (
+    padded_rule,
+    phrase_count_rule,
+    term_counts_rule,
+    tokenize,
+)
 from curricle.operators.curriculum import with_course
 from curricle.operators.scale import broadcast_if_bounded
 
+Thresholds = tuple[float, float]
 CHUNK_KEYS = ("course_id", "source_id", "chunk_seq", "part_no")
 
 
@@ -27,55 +33,44 @@ def _chunk_keys(df: DataFrame) -> list[str]:
 
 
 # --- scores ------------------------------------------------------------------
-def _lexical_scores(tokens: Column, secs: Column, vocab: Column) -> Column:
-    """``array<double>`` in section order."""
-    shared = F.array_intersect(vocab, tokens)
-
-    def scores(counts: Column) -> Column:
-        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda a, t: a + t["n"] * t["n"])
-
-        def per_section(norm: Column, known: Column) -> Column:
-            def one(s: Column) -> Column:
-                dot = F.aggregate(
-                    s["terms"],
-                    F.lit(0).cast("long"),
-                    lambda a, t: a
-                    + t["n"]
-                    * F.coalesce(
-                        F.get(F.filter(known, lambda k: k["term"] == t["term"]), F.lit(0))["n"],
-                        F.lit(0),
-                    ),
-                )
-                cosine = F.when(
-                    (norm > 0) & (s["norm"] > 0), dot / (norm * s["norm"])
-                ).otherwise(0.0)
-                overlap = F.size(
-                    F.filter(s["title_terms"], lambda t: F.exists(known, lambda k: k["term"] == t))
-                ) / F.greatest(F.lit(1), F.size(s["title_terms"]))
-                return cosine * 0.75 + overlap * 0.25
-
-            return F.when(
-                F.size(known) == 0, F.transform(secs, lambda s: F.lit(0.0))
-            ).otherwise(F.transform(secs, one))
+def _lexical_rule(tokens: str = "tokens", secs: str = "secs", vocab: str = "vocab") -> str:
+    """``array<double>`` in section order: 3/4 cosine, 1/4 share of title terms.
 
-        return let(
-            F.struct(
-                F.sqrt(squares).alias("norm"),
-                let(
-                    shared,
-                    lambda sh: F.filter(counts, lambda t: F.array_contains(sh, t["term"])),
-                ).alias("known"),
-            ),
-            lambda x: per_section(x["norm"], x["known"]),
+    Only terms of the course vocabulary can contribute, so the chunk's counts are
+    first cut down to those; most chunks share few of them.
+    """
+
+    def scores(counts: str) -> str:
+        norm = f"sqrt(aggregate({counts}, 0L, (a_, t_) -> a_ + bigint(t_.n) * t_.n))"
+        known = let(
+            f"array_intersect({vocab}, {tokens})",
+            lambda sh: f"filter({counts}, t_ -> array_contains({sh}, t_.term))",
         )
 
-    return let(term_counts(tokens), scores)
+        def per_section(k: str) -> str:
+            dot = (
+                f"aggregate({k}.known, 0L, (a_, w_) -> a_ + w_.n * "
+                "coalesce(get(filter(s_.terms, t_ -> t_.term = w_.term), 0).n, 0))"
+            )
+            cosine = f"if({k}.norm > 0 AND s_.norm > 0, {dot} / ({k}.norm * s_.norm), 0D)"
+            overlap = (
+                f"size(filter({k}.known, w_ -> array_contains(s_.title_terms, w_.term))) / "
+                "greatest(1, size(s_.title_terms))"
+            )
+            return (
+                f"if(size({k}.known) = 0, transform({secs}, s_ -> 0D), "
+                f"transform({secs}, s_ -> {cosine} * 0.75D + {overlap} * 0.25D))"
+            )
+
+        return let(f"named_struct('norm', {norm}, 'known', {known})", per_section, "k")
+
+    return let(term_counts_rule(tokens), scores, "counts")
 
 
 def with_lexical_scores(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     """Chunks with ``secs`` and the ``scores`` array of all sections."""
     return with_course(chunks, profiles).withColumn(
-        "scores", _lexical_scores(F.col("tokens"), F.col("secs"), F.col("vocab"))
+        "scores", F.expr(_lexical_rule())
     )
 
 
@@ -92,15 +87,14 @@ def score_lexical(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def length(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+def _cosine_rule(a: str, b: str) -> str:
+    def length(v: str) -> str:
+        return f"sqrt(aggregate({v}, 0D, (s_, x_) -> s_ + double(x_) * x_))"
 
-    dot = F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x
+    dot = f"aggregate(zip_with({a}, {b}, (x_, y_) -> double(x_) * y_), 0D, (s_, x_) -> s_ + x_)"
+    return let(
+        f"{length(a)} * {length(b)}", lambda n: f"if({n} > 0, greatest(0D, {dot} / {n}), 0D)"
     )
-    norms = length(a) * length(b)
-    return F.when(norms > 0, F.greatest(F.lit(0.0), dot / norms)).otherwise(0.0)
 
 
 def vector_profiles(section_vectors: DataFrame) -> DataFrame:
@@ -120,50 +114,41 @@ def score_vectors(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataF
     keep = [c for c in chunk_vectors.columns if c != "vector"]
     return joined.select(
         *keep,
-        F.inline_outer(
-            F.transform(
-                "vecs",
-                lambda s: F.struct(
-                    s["ord"].alias("section_ord"),
-                    s["section_id"].alias("section_id"),
-                    _cosine(F.col("vector"), s["vector"]).alias("score"),
-                ),
-            )
+        F.expr(
+            "inline_outer(transform(vecs, s -> named_struct('section_ord', s.ord, 'section_id', "
+            f"s.section_id, 'score', {_cosine_rule('vector', 's.vector')})))"
         ),
     )
 
 
 # --- anchors -----------------------------------------------------------------
-def _found_anchors(tokens: Column, padded: Column, phrases: Column) -> Column:
+def _found_rule(tokens: str, padded: str, phrases: str) -> str:
     """``array<struct<anchor, n>>``; a substring test skips absent phrases."""
-    present = F.filter(
-        phrases, lambda p: F.contains(padded, F.concat(F.lit(" "), p["phrase"], F.lit(" ")))
-    )
-    return F.transform(
+    present = keep(phrases, lambda p: f"contains({padded}, concat(' ', {p}.phrase, ' '))")
+    return each(
         present,
-        lambda p: F.struct(
-            p["anchor"].alias("anchor"), phrase_count(tokens, p["phrase"], p["size"]).alias("n")
-        ),
+        lambda p: f"named_struct('anchor', {p}.anchor, 'n', "
+        f"{phrase_count_rule(tokens, f'{p}.phrase', f'{p}.size')})",
     )
 
 
 def anchor_counts(chunks: DataFrame, profiles: DataFrame, kind: str = "material") -> DataFrame:
     """Occurrences of each section's anchors in each chunk, in long form."""
-    joined = with_course(chunks, profiles).withColumn("_padded", joined_terms(F.col("tokens")))
     keys = _chunk_keys(chunks)
+    joined = (
+        with_course(chunks, profiles)
+        .withColumn("padded", F.expr(padded_rule("tokens")))
+        .select(*keys, "tokens", "padded", F.explode("secs").alias("s"))
+    )
     return joined.select(
-        *keys,
-        F.explode("secs").alias("s"),
-        "tokens",
-        "_padded",
-    ).select(
         *keys,
         F.col("s.ord").alias("section_ord"),
         F.col("s.section_id").alias("section_id"),
-        F.col("s.title_fragments").alias("title_fragments"),
-        F.inline_outer(_found_anchors(F.col("tokens"), F.col("_padded"), F.col(f"s.{kind}"))),
-    ).filter(F.col("anchor").isNotNull()).withColumn("is_title", F.array_contains("title_fragments", F.col("anchor"))).drop(
-        "title_fragments"
+        F.col("s.title_fragments").alias("fragments"),
+        F.expr(f"inline_outer({_found_rule('tokens', 'padded', f's.{kind}')})"),
+    ).filter(F.col("anchor").isNotNull()).select(
+        *keys, "section_ord", "section_id", "anchor", "n",
+        F.array_contains("fragments", F.col("anchor")).alias("is_title"),
     )
 
 
@@ -197,264 +182,225 @@ def restrict(scores: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 # --- titles ------------------------------------------------------------------
-def _title_scores(label: Column, secs: Column, tokenizer: Tokenizer) -> Column:
-    """``array<double>``: how strongly a video title points at each section."""
-
-    def scored(t: Column) -> Column:
-        def one(s: Column) -> Column:
-            occurrences = F.aggregate(
-                _found_anchors(t["tokens"], joined_terms(t["tokens"]), s["speech"]),
-                F.lit(0.0),
-                lambda a, x: a + x["n"],
-            )
-            shared = F.size(F.array_intersect(t["keys"], s["speech_anchors"]))
-            base = F.when(shared > 0, F.greatest(occurrences, 1.0 + 0.1 * shared)).otherwise(
-                occurrences
-            )
-            same_chapter = F.coalesce(t["chapter"] == s["chapter"], F.lit(False))
-            return base + F.when(same_chapter, F.lit(fv.TITLE_INDEX_SCORE)).otherwise(0.0)
-
-        return F.when(
-            t["title"] == "", F.transform(secs, lambda s: F.lit(0.0))
-        ).otherwise(F.transform(secs, one))
+def _title_rule(label: str, secs: str = "secs") -> str:
+    """``array<double>``: how strongly a video title points at each section.
 
-    title = speech_title(label)
-    parts = F.struct(
-        title.alias("title"),
-        tokenizer(title).alias("tokens"),
-        fragment_terms(title, "speech", tokenizer).alias("keys"),
-        source_chapter_index(label).alias("chapter"),
+    ``label`` names a struct with the title, its tokens, its fragment keys and
+    the chapter number of the label.
+    """
+    found = _found_rule(f"{label}.tokens", padded_rule(f"{label}.tokens"), "s_.speech")
+    occurrences = f"aggregate({found}, 0D, (a_, x_) -> a_ + x_.n)"
+    shared = f"size(array_intersect({label}.keys, s_.speech_anchors))"
+    score = let(
+        f"named_struct('occ', {occurrences}, 'shared', {shared})",
+        lambda o: f"if({o}.shared > 0, greatest({o}.occ, 1D + 0.1D * {o}.shared), {o}.occ)",
+    )
+    chapter = f"if(coalesce({label}.chapter = s_.chapter, false), {fv.TITLE_INDEX_SCORE}D, 0D)"
+    return (
+        f"if({label}.title = '', transform({secs}, s_ -> 0D), "
+        f"transform({secs}, s_ -> {score} + {chapter}))"
     )
-    return let(parts, scored)
 
 
-def with_title_scores(
-    labels: DataFrame, profiles: DataFrame, tokenizer: Tokenizer = tokenize
-) -> DataFrame:
-    """``course_id, source_label, title_scores`` for distinct labels."""
-    return with_course(labels.select("course_id", "source_label").distinct(), profiles).select(
-        "course_id",
-        "source_label",
-        _title_scores(F.col("source_label"), F.col("secs"), tokenizer).alias("title_scores"),
+def _scored_labels(labels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Distinct labels with ``secs`` and ``title_scores``: one evaluation per label."""
+    described = (
+        labels.select("course_id", "source_label")
+        .distinct()
+        .withColumn("_title", speech_title("source_label"))
+        .withColumn(
+            "label",
+            F.struct(
+                F.col("_title").alias("title"),
+                tokenize("_title").alias("tokens"),
+                fragment_terms("_title", "speech").alias("keys"),
+                source_chapter_index("source_label").alias("chapter"),
+            ),
+        )
+    )
+    return with_course(described, profiles).select(
+        "course_id", "source_label", "secs", F.expr(_title_rule("label")).alias("title_scores")
     )
 
 
-def title_scores(
-    labels: DataFrame, profiles: DataFrame, tokenizer: Tokenizer = tokenize
-) -> DataFrame:
+def title_scores(labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """Positive title scores in long form."""
-    scored = with_course(labels.select("course_id", "source_label").distinct(), profiles).select(
-        "course_id",
-        "source_label",
-        F.inline_outer(
-            F.arrays_zip(
-                "secs",
-                _title_scores(F.col("source_label"), F.col("secs"), tokenizer).alias("title_score"),
-            )
-        ),
+    scored = _scored_labels(labels, profiles).select(
+        "course_id", "source_label", F.inline_outer(F.arrays_zip("secs", "title_scores"))
     )
     return scored.select(
         "course_id",
         "source_label",
         F.col("secs.ord").alias("section_ord"),
         F.col("secs.section_id").alias("section_id"),
-        "title_score",
+        F.col("title_scores").alias("title_score"),
     ).filter(F.col("title_score") > 0)
 
 
 # --- decisions over one chunk's sections -------------------------------------
-def _best(scores: Column) -> Column:
-    """``struct<at, score, runner>``: first maximum (0-based) and the next score."""
-
-    def pick(top: Column) -> Column:
-        at = F.array_position(scores, top) - 1
-        others = F.filter(scores, lambda x, i: i != at)
-        return F.struct(
-            at.cast("int").alias("at"),
-            top.alias("score"),
-            F.coalesce(F.array_max(others), F.lit(0.0)).alias("runner"),
-        )
+def _best_rule(scores: str) -> str:
+    """``struct<pos, score, runner>``: first maximum (0-based) and the next score."""
 
-    return let(F.array_max(scores), pick)
+    def pick(top: str) -> str:
+        pos = f"(int(array_position({scores}, {top})) - 1)"
+        others = let(pos, lambda p: f"array_max(filter({scores}, (x_, i_) -> i_ <> {p}))")
+        return f"named_struct('pos', {pos}, 'score', {top}, 'runner', coalesce({others}, 0D))"
 
+    return let(f"array_max({scores})", pick, "top")
 
-def _ambiguous(best: Column, min_score: float, min_margin: float) -> Column:
-    return (best["score"] < min_score) | (best["score"] - best["runner"] < min_margin)
-
-
-def _rescue(
-    scores: Column, titles: Column, evidence: Column, min_score: float, min_margin: float
-) -> Column:
-    """``struct<at, mismatch, title_score>`` of the title rules; ``at`` null = none.
-
-    ``evidence`` is the number of anchors per section found in the transcript.
-    """
-
-    def decide(x: Column) -> Column:
-        best, title = x["best"], x["title"]
-        own = F.get(scores, title["at"])
-        delta = best["score"] - own
-        exact = title["score"] >= 1.0
-        unsure = _ambiguous(best, min_score, min_margin)
-        plausible = own >= max(0.0, min_score - 0.03)
-        backed = F.get(evidence, title["at"]) > 0
-        by_evidence = backed & (
-            unsure | plausible | (exact & (own >= max(0.0, min_score - 0.05)))
-        )
-        by_title = exact & (unsure | (plausible & (delta <= fv.TITLE_MAX_DELTA)))
-        by_index = (title["score"] > 0) & ~exact & unsure & (own >= min_score)
-        rescued = (title["score"] > 0) & (by_evidence | by_title | by_index)
-        return F.struct(
-            F.when(rescued, title["at"]).alias("at"),
-            (~rescued & exact & (delta > fv.TITLE_MAX_DELTA)).alias("mismatch"),
-            title["score"].alias("title_score"),
-            title["at"].alias("title_at"),
-        )
 
-    return let(F.struct(_best(scores).alias("best"), _best(titles).alias("title")), decide)
+def _unsure(best: str, thresholds: Thresholds) -> str:
+    return f"({best}.score < {thresholds[0]}D OR {best}.score - {best}.runner < {thresholds[1]}D)"
 
 
-def title_bonus(title_score: Column) -> Column:
-    bounded = F.greatest(F.lit(0.0), F.least(title_score, F.lit(2.0)))
-    return F.least(F.lit(fv.TITLE_BONUS_MAX), F.lit(0.02) + bounded * 0.02)
+def _plain_rule(scores: str, thresholds: Thresholds) -> str:
+    """``struct<pos, score, runner, rationale>``; ``pos`` null means unmapped."""
+    return let(
+        _best_rule(scores),
+        lambda b: f"named_struct('pos', if({_unsure(b, thresholds)}, NULL, {b}.pos), 'score', {b}.score, "
+        f"'runner', {b}.runner, 'rationale', if({_unsure(b, thresholds)}, 'unmapped', 'similarity'))",
+        "b",
+    )
 
 
-def _speech_facts(tokens: Column, secs: Column) -> Column:
-    """Per section ``struct<anchors, candidate, titled>`` of a transcript chunk."""
+def _floor(thresholds: Thresholds, slack: float) -> str:
+    return f"greatest(0D, {thresholds[0]}D - {slack}D)"
 
-    def facts(padded: Column) -> Column:
-        def one(s: Column) -> Column:
-            return let(
-                _found_anchors(tokens, padded, s["speech"]),
-                lambda found: F.struct(
-                    F.size(found).alias("anchors"),
-                    (
-                        (F.size(found) >= 2)
-                        | F.exists(found, lambda a: a["n"] >= 2)
-                        | F.exists(found, lambda a: F.array_contains(s["title_fragments"], a["anchor"]))
-                    ).alias("candidate"),
-                    F.exists(
-                        found, lambda a: F.array_contains(s["title_fragments"], a["anchor"])
-                    ).alias("titled"),
-                ),
-            )
 
-        return F.transform(secs, one)
+def _rescue_rule(scores: str, titles: str, facts: str, thresholds: Thresholds) -> str:
+    """``struct<pos, mismatch, title_score, title_pos>``; ``pos`` null = no rescue.
 
-    return let(joined_terms(tokens), facts)
+    A title may rescue a section when the transcript holds one of its anchors and
+    does not speak against it; when the title matches exactly and the transcript
+    is undecided or close; or when only the chapter number matches and the
+    transcript alone would have been enough.
+    """
 
+    def decide(x: str) -> str:
+        best, title, own = f"{x}.best", f"{x}.title", f"{x}.own"
+        delta = f"({best}.score - {own})"
+        exact = f"({title}.score >= 1)"
+        unsure = _unsure(best, thresholds)
+        plausible = f"({own} >= {_floor(thresholds, 0.03)})"
+        backed = f"({facts}[{title}.pos].anchors > 0)"
+        rescued = (
+            f"({title}.score > 0 AND ("
+            f"({backed} AND ({unsure} OR {plausible} OR ({exact} AND {own} >= {_floor(thresholds, 0.05)}))) "
+            f"OR ({exact} AND ({unsure} OR ({plausible} AND {delta} <= {fv.TITLE_MAX_DELTA}D))) "
+            f"OR (NOT {exact} AND {unsure} AND {own} >= {thresholds[0]}D)))"
+        )
+        return (
+            f"named_struct('pos', if({rescued}, {title}.pos, NULL), "
+            f"'mismatch', NOT {rescued} AND {exact} AND {delta} > {fv.TITLE_MAX_DELTA}D, "
+            f"'title_score', {title}.score, 'title_pos', {title}.pos)"
+        )
 
-def _plain_decision(scores: Column, min_score: float, min_margin: float) -> Column:
-    return let(
-        _best(scores),
-        lambda b: F.struct(
-            F.when(~_ambiguous(b, min_score, min_margin), b["at"]).alias("at"),
-            b["score"].alias("score"),
-            b["runner"].alias("runner"),
-            F.when(~_ambiguous(b, min_score, min_margin), F.lit("similarity"))
-            .otherwise(F.lit("unmapped"))
-            .alias("rationale"),
-        ),
+    pair = f"named_struct('best', {_best_rule(scores)}, 'title', {_best_rule(titles)})"
+    with_own = let(
+        pair,
+        lambda p: f"named_struct('best', {p}.best, 'title', {p}.title, 'own', {scores}[{p}.title.pos])",
     )
+    return let(with_own, decide)
 
 
-def _gate(scores: Column, keep: Column) -> Column:
-    return F.zip_with(scores, keep, lambda s, k: F.when(k, s).otherwise(0.0))
+def _bonus_rule(title_score: str) -> str:
+    bounded = f"greatest(0D, least({title_score}, 2D))"
+    return f"least({fv.TITLE_BONUS_MAX}D, 0.02D + {bounded} * 0.02D)"
 
 
-def _speech_decision(
-    scores: Column, titles: Column, facts: Column, verdict: Column, min_score: float, min_margin: float
-) -> Column:
-    evidence = F.transform(facts, lambda f: f["anchors"])
+def _facts_rule(tokens: str = "tokens", secs: str = "secs") -> str:
+    """Per section ``struct<anchors, candidate, titled>`` of a transcript chunk."""
 
-    def with_rescue(r: Column) -> Column:
-        candidates = F.transform(
-            facts, lambda f, i: f["candidate"] | F.coalesce(r["at"] == i, F.lit(False))
-        )
-        boosted = F.transform(
-            scores,
-            lambda s, i: s
-            + F.when(r["at"] == i, title_bonus(r["title_score"])).otherwise(0.0),
+    def one(padded: str) -> str:
+        return let(
+            _found_rule(tokens, padded, "s_.speech"),
+            lambda f: f"named_struct('anchors', size({f}), 'candidate', size({f}) >= 2 "
+            f"OR exists({f}, a_ -> a_.n >= 2 OR array_contains(s_.title_fragments, a_.anchor)), "
+            f"'titled', exists({f}, a_ -> array_contains(s_.title_fragments, a_.anchor)))",
         )
 
-        def with_candidates(cs: Column) -> Column:
-            count = F.size(F.filter(cs, lambda c: c))
-            lone = F.array_position(cs, True).cast("int") - 1
-
-            def finish(d: Column) -> Column:
-                single = F.when(
-                    (count == 1)
-                    & F.get(facts, lone)["titled"]
-                    & (F.get(scores, lone) >= max(0.0, min_score - 0.04)),
-                    lone,
-                )
-                judged = F.when(
-                    count.between(2, fv.ADJUDICATION_MAX_CANDIDATES)
-                    & F.coalesce(F.get(cs, verdict), F.lit(False)),
-                    verdict,
-                )
-                saved = F.coalesce(single, judged)
-                return F.when(
-                    d["at"].isNotNull() | saved.isNull(),
-                    F.struct(d["at"].alias("at"), d["score"].alias("score"), d["runner"].alias("runner"), d["rationale"].alias("rationale")),
-                ).otherwise(
-                    F.struct(
-                        saved.alias("at"),
-                        F.greatest(F.get(scores, saved), F.lit(min_score)).alias("score"),
-                        F.coalesce(
-                            F.array_max(F.filter(scores, lambda x, i: i != saved)), F.lit(0.0)
-                        ).alias("runner"),
-                        F.when(single.isNotNull(), F.lit("anchor"))
-                        .otherwise(F.lit("adjudicated"))
-                        .alias("rationale"),
-                    )
-                )
-
-            return let(_plain_decision(_gate(boosted, cs), min_score, min_margin), finish)
+    return let(padded_rule(tokens), lambda p: f"transform({secs}, s_ -> {one(p)})")
 
-        return let(
-            candidates,
-            lambda cs: F.struct(
-                with_candidates(cs).alias("d"), r["mismatch"].alias("mismatch"), r["title_at"].alias("title_at"),
-                r["at"].alias("rescued_at"),
-            ),
-        )
 
-    return let(_rescue(scores, titles, evidence, min_score, min_margin), with_rescue)
+def _gated_rule(scores: str, gate: str) -> str:
+    return f"zip_with({scores}, {gate}, (x_, g_) -> if(g_, x_, 0D))"
 
 
 def title_rescue(
-    chunks: DataFrame, profiles: DataFrame, thresholds: tuple[float, float] = fv.LEXICAL_THRESHOLDS
+    chunks: DataFrame, profiles: DataFrame, thresholds: Thresholds = fv.LEXICAL_THRESHOLDS
 ) -> DataFrame:
     """Outcome of the title rules per speech chunk (rescued section or mismatch)."""
-    ready = _speech_ready(chunks, profiles)
-    outcome = _rescue(
-        F.col("scores"),
-        F.col("title_scores"),
-        F.transform("facts", lambda f: f["anchors"]),
-        *thresholds,
-    )
-    return ready.withColumn("r", outcome).select(
+    ready = _speech_ready(with_lexical_scores(chunks, profiles), chunks, profiles, thresholds)
+    return ready.select(
         *_chunk_keys(chunks),
         "source_label",
-        F.get("secs", F.col("r.at"))["section_id"].alias("rescued_section"),
-        F.when(F.col("r.title_score") > 0, F.get("secs", F.col("r.title_at"))["section_id"]).alias(
+        F.expr("get(secs, rescue.pos).section_id").alias("rescued_section"),
+        F.expr("if(rescue.title_score > 0, secs[rescue.title_pos].section_id, NULL)").alias(
             "title_section"
         ),
-        F.col("r.mismatch").alias("mismatch"),
-        F.when(F.col("r.at").isNotNull(), title_bonus(F.col("r.title_score")))
-        .otherwise(0.0)
-        .alias("bonus"),
+        F.col("rescue.mismatch").alias("mismatch"),
+        F.expr(f"if(rescue.pos IS NULL, 0D, {_bonus_rule('rescue.title_score')})").alias("bonus"),
     )
 
 
-def _speech_ready(chunks: DataFrame, profiles: DataFrame, scored: DataFrame | None = None) -> DataFrame:
-    scored = with_lexical_scores(chunks, profiles) if scored is None else scored
-    titles = with_title_scores(chunks, profiles)
-    return scored.join(broadcast_if_bounded(titles), ["course_id", "source_label"], "left").withColumn(
-        "title_scores",
-        F.coalesce("title_scores", F.transform("secs", lambda s: F.lit(0.0))),
-    ).withColumn("facts", _speech_facts(F.col("tokens"), F.col("secs")))
+def _speech_ready(
+    scored: DataFrame, labels: DataFrame, profiles: DataFrame, thresholds: Thresholds
+) -> DataFrame:
+    """Scored speech chunks with ``title_scores``, ``facts`` and ``rescue``."""
+    titles = _scored_labels(labels, profiles).drop("secs")
+    joined = scored.join(broadcast_if_bounded(titles), ["course_id", "source_label"], "left")
+    return (
+        joined.withColumn(
+            "title_scores", F.expr("coalesce(title_scores, transform(secs, s -> 0D))")
+        )
+        .withColumn("facts", F.expr(_facts_rule()))
+        .withColumn("rescue", F.expr(_rescue_rule("scores", "title_scores", "facts", thresholds)))
+    )
+
+
+def _speech_decision(speech: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """Adds ``d``: the gated, title-adjusted choice, then the two late rescues.
+
+    The rescues only look at chunks that stay unmapped: first a lone candidate
+    whose title occurs in the transcript, then an outside ``verdict``.
+    """
+    gated = _gated_rule(
+        "transform(scores, (x, i) -> x + if(coalesce(rescue.pos = i, false), "
+        f"{_bonus_rule('rescue.title_score')}, 0D))",
+        "candidates",
+    )
+    lone_ok = (
+        "size(filter(candidates, c -> c)) = 1 AND facts[lone].titled "
+        f"AND scores[lone] >= {_floor(thresholds, 0.04)}"
+    )
+    judged = (
+        f"size(filter(candidates, c -> c)) BETWEEN 2 AND {fv.ADJUDICATION_MAX_CANDIDATES} "
+        "AND coalesce(candidates[verdict], false)"
+    )
+    return (
+        speech.withColumn(
+            "candidates",
+            F.expr("transform(facts, (f, i) -> f.candidate OR coalesce(rescue.pos = i, false))"),
+        )
+        .withColumn("plain", F.expr(_plain_rule(gated, thresholds)))
+        .withColumn("lone", F.expr("nullif(int(array_position(candidates, true)) - 1, -1)"))
+        .withColumn(
+            "late",
+            F.expr(
+                f"CASE WHEN plain.pos IS NOT NULL THEN NULL WHEN {lone_ok} THEN lone "
+                f"WHEN {judged} THEN verdict END"
+            ),
+        )
+        .withColumn(
+            "d",
+            F.expr(
+                "if(late IS NULL, plain, named_struct('pos', late, "
+                f"'score', greatest(scores[late], {thresholds[0]}D), "
+                "'runner', coalesce(array_max(filter(scores, (x, i) -> i <> late)), 0D), "
+                f"'rationale', if({lone_ok}, 'anchor', 'adjudicated')))"
+            ),
+        )
+    )
 
 
 def best_assignment(
@@ -466,10 +412,10 @@ def best_assignment(
         F.sort_array(F.collect_list(F.struct("section_ord", "section_id", "score"))).alias("s")
     )
     return packed.withColumn(
-        "d", _plain_decision(F.col("s.score"), min_score, min_margin)
+        "d", F.expr(_plain_rule("s.score", (min_score, min_margin)))
     ).select(
         *keys,
-        F.get("s", F.col("d.at"))["section_id"].alias("section_id"),
+        F.expr("get(s, d.pos).section_id").alias("section_id"),
         F.col("d.score").alias("score"),
         F.col("d.runner").alias("runner_up"),
     )
@@ -480,13 +426,16 @@ def assign_chunks(
     profiles: DataFrame,
     vector_scores: DataFrame | None = None,
     adjudications: DataFrame | None = None,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """Section of every chunk, by the rule of its source type.
 
     ``chunks`` carries ``tokens``.  With ``vector_scores`` (chunk keys and a
     ``scores`` array in section order) the vector thresholds apply; otherwise
     scores are lexical.  ``adjudications`` (chunk keys, section_id, confidence)
-    stands in for an outside judge of ambiguous speech.
+    stands in for an outside judge of ambiguous speech.  Video labels are scored
+    once each; give ``labels`` (course_id, source_label, source_type) when a
+    cheaper table than the chunks lists them.
     """
     keys = _chunk_keys(chunks)
     kind = F.lower(F.col("source_type"))
@@ -499,25 +448,22 @@ def assign_chunks(
     keep = [c for c in chunks.columns if c not in ("tokens", "text")]
     carried = [*keep, *[c for c in ("text",) if c in chunks.columns]]
 
-    material = scored.filter(kind.isin(*fv.MATERIAL_TYPES)).withColumn(
-        "gate",
-        let(
-            joined_terms(F.col("tokens")),
-            lambda padded: F.transform(
-                "secs",
-                lambda s: F.exists(
-                    s["material"],
-                    lambda p: F.contains(padded, F.concat(F.lit(" "), p["phrase"], F.lit(" "))),
-                ),
-            ),
-        ),
-    ).withColumn("d", _plain_decision(_gate(F.col("scores"), F.col("gate")), *thresholds))
+    evidence = let(
+        padded_rule("tokens"),
+        lambda p: "transform(secs, s -> exists(s.material, a -> "
+        f"contains({p}, concat(' ', a.phrase, ' '))))",
+    )
+    material = (
+        scored.filter(kind.isin(*fv.MATERIAL_TYPES))
+        .withColumn("gate", F.expr(evidence))
+        .withColumn("d", F.expr(_plain_rule(_gated_rule("scores", "gate"), thresholds)))
+    )
     other = scored.filter(~kind.isin(*fv.MATERIAL_TYPES, *fv.SPEECH_TYPES)).withColumn(
-        "d", _plain_decision(F.col("scores"), *thresholds)
+        "d", F.expr(_plain_rule("scores", thresholds))
     )
-
-    spoken = chunks.filter(kind.isin(*fv.SPEECH_TYPES))
-    speech = _speech_ready(spoken, profiles, scored.filter(kind.isin(*fv.SPEECH_TYPES)))
+    is_speech = kind.isin(*fv.SPEECH_TYPES)
+    labels = (chunks if labels is None else labels).filter(is_speech)
+    speech = _speech_ready(scored.filter(is_speech), labels, profiles, thresholds)
     if adjudications is None:
         speech = speech.withColumn("verdict", F.lit(None).cast("int"))
     else:
@@ -526,20 +472,15 @@ def assign_chunks(
         )
         speech = speech.join(verdicts, keys, "left").withColumn(
             "verdict",
-            F.when(
-                F.col("token_count") >= fv.ADJUDICATION_MIN_TOKENS,
-                F.array_position("secs.section_id", F.col("_verdict")).cast("int") - 1,
+            F.expr(
+                f"if(token_count >= {fv.ADJUDICATION_MIN_TOKENS}, "
+                "nullif(int(array_position(secs.section_id, _verdict)) - 1, -1), NULL)"
             ),
         )
-    speech = speech.withColumn(
-        "o",
-        _speech_decision(
-            F.col("scores"), F.col("title_scores"), F.col("facts"), F.col("verdict"), *thresholds
-        ),
-    ).withColumn("d", F.col("o.d"))
+    speech = _speech_decision(speech, thresholds)
 
     def result(df: DataFrame, mismatch: Column) -> DataFrame:
-        section = F.get("secs", F.col("d.at"))
+        section = F.expr("get(secs, d.pos)")
         return df.select(
             *carried,
             section["ord"].alias("section_ord"),
@@ -552,7 +493,7 @@ def assign_chunks(
         )
 
     nothing = F.lit(None).cast("string")
-    mismatch = F.when(F.col("o.mismatch"), F.get("secs", F.col("o.title_at"))["title"])
+    mismatch = F.expr("if(rescue.mismatch, secs[rescue.title_pos].title, NULL)")
     return (
         result(material, nothing)
         .unionByName(result(speech, mismatch))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curricle.functions.exprs import let
+from curricle.functions.exprs import fresh, let
 from curricle.operators.scale import DIMENSION_ROW_LIMIT
 
 BLOCK_ROWS = 4096
@@ -27,64 +27,44 @@ BLOCKS_PER_GROUP = 1024
 
 
 # --- native fold inside one array --------------------------------------------
-def greedy_starts(
-    sizes: Column,
-    budget: Column | int,
-    overlap: Column | int = 0,
-    open_size: Column | None = None,
-    previous: Column | None = None,
-) -> Column:
+def starts_rule(
+    sizes: str, budget: str | int, overlap: str | int = 0, size: str = "-1", previous: str = "0"
+) -> str:
     """``struct<starts, size, prev>`` of a fold over ``array<int>`` sizes.
 
-    ``starts`` are the indexes at which a new group begins.  Without an entry
-    state the first element always begins one.
+    ``starts`` are the indexes at which a new group begins.  ``size`` and
+    ``previous`` describe the group that is open at the beginning; size -1 means
+    that none is, so the first element begins one.
     """
-    entry = F.struct(
-        F.array().cast("array<int>").alias("starts"),
-        (F.lit(-1) if open_size is None else F.coalesce(open_size, F.lit(-1)))
-        .cast("int")
-        .alias("size"),
-        (F.lit(0) if previous is None else F.coalesce(previous, F.lit(0))).cast("int").alias("prev"),
+    full = f"(s.size >= 0 AND s.size + x.n > {budget})"
+    return (
+        f"aggregate(transform({sizes}, (n, i) -> named_struct('i', i, 'n', n)), "
+        f"named_struct('starts', cast(array() AS array<int>), 'size', int(coalesce({size}, -1)), "
+        f"'prev', int(coalesce({previous}, 0))), (s, x) -> named_struct("
+        f"'starts', if(s.size < 0 OR {full}, concat(s.starts, array(x.i)), s.starts), "
+        f"'size', CASE WHEN {full} THEN s.prev * {overlap} + x.n WHEN s.size < 0 THEN x.n ELSE s.size + x.n END, "
+        f"'prev', x.n))"
     )
 
-    def add(state: Column, item: Column) -> Column:
-        full = (state["size"] >= 0) & (state["size"] + item["n"] > budget)
-        begins = (state["size"] < 0) | full
-        carried = state["prev"] * overlap
-        return F.struct(
-            F.when(begins, F.concat(state["starts"], F.array(item["i"])))
-            .otherwise(state["starts"])
-            .alias("starts"),
-            F.when(full, carried + item["n"])
-            .when(state["size"] < 0, item["n"])
-            .otherwise(state["size"] + item["n"])
-            .alias("size"),
-            item["n"].alias("prev"),
-        )
-
-    indexed = F.transform(sizes, lambda n, i: F.struct(i.alias("i"), n.cast("int").alias("n")))
-    return F.aggregate(indexed, entry, add)
 
-
-def greedy_parts(items: Column, budget: int) -> Column:
+def parts_rule(items: str, budget: int) -> str:
     """Pack ``array<struct<t, n>>`` texts into space-joined ``struct<t, n>`` parts."""
 
-    def cut(xs: Column) -> Column:
-        def parts(starts: Column) -> Column:
-            def part(start: Column, j: Column) -> Column:
-                stop = F.coalesce(F.get(starts, j + 1), F.size(xs))
-                members = F.slice(xs, start + 1, stop - start)
-                return let(
-                    members,
-                    lambda ms: F.struct(
-                        F.array_join(F.transform(ms, lambda m: m["t"]), " ").alias("t"),
-                        F.aggregate(ms, F.lit(0), lambda a, m: a + m["n"]).alias("n"),
-                    ),
-                )
-
-            return F.transform(starts, part)
+    def cut(xs: str) -> str:
+        starts = starts_rule(f"transform({xs}, q_ -> q_.n)", budget) + ".starts"
+
+        def parts(st: str) -> str:
+            j, first = fresh("j"), fresh("first")
+            stop = f"coalesce(get({st}, {j} + 1), size({xs}))"
+            members = f"slice({xs}, {first} + 1, {stop} - {first})"
+            body = let(
+                members,
+                lambda ms: f"named_struct('t', array_join(transform({ms}, m_ -> m_.t), ' '), "
+                f"'n', aggregate({ms}, 0, (a_, m_) -> a_ + m_.n))",
+            )
+            return f"transform({st}, ({first}, {j}) -> {body})"
 
-        return let(greedy_starts(F.transform(xs, lambda x: x["n"]), budget)["starts"], parts)
+        return let(starts, parts)
 
     return let(items, cut)
 
@@ -252,9 +232,9 @@ def pack_groups(
             F.sort_array(F.collect_list(item)).alias("pieces"), *rule
         )
 
-    def folded(blocks: DataFrame, *entry: Column) -> DataFrame:
+    def folded(blocks: DataFrame, *entry: str) -> DataFrame:
         return blocks.withColumn(
-            "fold", greedy_starts(F.col("pieces.n"), F.col("budget"), F.col("overlap"), *entry)
+            "fold", F.expr(starts_rule("pieces.n", "budget", "overlap", *entry))
         )
 
     def cut(blocks: DataFrame, inherited: Column | None = None) -> DataFrame:
@@ -289,8 +269,8 @@ def pack_groups(
     )
     entered = folded(
         tails.join(_entry_states(tails, seeds, keys, fan), [*keys, "blk"]),
-        F.col("open_size"),
-        F.col("prev_tok"),
+        "open_size",
+        "prev_tok",
     )
     # with overlap, a group that begins with a block also holds the piece before it
     borrowed = (

@@ -56,8 +56,8 @@ C.add(
 
 @register("chk_pack_long_sources", C.query(f"SELECT {_PART} FROM small_blocks", "small_blocks"))
 def chk_pack_long_sources(spark, sf):
-    """All sources packed with blocks of four segments: every source is a long one."""
-    return ck.pack_segments(v.segments(spark, sf), 60, 1, block_rows=4, fan=3).select(*_PART_COLS)
+    """All sources packed with blocks of 16 segments: most sources become long ones."""
+    return ck.pack_segments(v.segments(spark, sf), 60, 1, block_rows=16, fan=2).select(*_PART_COLS)
 
 
 @register(
@@ -139,7 +139,7 @@ budget_parts AS (
 @register("chk_token_budget", C.query("SELECT doc_id, part_no, part FROM budget_parts", "budget_parts"))
 def chk_token_budget(spark, sf):
     body = v.spread(v.table(spark, sf, "documents")).select("doc_id", ck.normalize_text("text").alias("body"))
-    parts = body.select("doc_id", F.posexplode_outer(ck.split_by_budget(F.col("body"), 20)).alias("part_no", "part"))
+    parts = body.select("doc_id", F.posexplode_outer(ck.split_by_budget("body", 20)).alias("part_no", "part"))
     return parts.filter(F.col("part_no").isNotNull()).select("doc_id", F.col("part_no").cast("long").alias("part_no"), "part")
 
 
@@ -292,8 +292,8 @@ anchor_keyed AS (SELECT course_id || '|' || section_id || '|' || grp || '|' || o
 {k.fragment_rows('anchor_keyed', 'ak', 'body', 'speech', 'sfrag').strip()},
 manchors AS (
   SELECT course_id, section_id, row_number() OVER (PARTITION BY course_id, section_id ORDER BY grp, o, ord) AS pos, term
-  FROM (SELECT a.course_id, a.section_id, a.grp, a.o, f.ord, f.term FROM mfrag f JOIN anchor_keyed a ON a.ak = f.ak)
-  QUALIFY row_number() OVER (PARTITION BY course_id, section_id, term ORDER BY grp, o, ord) = 1),
+  FROM (SELECT a.course_id, a.section_id, a.grp, a.o, f.ord, f.term FROM mfrag f JOIN anchor_keyed a ON a.ak = f.ak
+  QUALIFY row_number() OVER (PARTITION BY a.course_id, a.section_id, f.term ORDER BY a.grp, a.o, f.ord) = 1)),
 sanchor_rows AS (
   SELECT a.course_id, a.section_id, a.grp, 0::BIGINT AS o, f.ord, f.term FROM sfrag f JOIN anchor_keyed a ON a.ak = f.ak WHERE a.grp < 2
   UNION ALL SELECT course_id, section_id, 2, o, 0, alias FROM alias_rows),
@@ -408,7 +408,7 @@ sec_tf AS (SELECT course_id, section_id, term, count(*) AS n FROM (SELECT course
 sec_norm AS (SELECT course_id, section_id, sqrt(sum(n * n)) AS norm FROM sec_tf GROUP BY ALL),
 sec_title AS (SELECT course_id, section_id, unnest(title_tokens) AS term FROM described),
 dots AS (SELECT {_CKC}, s.section_id, sum(c.n * s.n) AS dot FROM chunk_tf c JOIN sec_tf s ON s.course_id = c.course_id AND s.term = c.term GROUP BY ALL),
-overlaps AS (SELECT {_CKC}, s.section_id, count(*) AS hit FROM chunk_tf c JOIN sec_title s ON s.course_id = c.course_id AND s.term = c.term GROUP BY ALL),
+title_hits AS (SELECT {_CKC}, s.section_id, count(*) AS hit FROM chunk_tf c JOIN sec_title s ON s.course_id = c.course_id AND s.term = c.term GROUP BY ALL),
 lex_scores AS (
   SELECT c.course_id, {_CKC}, c.source_type, c.source_label, s.section_ord, s.section_id,
     coalesce(d.dot / (n.norm * sn.norm), 0) * 0.75::DOUBLE + coalesce(o.hit, 0) / greatest(1, len(s.title_tokens)) * 0.25::DOUBLE AS score
@@ -416,7 +416,7 @@ lex_scores AS (
   LEFT JOIN chunk_norm n ON n.source_id = c.source_id AND n.chunk_seq = c.chunk_seq AND n.part_no = c.part_no
   LEFT JOIN sec_norm sn ON sn.course_id = s.course_id AND sn.section_id = s.section_id
   LEFT JOIN dots d ON d.source_id = c.source_id AND d.chunk_seq = c.chunk_seq AND d.part_no = c.part_no AND d.section_id = s.section_id
-  LEFT JOIN overlaps o ON o.source_id = c.source_id AND o.chunk_seq = c.chunk_seq AND o.part_no = c.part_no AND o.section_id = s.section_id)""",
+  LEFT JOIN title_hits o ON o.source_id = c.source_id AND o.chunk_seq = c.chunk_seq AND o.part_no = c.part_no AND o.section_id = s.section_id)""",
     "chunks", "described",
 )
 
@@ -657,7 +657,7 @@ assigned AS (
 
 
 def assignments(spark, sf):
-    return ma.assign_chunks(v.chunks(spark, sf), profiles(spark, sf))
+    return ma.assign_chunks(v.chunks(spark, sf), profiles(spark, sf), labels=v.segments(spark, sf))
 
 
 @register(
