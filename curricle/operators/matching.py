@@ -8,11 +8,11 @@ that owns most chunks is spread like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import each, keep, let
+from curricle.functions.exprs import each, keep, let, one_of
 from curricle.functions.fragments import fragment_terms
 from curricle.functions.text import source_chapter_index, speech_title
 from curricle.functions.tokens import (
@@ -111,9 +111,9 @@ def score_vectors(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataF
     joined = chunk_vectors.join(
         broadcast_if_bounded(vector_profiles(section_vectors)), "course_id"
     )
-    keep = [c for c in chunk_vectors.columns if c != "vector"]
+    carried = [c for c in chunk_vectors.columns if c != "vector"]
     return joined.select(
-        *keep,
+        *carried,
         F.expr(
             "inline_outer(transform(vecs, s -> named_struct('section_ord', s.ord, 'section_id', "
             f"s.section_id, 'score', {_cosine_rule('vector', 's.vector')})))"
@@ -344,24 +344,29 @@ def title_rescue(
 
 
 def _speech_ready(
-    scored: DataFrame, labels: DataFrame, profiles: DataFrame, thresholds: Thresholds
+    scored: DataFrame,
+    labels: DataFrame,
+    profiles: DataFrame,
+    thresholds: Thresholds,
+    when: str = "true",
 ) -> DataFrame:
-    """Scored speech chunks with ``title_scores``, ``facts`` and ``rescue``."""
+    """Scored chunks with ``title_scores``, ``facts`` and ``rescue`` where ``when`` holds."""
     titles = _scored_labels(labels, profiles).drop("secs")
     joined = scored.join(broadcast_if_bounded(titles), ["course_id", "source_label"], "left")
+    rescue = _rescue_rule("scores", "title_scores", "facts", thresholds)
     return (
         joined.withColumn(
             "title_scores", F.expr("coalesce(title_scores, transform(secs, s -> 0D))")
         )
-        .withColumn("facts", F.expr(_facts_rule()))
-        .withColumn("rescue", F.expr(_rescue_rule("scores", "title_scores", "facts", thresholds)))
+        .withColumn("facts", F.expr(f"if({when}, {_facts_rule()}, NULL)"))
+        .withColumn("rescue", F.expr(f"if({when}, {rescue}, NULL)"))
     )
 
 
-def _speech_decision(speech: DataFrame, thresholds: Thresholds) -> DataFrame:
+def _decide(ready: DataFrame, thresholds: Thresholds, is_speech: str) -> DataFrame:
     """Adds ``d``: the gated, title-adjusted choice, then the two late rescues.
 
-    The rescues only look at chunks that stay unmapped: first a lone candidate
+    The rescues only look at speech that stays unmapped: first a lone candidate
     whose title occurs in the transcript, then an outside ``verdict``.
     """
     gated = _gated_rule(
@@ -378,16 +383,12 @@ def _speech_decision(speech: DataFrame, thresholds: Thresholds) -> DataFrame:
         "AND coalesce(candidates[verdict], false)"
     )
     return (
-        speech.withColumn(
-            "candidates",
-            F.expr("transform(facts, (f, i) -> f.candidate OR coalesce(rescue.pos = i, false))"),
-        )
-        .withColumn("plain", F.expr(_plain_rule(gated, thresholds)))
+        ready.withColumn("plain", F.expr(_plain_rule(gated, thresholds)))
         .withColumn("lone", F.expr("nullif(int(array_position(candidates, true)) - 1, -1)"))
         .withColumn(
             "late",
             F.expr(
-                f"CASE WHEN plain.pos IS NOT NULL THEN NULL WHEN {lone_ok} THEN lone "
+                f"CASE WHEN plain.pos IS NOT NULL OR NOT {is_speech} THEN NULL WHEN {lone_ok} THEN lone "
                 f"WHEN {judged} THEN verdict END"
             ),
         )
@@ -428,7 +429,7 @@ def assign_chunks(
     adjudications: DataFrame | None = None,
     labels: DataFrame | None = None,
 ) -> DataFrame:
-    """Section of every chunk, by the rule of its source type.
+    """Section of every chunk, by the rule of its source type, in one pass.
 
     ``chunks`` carries ``tokens``.  With ``vector_scores`` (chunk keys and a
     ``scores`` array in section order) the vector thresholds apply; otherwise
@@ -438,66 +439,51 @@ def assign_chunks(
     cheaper table than the chunks lists them.
     """
     keys = _chunk_keys(chunks)
-    kind = F.lower(F.col("source_type"))
     if vector_scores is None:
         thresholds = fv.LEXICAL_THRESHOLDS
         scored = with_lexical_scores(chunks, profiles)
     else:
         thresholds = fv.VECTOR_THRESHOLDS
         scored = with_course(chunks, profiles).join(vector_scores, keys)
-    keep = [c for c in chunks.columns if c not in ("tokens", "text")]
-    carried = [*keep, *[c for c in ("text",) if c in chunks.columns]]
-
-    evidence = let(
-        padded_rule("tokens"),
-        lambda p: "transform(secs, s -> exists(s.material, a -> "
-        f"contains({p}, concat(' ', a.phrase, ' '))))",
-    )
-    material = (
-        scored.filter(kind.isin(*fv.MATERIAL_TYPES))
-        .withColumn("gate", F.expr(evidence))
-        .withColumn("d", F.expr(_plain_rule(_gated_rule("scores", "gate"), thresholds)))
-    )
-    other = scored.filter(~kind.isin(*fv.MATERIAL_TYPES, *fv.SPEECH_TYPES)).withColumn(
-        "d", F.expr(_plain_rule("scores", thresholds))
-    )
-    is_speech = kind.isin(*fv.SPEECH_TYPES)
-    labels = (chunks if labels is None else labels).filter(is_speech)
-    speech = _speech_ready(scored.filter(is_speech), labels, profiles, thresholds)
+    carried = [c for c in chunks.columns if c != "tokens"]
+    is_speech = one_of("lower(source_type)", fv.SPEECH_TYPES)
+    is_material = one_of("lower(source_type)", fv.MATERIAL_TYPES)
+    labels = (chunks if labels is None else labels).filter(F.expr(is_speech))
+    ready = _speech_ready(scored, labels, profiles, thresholds, is_speech)
     if adjudications is None:
-        speech = speech.withColumn("verdict", F.lit(None).cast("int"))
+        ready = ready.withColumn("verdict", F.lit(None).cast("int"))
     else:
         verdicts = adjudications.filter(F.lower(F.trim("confidence")) == "high").select(
             *keys, F.col("section_id").alias("_verdict")
         )
-        speech = speech.join(verdicts, keys, "left").withColumn(
+        ready = ready.join(verdicts, keys, "left").withColumn(
             "verdict",
             F.expr(
                 f"if(token_count >= {fv.ADJUDICATION_MIN_TOKENS}, "
                 "nullif(int(array_position(secs.section_id, _verdict)) - 1, -1), NULL)"
             ),
         )
-    speech = _speech_decision(speech, thresholds)
-
-    def result(df: DataFrame, mismatch: Column) -> DataFrame:
-        section = F.expr("get(secs, d.pos)")
-        return df.select(
-            *carried,
-            section["ord"].alias("section_ord"),
-            section["section_id"].alias("section_id"),
-            F.coalesce(section["title"], F.lit("Other / Unmapped")).alias("section_title"),
-            F.col("d.score").alias("score"),
-            F.col("d.runner").alias("runner_up"),
-            F.col("d.rationale").alias("rationale"),
-            mismatch.alias("mismatch_title"),
-        )
-
-    nothing = F.lit(None).cast("string")
-    mismatch = F.expr("if(rescue.mismatch, secs[rescue.title_pos].title, NULL)")
-    return (
-        result(material, nothing)
-        .unionByName(result(speech, mismatch))
-        .unionByName(result(other, nothing))
+    evidence = let(
+        padded_rule("tokens"),
+        lambda p: "transform(secs, s -> exists(s.material, a -> "
+        f"contains({p}, concat(' ', a.phrase, ' '))))",
+    )
+    gate = (
+        f"CASE WHEN {is_material} THEN {evidence} WHEN {is_speech} THEN "
+        "transform(facts, (f, i) -> f.candidate OR coalesce(rescue.pos = i, false)) "
+        "ELSE transform(secs, s -> true) END"
+    )
+    decided = _decide(ready.withColumn("candidates", F.expr(gate)), thresholds, is_speech)
+    section = F.expr("get(secs, d.pos)")
+    return decided.select(
+        *carried,
+        section["ord"].alias("section_ord"),
+        section["section_id"].alias("section_id"),
+        F.coalesce(section["title"], F.lit("Other / Unmapped")).alias("section_title"),
+        F.col("d.score").alias("score"),
+        F.col("d.runner").alias("runner_up"),
+        F.col("d.rationale").alias("rationale"),
+        F.expr("if(rescue.mismatch, secs[rescue.title_pos].title, NULL)").alias("mismatch_title"),
     )
 
 

@@ -27,3 +27,18 @@ def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "r
 
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Evaluate a result once and cut its lineage with a reliable checkpoint.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
+    where none is named, as in tests, a temporary folder is set.
+    """
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
