@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("text_queries", "chunk_queries", "coverage_queries")
+FAMILIES = ("text_queries", "chunk_queries", "coverage_queries", "feedback_queries")
 
 
 def all_queries() -> dict:
