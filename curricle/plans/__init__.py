@@ -2,7 +2,14 @@
 
 from importlib import import_module
 
-FAMILIES = ("text_queries", "chunk_queries", "coverage_queries", "feedback_queries")
+FAMILIES = (
+    "text_queries",
+    "chunk_queries",
+    "coverage_queries",
+    "feedback_queries",
+    "syllabus_queries",
+    "run_queries",
+)
 
 
 def all_queries() -> dict:
