@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from curricle.functions.exprs import ColumnLike, col
-from curricle.functions.fragments import fragment_terms
+from curricle.functions.fragments import terms_rule
 
 
 def register_tokenizer(
@@ -34,22 +34,13 @@ def register_tokenizer(
 
 
 def register_fragment_terms(spark: SparkSession, name: str = "fragment_terms_tvf") -> None:
-    """SQL table function ``name(text, mode)`` returning one row per term.
+    """SQL table function ``name(heading, kind)``, one row per term.
 
-    Native expressions stay native: the function is a SQL-bodied table function
-    over the same column expression that the library uses.
+    Its body is the native expression of the library; no Python runs per row.
     """
-    schema = "ord INT, term STRING"
-    bodies = []
-    for mode in ("material", "speech"):
-        expression = fragment_terms(F.col("t"), mode)
-        view = spark.sql("SELECT CAST('' AS STRING) AS t").select(expression.alias("terms"))
-        del view
-        bodies.append(mode)
-    _register_python_table_function(spark, name, schema, bodies)
-
-
-def _register_python_table_function(
-    spark: SparkSession, name: str, schema: str, modes: list[str]
-) -> None:
-    raise NotImplementedError
+    speech, material = terms_rule("heading", "speech"), terms_rule("heading", "material")
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(heading STRING, kind STRING) "
+        "RETURNS TABLE(ord INT, term STRING) RETURN "
+        f"SELECT pos, col FROM posexplode(if(kind = 'speech', {speech}, {material}))"
+    )

@@ -14,11 +14,18 @@ from curricle.functions.exprs import (
     found,
     keep,
     one_of,
+    replaced,
     sql_text,
 )
 from curricle.functions.text import clean_speech, fingerprint, normalize_text
 from curricle.functions.tokens import Tokenizer, count_tokens, tokenize, total_rule
-from curricle.operators.packing import pack_groups, parts_rule
+from curricle.operators.packing import (
+    batch_groups,
+    cut_groups,
+    fold_pieces,
+    pack_groups,
+    parts_rule,
+)
 from curricle.operators.scale import top_rows
 
 CARRIED = ("course_id", "instructor", "source_label", "source_type")
@@ -156,16 +163,7 @@ def pack_segments(
     )
     carried = [c for c in _carried(segments) if c != "source_id"]
     packed = pack_groups(pieces, carried=tuple(carried), **sizes)
-    first = F.col("members")[0]["locator"]
-    last = F.element_at("members", -1)["locator"]
-    return packed.select(
-        "source_id",
-        *carried,
-        F.col("group_seq").alias("chunk_seq"),
-        F.lit(0).alias("part_no"),
-        F.when(first == last, first).otherwise(F.concat(first, F.lit(" -> "), last)).alias("locator"),
-        normalize_text(F.array_join("members.text", " ")).alias("text"),
-    )
+    return _packed_texts(packed, carried)
 
 
 def assemble_chunks(parts: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
@@ -244,8 +242,58 @@ def plan_batches(
 ) -> DataFrame:
     """Request batches in order, bounded by item count and by tokens, per key.
 
-    Batches restart at block borders only for keys longer than ``block_rows``,
-    which keeps every fold bounded; within a block the packing is greedy.
+    ``items`` has ``partition_by``, a dense 0-based ``pos`` and ``text``; the result
+    names the first position of each item's batch.
+    """
+    sized = items.withColumn("n", count_tokens("text", tokenizer))
+    return batch_groups(sized, list(partition_by), max_items, max_tokens, block_rows)
+
+
+def chunk_source_rows(
+    sources: DataFrame,
+    target: int = fv.CHUNK_TARGET,
+    overlap: int = fv.CHUNK_OVERLAP,
+) -> DataFrame:
+    """Chunks of rows that hold one complete source each, without any shuffle.
+
+    ``sources``: source columns and ``segments``, an ordered array of
+    ``struct<seq, locator, text>``.  This is the form in which streams arrive.
     """
-    raise NotImplementedError
+    carried = [c for c in _carried(sources) if c != "source_id"]
+    is_material = one_of("lower(source_type)", fv.MATERIAL_TYPES)
+    is_speech = one_of("lower(source_type)", fv.SPEECH_TYPES)
+    pages = sources.filter(F.expr(is_material)).select(
+        "source_id", *carried, F.inline_outer("segments")
+    )
+    material = preserve_chunks(pages.filter(F.col("text").isNotNull()), target)
+    spoken = sub_target(target, fv.SPEECH_SUBCHUNK)
+    text = f"if({is_speech}, trim({replaced(replaced('s.text', fv.SOUND_MARKER, ' '), fv.WHITESPACE, ' ')}), s.text)"
+    pieces = (
+        f"filter(transform(segments, s -> named_struct('seq', s.seq, 'locator', s.locator, 'text', {text})), "
+        f"s -> NOT {is_speech} OR s.text <> '')"
+    )
+    sized = (
+        f"transform({pieces}, s -> named_struct('seq', s.seq, 'n', greatest(1, {total_rule('s.text')}), "
+        "'locator', s.locator, 'text', s.text))"
+    )
+    rows = (
+        sources.filter(~F.expr(is_material))
+        .withColumn("pieces", F.expr(sized))
+        .withColumn("budget", F.when(F.expr(is_speech), spoken).otherwise(target))
+        .withColumn("overlap", F.when(F.expr(is_speech), 0).otherwise(overlap))
+    )
+    packed = cut_groups(fold_pieces(rows), ["source_id"], carried)
+    return material.unionByName(_packed_texts(packed, carried))
+
 
+def _packed_texts(packed: DataFrame, carried: list[str]) -> DataFrame:
+    first = F.col("members")[0]["locator"]
+    last = F.element_at("members", -1)["locator"]
+    return packed.select(
+        "source_id",
+        *carried,
+        F.col("group_seq").alias("chunk_seq"),
+        F.lit(0).alias("part_no"),
+        F.when(first == last, first).otherwise(F.concat(first, F.lit(" -> "), last)).alias("locator"),
+        normalize_text(F.array_join("members.text", " ")).alias("text"),
+    )

@@ -202,22 +202,22 @@ def _title_rule(label: str, secs: str = "secs") -> str:
     )
 
 
+def _with_label(rows: DataFrame) -> DataFrame:
+    """Adds ``label``, the parts of a video label that the title rule reads."""
+    return rows.withColumn("_title", speech_title("source_label")).withColumn(
+        "label",
+        F.struct(
+            F.col("_title").alias("title"),
+            tokenize("_title").alias("tokens"),
+            fragment_terms("_title", "speech").alias("keys"),
+            source_chapter_index("source_label").alias("chapter"),
+        ),
+    )
+
+
 def _scored_labels(labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """Distinct labels with ``secs`` and ``title_scores``: one evaluation per label."""
-    described = (
-        labels.select("course_id", "source_label")
-        .distinct()
-        .withColumn("_title", speech_title("source_label"))
-        .withColumn(
-            "label",
-            F.struct(
-                F.col("_title").alias("title"),
-                tokenize("_title").alias("tokens"),
-                fragment_terms("_title", "speech").alias("keys"),
-                source_chapter_index("source_label").alias("chapter"),
-            ),
-        )
-    )
+    described = _with_label(labels.select("course_id", "source_label").distinct())
     return with_course(described, profiles).select(
         "course_id", "source_label", "secs", F.expr(_title_rule("label")).alias("title_scores")
     )
@@ -345,14 +345,19 @@ def title_rescue(
 
 def _speech_ready(
     scored: DataFrame,
-    labels: DataFrame,
+    labels: DataFrame | None,
     profiles: DataFrame,
     thresholds: Thresholds,
     when: str = "true",
 ) -> DataFrame:
     """Scored chunks with ``title_scores``, ``facts`` and ``rescue`` where ``when`` holds."""
-    titles = _scored_labels(labels, profiles).drop("secs")
-    joined = scored.join(broadcast_if_bounded(titles), ["course_id", "source_label"], "left")
+    if labels is None:
+        joined = _with_label(scored).withColumn(
+            "title_scores", F.expr(f"if({when}, {_title_rule('label')}, NULL)")
+        )
+    else:
+        titles = _scored_labels(labels, profiles).drop("secs")
+        joined = scored.join(broadcast_if_bounded(titles), ["course_id", "source_label"], "left")
     rescue = _rescue_rule("scores", "title_scores", "facts", thresholds)
     return (
         joined.withColumn(
@@ -434,9 +439,9 @@ def assign_chunks(
     ``chunks`` carries ``tokens``.  With ``vector_scores`` (chunk keys and a
     ``scores`` array in section order) the vector thresholds apply; otherwise
     scores are lexical.  ``adjudications`` (chunk keys, section_id, confidence)
-    stands in for an outside judge of ambiguous speech.  Video labels are scored
-    once each; give ``labels`` (course_id, source_label, source_type) when a
-    cheaper table than the chunks lists them.
+    stands in for an outside judge of ambiguous speech.  With ``labels``
+    (course_id, source_label, source_type) each video label is scored once and
+    joined; without, it is scored in the chunk's row, as a stream needs it.
     """
     keys = _chunk_keys(chunks)
     if vector_scores is None:
@@ -448,7 +453,7 @@ def assign_chunks(
     carried = [c for c in chunks.columns if c != "tokens"]
     is_speech = one_of("lower(source_type)", fv.SPEECH_TYPES)
     is_material = one_of("lower(source_type)", fv.MATERIAL_TYPES)
-    labels = (chunks if labels is None else labels).filter(F.expr(is_speech))
+    labels = labels if labels is None else labels.filter(F.expr(is_speech))
     ready = _speech_ready(scored, labels, profiles, thresholds, is_speech)
     if adjudications is None:
         ready = ready.withColumn("verdict", F.lit(None).cast("int"))

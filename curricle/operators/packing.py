@@ -205,6 +205,22 @@ def _entry_states(tails: DataFrame, seeds: DataFrame, keys: list[str], fan: int)
     )
 
 
+def fold_pieces(rows: DataFrame, *entry: str) -> DataFrame:
+    """Adds ``fold`` to rows with ``pieces, budget, overlap``."""
+    return rows.withColumn("fold", F.expr(starts_rule("pieces.n", "budget", "overlap", *entry)))
+
+
+def cut_groups(
+    rows: DataFrame, keys: list[str], carried: list[str], inherited: Column | None = None
+) -> DataFrame:
+    """One row per group of folded rows: ``keys, carried, group_seq, members``."""
+    return (
+        rows.select(*keys, *carried, F.explode_outer(_cut(inherited)).alias("g"))
+        .filter(F.col("g").isNotNull())
+        .select(*keys, *carried, "g.group_seq", "g.members")
+    )
+
+
 def pack_groups(
     pieces: DataFrame,
     keys: tuple[str, ...] = ("source_id",),
@@ -232,33 +248,23 @@ def pack_groups(
             F.sort_array(F.collect_list(item)).alias("pieces"), *rule
         )
 
-    def folded(blocks: DataFrame, *entry: str) -> DataFrame:
-        return blocks.withColumn(
-            "fold", F.expr(starts_rule("pieces.n", "budget", "overlap", *entry))
-        )
-
-    def cut(blocks: DataFrame, inherited: Column | None = None) -> DataFrame:
-        return (
-            blocks.select(*keys, *carried, F.explode_outer(_cut(inherited)).alias("g"))
-            .filter(F.col("g").isNotNull())
-            .select(*keys, *carried, "g.group_seq", "g.members")
-        )
-
     long_keys = pieces.filter(F.col("seq") >= block_rows).select(*keys).distinct()
     found = long_keys.limit(DIMENSION_ROW_LIMIT + 1).count()
     if not found:
-        return cut(folded(gather(pieces)))
+        return cut_groups(fold_pieces(gather(pieces)), keys, carried)
     if found <= DIMENSION_ROW_LIMIT:
         long_keys = F.broadcast(long_keys)
 
-    short = cut(folded(gather(pieces.join(long_keys, keys, "left_anti"))))
+    short = cut_groups(
+        fold_pieces(gather(pieces.join(long_keys, keys, "left_anti"))), keys, carried
+    )
     blocks = gather(
         pieces.join(long_keys, keys, "left_semi").withColumn(
             "blk", F.floor(F.col("seq") / block_rows)
         ),
         "blk",
     )
-    heads = folded(blocks.filter(F.col("blk") == 0))
+    heads = fold_pieces(blocks.filter(F.col("blk") == 0))
     tails = blocks.filter(F.col("blk") > 0)
     seeds = heads.select(
         *keys,
@@ -267,7 +273,7 @@ def pack_groups(
         F.col("fold.prev").alias("prev_tok"),
         F.element_at("pieces.seq", -1).alias("prev_seq"),
     )
-    entered = folded(
+    entered = fold_pieces(
         tails.join(_entry_states(tails, seeds, keys, fan), [*keys, "blk"]),
         "open_size",
         "prev_tok",
@@ -281,7 +287,11 @@ def pack_groups(
         .join(pieces, [*keys, "seq"])
         .select(*keys, *carried, "group_seq", F.array(item).alias("members"))
     )
-    parts = cut(heads).unionByName(cut(entered, F.col("open_start"))).unionByName(borrowed)
+    parts = (
+        cut_groups(heads, keys, carried)
+        .unionByName(cut_groups(entered, keys, carried, F.col("open_start")))
+        .unionByName(borrowed)
+    )
     merged = parts.groupBy(*keys, "group_seq").agg(
         F.sort_array(F.flatten(F.collect_list("members"))).alias("members"),
         *[F.first(c).alias(c) for c in carried],
@@ -314,3 +324,121 @@ def _cut(inherited: Column | None) -> Column:
         lambda g: F.size(g["members"]) > 0,
     )
     return F.concat(carried_on, own)
+
+
+# --- batches with two budgets ------------------------------------------------------
+def _next_starts(sizes: np.ndarray, max_items: int, max_tokens: int) -> np.ndarray:
+    """For a batch that begins at i, the index at which the next one begins."""
+    cum = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
+    index = np.arange(len(sizes))
+    full = np.searchsorted(cum, cum[index] + max_tokens, side="right") - 1
+    return np.maximum(index + 1, np.minimum(index + max_items, full))
+
+
+def batch_groups(
+    items: DataFrame,
+    keys: list[str],
+    max_items: int,
+    max_tokens: int,
+    block_rows: int,
+    fan: int = BLOCKS_PER_GROUP,
+) -> DataFrame:
+    """``keys, pos, batch_start`` for items ``keys, pos, n`` with dense positions.
+
+    A batch never holds more than ``max_items`` items, so the fold's state at a
+    block border is how many of the last items belong to the open batch.  Each
+    block carries that many items of its predecessor and maps every possible
+    state to the state at its end; those tables compose like the ones above.
+    """
+    if block_rows < max_items:
+        raise ValueError("a block must hold at least one full batch")
+    key_ddl = _field_ddl(items, keys)
+    own = F.floor(F.col("pos") / block_rows)
+    reach = F.col("pos") % block_rows >= block_rows - max_items
+    copies = items.select(
+        *keys, "pos", F.col("n").cast("int").alias("n"),
+        F.explode(F.when(reach, F.array(own, own + 1)).otherwise(F.array(own))).alias("blk"),
+    )
+    blocks = copies.groupBy(*keys, "blk").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("pieces")
+    ).filter(F.element_at("pieces.pos", -1) >= F.col("blk") * block_rows)
+
+    def split(blk: int, pos, sizes):
+        pos, sizes = np.asarray(pos, np.int64), np.asarray(sizes, np.int64)
+        halo = int(np.searchsorted(pos, blk * block_rows))
+        return pos, sizes, halo
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            frames = []
+            for row in batch.itertuples(index=False):
+                pos, sizes, halo = split(row.blk, row.pos, row.n)
+                nxt = _next_starts(sizes, max_items, max_tokens)
+                begin = np.empty(len(sizes), dtype=np.int64)
+                at = halo - int(row.open)
+                while at < len(sizes):
+                    begin[at : nxt[at]] = pos[at]
+                    at = int(nxt[at])
+                head = {k: [getattr(row, k)] * (len(sizes) - halo) for k in keys}
+                frames.append(pd.DataFrame({**head, "pos": pos[halo:], "batch_start": begin[halo:]}))
+            if frames:
+                yield pd.concat(frames)
+
+    def fold(rows: DataFrame) -> DataFrame:
+        flat = rows.select(*keys, "blk", F.col("pieces.pos").alias("pos"), F.col("pieces.n").alias("n"), "open")
+        return flat.mapInPandas(starts, f"{key_ddl}, pos long, batch_start long")
+
+    if items.filter(F.col("pos") >= block_rows).isEmpty():
+        return fold(blocks.withColumn("open", F.lit(0)))
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                _, sizes, halo = split(row.blk, row.pos, row.n)
+                m = len(sizes)
+                nxt = _next_starts(sizes, max_items, max_tokens)
+                last = np.arange(m)
+                for i in range(m - 1, -1, -1):
+                    if nxt[i] < m:
+                        last[i] = last[nxt[i]]
+                states = halo - np.minimum(np.arange(max_items + 1), halo)
+                out.append((m - last[states]).astype(np.int64).tobytes())
+            yield pd.DataFrame({**{k: batch[k] for k in [*keys, "blk"]}, "steps": out})
+
+    steps = (
+        blocks.select(*keys, "blk", F.col("pieces.pos").alias("pos"), F.col("pieces.n").alias("n"))
+        .mapInPandas(tables, f"{key_ddl}, blk long, steps binary")
+        .withColumn("grp", F.floor(F.col("blk") / fan))
+    )
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        state = np.arange(max_items + 1)
+        for table in group.sort_values("blk")["steps"]:
+            state = np.frombuffer(table, dtype=np.int64)[state]
+        head = {k: [group.iloc[0][k]] for k in [*keys, "grp"]}
+        return pd.DataFrame({**head, "steps": [state.astype(np.int64).tobytes()]})
+
+    def scan(unit: str):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(unit)
+            state, out = int(group.iloc[0]["open"]), []
+            for table in group["steps"]:
+                out.append(state)
+                state = int(np.frombuffer(table, dtype=np.int64)[state])
+            return group[[*keys, unit]].assign(open=out)
+
+        return run
+
+    groups = steps.groupBy(*keys, "grp").applyInPandas(compose, f"{key_ddl}, grp long, steps binary")
+    group_open = (
+        groups.withColumn("open", F.lit(0).cast("long"))
+        .groupBy(*keys)
+        .applyInPandas(scan("grp"), f"{key_ddl}, grp long, open long")
+    )
+    block_open = (
+        steps.join(group_open, [*keys, "grp"])
+        .groupBy(*keys, "grp")
+        .applyInPandas(scan("blk"), f"{key_ddl}, blk long, open long")
+    )
+    return fold(blocks.join(block_open, [*keys, "blk"]))

@@ -9,6 +9,7 @@ FAMILIES = (
     "feedback_queries",
     "syllabus_queries",
     "run_queries",
+    "stream_queries",
 )
 
 

@@ -15,7 +15,9 @@ from curricle.plans.text_queries import plan_lines, split_sql
 from curricle.plans.views import C
 
 _PART = "source_id, chunk_seq, part_no, locator, text"
-_PART_COLS = ["source_id", "chunk_seq", F.col("part_no").cast("long").alias("part_no"), "locator", "text"]
+def _part_cols():
+    return ["source_id", "chunk_seq", F.col("part_no").cast("long").alias("part_no"), "locator", "text"]
+
 
 
 def _kind(df, *kinds):
@@ -32,19 +34,19 @@ def _kind(df, *kinds):
 def chk_build(spark, sf):
     chunks = ck.assemble_chunks(ck.build_chunks(v.segments(spark, sf)))
     return chunks.select(
-        *_PART_COLS, "source_type", "chunk_id", F.col("token_count").cast("long").alias("token_count"), "fingerprint"
+        *_part_cols(), "source_type", "chunk_id", F.col("token_count").cast("long").alias("token_count"), "fingerprint"
     )
 
 
 @register("chk_pack_speech", C.query(f"SELECT {_PART} FROM speech_parts", "speech_parts"))
 def chk_pack_speech(spark, sf):
     speech = _kind(v.segments(spark, sf), "youtube")
-    return ck.pack_segments(speech, fv.SPEECH_SUBCHUNK, 0).select(*_PART_COLS)
+    return ck.pack_segments(speech, fv.SPEECH_SUBCHUNK, 0).select(*_part_cols())
 
 
 @register("chk_pack_overlap", C.query(f"SELECT {_PART} FROM table_parts", "table_parts"))
 def chk_pack_overlap(spark, sf):
-    return ck.pack_segments(_kind(v.segments(spark, sf), "csv")).select(*_PART_COLS)
+    return ck.pack_segments(_kind(v.segments(spark, sf), "csv")).select(*_part_cols())
 
 
 C.add(
@@ -57,7 +59,7 @@ C.add(
 @register("chk_pack_long_sources", C.query(f"SELECT {_PART} FROM small_blocks", "small_blocks"))
 def chk_pack_long_sources(spark, sf):
     """All sources packed with blocks of 16 segments: most sources become long ones."""
-    return ck.pack_segments(v.segments(spark, sf), 60, 1, block_rows=16, fan=2).select(*_PART_COLS)
+    return ck.pack_segments(v.segments(spark, sf), 60, 1, block_rows=16, fan=2).select(*_part_cols())
 
 
 @register(
@@ -65,7 +67,7 @@ def chk_pack_long_sources(spark, sf):
     C.query(f"SELECT {_PART} FROM material_parts", "material_parts"),
 )
 def chk_preserve(spark, sf):
-    return ck.preserve_chunks(_kind(v.segments(spark, sf), *fv.MATERIAL_TYPES)).select(*_PART_COLS)
+    return ck.preserve_chunks(_kind(v.segments(spark, sf), *fv.MATERIAL_TYPES)).select(*_part_cols())
 
 
 # worksheet-like pages, so that every marker and noise rule is met
@@ -109,7 +111,7 @@ C.add("worksheet_parts", _material_sql, "worksheet_segs")
 
 @register("chk_semantic_split", C.query(f"SELECT {_PART} FROM worksheet_parts", "worksheet_parts"))
 def chk_semantic_split(spark, sf):
-    return ck.semantic_split(worksheets(spark, sf)).select(*_PART_COLS)
+    return ck.semantic_split(worksheets(spark, sf)).select(*_part_cols())
 
 
 @register(
@@ -145,7 +147,7 @@ def chk_token_budget(spark, sf):
 
 @register("chk_dedupe", C.query(f"SELECT {_PART} FROM chunks", "chunks"))
 def chk_dedupe(spark, sf):
-    return v.chunks(spark, sf).select(*_PART_COLS)
+    return v.chunks(spark, sf).select(*_part_cols())
 
 
 @register(
@@ -196,7 +198,9 @@ def dim_parse(spark, sf):
     )
 
 
-_DIMS = ["course_id", F.col("section_ord").cast("long").alias("section_ord"), "section_id"]
+def _dims():
+    return ["course_id", F.col("section_ord").cast("long").alias("section_ord"), "section_id"]
+
 
 
 @register(
@@ -204,7 +208,7 @@ _DIMS = ["course_id", F.col("section_ord").cast("long").alias("section_ord"), "s
     C.query("SELECT course_id, section_ord::BIGINT AS section_ord, section_id, target_weight FROM sections", "sections"),
 )
 def dim_weights(spark, sf):
-    return v.sections(spark, sf).select(*_DIMS, "target_weight")
+    return v.sections(spark, sf).select(*_dims(), "target_weight")
 
 
 _RAW = (
@@ -487,12 +491,14 @@ def mat_speech_anchors(spark, sf):
     return _hit_rows(_hits(spark, sf, "speech"))
 
 
-_KEY_COLS = ["source_id", "chunk_seq", F.col("part_no").cast("long").alias("part_no")]
+def _key_cols():
+    return ["source_id", "chunk_seq", F.col("part_no").cast("long").alias("part_no")]
+
 
 
 @register("mat_material_gate", C.query(f"SELECT DISTINCT {_CK}, section_id FROM material_hits", "material_hits"))
 def mat_material_gate(spark, sf):
-    return ma.material_candidates(_hits(spark, sf, "material")).select(*_KEY_COLS, "section_id")
+    return ma.material_candidates(_hits(spark, sf, "material")).select(*_key_cols(), "section_id")
 
 
 C.add(
@@ -504,7 +510,7 @@ C.add(
 
 @register("mat_speech_gate", C.query(f"SELECT {_CK}, section_id FROM speech_gate", "speech_gate"))
 def mat_speech_gate(spark, sf):
-    return ma.speech_candidates(_hits(spark, sf, "speech")).select(*_KEY_COLS, "section_id")
+    return ma.speech_candidates(_hits(spark, sf, "speech")).select(*_key_cols(), "section_id")
 
 
 C.add(
@@ -584,7 +590,7 @@ rescue AS (
 def mat_title_rescue(spark, sf):
     chunks = v.chunks(spark, sf).filter(F.col("source_type") == "youtube")
     rows = ma.title_rescue(chunks, profiles(spark, sf))
-    return rows.select(*_KEY_COLS, "rescued_section", "title_section", "mismatch", F.round("bonus", 6).alias("bonus"))
+    return rows.select(*_key_cols(), "rescued_section", "title_section", "mismatch", F.round("bonus", 6).alias("bonus"))
 
 
 C.add(
@@ -602,7 +608,7 @@ def mat_restrict(spark, sf):
     limited = ma.restrict(
         ma.score_lexical(chunks, prof), ma.material_candidates(ma.anchor_counts(chunks, prof, "material"))
     )
-    return limited.select(*_KEY_COLS, "section_id", F.round("score", 6).alias("score"))
+    return limited.select(*_key_cols(), "section_id", F.round("score", 6).alias("score"))
 
 
 def best_sql(source: str, keys: str) -> str:
@@ -623,7 +629,7 @@ def best_sql(source: str, keys: str) -> str:
 def mat_best(spark, sf):
     scores = ma.score_lexical(v.chunks(spark, sf), profiles(spark, sf)).drop("course_id")
     best = ma.best_assignment(scores, *fv.LEXICAL_THRESHOLDS)
-    return best.select(*_KEY_COLS, "section_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
+    return best.select(*_key_cols(), "section_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
 
 
 C.add(
@@ -666,7 +672,7 @@ def assignments(spark, sf):
 )
 def mat_assign(spark, sf):
     return assignments(spark, sf).select(
-        *_KEY_COLS, "section_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "rationale"
+        *_key_cols(), "section_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "rationale"
     )
 
 

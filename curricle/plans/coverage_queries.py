@@ -298,17 +298,19 @@ def ranked_off(spark, sf):
     return settle(kw.rank_off_curriculum(_stable(_scored(spark, sf, off=True))))
 
 
-_RK = ["course_id", "mode", "instructor", "term", "weight", F.col("rank").cast("long").alias("pos")]
+def _rk():
+    return ["course_id", "mode", "instructor", "term", "weight", F.col("rank").cast("long").alias("pos")]
+
 
 
 @register("rnk_keywords", C.query("SELECT * FROM kw_ranked", "kw_ranked"))
 def rnk_keywords(spark, sf):
-    return ranked(spark, sf).select(*_RK)
+    return ranked(spark, sf).select(*_rk())
 
 
 @register("rnk_off_curriculum", C.query("SELECT * FROM off_ranked", "kw_ranked"))
 def rnk_off_curriculum(spark, sf):
-    return ranked_off(spark, sf).select(*_RK)
+    return ranked_off(spark, sf).select(*_rk())
 
 
 @register(

@@ -30,7 +30,7 @@ def videos(spark, sf):
 
 C.add(
     "manifest",
-    "manifest AS (SELECT course_id, sum(n)::BIGINT AS video_count, sum(d)::BIGINT AS total_duration_s, count(*) AS inputs, count_if(n > 1) AS playlists, count_if(n > 15) AS over_limit "
+    "manifest AS (SELECT course_id, sum(n)::BIGINT AS video_count, sum(d)::BIGINT AS total_duration_s, count(*) AS inputs, count_if(n > 1)::BIGINT AS playlists, count_if(n > 15)::BIGINT AS over_limit "
     "FROM (SELECT course_id, playlist_id, count(*) AS n, sum(duration_s) AS d FROM videos GROUP BY ALL) GROUP BY ALL)",
     "videos",
 )
@@ -113,7 +113,9 @@ def runs(spark, sf):
     )
 
 
-_RUN = ["run_id", "course_id", "status", F.unix_timestamp("updated_at").alias("updated")]
+def _run():
+    return ["run_id", "course_id", "status", F.unix_timestamp("updated_at").alias("updated")]
+
 _RSQL = "run_id, course_id, status, epoch(updated_at)::BIGINT AS updated"
 
 
@@ -122,17 +124,17 @@ _RSQL = "run_id, course_id, status, epoch(updated_at)::BIGINT AS updated"
     C.query(f"SELECT {_RSQL} FROM (SELECT * FROM run_rows WHERE epoch({NOW}) - epoch(updated_at) <= 7 * 86400 ORDER BY updated_at DESC, run_id DESC LIMIT 20)", "run_rows"),
 )
 def run_retention(spark, sf):
-    return ru.retain_runs(runs(spark, sf), _now()).select(*_RUN)
+    return ru.retain_runs(runs(spark, sf), _now()).select(*_run())
 
 
 @register("run_recent", C.query(f"SELECT {_RSQL} FROM (SELECT * FROM run_rows ORDER BY updated_at DESC, run_id DESC LIMIT 15)", "run_rows"))
 def run_recent(spark, sf):
-    return ru.recent_runs(runs(spark, sf), 15).select(*_RUN)
+    return ru.recent_runs(runs(spark, sf), 15).select(*_run())
 
 
 @register("run_latest_per_course", C.query(f"SELECT {_RSQL} FROM run_rows QUALIFY row_number() OVER (PARTITION BY course_id ORDER BY updated_at DESC, run_id DESC) = 1", "run_rows"))
 def run_latest_per_course(spark, sf):
-    return ru.latest_per_course(runs(spark, sf)).select(*_RUN)
+    return ru.latest_per_course(runs(spark, sf)).select(*_run())
 
 
 C.add(
@@ -222,7 +224,7 @@ def run_merge_courses(spark, sf):
 
 @register(
     "run_counters",
-    "SELECT l_orderkey AS run_id, count(DISTINCT l_suppkey) AS instructor_count, count_if(l_linenumber % 3 < 2) AS asset_count, count_if(l_linenumber % 3 = 2) AS video_count FROM lineitem GROUP BY ALL",
+    "SELECT l_orderkey AS run_id, count(DISTINCT l_suppkey) AS instructor_count, count_if(l_linenumber % 3 < 2)::BIGINT AS asset_count, count_if(l_linenumber % 3 = 2)::BIGINT AS video_count FROM lineitem GROUP BY ALL",
 )
 def run_counters(spark, sf):
     style = F.col("l_linenumber") % 3

@@ -173,12 +173,14 @@ def roadmap(spark, sf):
 
 
 _RC = "doc_id, section_ord, title, description, raw_weight, weight_source, page, confidence"
-_RCOLS = ["doc_id", F.col("section_ord").cast("long").alias("section_ord"), "title", "description", "raw_weight", "weight_source", "page", "confidence"]
+def _rcols():
+    return ["doc_id", F.col("section_ord").cast("long").alias("section_ord"), "title", "description", "raw_weight", "weight_source", "page", "confidence"]
+
 
 
 @register("cur_roadmap", C.query(f"SELECT {_RC} FROM road", "road"))
 def cur_roadmap(spark, sf):
-    return roadmap(spark, sf).select(*_RCOLS)
+    return roadmap(spark, sf).select(*_rcols())
 
 
 C.add(
