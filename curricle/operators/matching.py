@@ -397,14 +397,17 @@ def _decide(ready: DataFrame, thresholds: Thresholds, is_speech: str) -> DataFra
                 f"WHEN {judged} THEN verdict END"
             ),
         )
-        .withColumn(
-            "d",
-            F.expr(
-                "if(late IS NULL, plain, named_struct('pos', late, "
-                f"'score', greatest(scores[late], {thresholds[0]}D), "
-                "'runner', coalesce(array_max(filter(scores, (x, i) -> i <> late)), 0D), "
-                f"'rationale', if({lone_ok}, 'anchor', 'adjudicated')))"
-            ),
+        # a generated column is never inlined into later filters, so the rules run once per chunk
+        .select(
+            "*",
+            F.explode_outer(
+                F.expr(
+                    "array(if(late IS NULL, plain, named_struct('pos', late, "
+                    f"'score', greatest(scores[late], {thresholds[0]}D), "
+                    "'runner', coalesce(array_max(filter(scores, (x, i) -> i <> late)), 0D), "
+                    f"'rationale', if({lone_ok}, 'anchor', 'adjudicated'))))"
+                )
+            ).alias("d"),
         )
     )
 

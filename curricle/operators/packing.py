@@ -12,16 +12,21 @@ block be found by a two-level scan over summaries; then all blocks fold at once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curricle.functions.exprs import fresh, let
 from curricle.operators.scale import DIMENSION_ROW_LIMIT
 
+# the numpy helpers travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 4096
 BLOCKS_PER_GROUP = 1024
 

@@ -233,8 +233,12 @@ def _keyworded(spark, sf):
     return kw.chunk_keywords(v.chunks(spark, sf))
 
 
+def _table(spark, sf):
+    return settle(kw.keyword_table(_keyworded(spark, sf), _vocab(spark, sf)))
+
+
 def _weights(spark, sf):
-    return kw.keyword_weights(settle(kw.keyword_table(_keyworded(spark, sf))))
+    return kw.keyword_weights(_table(spark, sf))
 
 
 def _vocab(spark, sf):
@@ -242,8 +246,8 @@ def _vocab(spark, sf):
 
 
 def _scored(spark, sf, off=False):
-    weights, vocab = _weights(spark, sf), _vocab(spark, sf)
-    totals = settle(kw.document_totals(_keyworded(spark, sf), vocab))
+    table, vocab = _table(spark, sf), _vocab(spark, sf)
+    weights, totals = kw.keyword_weights(table), kw.document_totals(table)
     if off:
         return kw.tfidf(kw.off_curriculum_weights(weights, vocab), totals, "n_off_docs")
     return kw.tfidf(weights, totals)
