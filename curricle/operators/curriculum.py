@@ -273,6 +273,8 @@ def course_profiles(described: DataFrame, tokenizer: Tokenizer = tokenize) -> Da
         described.withColumn("terms", term_counts(tokenizer("assignment_text")))
         .withColumn("title_terms", F.array_distinct(tokenizer("title")))
         .withColumn("norm", _norm(F.col("terms")))
+        .withColumn("words", F.col("terms.term"))
+        .withColumn("counts", F.col("terms.n"))
         .withColumn("material", F.expr(_phrases_rule("material_anchors")))
         .withColumn("speech", F.expr(_phrases_rule("speech_anchors")))
         .withColumn("chapter", section_chapter_index("title"))
@@ -280,10 +282,10 @@ def course_profiles(described: DataFrame, tokenizer: Tokenizer = tokenize) -> Da
         .withColumn("target_weight", F.col("target_weight").cast("double"))
     )
     section = F.struct(
-        "ord", "section_id", "title", "target_weight", "terms", "norm", "title_terms",
+        "ord", "section_id", "title", "target_weight", "words", "counts", "norm", "title_terms",
         "material", "speech", "title_fragments", "speech_anchors", "chapter",
     )
-    vocab = "array_distinct(flatten(transform(secs, s -> concat(s.terms.term, s.title_terms))))"
+    vocab = "array_distinct(flatten(transform(secs, s -> concat(s.words, s.title_terms))))"
     return (
         enriched.groupBy("course_id")
         .agg(F.sort_array(F.collect_list(section)).alias("secs"))

@@ -49,20 +49,23 @@ def _lexical_rule(tokens: str = "tokens", secs: str = "secs", vocab: str = "voca
 
         def per_section(k: str) -> str:
             dot = (
-                f"aggregate({k}.known, 0L, (a_, w_) -> a_ + w_.n * "
-                "coalesce(get(filter(s_.terms, t_ -> t_.term = w_.term), 0).n, 0))"
+                f"aggregate(array_intersect(s_.words, {k}.terms), 0L, (a_, w_) -> a_ + "
+                "s_.counts[int(array_position(s_.words, w_)) - 1] * "
+                f"{k}.ns[int(array_position({k}.terms, w_)) - 1])"
             )
             cosine = f"if({k}.norm > 0 AND s_.norm > 0, {dot} / ({k}.norm * s_.norm), 0D)"
             overlap = (
-                f"size(filter({k}.known, w_ -> array_contains(s_.title_terms, w_.term))) / "
-                "greatest(1, size(s_.title_terms))"
+                f"size(array_intersect(s_.title_terms, {k}.terms)) / greatest(1, size(s_.title_terms))"
             )
             return (
-                f"if(size({k}.known) = 0, transform({secs}, s_ -> 0D), "
+                f"if(size({k}.terms) = 0, transform({secs}, s_ -> 0D), "
                 f"transform({secs}, s_ -> {cosine} * 0.75D + {overlap} * 0.25D))"
             )
 
-        return let(f"named_struct('norm', {norm}, 'known', {known})", per_section, "k")
+        facts = let(
+            known, lambda kn: f"named_struct('norm', {norm}, 'terms', {kn}.term, 'ns', {kn}.n)"
+        )
+        return let(facts, per_section, "k")
 
     return let(term_counts_rule(tokens), scores, "counts")
 
