@@ -289,17 +289,12 @@ C.add(
 )
 
 
-def _stable(scored):
-    """Scores rounded far below any real difference, so that equal scores tie."""
-    return scored.withColumn("score", F.round("score", 9))
-
-
 def ranked(spark, sf):
-    return settle(kw.rank_keywords(_stable(_scored(spark, sf)), _vocab(spark, sf)))
+    return settle(kw.rank_keywords(_scored(spark, sf), _vocab(spark, sf)))
 
 
 def ranked_off(spark, sf):
-    return settle(kw.rank_off_curriculum(_stable(_scored(spark, sf, off=True))))
+    return settle(kw.rank_off_curriculum(_scored(spark, sf, off=True)))
 
 
 def _rk():
