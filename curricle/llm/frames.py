@@ -51,3 +51,19 @@ def document_key(id_col: str, text_col: str) -> Column:
         F.col(id_col).alias("id"),
         F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("hash"),
     )
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins on `key` so that adaptive execution can split a hot one.
+
+    Spark splits a skewed join only where both sides come straight from an exchange.  After
+    a groupBy on the same key one side would keep its partitioning; a second join
+    expression makes both sides be dealt anew.
+    """
+    right = right.withColumnRenamed(key, "__key")
+    joined = left.join(
+        right,
+        (F.col(key) == F.col("__key")) & (F.xxhash64(F.col(key)) == F.xxhash64(F.col("__key"))),
+        how,
+    )
+    return joined if how in ("left_semi", "left_anti") else joined.drop("__key")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curricle.llm import line_chunks, quality_rules, sharding
+from curricle.llm import fm_index, line_chunks, quality_rules, sharding, simhash
 from curricle.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hash_tree")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40))
+
+
+@query("op3_fm_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "spans",
+    )
+
+
+@query("op6_simhash_pivots")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
