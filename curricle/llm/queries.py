@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curricle.llm import fm_index, line_chunks, quality_rules, sharding, simhash
+from curricle.llm import fm_index, line_chunks, quality_rules, sharding, simhash, trie_bpe
 from curricle.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_pivots")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_trie_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True
+    )
