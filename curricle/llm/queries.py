@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curricle.llm import fm_index, line_chunks, quality_rules, sharding, simhash, trie_bpe
+from curricle.llm import (
+    bloom_lm,
+    fm_index,
+    line_chunks,
+    quality_rules,
+    sharding,
+    simhash,
+    super_kmers,
+    trie_bpe,
+)
 from curricle.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +135,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True
     )
+
+
+@query("op9_super_kmers")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = super_kmers.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+@query("op10_bloom_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
