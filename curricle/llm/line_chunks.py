@@ -6,11 +6,12 @@ inserted line moves few of them, and passages that two documents share fall into
 chunks.  A chunk of two lines or more that occurs earlier in the corpus is removed.
 
 Plan: chunks are made row by row (no shuffle) and grouped by hash and text, which is the
-byte comparison; copies meet in the map-side combine.  One narrow row per hash says
-whether all its texts are equal.  If so, occurrences join by hash alone; where one hash
-stands for different texts, they join by text.  Removed chunks meet their document in a
-left join.  No window, no Python, no gathered group; a hot chunk is a skewed join, which
-adaptive execution splits.
+byte comparison; copies meet in the map-side combine.  One narrow row per repeated hash
+says whether all its texts are equal.  If so, occurrences join by hash alone; where one
+hash stands for different texts, they are grouped and joined by text.  Removed chunks meet
+their document in a left join.  Texts are shuffled twice in all: once for the comparison,
+once for the removal.  No window, no Python, no gathered group; a hot chunk is a skewed
+join, which adaptive execution splits.
 
 The first copy is the one with the least (id, chunk number); nulls sort first.  Rows with
 equal id and text are alike: all get the same verdict.  Null and empty texts have no
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curricle.llm.frames import document_key
+from curricle.llm.frames import document_key, spread_join, stored
 
 DIVISOR = 4
 #: The rolling hash of line i is (h[i] + BASE * h[i - 1]) mod MODULUS.
@@ -95,37 +96,29 @@ def repeated_chunks(
     if hash_bits < 64:
         hashed = F.pmod(hashed, F.lit(1 << hash_bits))
     found = line_chunks(docs, id_col, text_col, divisor).withColumn("h", hashed)
-    place = F.struct(F.col("key.id").alias("id"), F.col("key.hash").alias("hash"), F.col("chunk").alias("chunk"))
-    texts = found.groupBy("h", "chunk_text").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
+    place = F.struct(
+        F.col("key.id").alias("id"), F.col("key.hash").alias("hash"), F.col("chunk").alias("chunk")
     )
-    one_text = (
-        texts.groupBy("h")
-        .agg(
-            F.count(F.lit(1)).alias("n_texts"),
-            F.sum("n").alias("n"),
-            F.min("first").alias("first"),
-        )
-        .filter(F.col("n") > 1)
-    )
-    occurrences = found.select("h", place.alias("place"))
-    by_hash = occurrences.join(
-        one_text.filter(F.col("n_texts") == 1).select("h", "first"), "h"
-    ).select("place", "first")
-    mixed = one_text.filter(F.col("n_texts") > 1).select(F.col("h").alias("mixed"))
-    by_text = (
-        found.join(mixed, F.col("h") == F.col("mixed"), "left_semi")
-        .select("h", "chunk_text", place.alias("place"))
-        .join(texts.filter(F.col("n") > 1).select("h", "chunk_text", "first"), ["h", "chunk_text"])
-        .select("place", "first")
+    occurrences = stored(found.select("h", place.alias("place")))
+    first = (
+        occurrences.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+        .filter("n > 1")
     )
-    return (
-        by_hash.unionAll(by_text)
-        .filter(F.col("place") != F.col("first"))
-        .select(
-            F.struct(F.col("place.id").alias("id"), F.col("place.hash").alias("hash")).alias("key"),
-            F.col("place.chunk").alias("chunk"),
-        )
+    texts = found.groupBy("h", "chunk_text").agg(F.count(F.lit(1)).alias("n"))
+    n_texts = texts.groupBy("h").agg(F.count(F.lit(1)).alias("n_texts"))
+    verdict = stored(first.join(n_texts, "h").select("h", "first", "n_texts"))
+    pairs = spread_join(occurrences, verdict.filter("n_texts = 1").select("h", "first"), "h")
+    later = pairs.select("place", "first")
+    mixed = verdict.filter("n_texts > 1").select("h")
+    if not mixed.isEmpty():
+        # equal hashes of different texts: the same again, by text
+        clash = spread_join(found, mixed, "h", "left_semi").select("chunk_text", place.alias("place"))
+        first = clash.groupBy("chunk_text").agg(F.min("place").alias("first"))
+        later = later.unionAll(spread_join(clash, first, "chunk_text").select("place", "first"))
+    return later.filter(F.col("place") != F.col("first")).select(
+        F.struct(F.col("place.id").alias("id"), F.col("place.hash").alias("hash")).alias("key"),
+        F.col("place.chunk").alias("chunk"),
     )
 
 
