@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from curricle.llm import (
     bloom_lm,
     fm_index,
+    html_layout,
     line_chunks,
     quality_rules,
+    role_repair,
     sharding,
     simhash,
     super_kmers,
@@ -148,3 +150,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bloom_lm")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_html_layout")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op2_role_repair")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair_conversations(table(spark, sf_dir, "conversations"))
