@@ -14,9 +14,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", stages.keep_quality),
     ("line_chunks", stages.drop_repeated_lines),
-    ("simhash_pivots", None),
-    ("fm_index", None),
-    ("trie_bpe", None),
+    ("simhash_pivots", stages.keep_one_of_each_group),
+    ("fm_index", stages.drop_contaminated),
+    ("trie_bpe", stages.encode),
 ]
 
 #: No SQL engine says fingerprints, index searches or merges; tests compare with brute force.
