@@ -129,21 +129,21 @@ def extract_week(c: ColumnLike) -> Column:
 
 def _chapter_block_text(c: ColumnLike) -> Column:
     joined = F.replace(normalize_text(c), F.lit("주 차"), F.lit("주차"))
-    joined = erase(joined, r"(\d+\s*(~|-|–|—)\s*\d+\s*주)\s+차\b", "$1차")
-    return erase(joined, r"\s+차$")
+    joined = erase(joined, fv.SPLIT_WEEK, "$1차")
+    return erase(joined, fv.LOOSE_WEEK_END)
 
 
 chapter_block_text = _chapter_block_text
 
 
 def lecture_metric(c: ColumnLike) -> Column:
-    return capture(col(c), fv.LECTURES, 2).try_cast("double")
+    return capture(col(c), fv.LECTURES, 1).try_cast("double")
 
 
 def week_metric(c: ColumnLike) -> Column:
     def pick(text: Column) -> Column:
         first = capture(text, fv.WEEK_RANGE, 1).try_cast("int")
-        last = capture(text, fv.WEEK_RANGE, 3).try_cast("int")
+        last = capture(text, fv.WEEK_RANGE, 2).try_cast("int")
         single = capture(text, fv.WEEKS, 1).try_cast("double")
         return F.when(last >= first, (last - first + 1).cast("double")).otherwise(single)
 
@@ -178,7 +178,7 @@ def strip_metrics(c: ColumnLike) -> Column:
 def trim_title(c: ColumnLike) -> Column:
     def shorten(text: Column) -> Column:
         parts = F.filter(
-            F.transform(F.split(text, r"[,·\-–—]"), lambda part: F.trim(part)),
+            F.transform(F.split(text, fv.TITLE_BREAK), lambda part: F.trim(part)),
             lambda part: part != "",
         )
         return F.when(F.length(text) <= 40, text).otherwise(
@@ -192,8 +192,8 @@ def split_heading(c: ColumnLike) -> Column:
     """``struct<title, description>``: Latin part and Hangul part of a heading."""
 
     def parts(text: Column) -> Column:
-        latin = F.trim(F.regexp_extract(text, r"^([^가-힣]+)([가-힣].*)$", 1))
-        hangul = F.trim(F.regexp_extract(text, r"^([^가-힣]+)([가-힣].*)$", 2))
+        latin = F.trim(F.regexp_extract(text, fv.HEADING_PARTS, 1))
+        hangul = F.trim(F.regexp_extract(text, fv.HEADING_PARTS, 2))
         return F.struct(
             F.coalesce(F.nullif(latin, F.lit("")), text).alias("title"),
             F.coalesce(F.nullif(hangul, F.lit("")), text).alias("description"),

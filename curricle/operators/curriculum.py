@@ -37,9 +37,8 @@ from curricle.functions.tokens import (
     tokenize_keywords,
     tokens_rule,
 )
-from curricle.operators.scale import broadcast_if_bounded
 
-Glossary = Mapping[str, str | Sequence[str]]
+Glossary = Mapping[str, Sequence[str]]
 Triggers = Sequence[tuple[Sequence[str], str]]
 
 
@@ -145,10 +144,6 @@ def validate_sections(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # --- aliases and anchors -----------------------------------------------------
-def _terms(value: str | Sequence[str]) -> list[str]:
-    return [t.strip() for t in value.split("|")] if isinstance(value, str) else list(value)
-
-
 def _slug_rule(x: str) -> str:
     dashed = replaced(f"lower(trim({x}))", fv.SLUG_BREAK, "-")
     return f"coalesce(nullif(trim(BOTH '-' FROM {dashed}), ''), 'section')"
@@ -166,12 +161,12 @@ def _glossary_rule(glossary: Glossary, triggers: Triggers) -> str:
 
     def chosen(ks: str) -> str:
         by_key = [
-            f"if(array_contains({ks}, {sql_text(key)}), {sql_texts(_terms(terms))}, {none})"
+            f"if(array_contains({ks}, {sql_text(key)}), {sql_texts(list(terms))}, {none})"
             for key, terms in glossary.items()
         ]
         by_trigger = [
             f"if({any_in(f'lower({normal_rule(both)})', needles)}, "
-            f"{sql_texts(_terms(glossary[key]))}, {none})"
+            f"{sql_texts(list(glossary[key]))}, {none})"
             for needles, key in triggers
             if key in glossary
         ]
@@ -314,5 +309,7 @@ def dictionary_terms(described: DataFrame) -> DataFrame:
 
 
 def with_course(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Attach the course profile to each row (size-checked broadcast)."""
-    return rows.join(broadcast_if_bounded(profiles), "course_id")
+    """Attach the course profile to each row; a course without one has no sections."""
+    empty = {name: F.array().cast(profiles.schema[name].dataType) for name in ("secs", "vocab")}
+    filled = {name: F.coalesce(name, value) for name, value in empty.items()}
+    return rows.join(profiles, "course_id", "left").withColumns(filled)

@@ -26,7 +26,7 @@ from curricle.functions.text import (
 )
 from curricle.functions.tokens import tokenize
 from curricle.operators.coverage import aggregate_scores, group_scores
-from curricle.operators.scale import broadcast_if_bounded, top_rows
+from curricle.operators.scale import top_rows
 from curricle.sources.segments import ordered_join
 
 SHEET = ("sheet",)
@@ -485,7 +485,7 @@ def voc_summary(labels: DataFrame, complaint_rows: DataFrame, suggested: DataFra
 
     ``ords`` gives the instructor order that decides ties (first seen wins).
     """
-    ords = broadcast_if_bounded(ords.select("instructor", "instructor_ord"))
+    ords = ords.select("instructor", "instructor_ord")
 
     def counted(rows: DataFrame, kind: Column, label: str, n: Column, extra: Column) -> DataFrame:
         return rows.join(ords, "instructor").groupBy(kind.alias("kind"), F.col(label).alias("label")).agg(

@@ -22,7 +22,6 @@ from curricle.functions.tokens import (
     tokenize,
 )
 from curricle.operators.curriculum import with_course
-from curricle.operators.scale import broadcast_if_bounded
 
 Thresholds = tuple[float, float]
 CHUNK_KEYS = ("course_id", "source_id", "chunk_seq", "part_no")
@@ -111,9 +110,7 @@ def vector_profiles(section_vectors: DataFrame) -> DataFrame:
 
 def score_vectors(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataFrame:
     """Non-negative cosine of each chunk vector with the sections of its course."""
-    joined = chunk_vectors.join(
-        broadcast_if_bounded(vector_profiles(section_vectors)), "course_id"
-    )
+    joined = chunk_vectors.join(vector_profiles(section_vectors), "course_id", "left")
     carried = [c for c in chunk_vectors.columns if c != "vector"]
     return joined.select(
         *carried,
@@ -330,10 +327,17 @@ def _gated_rule(scores: str, gate: str) -> str:
 
 
 def title_rescue(
-    chunks: DataFrame, profiles: DataFrame, thresholds: Thresholds = fv.LEXICAL_THRESHOLDS
+    chunks: DataFrame,
+    profiles: DataFrame,
+    thresholds: Thresholds = fv.LEXICAL_THRESHOLDS,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
-    """Outcome of the title rules per speech chunk (rescued section or mismatch)."""
-    ready = _speech_ready(with_lexical_scores(chunks, profiles), chunks, profiles, thresholds)
+    """Outcome of the title rules per speech chunk (rescued section or mismatch).
+
+    ``labels`` (course_id, source_label) come from the sources; without them each
+    chunk's own label is scored in its row.
+    """
+    ready = _speech_ready(with_lexical_scores(chunks, profiles), labels, profiles, thresholds)
     return ready.select(
         *_chunk_keys(chunks),
         "source_label",
@@ -360,7 +364,7 @@ def _speech_ready(
         )
     else:
         titles = _scored_labels(labels, profiles).drop("secs")
-        joined = scored.join(broadcast_if_bounded(titles), ["course_id", "source_label"], "left")
+        joined = scored.join(titles, ["course_id", "source_label"], "left")
     rescue = _rescue_rule("scores", "title_scores", "facts", thresholds)
     return (
         joined.withColumn(
@@ -444,7 +448,7 @@ def assign_chunks(
 
     ``chunks`` carries ``tokens``.  With ``vector_scores`` (chunk keys and a
     ``scores`` array in section order) the vector thresholds apply; otherwise
-    scores are lexical.  ``adjudications`` (chunk keys, section_id, confidence)
+    scores are lexical.  A chunk without a vector scores zero and stays unmapped.  ``adjudications`` (chunk keys, section_id, confidence)
     stands in for an outside judge of ambiguous speech.  With ``labels``
     (course_id, source_label, source_type) each video label is scored once and
     joined; without, it is scored in the chunk's row, as a stream needs it.
@@ -455,7 +459,12 @@ def assign_chunks(
         scored = with_lexical_scores(chunks, profiles)
     else:
         thresholds = fv.VECTOR_THRESHOLDS
-        scored = with_course(chunks, profiles).join(vector_scores, keys)
+        missing = F.expr("transform(secs, s -> 0D)")
+        scored = (
+            with_course(chunks, profiles)
+            .join(vector_scores, keys, "left")
+            .withColumn("scores", F.coalesce("scores", missing))
+        )
     carried = [c for c in chunks.columns if c != "tokens"]
     is_speech = one_of("lower(source_type)", fv.SPEECH_TYPES)
     is_material = one_of("lower(source_type)", fv.MATERIAL_TYPES)

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curricle.functions.exprs import fresh, let
-from curricle.operators.scale import DIMENSION_ROW_LIMIT
 
 # the numpy helpers travel with the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -254,11 +253,8 @@ def pack_groups(
         )
 
     long_keys = pieces.filter(F.col("seq") >= block_rows).select(*keys).distinct()
-    found = long_keys.limit(DIMENSION_ROW_LIMIT + 1).count()
-    if not found:
+    if long_keys.isEmpty():
         return cut_groups(fold_pieces(gather(pieces)), keys, carried)
-    if found <= DIMENSION_ROW_LIMIT:
-        long_keys = F.broadcast(long_keys)
 
     short = cut_groups(
         fold_pieces(gather(pieces.join(long_keys, keys, "left_anti"))), keys, carried

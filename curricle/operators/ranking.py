@@ -78,14 +78,15 @@ def budgeted_excerpt(
 ) -> DataFrame:
     """Best lines of a document until the first one that overruns the budget.
 
-    ``lines``: ``doc_id, page, line, score``.  A listed line costs at least its
-    frame of eight characters and four of text, which bounds how many can fit;
-    only that many are ever ordered per document.
+    ``lines``: ``doc_id, page, line, score``.  Lines under four characters are not
+    listed.  So a listed line costs at least its frame of eight characters, four of
+    text and the line break, which bounds how many can fit; only that many are ever
+    ordered per document.
     """
-    distinct = lines.filter(F.col("score") > 0).groupBy("doc_id", "page", "line").agg(F.max("score").alias("score"))
+    distinct = lines.filter((F.col("score") > 0) & (F.length("line") >= fv.EXCERPT_MIN_LINE)).groupBy("doc_id", "page", "line").agg(F.max("score").alias("score"))
     pages = top_rows(distinct, ["doc_id", "page"], [F.col("score").desc(), "line"], per_page).drop("rank")
     cost = F.length(F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit("] "), "line", F.lit("\n")))
     order = [F.col("score").desc(), "page", "line"]
-    best = top_rows(pages, ["doc_id"], order, max_chars // 11 + 1).withColumn("cost", cost)
+    best = top_rows(pages, ["doc_id"], order, max_chars // (fv.EXCERPT_MIN_LINE + 7) + 1).withColumn("cost", cost)
     running = Window.partitionBy("doc_id").orderBy("rank")
     return best.withColumn("used", F.sum("cost").over(running)).filter(F.col("used") <= max_chars)

@@ -214,18 +214,25 @@ def budget_gate(requests: DataFrame, budget_minutes: int) -> DataFrame:
     longer was accepted too: those fitted into a larger remainder.  So of each
     duration only the first few can be accepted, and they are found by a group
     limit.  What is left per month is bounded by the budget and is folded in
-    order; everything else is rejected without being collected.
+    order; everything else is rejected without being collected.  Durations of more
+    than zero count as a hundredth of a second at least.
     """
     if budget_minutes <= 0:
         return requests.withColumn("accepted", F.lit(True))
     free = F.col("duration_s") <= 0
     minutes = F.col("duration_s") / 60.0
-    rows = requests.select("month", "seq", "duration_s")
+    rows = requests.select(
+        "month",
+        "seq",
+        F.when(free, F.col("duration_s")).otherwise(F.greatest(F.col("duration_s"), F.lit(0.01))).alias("duration_s"),
+    )
     # 0.00005 covers the rounding of the used minutes to four decimals
     most = F.floor(F.lit(float(budget_minutes)) / (minutes - 0.00005)) + 1
-    first = top_rows(rows.filter(~free), ["month", "duration_s"], ["seq"], budget_minutes * 61).filter(
-        F.col("rank") <= most
-    )
+    # a group limit needs a constant: one for whole seconds, one for what is shorter
+    by, whole = ["month", "duration_s"], F.col("duration_s") >= 1
+    long = top_rows(rows.filter(~free & whole), by, ["seq"], budget_minutes * 61)
+    short = top_rows(rows.filter(~free & ~whole), by, ["seq"], budget_minutes * 8572)
+    first = long.unionAll(short).filter(F.col("rank") <= most)
     fold = (
         "aggregate(q, named_struct('used', 0D, 'ok', cast(array() AS array<bigint>)), (s, x) -> "
         f"if(s.used + x.duration_s / 60D <= {float(budget_minutes)}D, named_struct('used', "

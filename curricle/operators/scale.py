@@ -1,20 +1,11 @@
-"""Guards that keep plans sound when one side or one key is large."""
+"""Guards that keep plans sound when one key is large."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DIMENSION_ROW_LIMIT = 100_000
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only for a side whose row count was checked.
+import uuid
 
-    The check reads at most ``max_rows + 1`` rows.  A larger side keeps no hint,
-    so the join shuffles and the adaptive skew rule splits hot keys.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -29,16 +20,13 @@ def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "r
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Evaluate a result once and cut its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    where none is named, as in tests, a temporary folder is set.
+    It is named in ``spark.checkpoint.dir`` or set on the context; there is no
+    default, since a folder of one machine would lose rows on a cluster.
     """
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{named}/curricle-{uuid.uuid4().hex}"

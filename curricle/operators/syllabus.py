@@ -24,7 +24,7 @@ from curricle.functions.text import (
     week_metric,
     weight_metric,
 )
-from curricle.operators.scale import broadcast_if_bounded, top_rows
+from curricle.operators.scale import top_rows
 from curricle.sources.segments import ordered_join
 
 
@@ -175,14 +175,14 @@ def roadmap_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) -> D
     starts = normal.filter(any_contained("line", fv.ROADMAP_START)).groupBy("doc_id").agg(
         F.min("line_no").alias("start")
     )
-    inside = normal.join(broadcast_if_bounded(starts), "doc_id").filter(F.col("line_no") > F.col("start"))
+    inside = normal.join(starts, "doc_id").filter(F.col("line_no") > F.col("start"))
     ends = inside.filter(any_contained("line", fv.ROADMAP_END)).groupBy("doc_id").agg(
         F.min("line_no").alias("stop")
     )
     header = F.col("line").isin(*fv.ROADMAP_HEADER_LINES) | (
         F.startswith("line", F.lit("챕터 ")) & F.contains("line", F.lit(" 강수"))
     )
-    body = inside.join(broadcast_if_bounded(ends), "doc_id", "left").filter(
+    body = inside.join(ends, "doc_id", "left").filter(
         (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))) & ~header
     )
     chapters = top_rows(
@@ -191,7 +191,7 @@ def roadmap_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) -> D
     )
     borders = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("borders"))
     blocks = (
-        body.join(broadcast_if_bounded(borders), "doc_id")
+        body.join(borders, "doc_id")
         .withColumn("section_ord", F.expr("size(filter(borders, b -> b <= line_no))"))
         .filter(F.col("section_ord").between(1, max_sections))
         .groupBy("doc_id", "section_ord")

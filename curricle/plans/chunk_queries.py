@@ -261,22 +261,19 @@ def dim_validation_errors(spark, sf):
 
 # a glossary that meets the derived sections: keyed by section id and by trigger words
 GLOSSARY = {
-    "section-1": "Inor Edition | the onen | INOR edition | ster",
-    "section-3": "haed and thes",
-    "section-5": "stin | on the stin",
-    "extra-topic": "extra topic words | ononen",
+    "section-1": ("Inor Edition", "the onen", "INOR edition", "ster"),
+    "section-3": ("haed and thes",),
+    "section-5": ("stin", "on the stin"),
+    "extra-topic": ("extra topic words", "ononen"),
 }
 TRIGGERS = ((("and", "ster"), "extra-topic"),)
 
 
 def alias_sql(glossary, triggers) -> str:
-    def terms(value):
-        return k.str_list(t.strip() for t in value.split("|"))
-
     keys = f"[lower(trim(section_id)), {k.slug('title')}, {k.slug('description')}, {k.slug(chr(39).join(['title || ', ' ', ' || description']))}]"
-    by_key = [f"CASE WHEN list_contains({keys}, {k.q(key)}) THEN {terms(value)} ELSE [] END" for key, value in glossary.items()]
+    by_key = [f"CASE WHEN list_contains({keys}, {k.q(key)}) THEN {k.str_list(value)} ELSE [] END" for key, value in glossary.items()]
     lowered = f"lower({k.norm(chr(39).join(['title || ', ' ', ' || description']))})"
-    by_trigger = [f"CASE WHEN {k.contains_any(lowered, needles)} THEN {terms(glossary[key])} ELSE [] END" for needles, key in triggers]
+    by_trigger = [f"CASE WHEN {k.contains_any(lowered, needles)} THEN {k.str_list(glossary[key])} ELSE [] END" for needles, key in triggers]
     out = "[]::VARCHAR[]"
     for part in [*by_key, *by_trigger]:
         out = f"list_concat({out}, {part})"
@@ -547,8 +544,7 @@ title_sc AS (
     C.query("SELECT course_id, source_label, section_id, round(title_score, 6) AS title_score FROM title_sc WHERE title_score > 0", "title_sc"),
 )
 def mat_title_scores(spark, sf):
-    labels = v.segments(spark, sf).filter(F.col("source_type") == "youtube")
-    scores = ma.title_scores(labels, profiles(spark, sf))
+    scores = ma.title_scores(v.labels(spark, sf), profiles(spark, sf))
     return scores.select("course_id", "source_label", "section_id", F.round("title_score", 6).alias("title_score"))
 
 
@@ -589,7 +585,7 @@ rescue AS (
 )
 def mat_title_rescue(spark, sf):
     chunks = v.chunks(spark, sf).filter(F.col("source_type") == "youtube")
-    rows = ma.title_rescue(chunks, profiles(spark, sf))
+    rows = ma.title_rescue(chunks, profiles(spark, sf), labels=v.labels(spark, sf))
     return rows.select(*_key_cols(), "rescued_section", "title_section", "mismatch", F.round("bonus", 6).alias("bonus"))
 
 
@@ -663,7 +659,7 @@ assigned AS (
 
 
 def assignments(spark, sf):
-    return ma.assign_chunks(v.chunks(spark, sf), profiles(spark, sf), labels=v.segments(spark, sf))
+    return ma.assign_chunks(v.chunks(spark, sf), profiles(spark, sf), labels=v.labels(spark, sf))
 
 
 @register(

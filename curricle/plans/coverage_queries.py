@@ -14,7 +14,6 @@ from curricle.plans import views as v
 from curricle.plans.chunk_queries import assignments
 from curricle.plans.registry import register
 from curricle.plans.views import C
-from curricle.operators.scale import settle
 
 
 def instructors(spark, sf):
@@ -61,8 +60,8 @@ cov AS (SELECT *, avg(token_share) OVER (PARTITION BY course_id, mode, section_i
 
 
 def coverage(spark, sf):
-    """Coverage of all modes; documents are read once, the small sums are settled."""
-    aggregates = settle(co.token_aggregates(assignments(spark, sf)))
+    """Coverage of all modes; one lazy plan."""
+    aggregates = co.token_aggregates(assignments(spark, sf))
     grid = co.coverage_grid(instructors(spark, sf), v.sections(spark, sf), aggregates)
     return co.instructor_coverage(grid)
 
@@ -234,7 +233,7 @@ def _keyworded(spark, sf):
 
 
 def _table(spark, sf):
-    return settle(kw.keyword_table(_keyworded(spark, sf), _vocab(spark, sf)))
+    return kw.keyword_table(_keyworded(spark, sf), _vocab(spark, sf))
 
 
 def _weights(spark, sf):
@@ -290,11 +289,11 @@ C.add(
 
 
 def ranked(spark, sf):
-    return settle(kw.rank_keywords(_scored(spark, sf), _vocab(spark, sf)))
+    return kw.rank_keywords(_scored(spark, sf), _vocab(spark, sf))
 
 
 def ranked_off(spark, sf):
-    return settle(kw.rank_off_curriculum(_scored(spark, sf, off=True)))
+    return kw.rank_off_curriculum(_scored(spark, sf, off=True))
 
 
 def _rk():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from curricle import fixed_values as fv
 from curricle.operators import coverage as co
 from curricle.operators import feedback as fb
-from curricle.operators.scale import settle
 from curricle.plans import sqlkit as k
 from curricle.plans import views as v
 from curricle.plans.registry import register
@@ -265,8 +264,8 @@ voc_sum AS (SELECT kind, label, n, detail, row_number() OVER (PARTITION BY kind
 
 
 def _voc_parts(spark, sf):
-    label_rows = settle(labels(spark, sf))
-    complaint = settle(complaint_rows(spark, sf, label_rows))
+    label_rows = labels(spark, sf)
+    complaint = complaint_rows(spark, sf, label_rows)
     return label_rows, complaint, fb.suggestions(complaint, CATALOG)
 
 
@@ -364,7 +363,7 @@ voc_record AS (
 def _records(spark, sf):
     files = _files(spark, sf).withColumn("file_name", F.concat(F.lit("file-"), F.col("file_ord").cast("string")))
     counts = fb.response_counts(files).drop("course_id")
-    means = settle(co.aggregate_scores(scores(spark, sf), ("instructor",)))
+    means = co.aggregate_scores(scores(spark, sf), ("instructor",))
     label_rows, complaint, suggested = _voc_parts(spark, sf)
     record = fb.voc_by_instructor(files, counts, means, label_rows, complaint, suggested)
     return record, means, (label_rows, complaint, suggested)

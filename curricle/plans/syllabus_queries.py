@@ -148,7 +148,7 @@ road_lines AS (SELECT p_brand AS doc_id, n, (n % 5 + 1)::BIGINT AS page, {_ROAD}
 road_blk AS (SELECT *, sum(CASE WHEN line LIKE 'Chapter %' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section_ord FROM road_lines),
 road_text AS (SELECT doc_id, section_ord::BIGINT AS section_ord, string_agg(line, ' ' ORDER BY n) AS block, arg_min(page, n) AS page FROM road_blk WHERE section_ord BETWEEN 1 AND 8 GROUP BY ALL),
 road_head AS (SELECT *, regexp_extract(block, '^Chapter\\s+(\\d+)', 1) AS ch, {strip_sql("trim(regexp_replace(block, '(?i)^Chapter\\s+(\\d+)', ''))")} AS heading,
-  try_cast(regexp_extract(block, {k.q(sql_no_boundary(fv.LECTURES))}, 2) AS DOUBLE) AS lec, {week_sql('block')} AS wk FROM road_text),
+  try_cast(regexp_extract(block, {k.q(sql_no_boundary(fv.LECTURES))}, 1) AS DOUBLE) AS lec, {week_sql('block')} AS wk FROM road_text),
 road_sec AS (SELECT *, coalesce(nullif(trim(regexp_extract(heading, '^([^가-힣]+)([가-힣].*)$', 1)), ''), heading) AS ht, coalesce(nullif(trim(regexp_extract(heading, '^([^가-힣]+)([가-힣].*)$', 2)), ''), heading) AS hd FROM road_head),
 road0 AS (SELECT doc_id, section_ord, 'Chapter ' || ch || ': ' || ht AS title, CASE WHEN lec IS NOT NULL THEN hd || ' · 총 ' || lec::BIGINT || '강' ELSE hd END AS description, coalesce(lec, wk) AS raw_weight,
   CASE WHEN lec IS NOT NULL THEN 'lecture_count' WHEN wk IS NOT NULL THEN 'weeks' ELSE 'none' END AS weight_source, page, block FROM road_sec),
@@ -318,5 +318,5 @@ excerpt AS (SELECT doc_id, page, line, score, used::BIGINT AS used FROM ex_run W
 
 @register("rnk_excerpt", C.query("SELECT * FROM excerpt", "excerpt"))
 def rnk_excerpt(spark, sf):
-    lines = sy.score_lines(plan_doc(spark, sf)).filter(F.length("line") >= 4)
+    lines = sy.score_lines(plan_doc(spark, sf))
     return rk.budgeted_excerpt(lines, 900).select("doc_id", "page", "line", F.col("score").cast("long").alias("score"), "used")

@@ -333,7 +333,7 @@ def sql_no_boundary(pattern: str) -> str:
 
 def week_sql(x: str) -> str:
     first = f"try_cast(regexp_extract({x}, {k.q(fv.WEEK_RANGE)}, 1) AS INT)"
-    last = f"try_cast(regexp_extract({x}, {k.q(fv.WEEK_RANGE)}, 3) AS INT)"
+    last = f"try_cast(regexp_extract({x}, {k.q(fv.WEEK_RANGE)}, 2) AS INT)"
     one = f"try_cast(regexp_extract({x}, {k.q(fv.WEEKS)}, 1) AS DOUBLE)"
     return f"(CASE WHEN {last} >= {first} THEN ({last} - {first} + 1)::DOUBLE ELSE {one} END)"
 
@@ -341,7 +341,7 @@ def week_sql(x: str) -> str:
 def metric_sql(x: str) -> tuple[str, str]:
     kinds = [
         ("percent", f"try_cast(regexp_extract({x}, {k.q(fv.PERCENT)}, 1) AS DOUBLE)"),
-        ("lecture_count", f"try_cast(regexp_extract({x}, {k.q(sql_no_boundary(fv.LECTURES))}, 2) AS DOUBLE)"),
+        ("lecture_count", f"try_cast(regexp_extract({x}, {k.q(sql_no_boundary(fv.LECTURES))}, 1) AS DOUBLE)"),
         ("weeks", week_sql(x)),
         ("hours", f"try_cast(regexp_extract({x}, {k.q(fv.HOURS)}, 1) AS DOUBLE)"),
         ("days", f"try_cast(regexp_extract({x}, {k.q(fv.DAYS)}, 1) AS DOUBLE)"),

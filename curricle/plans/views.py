@@ -13,7 +13,6 @@ from curricle import fixed_values as fv
 from curricle.functions.text import format_seconds
 from curricle.operators.chunking import assemble_chunks, build_chunks, dedupe_chunks
 from curricle.operators.curriculum import course_profiles, describe_sections, normalize_weights
-from curricle.operators.scale import broadcast_if_bounded
 from curricle.plans import sqlkit as k
 from curricle.plans.sqlkit import Ctes
 
@@ -26,12 +25,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that has fewer splits than the session has cores.
+    """Deals rows out to as many partitions as the session asks for, if it asks.
 
-    Only the number of file splits is looked at; large inputs stay as they are.
+    A single small file is one split.  Who runs on such input, as the bench does,
+    sets ``spark.curricle.inputPartitions``; large inputs need no dealing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.curricle.inputPartitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def _course_of(doc: Column) -> Column:
@@ -85,7 +85,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
         F.regexp_replace("title", "^Chapter [0-9]+: ", "").alias("_words"),
     )
     spoken = lines.withColumn("_k", (F.col("source_id") % SECTIONS + 1).cast("int")).join(
-        broadcast_if_bounded(titles), ["course_id", "_k"], "left"
+        titles, ["course_id", "_k"], "left"
     )
     number = F.col("seq") + 1
     return spoken.filter(F.trim("text") != "").select(
@@ -107,6 +107,27 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Video labels, one row per source, read from documents that are not exploded."""
+    spoken = table(spark, sf, "documents").filter(
+        (F.col("doc_id") % 5 == 3) & F.exists(F.split("text", "\n"), lambda line: F.trim(line) != "")
+    )
+    titles = raw_sections(spark, sf).select(
+        F.col("course_id").alias("_course"),
+        F.col("section_ord").alias("_ord"),
+        F.regexp_replace("title", "^Chapter [0-9]+: ", "").alias("_words"),
+    )
+    ordinal = (F.col("doc_id") % SECTIONS + 1).cast("int")
+    keyed = spoken.select(_course_of(F.col("doc_id")).alias("course_id"), ordinal.alias("_k")).distinct()
+    joined = keyed.join(
+        titles, (F.col("course_id") == F.col("_course")) & (F.col("_k") == F.col("_ord")), "left"
+    )
+    label = F.concat(
+        F.lit("Series ["), F.col("_k").cast("string"), F.lit("-1] "), F.coalesce("_words", F.lit(""))
+    )
+    return joined.select("course_id", label.alias("source_label"), F.lit("youtube").alias("source_type"))
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Deduplicated chunks of all segments, with tokens."""
     made = assemble_chunks(build_chunks(segments(spark, sf)))
