@@ -166,21 +166,28 @@ def pack_segments(
     return _packed_texts(packed, carried)
 
 
+def identify_chunks(parts: DataFrame) -> DataFrame:
+    """Fingerprint and identity of finished chunk texts: all that the dedupe needs."""
+    return parts.withColumn("fingerprint", fingerprint("text")).withColumn(
+        "chunk_id",
+        F.concat(
+            F.col("source_id").cast("string"),
+            F.lit("-"),
+            F.substring(fingerprint(F.concat("locator", "text")), 1, 10),
+        ),
+    )
+
+
+def measure_chunks(chunks: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """Tokens and their number; after the dedupe, so that tokens are not shuffled."""
+    return chunks.withColumn("tokens", tokenizer("text")).withColumn(
+        "token_count", F.greatest(F.lit(1), F.size("tokens"))
+    )
+
+
 def assemble_chunks(parts: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """Identity, token count and fingerprint of finished chunk texts."""
-    return (
-        parts.withColumn("tokens", tokenizer("text"))
-        .withColumn("token_count", F.greatest(F.lit(1), F.size("tokens")))
-        .withColumn("fingerprint", fingerprint("text"))
-        .withColumn(
-            "chunk_id",
-            F.concat(
-                F.col("source_id").cast("string"),
-                F.lit("-"),
-                F.substring(fingerprint(F.concat("locator", "text")), 1, 10),
-            ),
-        )
-    )
+    return identify_chunks(measure_chunks(parts, tokenizer))
 
 
 def build_chunks(

@@ -169,30 +169,33 @@ def roadmap_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) -> D
 
     Only the first chapters are reported, so the borders of the blocks are found
     from the first ``max_sections + 1`` chapter lines; every line then knows its
-    block from that short list, without a running window over the document.
+    block from that short list, without a running window over the document.  One
+    aggregate per document gives its borders and its end.
     """
     normal = lines.withColumn("line", normalize_text("raw_line")).filter(F.col("line") != "")
     starts = normal.filter(any_contained("line", fv.ROADMAP_START)).groupBy("doc_id").agg(
         F.min("line_no").alias("start")
     )
     inside = normal.join(starts, "doc_id").filter(F.col("line_no") > F.col("start"))
-    ends = inside.filter(any_contained("line", fv.ROADMAP_END)).groupBy("doc_id").agg(
-        F.min("line_no").alias("stop")
-    )
     header = F.col("line").isin(*fv.ROADMAP_HEADER_LINES) | (
         F.startswith("line", F.lit("챕터 ")) & F.contains("line", F.lit(" 강수"))
     )
-    body = inside.join(ends, "doc_id", "left").filter(
-        (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))) & ~header
+    ends = any_contained("line", fv.ROADMAP_END)
+    chapter = matches(F.col("line"), fv.CHAPTER_LINE) & ~header
+    marks = inside.filter(ends | chapter).select(
+        "doc_id", "line_no", F.explode(F.array_compact(F.array(F.when(ends, True), F.when(chapter, False)))).alias("end")
     )
-    chapters = top_rows(
-        body.filter(matches(F.col("line"), fv.CHAPTER_LINE)).select("doc_id", "line_no"),
-        ["doc_id"], ["line_no"], max_sections + 1,
+    # the first chapter lines before the end are among the first of all
+    few = top_rows(marks, ["doc_id", "end"], ["line_no"], max_sections + 1)
+    facts = few.groupBy("doc_id").agg(
+        F.min(F.when(F.col("end"), F.col("line_no"))).alias("stop"),
+        F.sort_array(F.collect_list(F.when(~F.col("end"), F.col("line_no")))).alias("borders"),
+    )
+    body = inside.join(facts, "doc_id").filter(
+        (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))) & ~header
     )
-    borders = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("borders"))
     blocks = (
-        body.join(borders, "doc_id")
-        .withColumn("section_ord", F.expr("size(filter(borders, b -> b <= line_no))"))
+        body.withColumn("section_ord", F.expr("size(filter(borders, b -> b <= line_no))"))
         .filter(F.col("section_ord").between(1, max_sections))
         .groupBy("doc_id", "section_ord")
         .agg(
@@ -232,24 +235,19 @@ def roadmap_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) -> D
         "page",
         F.col("block").alias("snippet"),
     )
-    n = F.col("n")
+    # at most max_sections rows are left of a document
+    of_doc = Window.partitionBy("doc_id")
+    n = F.count("*").over(of_doc)
+    by_lecture = F.count_if(F.col("weight_source") == "lecture_count").over(of_doc)
+    by_week = F.count_if(F.col("weight_source") == "weeks").over(of_doc)
+    titles = F.size(F.collect_set("title").over(of_doc))
     score = (
         F.when(n >= 5, 0.34).when(n >= 3, 0.24).otherwise(0.0)
-        + F.least(F.lit(0.42), F.col("by_lecture") / n * 0.42)
-        + F.least(F.lit(0.08), F.col("by_week") / n * 0.08)
-        + F.when(F.col("titles") == n, 0.12).otherwise(0.0)
-    )
-    confidence = (
-        sections.groupBy("doc_id")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("weight_source") == "lecture_count").alias("by_lecture"),
-            F.count_if(F.col("weight_source") == "weeks").alias("by_week"),
-            F.countDistinct("title").alias("titles"),
-        )
-        .select("doc_id", F.round(F.least(F.lit(0.99), score), 2).alias("confidence"))
+        + F.least(F.lit(0.42), by_lecture / n * 0.42)
+        + F.least(F.lit(0.08), by_week / n * 0.08)
+        + F.when(titles == n, 0.12).otherwise(0.0)
     )
-    return sections.join(confidence, "doc_id")
+    return sections.withColumn("confidence", F.round(F.least(F.lit(0.99), score), 2))
 
 
 def structured_sections(roadmap: DataFrame, schedule: DataFrame) -> DataFrame:

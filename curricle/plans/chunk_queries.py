@@ -159,7 +159,7 @@ def chk_dedupe(spark, sf):
     ),
 )
 def chk_dedupe_counts(spark, sf):
-    made = ck.assemble_chunks(ck.build_chunks(v.segments(spark, sf)))
+    made = ck.identify_chunks(ck.build_chunks(v.segments(spark, sf)))
     return ck.dedupe_chunks(made)[1]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
 from curricle.functions.text import format_seconds
-from curricle.operators.chunking import assemble_chunks, build_chunks, dedupe_chunks
+from curricle.operators.chunking import build_chunks, dedupe_chunks, identify_chunks, measure_chunks
 from curricle.operators.curriculum import course_profiles, describe_sections, normalize_weights
 from curricle.plans import sqlkit as k
 from curricle.plans.sqlkit import Ctes
@@ -130,8 +130,8 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Deduplicated chunks of all segments, with tokens."""
-    made = assemble_chunks(build_chunks(segments(spark, sf)))
-    return dedupe_chunks(made)[0]
+    made = identify_chunks(build_chunks(segments(spark, sf)))
+    return measure_chunks(dedupe_chunks(made)[0])
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
