@@ -121,6 +121,15 @@ def score_vectors(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataF
     )
 
 
+def vector_score_rows(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataFrame:
+    """``scores`` of each chunk vector with all sections of its course, in section order."""
+    joined = chunk_vectors.join(vector_profiles(section_vectors), "course_id")
+    return joined.select(
+        *[c for c in chunk_vectors.columns if c != "vector"],
+        F.expr(f"transform(vecs, s -> {_cosine_rule('vector', 's.vector')})").alias("scores"),
+    )
+
+
 # --- anchors -----------------------------------------------------------------
 def _found_rule(tokens: str, padded: str, phrases: str) -> str:
     """``array<struct<anchor, n>>``; a substring test skips absent phrases."""

@@ -672,6 +672,54 @@ def mat_assign(spark, sf):
     )
 
 
+# the same decisions over vectors: documents have the embedding of their number, sections
+# the mean of the label of theirs; documents beyond the embeddings have none
+C.add(
+    "vec_scores",
+    f"""
+emb AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+emb_mean AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(len(v))) AS i, unnest(v) AS x FROM emb) GROUP BY ALL) GROUP BY label),
+vec_scores AS (
+  SELECT c.course_id, {_CKC}, c.source_type, c.source_label, s.section_ord, s.section_id,
+    coalesce(greatest(0, list_cosine_similarity(e.v, m.v)), 0)::DOUBLE AS score
+  FROM chunks c JOIN sections s ON s.course_id = c.course_id JOIN emb_mean m ON m.label = s.section_ord - 1 LEFT JOIN emb e ON e.vec_id = c.source_id)""",
+    "chunks", "sections",
+)
+_VECTORS = {"lex_scores": "vec_scores", str(_LS): str(fv.VECTOR_THRESHOLDS[0]), str(_LM): str(fv.VECTOR_THRESHOLDS[1])}
+_CHAIN = {n: n + "_v" for n in ("rescue", "restricted", "assigned", "best_plain")}
+for _part, _needs in (
+    ("rescue", ("vec_scores", "title_sc", "speech_hits")),
+    ("restricted", ("vec_scores", "material_hits")),
+    ("assigned", ("speech_gate", "rescue_v", "restricted_v", "vec_scores", "chunks")),
+):
+    C.variant(_part, "_v", {**_CHAIN, **_VECTORS}, *_needs)
+
+
+def _vector_scores(spark, sf):
+    chunk_vectors, section_vectors = v.vectors(spark, sf)
+    means = section_vectors.select("section_ord", "vector")
+    of_sections = v.sections(spark, sf).select("course_id", "section_ord", "section_id").join(means, "section_ord")
+    chunks = v.chunks(spark, sf)
+    keyed = chunks.select(*ma._chunk_keys(chunks)).join(
+        chunk_vectors.select(F.col("vec_id").alias("source_id"), "vector"), "source_id"
+    )
+    return ma.vector_score_rows(keyed, of_sections)
+
+
+@register(
+    "mat_assign_vectors",
+    C.query(f"SELECT {_CK}, section_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, rationale FROM assigned_v", "assigned_v"),
+)
+def mat_assign_vectors(spark, sf):
+    """All gates and rescues with vector scores and their thresholds."""
+    got = ma.assign_chunks(
+        v.chunks(spark, sf), profiles(spark, sf), vector_scores=_vector_scores(spark, sf), labels=v.labels(spark, sf)
+    )
+    return got.select(
+        *_key_cols(), "section_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "rationale"
+    )
+
+
 @register(
     "mat_mismatch_warnings",
     C.query(

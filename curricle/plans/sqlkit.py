@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from curricle import fixed_values as fv
 
 
@@ -150,6 +152,14 @@ class Ctes:
     def add(self, name: str, sql: str, *needs: str) -> None:
         self._parts[name] = (needs, sql.strip())
 
+    def variant(self, name: str, suffix: str, renamed: dict[str, str], *needs: str) -> None:
+        """The part again under other names: its own CTEs get the suffix."""
+        sql = self._parts[name][1]
+        own = re.findall(r"(?:^|[,\n(])\s*(\w+) AS \(", sql)
+        for old, new in {**{n: n + suffix for n in own}, **renamed}.items():
+            sql = re.sub(rf"(?<![\w.]){re.escape(old)}(?![\w.])(?!\()", new, sql)
+        self._parts[name + suffix] = (needs, sql)
+
     def query(self, select: str, *needs: str) -> str:
         done: list[str] = []
 
