@@ -428,20 +428,20 @@ def complaints(
 
 def suggestions(
     complaint_rows: DataFrame,
-    catalog: Sequence[tuple[str, str, str]] = fv.SUGGESTION_CATALOG,
-    default: tuple[str, str] = fv.DEFAULT_SUGGESTION,
+    catalog: Sequence[tuple[str, str, str, str]] = fv.SUGGESTION_CATALOG,
+    default: tuple[str, str, str] = fv.DEFAULT_SUGGESTION,
 ) -> DataFrame:
     """Suggestions by complaint; one default where none of them is known."""
     cases = "CASE pattern " + " ".join(
-        f"WHEN {sql_text(p)} THEN named_struct('priority', {sql_text(pr)}, 'label', {sql_text(lb)})"
-        for p, pr, lb in catalog
+        f"WHEN {sql_text(p)} THEN named_struct('priority', {sql_text(pr)}, 'label', {sql_text(lb)}, 'body', {sql_text(body)})"
+        for p, pr, lb, body in catalog
     ) + " END"
     looked_up = complaint_rows.withColumn("s", F.expr(cases))
-    known = looked_up.filter(F.col("s").isNotNull()).select("instructor", "rank", "s.priority", "s.label")
+    known = looked_up.filter(F.col("s").isNotNull()).select("instructor", "rank", "s.priority", "s.label", "s.body")
     unknown = (
         complaint_rows.select("instructor").distinct()
         .join(known.select("instructor").distinct(), "instructor", "left_anti")
-        .select("instructor", F.lit(1).alias("rank"), F.lit(default[0]).alias("priority"), F.lit(default[1]).alias("label"))
+        .select("instructor", F.lit(1).alias("rank"), F.lit(default[0]).alias("priority"), F.lit(default[1]).alias("label"), F.lit(default[2]).alias("body"))
     )
     return known.unionByName(unknown)
 
@@ -476,7 +476,7 @@ def voc_by_instructor(
         .join(listed(labels.filter(F.col("polarity") == "positive"), "positive", "label"), "instructor", "left")
         .join(listed(labels.filter(F.col("polarity") == "negative"), "negative", "label"), "instructor", "left")
         .join(listed(complaint_rows, "complaints", "pattern", "n", "week"), "instructor", "left")
-        .join(listed(suggested, "suggestions", "priority", "label"), "instructor", "left")
+        .join(listed(suggested, "suggestions", "priority", "label", "body"), "instructor", "left")
     )
 
 

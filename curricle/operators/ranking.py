@@ -90,3 +90,20 @@ def budgeted_excerpt(
     best = top_rows(pages, ["doc_id"], order, max_chars // (fv.EXCERPT_MIN_LINE + 7) + 1).withColumn("cost", cost)
     running = Window.partitionBy("doc_id").orderBy("rank")
     return best.withColumn("used", F.sum("cost").over(running)).filter(F.col("used") <= max_chars)
+
+
+def excerpt_or_first_pages(
+    lines: DataFrame, pages: DataFrame, max_chars: int = fv.EXCERPT_MAX_CHARS, first: int = 4
+) -> DataFrame:
+    """The budgeted excerpt; documents without one give the beginnings of their first pages.
+
+    ``pages``: ``doc_id, page, text``.  Such rows have no score.
+    """
+    columns = ["doc_id", "page", "line", "score", "used"]
+    listed = budgeted_excerpt(lines, max_chars).select(*columns)
+    rest = pages.join(listed.select("doc_id").distinct(), "doc_id", "left_anti")
+    begun = top_rows(rest, ["doc_id"], ["page"], first).withColumn(
+        "line", F.substring("text", 1, max_chars // 4)
+    )
+    none = [F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in ("score", "used")]
+    return listed.unionByName(begun.filter(F.col("line") != "").select("doc_id", "page", "line", *none))

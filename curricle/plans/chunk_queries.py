@@ -720,6 +720,50 @@ def mat_assign_vectors(spark, sf):
     )
 
 
+# verdicts of an outside judge: a section and a confidence for every spoken chunk
+C.add(
+    "judged",
+    f"""
+verdicts AS (SELECT {_CK}, token_count, 'section-' || ((source_id + chunk_seq) % 8 + 1) AS section_id, CASE (source_id + chunk_seq) % 3 WHEN 0 THEN 'low' ELSE ' High' END AS confidence
+  FROM chunks WHERE source_type = 'youtube'),
+cand_n AS (SELECT {_CK} FROM cand GROUP BY ALL HAVING count(DISTINCT section_id) BETWEEN 2 AND {fv.ADJUDICATION_MAX_CANDIDATES}),
+judged AS (
+  SELECT v.source_id, v.chunk_seq, v.part_no, v.section_id, l.score,
+    (SELECT coalesce(max(x.score), 0) FROM lex_scores x WHERE x.source_id = v.source_id AND x.chunk_seq = v.chunk_seq AND x.section_id <> v.section_id) AS others
+  FROM verdicts v JOIN cand_n n ON n.source_id = v.source_id AND n.chunk_seq = v.chunk_seq AND n.part_no = v.part_no
+  JOIN lex_scores l ON l.source_id = v.source_id AND l.chunk_seq = v.chunk_seq AND l.section_id = v.section_id
+  WHERE lower(trim(v.confidence)) = 'high' AND v.token_count >= {fv.ADJUDICATION_MIN_TOKENS}
+    AND EXISTS (SELECT 1 FROM cand c WHERE c.source_id = v.source_id AND c.chunk_seq = v.chunk_seq AND c.section_id = v.section_id))""",
+    "assigned",
+)
+
+
+@register(
+    "mat_assign_verdicts",
+    C.query(
+        f"""SELECT a.source_id, a.chunk_seq, a.part_no, coalesce(a.section_id, j.section_id) AS section_id,
+  round(CASE WHEN a.section_id IS NULL AND j.section_id IS NOT NULL THEN greatest(j.score, {_LS}) ELSE a.score END, 6) AS score,
+  round(CASE WHEN a.section_id IS NULL AND j.section_id IS NOT NULL THEN j.others ELSE a.runner_up END, 6) AS runner_up,
+  CASE WHEN a.section_id IS NULL AND j.section_id IS NOT NULL THEN 'adjudicated' ELSE a.rationale END AS rationale
+FROM assigned a LEFT JOIN judged j ON j.source_id = a.source_id AND j.chunk_seq = a.chunk_seq AND j.part_no = a.part_no""",
+        "judged",
+    ),
+)
+def mat_assign_verdicts(spark, sf):
+    """Ambiguous speech follows a confident verdict among its candidates."""
+    chunks = v.chunks(spark, sf)
+    place = F.col("source_id") + F.col("chunk_seq")
+    verdicts = chunks.filter(F.col("source_type") == "youtube").select(
+        *ma._chunk_keys(chunks),
+        F.concat(F.lit("section-"), (place % 8 + 1).cast("string")).alias("section_id"),
+        F.when(place % 3 == 0, "low").otherwise(" High").alias("confidence"),
+    )
+    got = ma.assign_chunks(chunks, profiles(spark, sf), adjudications=verdicts, labels=v.labels(spark, sf))
+    return got.select(
+        *_key_cols(), "section_id", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "rationale"
+    )
+
+
 @register(
     "mat_mismatch_warnings",
     C.query(

@@ -168,7 +168,7 @@ C.add(
 POSITIVE = (("the", "clear"), ("tion", "practical"), ("der", "structured"), ("que", "examples"), ("ing", "clear"))
 NEGATIVE = (("and", "pace"), ("ent", "pace"), ("los", "material"), ("zzz", "never"))
 RULES = (("slow down", ("thand", "enst")), ("more practice", ("eau", "ción")), ("fix setup", ("qqq",)))
-CATALOG = (("slow down", "high", "pace"), ("fix setup", "low", "setup"))
+CATALOG = (("slow down", "high", "pace", "leave more time"), ("fix setup", "low", "setup", "prepare the machines"))
 
 
 def responses(spark, sf):
@@ -239,13 +239,13 @@ def voc_complaints(spark, sf):
 C.add(
     "voc_suggestions",
     f"""
-sug_hit AS (SELECT instructor, rank, priority, s.label FROM voc_complaints JOIN (VALUES {_values(CATALOG)}) s(pattern, priority, label) USING (pattern)),
-voc_suggestions AS (SELECT * FROM sug_hit UNION ALL SELECT DISTINCT instructor, 1, {k.q(fv.DEFAULT_SUGGESTION[0])}, {k.q(fv.DEFAULT_SUGGESTION[1])} FROM voc_complaints WHERE instructor NOT IN (SELECT instructor FROM sug_hit))""",
+sug_hit AS (SELECT instructor, rank, priority, s.label, s.body FROM voc_complaints JOIN (VALUES {_values(CATALOG)}) s(pattern, priority, label, body) USING (pattern)),
+voc_suggestions AS (SELECT * FROM sug_hit UNION ALL SELECT DISTINCT instructor, 1, {k.q(fv.DEFAULT_SUGGESTION[0])}, {k.q(fv.DEFAULT_SUGGESTION[1])}, {k.q(fv.DEFAULT_SUGGESTION[2])} FROM voc_complaints WHERE instructor NOT IN (SELECT instructor FROM sug_hit))""",
     "voc_complaints",
 )
 
 
-@register("voc_suggestions", C.query("SELECT instructor, rank::BIGINT AS rank, priority, label FROM voc_suggestions", "voc_suggestions"))
+@register("voc_suggestions", C.query("SELECT instructor, rank::BIGINT AS rank, priority, label, body FROM voc_suggestions", "voc_suggestions"))
 def voc_suggestions(spark, sf):
     return fb.suggestions(complaint_rows(spark, sf), CATALOG).withColumn("rank", F.col("rank").cast("long"))
 

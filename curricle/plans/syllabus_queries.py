@@ -316,6 +316,30 @@ excerpt AS (SELECT doc_id, page, line, score, used::BIGINT AS used FROM ex_run W
 )
 
 
+@register(
+    "rnk_excerpt_fallback",
+    C.query(
+        """SELECT doc_id, page, line, score, used FROM excerpt WHERE doc_id NOT LIKE '%1'
+UNION ALL SELECT doc_id, page, substr(body, 1, 225), 0, 0 FROM (
+  SELECT doc_id, page, string_agg(raw_line, chr(10) ORDER BY line_no) AS body FROM plan_doc GROUP BY ALL) p
+WHERE doc_id LIKE '%1' OR doc_id NOT IN (SELECT doc_id FROM excerpt)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) <= 4""",
+        "excerpt",
+    ),
+)
+def rnk_excerpt_fallback(spark, sf):
+    """Every brand that ends in 1 counts as a document without a scored line."""
+    doc = plan_doc(spark, sf)
+    none = F.col("doc_id").endswith("1")
+    lines = sy.score_lines(doc).withColumn("score", F.when(none, 0).otherwise(F.col("score")))
+    pages = doc.groupBy("doc_id", "page").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "raw_line"))), lambda x: x["raw_line"]), "\n").alias("text")
+    )
+    got = rk.excerpt_or_first_pages(lines, pages, 900)
+    filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("score", "used")]
+    return got.select("doc_id", "page", "line", *filled)
+
+
 @register("rnk_excerpt", C.query("SELECT * FROM excerpt", "excerpt"))
 def rnk_excerpt(spark, sf):
     lines = sy.score_lines(plan_doc(spark, sf))
