@@ -97,13 +97,13 @@ def _all_weekdays(line: Column) -> Column:
     return hits(line, fv.WEEKDAYS) == len(fv.WEEKDAYS)
 
 
-def schedule_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) -> DataFrame:
-    """Subjects of a timetable with their slot counts, in first-seen order."""
+def _timetable_rows(lines: DataFrame) -> DataFrame:
+    """Lines with ``is_week``, ``is_session`` and the ``subjects`` of a session."""
     labels = ", ".join(sql_text(x) for x in fv.SESSION_LABELS)
     weekday = " AND ".join(f"contains(p, {sql_text(d)})" for d in fv.WEEKDAYS)
     normal = lines.withColumn("line", normalize_text("raw_line")).filter(F.col("line") != "")
     is_week = matches(F.col("line"), fv.WEEK_ROW)
-    rows = normal.withColumn("is_week", is_week).withColumn(
+    return normal.withColumn("is_week", is_week).withColumn(
         "is_session", ~is_week & matches(F.col("line"), fv.SESSION_ROW)
     ).withColumn(
         "cols",
@@ -118,16 +118,39 @@ def schedule_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) ->
             f"regexp_like(p, r'^\\d{{1,2}}/\\d{{1,2}}$') OR p IN ({labels}))), cast(array() AS array<string>))"
         ),
     )
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "doc_id", "page", "line_no", "line", F.posexplode_outer("subjects").alias("pos", "subject")
+    ).filter(F.col("subject").isNotNull())
+
+
+def schedule_sources(
+    lines: DataFrame, sections: DataFrame, most: int = fv.SCHEDULE_SNIPPETS
+) -> DataFrame:
+    """``pages`` (sorted) and the first ``most`` distinct ``snippets`` of each listed subject."""
+    listed = sections.select("doc_id", F.col("title").alias("subject"), "section_ord")
+    slots = _slots(_timetable_rows(lines)).join(listed, ["doc_id", "subject"])
+    keys = ["doc_id", "section_ord"]
+    pages = slots.groupBy(*keys).agg(F.sort_array(F.collect_set("page")).alias("pages"))
+    distinct = slots.groupBy(*keys, "line").agg(F.min("line_no").alias("line_no"))
+    snippets = top_rows(distinct, keys, ["line_no"], most).groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("snippets")
+    )
+    return pages.join(snippets, keys)
+
+
+def schedule_sections(lines: DataFrame, max_sections: int = fv.MAX_SECTIONS) -> DataFrame:
+    """Subjects of a timetable with their slot counts, in first-seen order."""
+    rows = _timetable_rows(lines)
     facts = rows.groupBy("doc_id").agg(
         F.max(_all_weekdays(F.col("line"))).alias("weekdays"),
         F.count_if("is_week").alias("weeks"),
         F.count_if("is_session").alias("sessions"),
         F.count_if(F.size("subjects") > 0).alias("matched"),
     )
-    slots = rows.select(
-        "doc_id", "page", "line_no", "line", F.posexplode_outer("subjects").alias("pos", "subject")
-    ).filter(F.col("subject").isNotNull())
-    subjects = slots.groupBy("doc_id", "subject").agg(
+    subjects = _slots(rows).groupBy("doc_id", "subject").agg(
         F.count("*").alias("slots"),
         F.min(F.struct("line_no", "pos", "page", "line")).alias("seen"),
     )

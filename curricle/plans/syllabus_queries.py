@@ -128,12 +128,37 @@ def schedule(spark, sf):
     lines = v.table(spark, sf, "part").select(
         F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("line_no"), (F.col("p_partkey") % 5 + 1).alias("page"), raw.alias("raw_line")
     )
-    return sy.schedule_sections(lines)
+    return lines, sy.schedule_sections(lines)
 
 
 @register("cur_schedule", C.query("SELECT * FROM slots", "slots"))
 def cur_schedule(spark, sf):
-    return schedule(spark, sf).select("doc_id", F.col("section_ord").cast("long").alias("section_ord"), "title", "raw_weight", "page", "confidence")
+    return schedule(spark, sf)[1].select("doc_id", F.col("section_ord").cast("long").alias("section_ord"), "title", "raw_weight", "page", "confidence")
+
+
+C.add(
+    "slot_sources",
+    """
+slot_each AS (SELECT x.doc_id, s.section_ord, x.page, x.line, x.line_no FROM (SELECT doc_id, page, line, line_no, unnest(subj) AS subject FROM slot_subj) x
+  JOIN slots s ON s.doc_id = x.doc_id AND s.title = x.subject),
+slot_distinct AS (SELECT doc_id, section_ord, line, min(line_no) AS n FROM slot_each GROUP BY ALL),
+slot_lines3 AS (SELECT * FROM slot_distinct QUALIFY row_number() OVER (PARTITION BY doc_id, section_ord ORDER BY n) <= 3),
+slot_sources AS (SELECT doc_id, section_ord, (SELECT string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) FROM slot_each e WHERE e.doc_id = s.doc_id AND e.section_ord = s.section_ord) AS pages,
+  (SELECT string_agg(line, ' / ' ORDER BY n) FROM slot_lines3 l WHERE l.doc_id = s.doc_id AND l.section_ord = s.section_ord) AS snippets FROM slots s)""",
+    "slots",
+)
+
+
+@register("cur_schedule_sources", C.query("SELECT doc_id, section_ord, pages, snippets FROM slot_sources", "slot_sources"))
+def cur_schedule_sources(spark, sf):
+    lines, sections = schedule(spark, sf)
+    got = sy.schedule_sources(lines, sections)
+    return got.select(
+        "doc_id",
+        F.col("section_ord").cast("long").alias("section_ord"),
+        F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"),
+        F.array_join("snippets", " / ").alias("snippets"),
+    )
 
 
 # --- roadmaps
@@ -193,7 +218,7 @@ struct AS (SELECT doc_id, section_ord, title, raw_weight, confidence, page, bloc
 
 
 def structured(spark, sf):
-    return sy.structured_sections(roadmap(spark, sf), schedule(spark, sf))
+    return sy.structured_sections(roadmap(spark, sf), schedule(spark, sf)[1])
 
 
 @register("cur_structure_choice", C.query("SELECT doc_id, section_ord, title, raw_weight, confidence, kind FROM struct", "struct"))
