@@ -111,7 +111,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40))
 
 
-@query("op3_fm_index")
+_ITEM_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+CONTAMINATION_SQL = rf"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_ITEM_WORDS} AS w FROM benchmark),
+p AS (
+  SELECT item, least(len(w), {fm_index.SIZE}) AS size, unnest(range(greatest(1, len(w) - {fm_index.SIZE - 1}))) AS i, w FROM b WHERE len(w) > 0),
+phrase AS (SELECT DISTINCT item, size, array_to_string(w[i + 1:i + size], ' ') AS words FROM p),
+sizes AS (SELECT DISTINCT size FROM phrase),
+win AS (
+  SELECT doc_id, size, i, array_to_string(w[i + 1:i + size], ' ') AS words
+  FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS i FROM d JOIN sizes ON len(w) >= size)),
+hit AS (SELECT win.doc_id, win.i, win.size, phrase.item FROM win JOIN phrase ON phrase.size = win.size AND phrase.words = win.words),
+word AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS j FROM hit),
+cover AS (
+  SELECT doc_id, count(*) AS n_hit, count(*) FILTER (before IS DISTINCT FROM j - 1) AS n_spans
+  FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM word) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated,
+  coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+
+@query("op3_fm_index", CONTAMINATION_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -123,7 +151,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
-        "spans",
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -139,7 +167,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_super_kmers")
+SUBSTRING_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + {super_kmers.WINDOW}], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(len(w) - {super_kmers.WINDOW - 1})) AS i FROM d WHERE len(w) >= {super_kmers.WINDOW})),
+again AS (SELECT doc_id, i, 1 AS mark FROM win QUALIFY count(*) OVER (PARTITION BY words) > 1),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+c AS (
+  SELECT x.doc_id, x.i, word, max(mark) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS {super_kmers.WINDOW - 1} PRECEDING) AS gone
+  FROM x LEFT JOIN again ON again.doc_id = x.doc_id AND again.i = x.i),
+k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone IS NULL) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op9_super_kmers", SUBSTRING_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = super_kmers.dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select(

@@ -5,7 +5,7 @@ alone, so equal windows have equal minimisers.  Consecutive windows with one min
 (32 at most) overlap and are one string, a super-k-mer.
 
 1. Minimisers are counted, by task first.  A window can be repeated only if its minimiser
-   is; super-k-mers with a minimiser of their own are settled without moving any text.
+   is, in another super-k-mer or in its own; super-k-mers with a minimiser of their own are settled without moving any text.
 2. The others travel as packed strings to the bucket of their minimiser, where windows are
    sorted and counted by their words.
 3. A minimiser with more than `hot_from` super-k-mers (frequent passages, large groups of
@@ -41,7 +41,11 @@ MAX_HOT = 1_000_000
 
 
 def split_windows(words: list[bytes], window: int = WINDOW):
-    """(minimiser, first window, number of windows) of each super-k-mer, as arrays."""
+    """(minimiser, first window, number of windows, periodic) of each super-k-mer, as arrays.
+
+    A super-k-mer is periodic if its minimiser occurs in it again: only then can it hold
+    equal windows itself.
+    """
     import numpy as np
     from xxhash import xxh64_intdigest
 
@@ -49,7 +53,7 @@ def split_windows(words: list[bytes], window: int = WINDOW):
     n = len(words) - window + 1
     if n <= 0:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty
     hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     grams = np.zeros(len(words) - gram + 1, np.uint64)
     for k in range(gram):
@@ -71,7 +75,13 @@ def split_windows(words: list[bytes], window: int = WINDOW):
         inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begins = np.repeat(begins, pieces) + inside * MOST_WINDOWS
         sizes = np.diff(np.concatenate([begins, [n]]))
-    return least[begins].view(np.int64), begins, sizes
+    minis = least[begins]
+    values, rank = np.unique(grams, return_inverse=True)
+    placed = np.sort(rank * (len(grams) + 1) + np.arange(len(grams)))
+    own = np.searchsorted(values, minis) * (len(grams) + 1)
+    stop = begins + sizes + span - 1
+    times = np.searchsorted(placed, own + stop) - np.searchsorted(placed, own + begins)
+    return minis.view(np.int64), begins, sizes, times > 1
 
 
 def _count_minimisers(batches: Iterator, window: int) -> Iterator:
@@ -79,14 +89,18 @@ def _count_minimisers(batches: Iterator, window: int) -> Iterator:
     import pyarrow as pa
 
     def counted(parts):
-        found, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["mini", "n"])
+        minis, periodic = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found, place = np.unique(minis, return_inverse=True)
+        # a periodic super-k-mer may repeat a window on its own, so it counts as two
+        n = np.bincount(place, weights=1 + periodic, minlength=len(found)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["mini", "n"])
 
     held, size = [], 0
     for batch in batches:
         for text in batch.column(0):
-            held.append(split_windows(text.as_py().split(), window)[0])
-            size += len(held[-1])
+            minis, _, _, periodic = split_windows(text.as_py().split(), window)
+            held.append((minis, periodic))
+            size += len(minis)
             if size > 1 << 19:
                 yield counted(held)
                 held, size = [], 0
@@ -103,7 +117,7 @@ def _list_super_kmers(batches: Iterator, window: int, hot: frozenset | set) -> I
     for batch in batches:
         rows, columns = [], []
         for row, text in enumerate(batch.column(1)):
-            found = split_windows(text.as_py().split(), window)
+            found = split_windows(text.as_py().split(), window)[:3]
             keep = ~np.isin(found[0], frequent)
             columns.append([x[keep] for x in found])
             rows.append(np.full(int(keep.sum()), row, np.int64))
@@ -134,7 +148,7 @@ def _hash_hot(batches: Iterator, window: int, hot: frozenset | set) -> Iterator:
         rows, starts, strings, hashes, seen = [], [], [], [], set()
         for row, text in enumerate(batch.column(1)):
             words = text.as_py().split()
-            for mini, start, n in zip(*(x.tolist() for x in split_windows(words, window)), strict=True):
+            for mini, start, n in zip(*(x.tolist() for x in split_windows(words, window)[:3]), strict=True):
                 if mini not in hot:
                     continue
                 part = words[start : start + n + window - 1]

@@ -38,6 +38,8 @@ def corpus():
     rows += [(200 + k, " ".join(passage)) for k in range(25)]
     rows += [(300, None), (301, ""), (302, " \n\t "), (303, "a " * 400), (None, " ".join(passage)), (5, rows[5][1])]
     rows += [(304, "A\x0bB\x0cC" * 50), (305, "x" * 100_000)]
+    # texts whose repeats lie inside one super-k-mer
+    rows += [(306, "b " * 36), (307, "lone c d e " * 13), (308, "f g " * 18 + "end"), (309, "h " * 34 + "i")]
     return rows
 
 
