@@ -62,6 +62,17 @@ class Phrases:
                 self.items_of.setdefault(phrase, set()).add(item)
         self.shortest = min(map(len, self.items_of), default=0)
 
+    def as_plain(self) -> tuple:
+        """What a broadcast carries: built-in types, which every worker can read."""
+        return self.numbers, self.items_of
+
+    @staticmethod
+    def from_plain(content: tuple) -> Phrases:
+        phrases = Phrases([])
+        phrases.numbers, phrases.items_of = content
+        phrases.shortest = min(map(len, phrases.items_of), default=0)
+        return phrases
+
 
 class WaveletMatrix:
     """Rank over a sequence of numbers, for arrays of queries at a time."""
@@ -265,7 +276,7 @@ def _search_block(docs: DataFrame, block, shard_words: int) -> DataFrame:
     def compute(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        searcher = Searcher(block.value)
+        searcher = Searcher(Phrases.from_plain(block.value))
         span_type = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
         for batch in batches:
             texts = batch.column("text")
@@ -371,7 +382,7 @@ def find_contamination(
     row = [F.struct("*").alias("document")] if whole_rows else []
     narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *row)
     blocks = [
-        spark.sparkContext.broadcast(Phrases(items, size))
+        spark.sparkContext.broadcast(Phrases(items, size).as_plain())
         for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     ]
     if len(blocks) == 1:
@@ -384,7 +395,7 @@ def find_contamination(
         together = hits[0]
         for more in hits[1:]:
             together = together.unionAll(more)
-        count = _search_block(numbered, spark.sparkContext.broadcast(Phrases([], size)), shard_words)
+        count = _search_block(numbered, spark.sparkContext.broadcast(Phrases([], size).as_plain()), shard_words)
         found = (
             count.drop("spans", "item_ids")
             .join(_merged(together), "row", "left")

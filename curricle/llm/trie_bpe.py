@@ -200,7 +200,10 @@ def encode_documents(
     The vocabulary file, of bounded size, is read on the driver and broadcast.
     """
     kind = docs.schema[id_col].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
+    vocabulary = Vocabulary.read(vocabulary_path)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (vocabulary.id_of, vocabulary.rank_of, vocabulary.specials)
+    )
     outputs = (
         [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
         if digests
@@ -216,7 +219,7 @@ def encode_documents(
 
         import pyarrow as pa
 
-        encode = _encoder(shared.value, memory_words)
+        encode = _encoder(Vocabulary(*shared.value), memory_words)
         for batch in batches:
             texts = batch.column(1)
             done = 0
