@@ -46,7 +46,7 @@ HASHES = 5
 BLOCK_BITS = 1 << 17
 FILTER_BYTES = 64 << 20
 BITS_PER_TOKEN = 8
-HEAD = 400_000
+HEAD = 300_000
 STRENGTH = 1000.0
 
 
@@ -68,6 +68,16 @@ def word_numbers(words: list[bytes]):
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+def indexed(documents: list[list[bytes]]):
+    """The distinct words of some documents and, in order, the place of each word in them."""
+    import numpy as np
+
+    index: dict[bytes, int] = {}
+    place = index.setdefault
+    ids = [place(word, len(index)) for words in documents for word in words]
+    return list(index), np.array(ids, np.int64)
+
+
 def unigram_keys(numbers):
     import numpy as np
 
@@ -106,14 +116,8 @@ def _block_of(keys, n_blocks: int):
 class LogFilter:
     """The finished filter: levels of arrays of keys."""
 
-    def __init__(self, blocks: dict[int, bytes], n_blocks: int):
-        import numpy as np
-
-        self.n_blocks = n_blocks
-        self.bits = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
-        for number, content in blocks.items():
-            self.bits[number] = np.frombuffer(content, np.uint8)
-        self.bits = self.bits.reshape(-1)
+    def __init__(self, bits, n_blocks: int):
+        self.bits, self.n_blocks = bits, n_blocks
 
     def levels(self, keys):
         import numpy as np
@@ -163,17 +167,27 @@ def _count_pairs(batches: Iterator) -> Iterator:
             [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"]
         )
 
-    end = word_numbers([b""])
-    held, size = [], 0
+    def keys_of(documents):
+        # every document ends with the end, which is the context of the next one's first word
+        distinct, ids = indexed(documents)
+        numbers = word_numbers(distinct)[ids]
+        return bigram_keys(np.concatenate([numbers[-1:], numbers[:-1]]), numbers)
+
+    held, documents, size, waiting = [], [], 0, 0
     for batch in batches:
         for text in batch.column(0):
-            numbers = word_numbers(tokens_of(text.as_py()))
-            held.append(bigram_keys(np.concatenate([end, numbers[:-1]]), numbers))
-            size += len(numbers)
-            if size > 2_000_000:
-                yield out(held)
-                held, size = [], 0
-    if size:
+            documents.append(tokens_of(text.as_py()))
+            waiting += len(documents[-1])
+            if waiting > 200_000:
+                held.append(keys_of(documents))
+                size += waiting
+                documents, waiting = [], 0
+                if size > 2_000_000:
+                    yield out(held)
+                    held, size = [], 0
+    if documents:
+        held.append(keys_of(documents))
+    if held:
         yield out(held)
 
 
@@ -225,8 +239,6 @@ def _build_blocks(batches: Iterator, n_blocks: int) -> Iterator:
 
 def _score(batches: Iterator, filter_parts, head, total: float, strength: float) -> Iterator:
     """Adds the model's score, the head's part of the base score, and the other words."""
-    from collections import Counter
-
     import numpy as np
     import pyarrow as pa
 
@@ -237,20 +249,6 @@ def _score(batches: Iterator, filter_parts, head, total: float, strength: float)
     end = word_numbers([b""])
     end_level = lookup.levels(unigram_keys(end))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
-    rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
-
-    def scores(documents: list[list[bytes]]) -> list[float]:
-        """log10 probabilities; every document ends with the end, the context of the next."""
-        numbers = word_numbers([word for words in documents for word in words])
-        before = np.concatenate([end, numbers[:-1]])
-        distinct, place = np.unique(numbers, return_inverse=True)
-        levels = lookup.levels(unigram_keys(distinct))[place]
-        context = np.concatenate([end_level, levels[:-1]])
-        alone = (least[levels] + 0.5) / total
-        pair = least[lookup.levels(bigram_keys(before, numbers))]
-        logged = np.log10((pair + strength * alone) / (most[context] + strength))
-        ends = np.cumsum([len(words) for words in documents])
-        return np.add.reduceat(logged, np.concatenate([[0], ends[:-1]])).tolist()
 
     for batch in batches:
         texts = batch.column(2)
@@ -260,29 +258,37 @@ def _score(batches: Iterator, filter_parts, head, total: float, strength: float)
             while done + len(documents) < len(batch) and held < 300_000:
                 documents.append(tokens_of(texts[done + len(documents)].as_py()))
                 held += len(documents[-1])
-            known, bases, rare_words = [], [], []
-            for words in documents:
-                hits, base, rare = 0, 0.0, []
-                for word, n in Counter(words).items():
-                    logged = counts.get(word)
-                    if logged is None:
-                        rare.append({"token": word, "n": n})
-                    else:
-                        hits += n
-                        base += n * logged
-                known.append(hits)
-                bases.append(base)
-                rare_words.append(rare)
+            sizes = np.array([len(words) for words in documents], np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            distinct, ids = indexed(documents)
+            distinct_numbers = word_numbers(distinct)
+            numbers = distinct_numbers[ids]
+            levels = lookup.levels(unigram_keys(distinct_numbers))[ids]
+            # every document ends with the end, the context of the next one's first word
+            context = np.concatenate([end_level, levels[:-1]])
+            before = np.concatenate([end, numbers[:-1]])
+            alone = (least[levels] + 0.5) / total
+            pair = least[lookup.levels(bigram_keys(before, numbers))]
+            score = np.log10((pair + strength * alone) / (most[context] + strength))
+            logged = np.array([counts.get(word, 0.0) for word in distinct])[ids]
+            # no frequent word has probability one, so a zero stands for a rare word
+            rare = np.flatnonzero(logged == 0)
+            document = np.repeat(np.arange(len(documents)), sizes)[rare]
+            pairs, times = np.unique(document * len(distinct) + ids[rare], return_counts=True)
+            owner, word = np.divmod(pairs, len(distinct))
+            tokens = pa.array(distinct, pa.binary()).take(pa.array(word))
+            offsets = np.searchsorted(owner, np.arange(len(documents) + 1)).astype(np.int32)
+            words = pa.StructArray.from_arrays([tokens, pa.array(times.astype(np.int32))], ["token", "n"])
             part = batch.slice(done, len(documents))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array([len(words) for words in documents], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(bases, pa.float64()),
-                    pa.array(scores(documents), pa.float64()),
-                    pa.array(rare_words, rare_type),
+                    pa.array(sizes),
+                    pa.array(np.add.reduceat((logged != 0).astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(logged, starts)),
+                    pa.array(np.add.reduceat(score, starts)),
+                    pa.ListArray.from_arrays(pa.array(offsets), words),
                 ],
                 names,
             )
@@ -295,13 +301,13 @@ def _frequent(vocabulary: DataFrame, head: int) -> dict[bytes, int]:
     least, held = None, 0
     # there are fewer different counts than the square root of twice the tokens
     for row in sizes.orderBy(F.desc("n")).toLocalIterator():
-        held += row.words
+        held += row["words"]
         if held > head:
             break
-        least = row.n
+        least = row["n"]
     if least is None:
         return {}
-    return {bytes(r.token): r.n for r in vocabulary.filter(F.col("n") >= least).collect()}
+    return {bytes(r["token"]): r["n"] for r in vocabulary.filter(F.col("n") >= least).collect()}
 
 
 def score_documents(
@@ -319,6 +325,8 @@ def score_documents(
 
     Documents whose crc32(id) modulo `folds` is `held_fold` are not learned from.
     """
+    import numpy as np
+
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
@@ -353,8 +361,11 @@ def score_documents(
     built = counted.select("key", "n").mapInArrow(
         lambda batches: _build_blocks(batches, n_blocks), "block int, least_count long, bits binary"
     )
-    blocks = {row.block: bytes(row.bits) for row in built.toLocalIterator()}
-    filter_parts = spark.sparkContext.broadcast((blocks, n_blocks))
+    bits = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
+    for row in built.collect():
+        bits[row.block] = np.frombuffer(row.bits, np.uint8)
+    filter_parts = spark.sparkContext.broadcast((bits.reshape(-1), n_blocks))
+    del bits
     frequent = {w: math.log10((n + 0.5) / total) for w, n in _frequent(vocabulary, head).items()}
     head_words = spark.sparkContext.broadcast(frequent)
 
