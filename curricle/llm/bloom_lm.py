@@ -14,9 +14,13 @@ word sum to one at most.  The word before the first, and after the last, is the
 
 The filter is cut into blocks by hash.  The n-grams of a block are counted where they are
 inserted, so counting takes one shuffle (after a count per batch), and a task holds only
-the bits of a block.  Its size follows the training tokens up to `filter_bytes`, the
-bound of the broadcast.  Beyond that, a block holds the n-grams from the least count that
-leaves half of its bits clear; everything is still counted.
+the bits of its blocks.  Blocks are built as many as the tokens could fill to a half if no
+n-gram repeated, and lie in the shared folder; so the filter grows with the corpus and every
+counted n-gram is in it, at any size.  As blocks are cut by the upper bits of a key, or-ing
+neighbours gives the filter of half as many: they are folded while the bits they hold stay
+within one half of a block.  A filter within `filter_bytes`, the bound of the broadcast, is
+broadcast.  A larger one stays where it is: each batch of documents sends its distinct keys
+to the shelf of blocks that holds them, and gets back their levels, one byte a key.
 
 Base scores are exact: counts of the `head` most frequent words are broadcast (a bounded
 number), all others are joined by word.  Words of the join are rare, so none is a hot key.
@@ -46,6 +50,9 @@ HASHES = 5
 BLOCK_BITS = 1 << 17
 FILTER_BYTES = 64 << 20
 BITS_PER_TOKEN = 8
+#: Blocks that answer together when the filter is not broadcast (2 MB), and the text of a batch that asks.
+SHELF_BLOCKS = 128
+BATCH_BYTES = 2 << 20
 HEAD = 300_000
 STRENGTH = 1000.0
 
@@ -114,17 +121,17 @@ def _block_of(keys, n_blocks: int):
 
 
 class LogFilter:
-    """The finished filter: levels of arrays of keys."""
+    """The finished filter, or its blocks from `first` on: levels of arrays of keys."""
 
-    def __init__(self, bits, n_blocks: int):
-        self.bits, self.n_blocks = bits, n_blocks
+    def __init__(self, bits, n_blocks: int, first: int = 0):
+        self.bits, self.n_blocks, self.first = bits, n_blocks, first
 
     def levels(self, keys):
         import numpy as np
 
         found = np.zeros(len(keys), np.int64)
         active = np.arange(len(keys))
-        start = _block_of(keys, self.n_blocks) * np.uint64(BLOCK_BITS)
+        start = (_block_of(keys, self.n_blocks) - np.uint64(self.first)) * np.uint64(BLOCK_BITS)
         for level in range(1, LEVELS + 1):
             for number in range(HASHES):
                 at = start[active] + _places(keys[active], level, number)
@@ -237,13 +244,131 @@ def _build_blocks(batches: Iterator, n_blocks: int) -> Iterator:
         )
 
 
+class Answered:
+    """Levels that the filter gave for sorted keys."""
+
+    def __init__(self, keys, found):
+        self.keys, self.found = keys, found
+
+    def levels(self, keys):
+        import numpy as np
+
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def _batched(batches: Iterator) -> Iterator:
+    """From (doc_id, held_out, text) to (batch, documents): documents of about BATCH_BYTES a row."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        if not len(batch):
+            continue
+        # no row is cut; a batch begins where another BATCH_BYTES of text are full
+        sizes = np.array([len(text.as_buffer()) for text in batch.column(2)], np.int64)
+        full = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+        starts = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
+        offsets = pa.array(np.append(starts, len(batch)).astype(np.int32))
+        documents = pa.StructArray.from_arrays(batch.columns, ["doc_id", "held_out", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(number + np.arange(len(starts))), pa.ListArray.from_arrays(offsets, documents)],
+            ["batch", "documents"],
+        )
+        number += len(starts)
+
+
+def _asked(texts):
+    """The sorted distinct keys of a batch: its words and its pairs."""
+    import numpy as np
+
+    end = word_numbers([b""])
+    held, documents, waiting = [unigram_keys(end)], [], 0
+    for at, text in enumerate(texts):
+        documents.append(tokens_of(text.as_py()))
+        waiting += len(documents[-1])
+        if waiting > 300_000 or at == len(texts) - 1:
+            distinct, ids = indexed(documents)
+            distinct_numbers = word_numbers(distinct)
+            numbers = distinct_numbers[ids]
+            held.append(unigram_keys(distinct_numbers))
+            held.append(np.unique(bigram_keys(np.concatenate([end, numbers[:-1]]), numbers)))
+            documents, waiting = [], 0
+    return np.unique(np.concatenate(held))
+
+
+def _requests(batches: Iterator, n_blocks: int) -> Iterator:
+    """From (batch, documents) to (shelf, batch, keys); the keys of a shelf are neighbours."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for row in range(len(batch)):
+            keys = _asked(batch.column(1)[row].values.field("text"))
+            shelves = _block_of(keys, n_blocks) // np.uint64(SHELF_BLOCKS)
+            names, starts = np.unique(shelves, return_index=True)
+            offsets = np.append(starts, len(keys)) * 8
+            sent = pa.Array.from_buffers(
+                pa.binary(), len(names), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(keys)]
+            )
+            asker = np.full(len(names), batch.column(0)[row].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names.astype(np.int32)), pa.array(asker), sent], ["shelf", "batch", "keys"]
+            )
+
+
+def _answers(requests, blocks, n_blocks: int):
+    """One shelf: from (shelf, batch, keys) and (shelf, block, bits) to (batch, shelf, levels)."""
+    import numpy as np
+    import pyarrow as pa
+
+    replies = []
+    if len(requests):
+        shelf = requests.column("shelf")[0].as_py()
+        first = shelf * SHELF_BLOCKS
+        bits = np.zeros((min(SHELF_BLOCKS, n_blocks), BLOCK_BITS // 8), np.uint8)
+        for block, held in zip(blocks.column("block"), blocks.column("bits"), strict=True):
+            bits[block.as_py() - first] = np.frombuffer(held.as_py(), np.uint8)
+        lookup = LogFilter(bits.reshape(-1), n_blocks, first)
+        asked = [np.frombuffer(keys.as_buffer(), np.uint64) for keys in requests.column("keys")]
+        levels = lookup.levels(np.concatenate(asked)).astype(np.uint8)
+        ends = np.cumsum([len(keys) for keys in asked])
+        replies = [part.tobytes() for part in np.split(levels, ends[:-1])]
+    return pa.table(
+        {
+            "batch": requests.column("batch"),
+            "shelf": requests.column("shelf"),
+            "levels": pa.array(replies, pa.binary()),
+        }
+    )
+
+
+def _score_answered(batches, replies, head, total: float, strength: float):
+    """Scores of the documents of one batch, whose keys the filter has answered."""
+    import numpy as np
+    import pyarrow as pa
+
+    documents = batches.column("documents").combine_chunks().flatten()
+    levels = [found.as_py() for found in replies.sort_by("shelf").column("levels")]
+    found = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
+    lookup = Answered(_asked(documents.field("text")), found)
+    if len(lookup.keys) != len(found):
+        raise ValueError("a batch and the answers to it differ")
+    rows = pa.RecordBatch.from_arrays(documents.flatten(), ["doc_id", "held_out", "text"])
+    return pa.Table.from_batches(_scores(iter([rows]), lookup, head.value, total, strength))
+
+
 def _score(batches: Iterator, filter_parts, head, total: float, strength: float) -> Iterator:
+    """Scores against the broadcast filter."""
+    return _scores(batches, LogFilter(*filter_parts.value), head.value, total, strength)
+
+
+def _scores(batches: Iterator, lookup, counts, total: float, strength: float) -> Iterator:
     """Adds the model's score, the head's part of the base score, and the other words."""
     import numpy as np
     import pyarrow as pa
 
-    lookup = LogFilter(*filter_parts.value)
-    counts = head.value
     least = np.array([0, *THRESHOLDS], np.float64)
     most = np.array([0, *[t - 1 for t in THRESHOLDS[1:]], THRESHOLDS[-1]], np.float64)
     end = word_numbers([b""])
@@ -310,6 +435,62 @@ def _frequent(vocabulary: DataFrame, head: int) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in vocabulary.filter(F.col("n") >= least).collect()}
 
 
+def _built(training: DataFrame, vocabulary: DataFrame, n_tokens: int, bits_per_token: int):
+    """The stored blocks (block, held, bits) with all n-grams, and their number."""
+    # a token adds a level to its word and to its pair at most, so even if none repeats
+    # the places they set are one half of these bits
+    wanted = n_tokens * max(bits_per_token, 2 * 2 * HASHES)
+    n_blocks = 1 << (-(-wanted // BLOCK_BITS) - 1).bit_length()
+    words = vocabulary.mapInArrow(_word_keys, "key long, n long")
+    ngrams = training.mapInArrow(_count_pairs, "key long, n long").unionAll(words)
+    while True:
+        shift = 64 - (n_blocks.bit_length() - 1)
+        block = F.shiftrightunsigned("key", shift) if n_blocks > 1 else F.lit(0).cast("long")
+        counted = (
+            ngrams.withColumn("block", block)
+            .repartition("block")
+            .groupBy("block", "key")
+            .agg(F.sum("n").alias("n"))
+        )
+        blocks = counted.select("key", "n").mapInArrow(
+            lambda batches, n=n_blocks: _with_held(_build_blocks(batches, n)),
+            "block int, least_count long, held long, bits binary",
+        )
+        built = stored(blocks)
+        # never seen: chance would have to heap half as many n-grams again into one block
+        if built.filter("least_count > 1").isEmpty():
+            return built.select("block", "held", "bits"), n_blocks
+        n_blocks *= 2
+
+
+def _with_held(batches: Iterator) -> Iterator:
+    """Adds how many bits each block holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        held = [int(np.bitwise_count(np.frombuffer(bits.as_buffer(), np.uint8)).sum()) for bits in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(held, pa.int64()), batch.column(2)],
+            ["block", "least_count", "held", "bits"],
+        )
+
+
+def _foldings(built: DataFrame, n_blocks: int, least_bits: int, filter_bytes: int) -> int:
+    """How often the filter can be halved: no block over one half, and `least_bits` if they can be broadcast."""
+    times = 0
+    while n_blocks >> times > 1:
+        bits = (n_blocks >> times) * BLOCK_BITS
+        if bits // 2 < least_bits and bits <= filter_bytes * 8:
+            break
+        folded = F.shiftright("block", times + 1).alias("block")
+        held = built.groupBy(folded).agg(F.sum("held").alias("held"))
+        if not held.filter(F.col("held") * 2 > BLOCK_BITS).isEmpty():
+            break
+        times += 1
+    return times
+
+
 def score_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -343,29 +524,15 @@ def score_documents(
     n_tokens, n_words = int(sums[0]), int(sums[1])
     total = n_tokens + 0.5 * (n_words + 1)
 
-    wanted = min(filter_bytes * 8, max(1, n_tokens) * bits_per_token)
-    n_blocks = 1 << max(0, (max(1, wanted // BLOCK_BITS)).bit_length() - 1)
-    if n_blocks * BLOCK_BITS * 2 <= filter_bytes * 8 and n_blocks * BLOCK_BITS < wanted:
-        n_blocks *= 2
-    shift = 64 - (n_blocks.bit_length() - 1)
-    block = F.shiftrightunsigned("key", shift) if n_blocks > 1 else F.lit(0).cast("long")
-    words = vocabulary.mapInArrow(_word_keys, "key long, n long")
-    counted = (
-        training.mapInArrow(_count_pairs, "key long, n long")
-        .unionAll(words)
-        .withColumn("block", block)
-        .repartition("block")
-        .groupBy("block", "key")
-        .agg(F.sum("n").alias("n"))
-    )
-    built = counted.select("key", "n").mapInArrow(
-        lambda batches: _build_blocks(batches, n_blocks), "block int, least_count long, bits binary"
-    )
-    bits = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
-    for row in built.collect():
-        bits[row.block] = np.frombuffer(row.bits, np.uint8)
-    filter_parts = spark.sparkContext.broadcast((bits.reshape(-1), n_blocks))
-    del bits
+    built, n_blocks = _built(training, vocabulary, max(1, n_tokens), bits_per_token)
+    folds_of = _foldings(built, n_blocks, max(1, n_tokens) * bits_per_token, filter_bytes)
+    filter_parts = None
+    if (n_blocks >> folds_of) * BLOCK_BITS <= filter_bytes * 8:
+        bits = np.zeros((n_blocks >> folds_of, BLOCK_BITS // 8), np.uint8)
+        for row in built.toLocalIterator():
+            bits[row.block >> folds_of] |= np.frombuffer(row.bits, np.uint8)
+        filter_parts = spark.sparkContext.broadcast((bits.reshape(-1), n_blocks >> folds_of))
+        del bits
     frequent = {w: math.log10((n + 0.5) / total) for w, n in _frequent(vocabulary, head).items()}
     head_words = spark.sparkContext.broadcast(frequent)
 
@@ -385,11 +552,38 @@ def score_documents(
             ),
         ]
     )
-    scored = stored(
-        corpus.mapInArrow(
+    if filter_parts:
+        found = corpus.mapInArrow(
             lambda batches: _score(batches, filter_parts, head_words, total, strength), schema
-        ).withColumn("row", F.monotonically_increasing_id())
-    )
+        )
+    else:
+        batched = stored(
+            corpus.mapInArrow(
+                _batched,
+                T.StructType(
+                    [T.StructField("batch", T.LongType()), T.StructField("documents", T.ArrayType(corpus.schema))]
+                ),
+            )
+        )
+        requests = batched.mapInArrow(
+            lambda batches: _requests(batches, n_blocks), "shelf int, batch long, keys binary"
+        )
+        shelved = built.select((F.col("block") / SHELF_BLOCKS).cast("int").alias("shelf"), "block", "bits")
+        replies = (
+            requests.groupBy("shelf")
+            .cogroup(shelved.groupBy("shelf"))
+            .applyInArrow(
+                lambda asked, blocks: _answers(asked, blocks, n_blocks), "batch long, shelf int, levels binary"
+            )
+        )
+        found = (
+            batched.groupBy("batch")
+            .cogroup(replies.groupBy("batch"))
+            .applyInArrow(
+                lambda batches, levels: _score_answered(batches, levels, head_words, total, strength), schema
+            )
+        )
+    scored = stored(found.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.inline("rare")).withColumnRenamed("n", "times")
     joined = rare.join(vocabulary, "token", "left")
     seen = F.coalesce("n", F.lit(0))

@@ -72,3 +72,13 @@ def test_probabilities_sum_to_one_at_most():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert m.score_documents(docs).count() == 0
+
+
+def test_a_filter_that_is_not_broadcast_gives_the_same_scores(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda **k: sorted(map(str, m.score_documents(docs, bits_per_token=400, **k).collect()))
+    want = found()
+    monkeypatch.setattr(m, "SHELF_BLOCKS", 16)
+    monkeypatch.setattr(m, "BATCH_BYTES", 2000)
+    assert found(filter_bytes=1000) == want
