@@ -82,3 +82,17 @@ def test_a_filter_that_is_not_broadcast_gives_the_same_scores(spark, monkeypatch
     monkeypatch.setattr(m, "SHELF_BLOCKS", 16)
     monkeypatch.setattr(m, "BATCH_BYTES", 2000)
     assert found(filter_bytes=1000) == want
+
+
+@pytest.mark.parametrize("filter_bytes", [m.FILTER_BYTES, 1000])
+def test_no_counted_n_gram_is_dropped(spark, filter_bytes):
+    # no pair and few words repeat: the most that a number of tokens can put into the filter
+    random.seed(5)
+    rows = [(i, " ".join(f"{random.randrange(10**6):x}" for _ in range(300))) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, None), (900, "")], "doc_id long, text string").repartition(3)
+    scores = lambda **k: {r.doc_id: (r.score, r.n_tokens) for r in m.score_documents(docs, **k).collect()}
+    whole = scores(bits_per_token=400)
+    got = scores(filter_bytes=filter_bytes)
+    assert got.keys() == whole.keys()
+    for doc_id, (score, tokens) in got.items():
+        assert abs(score - whole[doc_id][0]) <= 0.1 * tokens
