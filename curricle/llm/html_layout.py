@@ -2,9 +2,11 @@
 
 A tree builder reads tags with implied ends (paragraphs, list items, table parts, options)
 and decides what is visible: no head, scripts, styles, templates or fall-back content, no
-element hidden by attribute or inline style, no closed details.  The layout keeps blank
-lines between blocks, marks and indents list items, numbers ordered ones, keeps white
-space of preformatted text and aligns table cells in columns.
+element hidden by attribute or inline style, no closed details.  Text of formulas (MathML)
+and drawings (SVG) counts, but not their titles, definitions and annotations; text between
+the parts of a table stands before it, as browsers show it.  The layout keeps blank lines
+between blocks, marks and indents list items, numbers ordered ones, keeps white space of
+preformatted text and aligns table cells in columns.
 
 It is row local: one page at a time in Arrow batches, with explicit stacks, so deep nesting
 is no recursion and time grows with the length of the page.  Null, empty and tagless pages
@@ -34,8 +36,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
     "head script style template noscript title iframe object video audio canvas datalist "
-    "noembed noframes map svg math".split()
+    "noembed noframes".split()
 )
+#: Elements of SVG and MathML that are not drawn where they stand.
+FOREIGN_HIDDEN = frozenset(
+    "desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split()
+)
+#: Elements of SVG and MathML that hold HTML, and tags of HTML that end SVG and MathML.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+    "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+TABLE_PARTS = frozenset("table tr tbody thead tfoot".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol "
@@ -182,11 +195,12 @@ def _span(attributes: dict[str, str], name: str) -> int:
 
 
 class Element:
-    __slots__ = ("name", "shown", "visible", "number", "attributes")
+    __slots__ = ("name", "shown", "visible", "number", "attributes", "foreign")
 
     def __init__(self, name, shown, visible, attributes):
         self.name, self.shown, self.visible, self.attributes = name, shown, visible, attributes
         self.number = 0
+        self.foreign = False  # its children are of SVG or MathML
 
 
 class Page:
@@ -198,8 +212,14 @@ class Page:
         self.tables: list[Table] = []
         self.pre = 0
 
-    def start(self, name: str, source: str) -> None:
+    def start(self, name: str, source: str) -> bool:
+        """Opens an element; false if its tag closes it at once, as SVG and MathML allow."""
         attributes = attributes_of(source) if source.strip(" /\t\r\n\f") else {}
+        if self.open[-1].foreign and name in BREAKS_OUT:
+            depth = len(self.open) - 1
+            while self.open[depth - 1].foreign:
+                depth -= 1
+            self._close(depth)
         if name in ENDS_PARAGRAPH:
             self._end_implied(frozenset(["p"]), BORDERS)
         if name in IMPLIED:
@@ -214,9 +234,13 @@ class Page:
             self.start("tr", "")
         above = self.open[-1]
         style = dict(STYLE.findall(attributes.get("style", "").lower()))
+        root = name in ("svg", "math")
+        if above.foreign or root:
+            style = {k: attributes[k].lower() for k in ("display", "visibility") if k in attributes} | style
         shown = (
             above.shown
             and name not in HIDDEN
+            and not (above.foreign and name in FOREIGN_HIDDEN)
             and "hidden" not in attributes
             and style.get("display") != "none"
             and not (name == "input" and attributes.get("type", "").lower() == "hidden")
@@ -224,14 +248,28 @@ class Page:
             and not (above.name == "details" and "open" not in above.attributes and name != "summary")
         )
         visible = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""), above.visible)
+        if above.foreign and name == "mphantom":
+            visible = False
         element = Element(name, shown, visible, attributes)
+        element.foreign = root or (above.foreign and name not in HOLDS_HTML)
         if shown:
             self._enter(element, above)
         if name not in VOID:
             self.open.append(element)
+            if (above.foreign or root) and source.endswith("/"):
+                self._close(len(self.open) - 1)
+                return False
+        return True
 
     def _enter(self, element: Element, above: Element) -> None:
         name, flow = element.name, self.flows[-1]
+        if element.foreign:
+            # labels and rows of a matrix stand apart, cells of a row by a space
+            if self._is_line(element):
+                flow.block(0)
+            elif name == "mtd":
+                flow.space = True
+            return
         if name == "br":
             flow.end_line(keep_empty=not flow.line and bool(flow.lines) and not flow.gap)
         elif name == "table":
@@ -260,8 +298,18 @@ class Page:
         if name == "pre":
             self.pre += 1
 
+    @staticmethod
+    def _is_line(element: Element) -> bool:
+        return element.name in ("text", "mtr") or (
+            element.name == "math" and element.attributes.get("display", "").lower() == "block"
+        )
+
     def _leave(self, element: Element) -> None:
         name = element.name
+        if element.foreign:
+            if self._is_line(element):
+                self.flows[-1].block(0)
+            return
         if name == "table" and self.tables:
             table = self.tables.pop()
             flow = self.flows[-1]
@@ -325,7 +373,9 @@ class Page:
         if above.name == "head" and value.strip():
             self._close(len(self.open) - 1)
             above = self.open[-1]
-        if not above.shown or not above.visible or above.name in ("table", "tr", "tbody", "thead", "tfoot"):
+        if not above.shown or not above.visible:
+            return
+        if above.name in TABLE_PARTS and not above.foreign and not value.strip():
             return
         if above.name == "details" and "open" not in above.attributes:
             return
@@ -356,6 +406,11 @@ def render_page(html: str) -> str:
             page.text("<")
             at = tag + 1
             continue
+        if page.open[-1].foreign and html.startswith("<![CDATA[", tag):
+            stop = find("]]>", tag)
+            at = length if stop < 0 else stop + 3
+            page.text(html[tag + 9 : length if stop < 0 else stop])
+            continue
         at = found.end()
         if found.lastgroup == "comment":
             stop = find("-->", at)
@@ -368,8 +423,8 @@ def render_page(html: str) -> str:
         if found["end"]:
             page.end(name)
             continue
-        page.start(name, found["attrs"])
-        if name in RAW and name not in VOID:
+        stays = page.start(name, found["attrs"])
+        if stays and name in RAW and name not in VOID:
             closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
             stop = closing.start() if closing else length
             inner = html[at:stop]

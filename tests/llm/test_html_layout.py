@@ -61,3 +61,28 @@ def test_query_over_rows(spark):
     want = [(1, "a"), (1, "a"), (2, ""), (3, ("plain " * 50_000).strip()), (None, "")]
     assert got == sorted(want, key=str)
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table>one<tr>two<td>a</td>three<tbody>four</tbody></table>", "onetwothreefour\n\na"),
+        ("before<table> <thead> x <tr> y <th>h</thead> <tfoot>z</table>after", "before\n\nx y z\n\nh\n\nafter"),
+        ("<table><tr><td>a<table>in<tr><td>b</table></table>", "a\nin\nb"),
+        ("<table hidden>no<tr>no</table><table style='visibility:hidden'>no</table>yes", "yes"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+        ("<math><semantics><mi>x</mi><annotation>TeX</annotation></semantics></math>", "x"),
+        ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3<mtd>4</mtable></math>", "1 2\n3 4"),
+        ("<math><mi/><mphantom>no</mphantom><mtext>if <b>so</b></mtext></math>", "if so"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><style>s{}</style><script>f()</script>"
+         "<text>one <tspan>label</tspan></text><text>two</text></svg>", "one label\ntwo"),
+        ("<svg><title/><desc/><style/><defs/><text>label</text></svg>after", "label\nafter"),
+        ("<svg><text><![CDATA[a > b]]></text><text display=none>no</text></svg>", "a > b"),
+        ("<svg><foreignObject><div>a</div><div/>b</div></foreignObject></svg>c", "a\nb\nc"),
+        ("<svg/>a<svg><defs><p>b", "a\n\nb"),
+        ("<table><tr><td><svg><text>s</text></svg><td>t</table>", "s | t"),
+        ("a <map name=m><area href=x>in <a>map</a></map> b", "a in map b"),
+    ],
+)
+def test_text_of_table_parts_formulas_drawings_and_maps(html, text):
+    assert render_page(html) == text
