@@ -13,6 +13,7 @@ from curricle.llm import (
     fm_index,
     html_layout,
     line_chunks,
+    periodic_runs,
     quality_rules,
     role_repair,
     sharding,
@@ -20,7 +21,7 @@ from curricle.llm import (
     super_kmers,
     trie_bpe,
 )
-from curricle.llm.frames import table
+from curricle.llm.frames import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +205,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_role_repair")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_sync_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
+    words = periodic_runs.repeat_tails(F.col("words"), F.col("doc_id"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs, words))
