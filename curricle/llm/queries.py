@@ -16,6 +16,7 @@ from curricle.llm import (
     multi_index,
     periodic_runs,
     quality_rules,
+    random_indexing,
     role_repair,
     sharding,
     simhash,
@@ -243,3 +244,17 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = multi_index.integer_vectors(table(spark, sf_dir, "embeddings"), 256, label)
     return multi_index.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op11_random_indexing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    scored = random_indexing.score_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0
+    )
+    return scored.select(
+        "doc_id",
+        (fold == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
