@@ -12,7 +12,8 @@ length of both, and the logarithm of its number of words.  A two-layer network i
 fitted to the features of at most `SAMPLE` labelled documents (those with the least hashes
 of their ids): four fifths of them fit the weights, one fifth the temperature by which
 logits are divided, so that scores are calibrated probabilities.  Then every document is
-scored with the broadcast vectors and weights.
+scored with the broadcast vectors and weights.  Texts are cut into words once; their slots
+lie in the shared folder, two bytes a word.
 
 Defined results: null and blank texts have no words and zero features, and are scored like
 any other.  Labels are read where id and label are not null; an id that has several labels
@@ -32,14 +33,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curricle.llm.frames import stored
+
 SLOTS = 1 << 14
-DIM = 64
-NON_ZERO = 8
+DIM = 32
+NON_ZERO = 4
 REACH = 2
 SAMPLE = 20_000
 HIDDEN = 32
@@ -53,8 +57,9 @@ WORDS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 class _Slots(dict):
     """Slots of the words of a stretch without blanks; keeps those seen before, up to a bound."""
 
-    def __missing__(self, stretch: str) -> list[int]:
-        found = [xxhash.xxh64_intdigest(word, 11) % SLOTS for word in WORDS.findall(stretch)]
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        words = (stretch,) if stretch.isalpha() else WORDS.findall(stretch)
+        found = tuple([xxhash.xxh64_intdigest(word, 11) % SLOTS for word in words])
         if len(stretch) <= 64:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -72,21 +77,40 @@ def index_vectors() -> np.ndarray:
     return vectors
 
 
-def _pieces(texts: pa.Array, slots: _Slots) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slots of the words of texts laid end to end, with `REACH` gaps after each, and sizes."""
-    gap = [SLOTS] * REACH
-    row: list[int] = []
-    sizes: list[int] = []
-    for text in texts.to_pylist():
-        begin = len(row)
-        row.extend(chain.from_iterable(map(slots.__getitem__, (text or "").split())))
-        sizes.append(len(row) - begin)
-        row.extend(gap)
-        if len(row) >= PIECE:
-            yield np.array(row, np.int32), np.array(sizes)
-            row, sizes = [], []
-    if sizes:
-        yield np.array(row, np.int32), np.array(sizes)
+def slot_table(texts: DataFrame) -> DataFrame:
+    """key and slots of every text (key, text), two bytes a word, in the shared folder."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots()
+        for batch in batches:
+            rows = [
+                np.fromiter(chain.from_iterable(map(slots.__getitem__, (text or "").split())), np.uint16)
+                for text in batch.column(1).to_pylist()
+            ]
+            packed = pa.array([row.tobytes() for row in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["key", "slots"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return stored(texts.select("key", "text").mapInArrow(work, f"key {kind}, slots binary"))
+
+
+def _pieces(packed: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slots of texts laid end to end, with `REACH` gaps after each, and their sizes."""
+    sizes = np.asarray(pc.binary_length(packed)).astype(np.int64) // 2
+    volume = np.cumsum(sizes + REACH)
+    begin = 0
+    while begin < len(sizes):
+        before = int(volume[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(volume, before + PIECE, side="right")))
+        row = np.full(int(volume[end - 1]) - before, SLOTS, np.uint16)
+        word = np.ones(len(row), bool)
+        stops = volume[begin:end] - before
+        for k in range(1, REACH + 1):
+            word[stops - k] = False
+        joined = b"".join(packed[begin:end].to_pylist())
+        row[word] = np.frombuffer(joined, np.uint16)
+        yield row, sizes[begin:end]
+        begin = end
 
 
 def add_contexts(row: np.ndarray, index: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
@@ -101,7 +125,7 @@ def add_contexts(row: np.ndarray, index: np.ndarray, sums: np.ndarray, counts: n
         near[k:] += vectors[:-k]
         near[:-k] += vectors[k:]
     packed = near.astype(np.uint16).view(np.uint64)
-    order = np.argsort(row.astype(np.uint16), kind="stable")  # slots fit 16 bits
+    order = np.argsort(row, kind="stable")
     by_slot = row[order]
     new = np.concatenate(([True], by_slot[1:] != by_slot[:-1]))
     new[::4096] = True
@@ -119,28 +143,28 @@ def add_contexts(row: np.ndarray, index: np.ndarray, sums: np.ndarray, counts: n
     np.add.at(counts, slots[rest], sizes[rest])
 
 
-def context_sums(texts: DataFrame) -> DataFrame:
-    """slot, n (its words in the corpus) and the sums v0, v1, ... over all texts (text)."""
+def context_sums(slots: DataFrame) -> DataFrame:
+    """slot, n (its words in the corpus) and the sums v0, v1, ... over all texts (slots)."""
     names = [f"v{i}" for i in range(DIM)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, index = _Slots(), index_vectors()
+        index = index_vectors()
         sums, counts = np.zeros((SLOTS, DIM), np.int64), np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for row, _ in _pieces(batch.column(0), slots):
+            for row, _ in _pieces(batch.column(0)):
                 add_contexts(row, index, sums, counts)
         seen = np.flatnonzero(counts)
         columns = [seen, counts[seen], *sums[seen].T]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "n", *names])
 
     schema = T.StructType([T.StructField(k, T.LongType()) for k in ("slot", "n", *names)])
-    parts = texts.select("text").mapInArrow(work, schema)
+    parts = slots.select("slots").mapInArrow(work, schema)
     return parts.groupBy("slot").agg(*(F.sum(k).alias(k) for k in ("n", *names)))
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
+def word_vectors(slots: DataFrame) -> np.ndarray:
     """Unit context vectors of all slots; a zero vector for slots without words."""
-    table = context_sums(texts).toArrow()  # at most SLOTS rows
+    table = context_sums(slots).toArrow()  # at most SLOTS rows
     vectors = np.zeros((SLOTS + 1, DIM), np.float32)
     if len(table):
         at = np.asarray(table["slot"])
@@ -161,9 +185,9 @@ def _features(row: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarr
     return np.column_stack([means, *lengths, np.log1p(sizes)])
 
 
-def pooled(texts: pa.Array, table: np.ndarray, slots: _Slots) -> np.ndarray:
-    """A row of features for each text."""
-    parts = [_features(row, sizes, table) for row, sizes in _pieces(texts, slots)]
+def pooled(packed: pa.Array, table: np.ndarray) -> np.ndarray:
+    """A row of features for each text, given its slots."""
+    parts = [_features(row, sizes, table) for row, sizes in _pieces(packed)]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
 
 
@@ -239,13 +263,13 @@ def fit(x: np.ndarray, y: np.ndarray, order: np.ndarray) -> Network:
     return model
 
 
-def _by_text(emit: Callable[[np.ndarray], np.ndarray], shared) -> Callable:
-    """A task function: (key, text) to (key, emit(features))."""
+def _by_slots(emit: Callable[[np.ndarray], np.ndarray], shared) -> Callable:
+    """A task function: (key, slots) to (key, emit(features))."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, table = _Slots(), np.frombuffer(shared.value, np.float32).reshape(-1, 2 * DIM)
+        table = np.frombuffer(shared.value, np.float32).reshape(-1, 2 * DIM)
         for batch in batches:
-            found = emit(pooled(batch.column(1), table, slots))
+            found = emit(pooled(batch.column(1), table))
             if found.ndim == 2:
                 flat = pa.array(found.reshape(-1), pa.float64())
                 ends = pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32())
@@ -272,9 +296,9 @@ def score_quality(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    index = index_vectors().astype(np.float32)
-    table = np.concatenate([word_vectors(texts), index], axis=1)
-    shared = spark.sparkContext.broadcast(table.astype(np.float32).tobytes())  # 8 MB, fixed
+    slots = slot_table(texts)
+    table = np.concatenate([word_vectors(slots), index_vectors().astype(np.float32)], axis=1)
+    shared = spark.sparkContext.broadcast(table.astype(np.float32).tobytes())  # 4 MB, fixed
     usable = labels.filter(learn).filter(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     picked = (
         usable.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("label"))
@@ -282,13 +306,13 @@ def score_quality(
         .limit(sample)
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    own = texts.join(F.broadcast(picked.select("key").distinct()), "key", "left_semi")
-    features = own.mapInArrow(_by_text(lambda x: x, shared), f"key {kind}, value array<double>")
+    own = slots.join(F.broadcast(picked.select("key").distinct()), "key", "left_semi")
+    features = own.mapInArrow(_by_slots(lambda x: x, shared), f"key {kind}, value array<double>")
     known = features.join(F.broadcast(picked), "key").select(
         "value", "label", F.xxhash64("key").alias("order")
     )
     got = known.orderBy("order", "label").limit(sample).toArrow()
     x = np.asarray(got["value"].combine_chunks().flatten()).reshape(-1, FEATURES)
     model = fit(x, np.asarray(got["label"]), np.asarray(got["order"]))
-    scored = texts.mapInArrow(_by_text(model.scores, shared), f"key {kind}, value double")
+    scored = slots.mapInArrow(_by_slots(model.scores, shared), f"key {kind}, value double")
     return scored.select(F.col("key").alias(id_col), F.col("value").alias("score"))

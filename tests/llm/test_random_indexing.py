@@ -84,7 +84,7 @@ def test_empty_table(spark, tmp_path):
 
 def test_context_sums_against_plain_loops(spark):
     texts = ["a b c a", None, "", "d a ## b", "c"]
-    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    frame = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(2)
     index, want, slots = m.index_vectors().astype(int), {}, m._Slots()
     for t in texts:
         words = [s for w in (t or "").split() for s in slots[w]]
@@ -92,7 +92,7 @@ def test_context_sums_against_plain_loops(spark):
             n, v = want.get(w, (0, 0))
             near = [words[j] for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i]
             want[w] = n + 1, v + sum((index[j] for j in near), np.zeros(m.DIM, int))
-    got = {r.slot: (r.n, [r[f"v{i}"] for i in range(m.DIM)]) for r in m.context_sums(frame).collect()}
+    got = {r.slot: (r.n, [r[f"v{i}"] for i in range(m.DIM)]) for r in m.context_sums(m.slot_table(frame)).collect()}
     assert got == {w: (n, v.tolist()) for w, (n, v) in want.items()}
 
 
