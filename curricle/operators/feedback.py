@@ -1,19 +1,20 @@
 """Survey sheets and feedback texts.
 
 Sheets are long cell tables (``sheet, row_no, col_no, value``).  Profiles are
-aggregates per column or per row, so a sheet of any size is spread; hints and
-rules are short literal lists that are tested inside the row.
+aggregates per column or per row, so a sheet of any size is spread.  Hints and rules
+about feedback texts are tables of any length, matched in one pass over each text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.functions.exprs import any_contained, any_in, sql_text, sql_texts
+from curricle.functions.exprs import any_contained, sql_text, sql_texts
+from curricle.functions.needles import needle_groups
 from curricle.functions.text import (
     extract_week,
     is_free_text_header,
@@ -319,21 +320,39 @@ Hints = Sequence[tuple[str, str]]
 Rules = Sequence[tuple[str, Sequence[str]]]
 
 
-def _hits_rule(text: str, hints: Hints) -> str:
-    """``array<struct<ord, label>>`` of the hints found in a text."""
-    items = ", ".join(
-        f"named_struct('ord', {i}, 'needle', {sql_text(needle)}, 'label', {sql_text(label)})"
+def hint_table(
+    spark: SparkSession, positive: Hints = fv.POSITIVE_HINTS, negative: Hints = fv.NEGATIVE_HINTS
+) -> DataFrame:
+    """``polarity, ord, needle, label``; ``ord`` is unique per polarity and settles ties."""
+    rows = [
+        (polarity, i, needle, label)
+        for polarity, hints in (("positive", positive), ("negative", negative))
         for i, (needle, label) in enumerate(hints)
-    )
-    return f"filter(array({items}), h -> contains({text}, h.needle))"
+    ]
+    return spark.createDataFrame(rows, "polarity string, ord bigint, needle string, label string")
+
+
+def rule_table(spark: SparkSession, rules: Rules = fv.COMPLAINT_RULES) -> DataFrame:
+    """``ord, label, needle``: a complaint rule is one ``ord`` with one or more needles."""
+    rows = [(i, label, needle) for i, (label, needles) in enumerate(rules) for needle in needles]
+    return spark.createDataFrame(rows, "ord bigint, label string, needle string")
 
 
-def sentiment_counts(responses: DataFrame, hints: Hints) -> DataFrame:
-    """Label counts per instructor with the place where a label was first seen."""
+def _found(lines: DataFrame, needles: DataFrame, *columns: Column | str) -> DataFrame:
+    """A row for each group of needles (``grp``) that a line contains."""
+    groups = needle_groups(needles)("text")
+    # the outer form keeps the optimizer from matching a second time for a filter
+    return lines.select(*columns, F.explode_outer(groups).alias("grp")).filter(F.col("grp").isNotNull())
+
+
+def sentiment_counts(responses: DataFrame, hints: DataFrame) -> DataFrame:
+    """Label counts per instructor and polarity with the place where a label was first seen."""
+    number = F.col("ord") * 2 + F.when(F.col("polarity") == "negative", 1).otherwise(0)
+    numbered = hints.withColumn("grp", number)
+    found = _found(responses, numbered, "instructor", "source_id", "seq")
     return (
-        responses.select("instructor", "source_id", "seq", F.inline_outer(F.expr(_hits_rule("text", hints))))
-        .filter(F.col("label").isNotNull())
-        .groupBy("instructor", "label")
+        found.join(numbered.select("grp", "ord", "polarity", "label"), "grp")
+        .groupBy("instructor", "polarity", "label")
         .agg(F.count("*").alias("n"), F.min(F.struct("source_id", "seq", "ord")).alias("seen"))
     )
 
@@ -344,20 +363,21 @@ def _named(label: str) -> list[Column]:
 
 def sentiment_labels(
     responses: DataFrame,
-    positive: Hints = fv.POSITIVE_HINTS,
-    negative: Hints = fv.NEGATIVE_HINTS,
+    hints: DataFrame | None = None,
     defaults: Sequence[str] = fv.DEFAULT_NEGATIVES,
     k: int = 4,
 ) -> DataFrame:
     """Up to four labels per instructor and polarity, with their fall-backs.
 
-    Instructors without a positive label get their most frequent tokens; tokens
+    ``hints`` is a table as ``hint_table`` gives it, of any length.  Instructors without a positive label get their most frequent tokens; tokens
     are only counted for those instructors.
     """
     lines = responses.filter(F.col("text") != "")
     order = [F.col("n").desc(), "seen"]
-    good = top_rows(sentiment_counts(lines, positive), ["instructor"], order, k).select(*_named("label"))
-    bad = top_rows(sentiment_counts(lines, negative), ["instructor"], order, k).select(*_named("label"))
+    counts = sentiment_counts(lines, hint_table(responses.sparkSession) if hints is None else hints)
+    ranked = top_rows(counts, ["instructor", "polarity"], order, k)
+    good = ranked.filter("polarity = 'positive'").select(*_named("label"))
+    bad = ranked.filter("polarity = 'negative'").select(*_named("label"))
     tokens = (
         lines.join(good.select("instructor").distinct(), "instructor", "left_anti")
         .select("instructor", "source_id", "seq", F.posexplode_outer(tokenize("text")).alias("pos", "token"))
@@ -382,24 +402,22 @@ def sentiment_labels(
 def complaints(
     responses: DataFrame,
     labels: DataFrame,
-    rules: Rules = fv.COMPLAINT_RULES,
+    rules: DataFrame | None = None,
     k: int = 3,
 ) -> DataFrame:
     """Repeated complaints: responses per rule, with the week of the first one.
 
-    Without any hit, the first negative label stands for a third of the responses.
+    ``rules`` is a table as ``rule_table`` gives it, of any length.  Without any hit, the
+    first negative label stands for a third of the responses.
     """
     lines = responses.filter(F.col("text") != "")
-    items = ", ".join(
-        f"if({any_in('text', needles)}, named_struct('ord', {i}, 'label', {sql_text(label)}), NULL)"
-        for i, (label, needles) in enumerate(rules)
-    )
+    rules = rule_table(responses.sparkSession) if rules is None else rules
+    week = extract_week("text").alias("week")
+    named = rules.groupBy("ord").agg(F.min("label").alias("label"))
     counted = (
-        lines.select(
-            "instructor", "source_id", "seq", extract_week("text").alias("week"),
-            F.inline_outer(F.expr(f"filter(array({items}), r -> r IS NOT NULL)")),
-        )
-        .filter(F.col("label").isNotNull())
+        _found(lines, rules.withColumnRenamed("ord", "grp"), "instructor", "source_id", "seq", week)
+        .withColumnRenamed("grp", "ord")
+        .join(named, "ord")
         .groupBy("instructor", "label")
         .agg(
             F.count("*").alias("n"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
-from curricle.operators.scale import top_rows
+from curricle.operators.scale import shared_folder, top_rows
 
 
 def select_with_margin(
@@ -26,27 +26,43 @@ def select_with_margin(
     )
 
 
-def dense_positions(df: DataFrame, keys: list[str], order: str, width: int = 4096) -> DataFrame:
-    """0-based position ``pos`` of each row in the order of an integer column.
-
-    The order column is cut into ranges of ``width``.  Rows are only numbered
-    inside a range; ranges are offset by the counts of the ranges before them, so
-    a key with very many rows is spread over its ranges.  The order is unique
-    per key.
+def dense_positions(
+    df: DataFrame, keys: list[str], order: str | list[str], width: int | None = None
+) -> DataFrame:
+    """0-based position ``pos`` of each row of a key in the order of any sortable columns.
+
+    Rows are dealt to ranges of (keys, order), whose borders Spark samples from the values,
+    and sorted there, so neither sparse or hashed ids nor a key with very many rows fill one
+    task.  A range numbers its own rows; what it holds of a key is offset by the counts of
+    the ranges before.  The ranges are written once to the shared folder, as another
+    evaluation might sample other borders.  There are as many ranges as shuffle partitions,
+    or one per ``width`` rows.  The order is unique per key.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    order = [order] if isinstance(order, str) else list(order)
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(-(-df.count() // width) or 1, *by) if width else df.repartitionByRange(*by)
+    numbered = ranged.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    path = shared_folder(df.sparkSession)
+    numbered.withColumn("_part", F.shiftright("_at", 33).cast("int")).write.parquet(path)
+    rows = df.sparkSession.read.schema(f"{_ddl(df)}_at bigint, _part int").parquet(path)
+    held = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    offsets = held.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"), offset.alias("_shift"))
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return (
-        ranged.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_range"])
-        .withColumn("pos", F.col("_offset") + F.col("_row"))
-        .drop("_range", "_row", "_offset")
+        rows.join(offsets, same)
+        .withColumn("pos", F.col("_at") + F.col("_shift"))
+        .select(*df.columns, "pos")
     )
 
 
+def _ddl(df: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+
+
 def even_sample(positioned: DataFrame, keys: list[str], n: Column | int, sizes: DataFrame) -> DataFrame:
     """Evenly spaced rows of each list: positions round(i·(N-1)/(n-1)), half to even.
 

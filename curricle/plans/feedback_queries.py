@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curricle import fixed_values as fv
 from curricle.operators import coverage as co
 from curricle.operators import feedback as fb
+from curricle.operators.ranking import dense_positions
 from curricle.plans import sqlkit as k
 from curricle.plans import views as v
 from curricle.plans.registry import register
@@ -204,7 +205,7 @@ voc_labels AS (SELECT *, 'positive' AS polarity FROM pos_l UNION ALL SELECT *, '
 
 
 def labels(spark, sf):
-    return fb.sentiment_labels(responses(spark, sf), POSITIVE, NEGATIVE)
+    return fb.sentiment_labels(responses(spark, sf), fb.hint_table(spark, POSITIVE, NEGATIVE))
 
 
 @register("voc_sentiment", C.query("SELECT instructor, label, rank::BIGINT AS rank, polarity FROM voc_labels", "voc_labels"))
@@ -228,7 +229,7 @@ voc_complaints AS (SELECT * FROM rule_top UNION ALL
 
 def complaint_rows(spark, sf, label_rows=None):
     label_rows = labels(spark, sf) if label_rows is None else label_rows
-    return fb.complaints(responses(spark, sf), label_rows, RULES)
+    return fb.complaints(responses(spark, sf), label_rows, fb.rule_table(spark, RULES))
 
 
 @register("voc_complaints", C.query("SELECT instructor, pattern, n::BIGINT AS n, week, rank::BIGINT AS rank FROM voc_complaints", "voc_complaints"))
@@ -236,6 +237,48 @@ def voc_complaints(spark, sf):
     return complaint_rows(spark, sf).withColumn("rank", F.col("rank").cast("long"))
 
 
+# catalogues from a table: every word of the benchmark passages is a needle
+C.add(
+    "needle_words",
+    """
+needle_words AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS ord FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 3),
+hint_rows AS (SELECT CASE WHEN length(word) % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity, ord, word AS needle, substr(word, 1, 2) AS label FROM needle_words),
+hint_top AS (SELECT instructor, polarity, label, n, row_number() OVER (PARTITION BY instructor, polarity ORDER BY n DESC, seen) AS rank FROM (
+  SELECT instructor, polarity, label, count(*) AS n, min({'a': source_id, 'b': seq, 'c': ord}) AS seen FROM responses JOIN hint_rows ON contains(text, needle) WHERE text <> '' GROUP BY ALL) QUALIFY rank <= 4),
+rule_rows AS (SELECT dense_rank() OVER (ORDER BY substr(word, 1, 2)) - 1 AS ord, substr(word, 1, 2) AS label, word AS needle FROM needle_words),
+rule_found AS (SELECT DISTINCT instructor, source_id, seq, ord, label FROM responses JOIN rule_rows ON contains(text, needle) WHERE text <> ''),
+rule_best AS (SELECT instructor, label, n, row_number() OVER (PARTITION BY instructor ORDER BY n DESC, seen) AS rank FROM (
+  SELECT instructor, label, count(*) AS n, min({'a': source_id, 'b': seq, 'c': ord}) AS seen FROM rule_found GROUP BY ALL) QUALIFY rank <= 3)""",
+    "responses",
+)
+
+
+def _needle_words(spark, sf):
+    words = v.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    distinct = words.filter(F.length("word") >= 3).distinct()
+    return dense_positions(distinct, [], "word").withColumnRenamed("pos", "ord")
+
+
+@register("voc_hint_table", C.query("SELECT instructor, polarity, label, rank::BIGINT AS rank FROM hint_top", "needle_words"))
+def voc_hint_table(spark, sf):
+    polarity = F.when(F.length("word") % 2 == 0, "positive").otherwise("negative")
+    hints = _needle_words(spark, sf).select(
+        polarity.alias("polarity"), "ord", F.col("word").alias("needle"), F.substring("word", 1, 2).alias("label")
+    )
+    # every instructor has labels of both kinds here, so no fall-back is taken
+    found = fb.sentiment_labels(responses(spark, sf), hints)
+    return found.select("instructor", "polarity", "label", F.col("rank").cast("long").alias("rank"))
+
+
+@register("voc_rule_table", C.query("SELECT instructor, label AS pattern, n, rank::BIGINT AS rank FROM rule_best", "needle_words"))
+def voc_rule_table(spark, sf):
+    words = _needle_words(spark, sf).select(F.col("word").alias("needle"), F.substring("word", 1, 2).alias("label"))
+    numbers = dense_positions(words.select("label").distinct(), [], "label").withColumnRenamed("pos", "ord")
+    rules = words.join(numbers, "label").select("ord", "label", "needle")
+    found = fb.complaints(responses(spark, sf), labels(spark, sf), rules)
+    return found.select("instructor", "pattern", "n", F.col("rank").cast("long").alias("rank"))
+
+
 C.add(
     "voc_suggestions",
     f"""
