@@ -152,10 +152,11 @@ def pack_segments(
 ) -> DataFrame:
     """Greedy packs of whole segments per source (see ``packing``).
 
-    ``target`` and ``overlap`` (0 or 1 segments) may depend on the source.
+    ``target`` and ``overlap``, the number of segments that a chunk takes over from the
+    one before, may depend on the source.
     """
-    if not isinstance(overlap, Column) and overlap not in (0, 1):
-        raise ValueError("overlap must be 0 or 1")
+    if not isinstance(overlap, Column) and overlap < 0:
+        raise ValueError("overlap must not be negative")
     pieces = (
         segments.withColumn("n", count_tokens("text", tokenizer))
         .withColumn("budget", target if isinstance(target, Column) else F.lit(target))

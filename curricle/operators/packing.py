@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curricle.functions.exprs import fresh, let
@@ -31,24 +31,38 @@ BLOCKS_PER_GROUP = 1024
 
 
 # --- native fold inside one array --------------------------------------------
+NO_QUEUE = "cast(array() AS array<int>)"
+
+
 def starts_rule(
-    sizes: str, budget: str | int, overlap: str | int = 0, size: str = "-1", previous: str = "0"
+    sizes: str, budget: str | int, overlap: str | int = 0, size: str = "-1", queue: str = NO_QUEUE
 ) -> str:
-    """``struct<starts, size, prev>`` of a fold over ``array<int>`` sizes.
+    """``struct<starts, size>`` of a fold over ``array<int>`` sizes.
 
-    ``starts`` are the indexes at which a new group begins.  ``size`` and
-    ``previous`` describe the group that is open at the beginning; size -1 means
-    that none is, so the first element begins one.
+    ``starts`` are the indexes at which a new group begins.  ``size`` describes the
+    group that is open at the beginning; size -1 means that none is, so the first
+    element begins one.  ``queue`` are the last ``overlap`` sizes before the first
+    element, as far as there are any: a group begins with what it carries over.
     """
     full = f"(s.size >= 0 AND s.size + x.n > {budget})"
-    return (
-        f"aggregate(transform({sizes}, (n, i) -> named_struct('i', i, 'n', n)), "
-        f"named_struct('starts', cast(array() AS array<int>), 'size', int(coalesce({size}, -1)), "
-        f"'prev', int(coalesce({previous}, 0))), (s, x) -> named_struct("
-        f"'starts', if(s.size < 0 OR {full}, concat(s.starts, array(x.i)), s.starts), "
-        f"'size', CASE WHEN {full} THEN s.prev * {overlap} + x.n WHEN s.size < 0 THEN x.n ELSE s.size + x.n END, "
-        f"'prev', x.n))"
-    )
+
+    def fold(all_sizes: str) -> str:
+        before = f"(x.i + size({all_sizes}) - size({sizes}))"
+        carried = (
+            f"aggregate(slice({all_sizes}, {before} - least({overlap}, {before}) + 1, least({overlap}, {before})), "
+            "0, (c_, y_) -> c_ + y_)"
+        )
+        if overlap == 0:
+            carried = "0"
+        return (
+            f"aggregate(transform({sizes}, (n, i) -> named_struct('i', i, 'n', n)), "
+            f"named_struct('starts', cast(array() AS array<int>), 'size', int(coalesce({size}, -1))), "
+            f"(s, x) -> named_struct("
+            f"'starts', if(s.size < 0 OR {full}, concat(s.starts, array(x.i)), s.starts), "
+            f"'size', CASE WHEN {full} THEN {carried} + x.n WHEN s.size < 0 THEN x.n ELSE s.size + x.n END))"
+        )
+
+    return fold(sizes) if overlap == 0 else let(f"concat(coalesce({queue}, {NO_QUEUE}), {sizes})", fold)
 
 
 def parts_rule(items: str, budget: int) -> str:
@@ -74,23 +88,33 @@ def parts_rule(items: str, budget: int) -> str:
 
 
 # --- block summaries for long sources ----------------------------------------
-def _summarise(seqs: np.ndarray, sizes: np.ndarray, budget: int, overlap: int):
+def _carried(queue: np.ndarray, sizes: np.ndarray, overlap: int) -> np.ndarray:
+    """Sum of the last ``overlap`` sizes before each piece, those before the block included."""
+    cum = np.concatenate(([0], np.cumsum(np.concatenate((queue, sizes)))))
+    at = np.arange(len(queue), len(queue) + len(sizes))
+    return cum[at] - cum[np.maximum(0, at - overlap)]
+
+
+def _last_of_chain(following: np.ndarray) -> np.ndarray:
+    """Where each chain ``i -> following[i]`` ends inside the block, by pointer jumping."""
+    m = len(following)
+    last = np.where(following < m, np.minimum(following, m - 1), np.arange(m))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            return last
+        last = further
+
+
+def _summarise(seqs: np.ndarray, sizes: np.ndarray, budget: int, carried: np.ndarray):
     """Table over the open size after the block's first piece."""
     m = len(sizes)
-    cum = np.cumsum(sizes.astype(np.int64))
-    exit_size = np.zeros(m, dtype=np.int64)
-    exit_start = np.full(m, -1, dtype=np.int64)
-    if m > 1:
-        carried = np.concatenate(([0], sizes[:-1])) if overlap else np.zeros(m, dtype=np.int64)
-        opened = np.minimum(budget, carried + sizes)
-        nxt = np.searchsorted(cum, budget - opened + cum, side="right")
-        for j in range(m - 1, 0, -1):
-            k = nxt[j]
-            if k >= m:
-                exit_size[j] = min(budget, opened[j] + cum[-1] - cum[j])
-                exit_start[j] = seqs[j]
-            else:
-                exit_size[j], exit_start[j] = exit_size[k], exit_start[k]
+    cum = np.cumsum(sizes)
+    opened = np.minimum(budget, carried + sizes)
+    following = np.searchsorted(cum, budget - opened + cum, side="right")
+    last = _last_of_chain(following)
+    exit_size = np.minimum(budget, opened[last] + cum[-1] - cum[last])
+    exit_start = seqs[last]
     state = np.arange(budget + 1, dtype=np.int64)
     first = np.searchsorted(cum, budget - state + cum[0], side="right")
     ends_open = first >= m
@@ -100,29 +124,29 @@ def _summarise(seqs: np.ndarray, sizes: np.ndarray, budget: int, overlap: int):
     return table_size, table_start
 
 
-def _enter(size, start, prev, block):
+def _enter(size, start, block):
     """State after the first piece of a block, for one or many entry states."""
     budget = int(block.budget)
     n0 = min(int(block.tok0), budget)
     fresh = size < 0
     full = ~fresh & (size + block.tok0 > budget)
-    carried = prev * int(block.overlap)
-    after = np.where(full, np.minimum(budget, carried + block.tok0), np.where(fresh, n0, size + block.tok0))
+    opened = min(budget, int(block.carried0) + int(block.tok0))
+    after = np.where(full, opened, np.where(fresh, n0, size + block.tok0))
     opened_at = np.where(fresh | full, block.seq0, start)
     return after.astype(np.int64), opened_at
 
 
-def _through(size, start, prev, block):
-    after, opened_at = _enter(size, start, prev, block)
+def _through(size, start, block):
+    after, opened_at = _enter(size, start, block)
     table_size = np.frombuffer(block.table_size, dtype=np.int64)
     table_start = np.frombuffer(block.table_start, dtype=np.int64)
     inner = table_start[after]
     return table_size[after], np.where(inner < 0, opened_at, inner)
 
 
-_SUMMARY = "budget int, overlap int, seq0 long, last_seq long, tok0 int, last_tok int, table_size binary, table_start binary"
-_STATE = "open_size int, open_start long, prev_tok int, prev_seq long"
-_STATE_NAMES = ("open_size", "open_start", "prev_tok", "prev_seq")
+_SUMMARY = "budget int, seq0 long, tok0 int, carried0 long, table_size binary, table_start binary"
+_STATE = "open_size int, open_start long"
+_STATE_NAMES = ("open_size", "open_start")
 
 
 def _field_ddl(df: DataFrame, names: list[str]) -> str:
@@ -137,13 +161,14 @@ def _entry_states(tails: DataFrame, seeds: DataFrame, keys: list[str], fan: int)
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for seqs, sizes, budget, overlap in zip(
-                batch["seqs"], batch["sizes"], batch["budget"], batch["overlap"]
+            for seqs, sizes, budget, overlap, queue in zip(
+                batch["seqs"], batch["sizes"], batch["budget"], batch["overlap"], batch["queue"]
             ):
-                seqs, sizes = np.asarray(seqs, np.int64), np.asarray(sizes, np.int64)
-                size, start = _summarise(seqs, sizes, budget, overlap)
+                seqs, sizes, queue = (np.asarray(x, np.int64) for x in (seqs, sizes, queue))
+                carried = _carried(queue, sizes, overlap)
+                size, start = _summarise(seqs, sizes, budget, carried)
                 rows.append(
-                    (budget, overlap, seqs[0], seqs[-1], sizes[0], sizes[-1], size.tobytes(), start.tobytes())
+                    (budget, seqs[0], sizes[0], carried[0], size.tobytes(), start.astype(np.int64).tobytes())
                 )
             out = {k: batch[k] for k in [*keys, "blk"]}
             yield pd.DataFrame({**out, **{n: [r[i] for r in rows] for i, n in enumerate(names)}})
@@ -151,7 +176,7 @@ def _entry_states(tails: DataFrame, seeds: DataFrame, keys: list[str], fan: int)
     blocks = (
         tails.select(
             *keys, "blk", "budget", "overlap",
-            F.col("pieces.seq").alias("seqs"), F.col("pieces.n").alias("sizes"),
+            F.col("pieces.seq").alias("seqs"), F.col("pieces.n").alias("sizes"), F.col("queue.n").alias("queue"),
         )
         .mapInPandas(summarise, f"{key_ddl}, blk long, {_SUMMARY}")
         .withColumn("grp", F.floor(F.col("blk") / fan))
@@ -159,16 +184,14 @@ def _entry_states(tails: DataFrame, seeds: DataFrame, keys: list[str], fan: int)
 
     def compose(group: pd.DataFrame) -> pd.DataFrame:
         rows = list(group.sort_values("blk").itertuples(index=False))
-        first, last = rows[0], rows[-1]
+        first = rows[0]
         size = np.frombuffer(first.table_size, dtype=np.int64)
         start = np.frombuffer(first.table_start, dtype=np.int64)
-        prev = first.last_tok
         for block in rows[1:]:
             # start -1 keeps meaning "the group that was open at the first piece"
-            size, start = _through(size, start, prev, block)
-            prev = block.last_tok
+            size, start = _through(size, start, block)
         values = (
-            first.budget, first.overlap, first.seq0, last.last_seq, first.tok0, last.last_tok,
+            first.budget, first.seq0, first.tok0, first.carried0,
             size.astype(np.int64).tobytes(), start.astype(np.int64).tobytes(),
         )
         head = {k: [group.iloc[0][k]] for k in [*keys, "grp"]}
@@ -183,13 +206,13 @@ def _entry_states(tails: DataFrame, seeds: DataFrame, keys: list[str], fan: int)
             for row in group.itertuples(index=False):
                 if state is None:
                     state = (
-                        (-1, -1, 0, -1)
+                        (-1, -1)
                         if pd.isna(row.open_size)
                         else tuple(int(getattr(row, c)) for c in _STATE_NAMES)
                     )
                 out.append(state)
-                size, start = _through(np.array([state[0]]), np.array([state[1]]), state[2], row)
-                state = (int(size[0]), int(start[0]), int(row.last_tok), int(row.last_seq))
+                size, start = _through(np.array([state[0]]), np.array([state[1]]), row)
+                state = (int(size[0]), int(start[0]))
             result = group[[*keys, unit]].copy()
             for i, name in enumerate(_STATE_NAMES):
                 result[name] = [s[i] for s in out]
@@ -209,8 +232,25 @@ def _entry_states(tails: DataFrame, seeds: DataFrame, keys: list[str], fan: int)
     )
 
 
+def _queues(blocks: DataFrame, keys: list[str], most_overlap: int) -> DataFrame:
+    """``queue``, the last ``overlap`` pieces before each block, in order.
+
+    A block that exists holds a piece, so as many blocks before it as pieces are carried
+    over always hold enough; the window runs over the ends of blocks only.
+    """
+    ends = blocks.select(
+        *keys, "blk",
+        F.expr("transform(slice(pieces, -least(size(pieces), greatest(overlap, 1)), size(pieces)), p -> named_struct('seq', p.seq, 'n', p.n))").alias("ends"),
+        "overlap",
+    )
+    before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(-max(1, most_overlap), -1)
+    gathered = ends.withColumn("queue", F.flatten(F.collect_list("ends").over(before)))
+    last = F.expr("slice(queue, -greatest(1, least(size(queue), overlap)), least(size(queue), overlap))")
+    return gathered.select(*keys, "blk", F.when(F.size("queue") == 0, F.col("queue")).otherwise(last).alias("queue"))
+
+
 def fold_pieces(rows: DataFrame, *entry: str) -> DataFrame:
-    """Adds ``fold`` to rows with ``pieces, budget, overlap``."""
+    """Adds ``fold`` to rows with ``pieces, budget, overlap``; ``entry``: open size and queue."""
     return rows.withColumn("fold", F.expr(starts_rule("pieces.n", "budget", "overlap", *entry)))
 
 
@@ -238,7 +278,7 @@ def pack_groups(
     Result: ``keys, carried, group_seq`` (sequence number of the piece that began
     the group) and ``members``, the ordered array of ``struct<seq, n, payload>``.
     ``n`` must be at least 1, which bounds a group by its budget.  ``budget``,
-    ``overlap`` (0 or 1) and ``carried`` are constant per key.
+    ``overlap`` (any number of pieces) and ``carried`` are constant per key.
 
     Which keys are longer than one block is checked first.  Usually none is, and
     the plan is one shuffle by key followed by a native fold.
@@ -252,10 +292,12 @@ def pack_groups(
             F.sort_array(F.collect_list(item)).alias("pieces"), *rule
         )
 
-    long_keys = pieces.filter(F.col("seq") >= block_rows).select(*keys).distinct()
-    if long_keys.isEmpty():
+    late = pieces.filter(F.col("seq") >= block_rows)
+    most_overlap = late.agg(F.max("overlap")).first()[0]
+    if most_overlap is None:
         return cut_groups(fold_pieces(gather(pieces)), keys, carried)
 
+    long_keys = late.select(*keys).distinct()
     short = cut_groups(
         fold_pieces(gather(pieces.join(long_keys, keys, "left_anti"))), keys, carried
     )
@@ -266,25 +308,24 @@ def pack_groups(
         "blk",
     )
     heads = fold_pieces(blocks.filter(F.col("blk") == 0))
-    tails = blocks.filter(F.col("blk") > 0)
+    tails = blocks.filter(F.col("blk") > 0).join(_queues(blocks, keys, most_overlap), [*keys, "blk"])
     seeds = heads.select(
         *keys,
         F.least(F.col("fold.size"), F.col("budget")).alias("open_size"),
         F.get(F.col("pieces.seq"), F.element_at("fold.starts", -1)).alias("open_start"),
-        F.col("fold.prev").alias("prev_tok"),
-        F.element_at("pieces.seq", -1).alias("prev_seq"),
     )
     entered = fold_pieces(
-        tails.join(_entry_states(tails, seeds, keys, fan), [*keys, "blk"]),
-        "open_size",
-        "prev_tok",
+        tails.join(_entry_states(tails, seeds, keys, fan), [*keys, "blk"]), "open_size", "queue.n"
     )
-    # with overlap, a group that begins with a block also holds the piece before it
+    # with overlap, a group that begins early in a block also holds pieces from before it
+    early = F.filter("fold.starts", lambda i: i < F.col("overlap"))
     borrowed = (
-        entered.filter(
-            (F.col("overlap") > 0) & (F.get("fold.starts", F.lit(0)) == 0) & (F.col("open_size") >= 0)
+        entered.select(*keys, "overlap", "queue", "pieces", F.explode(early).alias("_at"))
+        .select(
+            *keys,
+            F.get("pieces", F.col("_at"))["seq"].alias("group_seq"),
+            F.explode(F.expr("if(size(queue) = 0, array(), slice(queue.seq, -least(size(queue), overlap - _at), size(queue)))")).alias("seq"),
         )
-        .select(*keys, F.get("pieces", F.lit(0))["seq"].alias("group_seq"), F.col("prev_seq").alias("seq"))
         .join(pieces, [*keys, "seq"])
         .select(*keys, *carried, "group_seq", F.array(item).alias("members"))
     )
@@ -398,11 +439,7 @@ def batch_groups(
             for row in batch.itertuples(index=False):
                 _, sizes, halo = split(row.blk, row.pos, row.n)
                 m = len(sizes)
-                nxt = _next_starts(sizes, max_items, max_tokens)
-                last = np.arange(m)
-                for i in range(m - 1, -1, -1):
-                    if nxt[i] < m:
-                        last[i] = last[nxt[i]]
+                last = _last_of_chain(_next_starts(sizes, max_items, max_tokens))
                 states = halo - np.minimum(np.arange(max_items + 1), halo)
                 out.append((m - last[states]).astype(np.int64).tobytes())
             yield pd.DataFrame({**{k: batch[k] for k in [*keys, "blk"]}, "steps": out})

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
 from curricle.functions.exprs import col
 from curricle.functions.text import canonical_url, is_playlist_url, is_video_url, video_id
-from curricle.operators.scale import top_rows
+from curricle.operators.ranking import dense_positions
+from curricle.operators.scale import shared_folder, top_rows
+
+# the block folds travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # --- videos and estimates -------------------------------------------------------------
@@ -207,48 +216,155 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, allow_stale
     )
 
 
-def budget_gate(requests: DataFrame, budget_minutes: int) -> DataFrame:
+def _units(minutes: float) -> int:
+    """Used minutes are kept to four decimals; as whole units they add up exactly."""
+    return round(minutes * 10_000)
+
+
+def _spend(durations: np.ndarray, used: int, budget: int) -> tuple[np.ndarray, int]:
+    """Which durations of a block are accepted in order, and the units used after it."""
+    accepted = np.zeros(len(durations), bool)
+    minutes = durations / 60.0
+    cost = np.round(minutes * 10_000).astype(np.int64)
+    begin = 0
+    while begin < len(durations):
+        # accept all up to the first that does not fit, then go on behind it
+        before = used + np.cumsum(cost[begin:]) - cost[begin:]
+        fits = before / 10_000.0 + minutes[begin:] <= budget
+        stop = len(fits) if fits.all() else int(np.argmin(fits))
+        accepted[begin : begin + stop] = True
+        used += int(cost[begin : begin + stop].sum())
+        begin += stop
+        if begin < len(durations):
+            # nothing longer than what is left can be accepted any more
+            rest = np.flatnonzero(used / 10_000.0 + minutes[begin:] <= budget)
+            if not len(rest):
+                break
+            begin += int(rest[0])
+    return accepted, used
+
+
+def _threshold(used: int, budget: int) -> int:
+    """The power of two, in units, that the remainder reaches."""
+    rest = _units(budget) - used
+    return 1 << (rest.bit_length() - 1) if rest > 0 else 0
+
+
+def budget_gate(requests: DataFrame, budget_minutes: int, block_rows: int = 16_384) -> DataFrame:
     """Requests (``month, seq, duration_s``) in order while the budget lasts.
 
-    A request is accepted only if every earlier request of the month that is not
-    longer was accepted too: those fitted into a larger remainder.  So of each
-    duration only the first few can be accepted, and they are found by a group
-    limit.  What is left per month is bounded by the budget and is folded in
-    order; everything else is rejected without being collected.  Durations of more
-    than zero count as a hundredth of a second at least.
+    A request is accepted if what is used and its own minutes stay within the budget.  It
+    uses its minutes rounded to four decimals, which for whole seconds is the same as
+    rounding the sum; one rejected uses nothing, and a duration of zero or less is free.
+    A null duration is rejected.
+
+    A month is cut into blocks of requests.  While the remainder is at least 2^k, every
+    request of up to 2^k is accepted, so the effect of a block is the sum of those; these
+    sums compose by addition.  It holds up to the first block in which the remainder falls
+    below 2^k or a longer request fits (which makes it fall as well): that block is folded
+    in order, and the next round goes on behind it with a smaller k.  So a month of any
+    length takes at most as many rounds as the budget has binary digits, all months
+    advance together, and no task holds more than a block and a row per block of a month.
     """
     if budget_minutes <= 0:
         return requests.withColumn("accepted", F.lit(True))
-    free = F.col("duration_s") <= 0
-    minutes = F.col("duration_s") / 60.0
-    rows = requests.select(
-        "month",
-        "seq",
-        F.when(free, F.col("duration_s")).otherwise(F.greatest(F.col("duration_s"), F.lit(0.01))).alias("duration_s"),
+    kind = requests.schema["month"].dataType.simpleString()
+    paid = requests.filter("duration_s > 0").select(
+        "month", F.col("seq").cast("long").alias("seq"), F.col("duration_s").cast("double").alias("d")
+    )
+    placed = dense_positions(paid, ["month"], "seq")
+    blocks = _stored(
+        placed.withColumn("blk", F.floor(F.col("pos") / block_rows))
+        .groupBy("month", "blk")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "d"))).alias("q"))
+        .select("month", "blk", F.col("q.seq").alias("seqs"), F.col("q.d").alias("ds"))
     )
-    # 0.00005 covers the rounding of the used minutes to four decimals
-    most = F.floor(F.lit(float(budget_minutes)) / (minutes - 0.00005)) + 1
-    # a group limit needs a constant: one for whole seconds, one for what is shorter
-    by, whole = ["month", "duration_s"], F.col("duration_s") >= 1
-    long = top_rows(rows.filter(~free & whole), by, ["seq"], budget_minutes * 61)
-    short = top_rows(rows.filter(~free & ~whole), by, ["seq"], budget_minutes * 8572)
-    first = long.unionAll(short).filter(F.col("rank") <= most)
-    fold = (
-        "aggregate(q, named_struct('used', 0D, 'ok', cast(array() AS array<bigint>)), (s, x) -> "
-        f"if(s.used + x.duration_s / 60D <= {float(budget_minutes)}D, named_struct('used', "
-        "round(s.used + x.duration_s / 60D, 4), 'ok', concat(s.ok, array(bigint(x.seq)))), s)).ok"
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            costs = []
+            for durations, used in zip(batch["ds"], batch["used"], strict=True):
+                cost = np.round(np.asarray(durations) / 60.0 * 10_000).astype(np.int64)
+                k = _threshold(int(used), budget_minutes)
+                costs.append(int(cost[cost <= k].sum()) if k else 0)
+            yield batch[["month", "blk", "used"]].assign(cost=costs)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Units before and after each block if nothing turned before it, and whether it turns."""
+        for batch in batches:
+            after, turns = [], []
+            for durations, used, entry in zip(batch["ds"], batch["used"], batch["entry"], strict=True):
+                k = _threshold(int(used), budget_minutes)
+                durations = np.asarray(durations)
+                accepted, left = _spend(durations, int(entry), budget_minutes)
+                cost = np.round(durations / 60.0 * 10_000).astype(np.int64)
+                after.append(left)
+                small = (cost <= k) & (k > 0)
+                turns.append(bool(_units(budget_minutes) - left < k or (accepted != small).any()))
+            yield batch[["month", "blk", "entry"]].assign(after=after, turns=turns)
+
+    state = blocks.select("month").distinct().select(
+        "month", F.lit(0).cast("long").alias("next"), F.lit(0).cast("long").alias("used")
     )
+    settled = None
+    while True:
+        ahead = blocks.join(state, "month").filter(F.col("blk") >= F.col("next"))
+        cost = ahead.select("month", "blk", "ds", "used").mapInPandas(
+            sums, f"month {kind}, blk long, used long, cost long"
+        )
+        before = Window.partitionBy("month").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+        entry = F.col("used") + F.coalesce(F.sum("cost").over(before), F.lit(0))
+        # once the remainder is certainly below the threshold, a block before has turned
+        entries = cost.select("month", "blk", "used", entry.alias("entry")).filter(
+            F.col("entry") <= _units(budget_minutes)
+        )
+        found = _stored(
+            blocks.join(entries, ["month", "blk"])
+            .select("month", "blk", "ds", "used", "entry")
+            .mapInPandas(settle, f"month {kind}, blk long, entry long, after long, turns boolean")
+        )
+        first = found.groupBy("month").agg(
+            F.min(F.when(F.col("turns"), F.struct("blk", "after"))).alias("turn")
+        )
+        valid = found.join(first, "month").filter(F.col("turn").isNull() | (F.col("blk") <= F.col("turn.blk")))
+        settled = valid.select("month", "blk", "entry") if settled is None else settled.unionAll(
+            valid.select("month", "blk", "entry")
+        )
+        state = _stored(
+            first.filter("turn IS NOT NULL").select(
+                "month", (F.col("turn.blk") + 1).alias("next"), F.col("turn.after").alias("used")
+            )
+        )
+        if state.isEmpty():
+            break
+
+    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for month, seqs, durations, entry in batch.itertuples(index=False):
+                fits, _ = _spend(np.asarray(durations), int(entry), budget_minutes)
+                parts.append(pd.DataFrame({"month": month, "seq": np.asarray(seqs)[fits]}))
+            if parts:
+                yield pd.concat(parts)
+
     accepted = (
-        first.groupBy("month")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "duration_s"))).alias("q"))
-        .select("month", F.explode(F.expr(fold)).alias("seq"))
+        blocks.join(settled, ["month", "blk"])
+        .select("month", "seqs", "ds", "entry")
+        .mapInPandas(accept, f"month {kind}, seq long")
         .withColumn("_ok", F.lit(True))
     )
     return requests.join(accepted, ["month", "seq"], "left").withColumn(
-        "accepted", F.coalesce(free | F.col("_ok"), F.lit(False))
+        "accepted", F.coalesce((F.col("duration_s") <= 0) | F.col("_ok"), F.lit(False))
     ).drop("_ok")
 
 
+def _stored(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder; its rows are made once."""
+    path = shared_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def merge_courses(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Primary records plus fall-back records with an unknown id, newest first."""
     extra = fallback.join(primary.select("id"), "id", "left_anti")

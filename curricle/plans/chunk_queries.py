@@ -62,6 +62,15 @@ def chk_pack_long_sources(spark, sf):
     return ck.pack_segments(v.segments(spark, sf), 60, 1, block_rows=16, fan=2).select(*_part_cols())
 
 
+C.add("wide_overlap", f"wide_seg AS (SELECT * FROM segs),\n{v.packed_sql('wide_overlap', 'wide_seg', 60, 3).strip()}", "segs")
+
+
+@register("chk_pack_wide_overlap", C.query(f"SELECT {_PART} FROM wide_overlap", "wide_overlap"))
+def chk_pack_wide_overlap(spark, sf):
+    """Chunks that take over three segments, from blocks that most sources span."""
+    return ck.pack_segments(v.segments(spark, sf), 60, 3, block_rows=16, fan=2).select(*_part_cols())
+
+
 @register(
     "chk_preserve",
     C.query(f"SELECT {_PART} FROM material_parts", "material_parts"),

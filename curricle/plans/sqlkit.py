@@ -54,14 +54,14 @@ def slug(x: str) -> str:
 def fold(sizes: str, budget: int, overlap: int = 0) -> str:
     """1-based indexes at which greedy packing begins a new group."""
     full = f"(acc.cur >= 0 AND acc.cur + x.n > {budget})"
-    carried = "acc.n" if overlap else "0"
+    carried = f"coalesce(list_sum({sizes}[greatest(1, si - {overlap}):si - 1]), 0)::BIGINT" if overlap else "0::BIGINT"
     return (
         f"list_reduce(list_transform({sizes}, lambda sz, si: "
-        "{'i': si, 'n': sz::BIGINT, 'cur': -1::BIGINT, 'st': []::BIGINT[]}), lambda acc, x: "
-        "{'i': x.i, 'n': x.n, "
-        f"'cur': CASE WHEN {full} THEN {carried} + x.n WHEN acc.cur < 0 THEN x.n ELSE acc.cur + x.n END, "
+        f"{{'i': si, 'n': sz::BIGINT, 'c': {carried}, 'cur': -1::BIGINT, 'st': []::BIGINT[]}}), lambda acc, x: "
+        "{'i': x.i, 'n': x.n, 'c': x.c, "
+        f"'cur': CASE WHEN {full} THEN x.c + x.n WHEN acc.cur < 0 THEN x.n ELSE acc.cur + x.n END, "
         f"'st': CASE WHEN acc.cur < 0 OR {full} THEN list_append(acc.st, x.i) ELSE acc.st END}}, "
-        "{'i': 0::BIGINT, 'n': 0::BIGINT, 'cur': -1::BIGINT, 'st': []::BIGINT[]}).st"
+        "{'i': 0::BIGINT, 'n': 0::BIGINT, 'c': 0::BIGINT, 'cur': -1::BIGINT, 'st': []::BIGINT[]}).st"
     )
 
 

@@ -20,7 +20,7 @@ def greedy(sizes, budget, overlap):
 
 def test_packing_of_long_sources_equals_a_plain_fold(spark):
     rng = random.Random(7)
-    for overlap in (0, 1):
+    for overlap in (0, 1, 2, 3, 7):
         sources = {s: [rng.choice([1, 2, 3, 5, 9, 30]) for _ in range(rng.choice([1, 4, 37, 90]))] for s in range(12)}
         rows = [(s, i, n, 12, overlap, f"l{i}", f"t{i}") for s, ns in sources.items() for i, n in enumerate(ns)]
         rng.shuffle(rows)
@@ -40,6 +40,23 @@ def test_packing_with_gaps_before_the_first_piece(spark):
     assert got == [[12, 13], [13, 14], [14, 21], [21, 33], [33, 34], [34, 35]]
 
 
+def test_overlaps_that_differ_between_sources_and_reach_over_blocks(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for s in range(20):
+        overlap, budget = rng.choice([0, 1, 2, 5, 9, 40]), rng.choice([3, 12, 50])
+        seqs = sorted(rng.sample(range(200), rng.choice([1, 6, 40, 120])))
+        sizes = [rng.choice([1, 2, 3, 9, 70]) for _ in seqs]
+        rows += [(s, i, n, budget, overlap, "l", "t") for i, n in zip(seqs, sizes)]
+        want[s] = sorted([seqs[j] for j in g] for g in greedy(sizes, budget, overlap))
+    frame = spark.createDataFrame(rows, "source_id long, seq long, n int, budget int, overlap int, locator string, text string")
+    for sizes in ({"block_rows": 6, "fan": 3}, {}):
+        got = {}
+        for r in pack_groups(frame.repartition(3), **sizes).collect():
+            got.setdefault(r["source_id"], []).append([m["seq"] for m in r["members"]])
+        assert {s: sorted(g) for s, g in got.items()} == want
+
+
 def test_batches_equal_a_plain_fold(spark):
     rng = random.Random(3)
     sizes = {"a": [rng.randint(1, 9) for _ in range(140)], "b": [rng.randint(1, 40) for _ in range(23)], "c": [2]}
@@ -90,9 +107,10 @@ def test_row_local_chunks_equal_table_chunks(spark):
         F.sort_array(F.collect_list(F.struct("seq", "locator", "text"))).alias("segments")
     )
     columns = ["source_id", "chunk_seq", "part_no", "locator", "text"]
-    a = ck.build_chunks(segments, 30, 1).select(*columns)
-    b = ck.chunk_source_rows(packed, 30, 1).select(*columns)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    for overlap in (1, 3):
+        a = ck.build_chunks(segments, 30, overlap).select(*columns)
+        b = ck.chunk_source_rows(packed, 30, overlap).select(*columns)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
 def test_dedupe_keeps_the_first_copy(spark):

@@ -93,3 +93,36 @@ def test_a_video_without_a_profile_is_not_lost_among_vectors(spark):
     sections = spark.createDataFrame([("c", 1, "s1", [1.0, 0.0])], "course_id string, section_ord int, section_id string, vector array<double>")
     got = {r.vec_id: r.score for r in ma.score_vectors(vectors, sections).collect()}
     assert got == {1: 1.0, 2: None}
+
+
+def plain_budget(rows, budget):
+    used, out = {}, {}
+    for month, seq, duration in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if duration is None or duration <= 0:
+            out[month, seq] = duration is not None
+            continue
+        fits = used.get(month, 0) / 10_000 + duration / 60 <= budget
+        if fits:
+            used[month] = used.get(month, 0) + round(duration / 60 * 10_000)
+        out[month, seq] = fits
+    return out
+
+
+def test_budget_of_a_million_minutes_over_many_blocks(spark):
+    rng = random.Random(8)
+    draw = [lambda: rng.uniform(1, 100_000), lambda: rng.choice([0.001, 0.5, 60.0]), lambda: 2.0 ** rng.randrange(-8, 27)]
+    rows = [("long", i, draw[0]()) for i in range(3000)]
+    rows += [("mixed", i, rng.choice(draw)()) for i in range(4000)]
+    rows += [("halves", i, 6e7 / 2 ** (i % 40 + 1)) for i in range(900)]
+    rows += [("short", 0, 5.0), ("short", 1, 0.0), ("short", 2, None), ("short", 3, -1.0), ("none", 0, 0.0)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "month string, seq long, duration_s double").repartition(3)
+    got = {(r.month, r.seq): r.accepted for r in runs.budget_gate(frame, 1_000_000, block_rows=200).collect()}
+    want = plain_budget(rows, 1_000_000)
+    assert got == want
+    assert 500 < sum(want.values()) < len(rows) - 500
+
+
+def test_budget_without_requests(spark):
+    frame = spark.createDataFrame([], "month string, seq long, duration_s long")
+    assert runs.budget_gate(frame, 5).collect() == []
