@@ -27,8 +27,9 @@ from curricle.functions.text import (
 )
 from curricle.functions.tokens import tokenize
 from curricle.operators.coverage import aggregate_scores, group_scores
+from curricle.operators.ranking import select_with_margin
 from curricle.operators.scale import top_rows
-from curricle.sources.segments import ordered_join
+from curricle.sources.segments import ordered_join, verbalize_rows
 
 SHEET = ("sheet",)
 
@@ -294,6 +295,116 @@ def response_segments(
     )
 
 
+def skipped_rows(
+    cells: DataFrame, segments: DataFrame, columns: DataFrame, keys: tuple[str, ...] = SHEET
+) -> DataFrame:
+    """Rows of each sheet that hold something but gave no text: ``keys, data_rows, skipped``.
+
+    ``columns`` (``keys, col_no, first_row``) says from which row on a sheet holds data, and
+    with ``is_question`` which columns make a row count: any filled free-text cell or valid
+    rating.  Without it every row with a filled cell counts.
+    """
+    keys = list(keys)
+    filled = _filled(cells).filter(normalize_text("value") != "")
+    if "is_question" in columns.columns:
+        counted = (
+            filled.join(columns.select(*keys, "col_no", "first_row", "is_question"), [*keys, "col_no"])
+            .filter(~F.col("is_question") | parse_score("value").isNotNull())
+        )
+    else:
+        starts = columns.groupBy(*keys).agg(F.min("first_row").alias("first_row"))
+        counted = filled.join(starts, keys)
+    rows = counted.filter(F.col("row_no") >= F.col("first_row")).select(*keys, "row_no").distinct()
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("data_rows"))
+    made = segments.groupBy(*keys).agg(F.count("*").alias("made"))
+    return totals.join(made, keys, "left").select(
+        *keys, "data_rows", (F.col("data_rows") - F.coalesce("made", F.lit(0))).alias("skipped")
+    )
+
+
+def route_survey_files(
+    files: DataFrame, cells: DataFrame, margin: float = fv.SELECTION_MARGIN
+) -> DataFrame:
+    """How each uploaded file is read: ``file_id, reading, sheet, header_row, warning``.
+
+    ``files``: ``file_id, kind`` (``survey_csv``, ``survey_sheets`` or anything else, as
+    ``route_sources`` names it); ``cells``: ``file_id, sheet, row_no, col_no, value``.
+    All readings are scored over the same cells.  A scored survey goes first; else a
+    spreadsheet needs one sheet of responses, a CSV file gives its rows and any other file
+    its plain segments.  Where two sheets score alike, the file is ambiguous and has no
+    reading.
+    """
+    keys, by = ("file_id", "sheet"), ["file_id"]
+    surveys = select_with_margin(score_survey_sheets(cells, keys), by, ["sheet"], margin).select(
+        "file_id", F.struct("sheet", "header_row", "chosen").alias("survey")
+    )
+    responses = select_with_margin(score_response_sheets(cells, keys), by, ["sheet"], margin).select(
+        "file_id", F.struct("sheet", "chosen").alias("responses")
+    )
+    tabular = F.col("kind").isin("survey_csv", "survey_sheets")
+    is_survey = tabular & F.col("survey").isNotNull()
+    is_sheet = (F.col("kind") == "survey_sheets") & ~is_survey
+    chosen = F.when(is_survey, F.col("survey.chosen")).when(is_sheet, F.coalesce("responses.chosen", F.lit(False)))
+    reading = (
+        F.when(chosen == F.lit(False), None)
+        .when(is_survey, "survey")
+        .when(is_sheet, "responses")
+        .when(F.col("kind") == "survey_csv", "rows")
+        .otherwise("plain")
+    )
+    return (
+        files.join(surveys, "file_id", "left")
+        .join(responses, "file_id", "left")
+        .withColumn("reading", reading)
+        .select(
+            "file_id",
+            "reading",
+            F.when(F.col("reading") == "survey", F.col("survey.sheet"))
+            .when(F.col("reading") == "responses", F.col("responses.sheet"))
+            .alias("sheet"),
+            F.when(F.col("reading") == "survey", F.col("survey.header_row")).alias("header_row"),
+            F.when(F.col("reading").isNull(), F.concat(F.col("file_id").cast("string"), F.lit(": sheet structure is ambiguous"))).alias("warning"),
+        )
+    )
+
+
+def routed_segments(routes: DataFrame, cells: DataFrame, plain: DataFrame) -> DataFrame:
+    """Texts of every file in the reading chosen for it: ``file_id, reading, locator, text``.
+
+    ``plain``: ``file_id, locator, text`` of files that are no tables.
+    """
+    keys = ("file_id", "sheet")
+    surveys = routes.filter("reading = 'survey'").select(*keys, "header_row")
+    answers = routes.filter("reading = 'responses'").select(*keys)
+    free = (
+        survey_columns(cells, keys)
+        .filter("is_free_text")
+        .join(surveys, [*keys, "header_row"], "left_semi")
+        .select(*keys, "col_no", "header", (F.col("header_row") + 1).alias("first_row"), F.lit(0).alias("priority"))
+    )
+    asked = (
+        response_columns(cells, keys)
+        .filter("is_meta OR is_text")
+        .join(answers, list(keys), "left_semi")
+        .select(
+            *keys, "col_no", "header", F.lit(1).cast("long").alias("first_row"),
+            F.when(F.col("is_meta"), 0).otherwise(1).alias("priority"),
+        )
+    )
+    rows = verbalize_rows(cells.join(routes.filter("reading = 'rows'").select("file_id"), "file_id", "left_semi"), keys=("file_id",))
+    shown = ["file_id", "reading", "locator", "text"]
+
+    def named(frame: DataFrame, reading: str) -> DataFrame:
+        return frame.withColumn("reading", F.lit(reading)).select(*shown)
+
+    return (
+        named(response_segments(cells, free, keys, only_rich=True), "survey")
+        .unionByName(named(response_segments(cells, asked, keys), "responses"))
+        .unionByName(named(rows, "rows"))
+        .unionByName(named(plain.join(routes.filter("reading = 'plain'"), "file_id", "left_semi"), "plain"))
+    )
+
+
 def response_counts(files: DataFrame) -> DataFrame:
     """Responses per instructor: per file the largest of its three counts.
 

@@ -16,7 +16,7 @@ from curricle import fixed_values as fv
 from curricle.functions.exprs import col
 from curricle.functions.text import canonical_url, is_playlist_url, is_video_url, video_id
 from curricle.operators.ranking import dense_positions
-from curricle.operators.scale import shared_folder, top_rows
+from curricle.operators.scale import stored, top_rows
 
 # the block folds travel with the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -273,7 +273,7 @@ def budget_gate(requests: DataFrame, budget_minutes: int, block_rows: int = 16_3
         "month", F.col("seq").cast("long").alias("seq"), F.col("duration_s").cast("double").alias("d")
     )
     placed = dense_positions(paid, ["month"], "seq")
-    blocks = _stored(
+    blocks = stored(
         placed.withColumn("blk", F.floor(F.col("pos") / block_rows))
         .groupBy("month", "blk")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "d"))).alias("q"))
@@ -318,7 +318,7 @@ def budget_gate(requests: DataFrame, budget_minutes: int, block_rows: int = 16_3
         entries = cost.select("month", "blk", "used", entry.alias("entry")).filter(
             F.col("entry") <= _units(budget_minutes)
         )
-        found = _stored(
+        found = stored(
             blocks.join(entries, ["month", "blk"])
             .select("month", "blk", "ds", "used", "entry")
             .mapInPandas(settle, f"month {kind}, blk long, entry long, after long, turns boolean")
@@ -330,7 +330,7 @@ def budget_gate(requests: DataFrame, budget_minutes: int, block_rows: int = 16_3
         settled = valid.select("month", "blk", "entry") if settled is None else settled.unionAll(
             valid.select("month", "blk", "entry")
         )
-        state = _stored(
+        state = stored(
             first.filter("turn IS NOT NULL").select(
                 "month", (F.col("turn.blk") + 1).alias("next"), F.col("turn.after").alias("used")
             )
@@ -358,13 +358,6 @@ def budget_gate(requests: DataFrame, budget_minutes: int, block_rows: int = 16_3
     ).drop("_ok")
 
 
-def _stored(frame: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder; its rows are made once."""
-    path = shared_folder(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def merge_courses(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Primary records plus fall-back records with an unknown id, newest first."""
     extra = fallback.join(primary.select("id"), "id", "left_anti")

@@ -8,6 +8,7 @@ from curricle import fixed_values as fv
 from curricle.operators import coverage as co
 from curricle.operators import feedback as fb
 from curricle.operators.ranking import dense_positions
+from curricle.operators.scale import stored
 from curricle.plans import sqlkit as k
 from curricle.plans import views as v
 from curricle.plans.registry import register
@@ -19,25 +20,26 @@ C.add(
     "cells",
     f"""
 cell_rows AS (SELECT d.doc_id % 10 AS sheet, row_number() OVER (PARTITION BY d.doc_id % 10 ORDER BY d.doc_id) AS row_no, l.quality, l.toxic, {k.norm('d.text')} AS body
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 cells AS (
-  SELECT sheet, row_no, 0 AS col_no, (quality + 1)::VARCHAR AS value FROM cell_rows UNION ALL SELECT sheet, row_no, 1, (toxic + 1) || '점' FROM cell_rows
+  SELECT sheet, row_no, 0 AS col_no, coalesce((quality + 1)::VARCHAR, '') AS value FROM cell_rows UNION ALL SELECT sheet, row_no, 1, coalesce((toxic + 1) || '점', '') FROM cell_rows
   UNION ALL SELECT sheet, row_no, 2, CASE WHEN row_no % 4 = 0 THEN '' ELSE body END FROM cell_rows
   UNION ALL SELECT s, 0, c, h FROM (SELECT DISTINCT sheet AS s FROM cell_rows), (VALUES (0, 'BQ1-1. quality'), (1, 'BQ1-2. toxic'), (2, 'comment')) h(c, h))""",
 )
 
 
 def cells(spark, sf):
-    """Ten sheets with two rated questions and a free-text column."""
-    from pyspark.sql import Window
-
+    """Ten sheets with two rated questions and a free-text column; without a label, no rating."""
     docs, labels = v.table(spark, sf, "documents"), v.table(spark, sf, "labels")
-    number = F.row_number().over(Window.partitionBy("sheet").orderBy("doc_id"))
-    rows = docs.join(labels, "doc_id").withColumn("sheet", F.col("doc_id") % 10).withColumn("row_no", number.cast("long"))
+    sheet = (F.col("doc_id") % 10).alias("sheet")
+    # ids are numbered on their own; texts join them afterwards
+    numbers = dense_positions(docs.select("doc_id", sheet), ["sheet"], "doc_id").select("doc_id", "sheet", (F.col("pos") + 1).alias("row_no"))
+    rows = docs.join(numbers, "doc_id").join(labels, "doc_id", "left")
     comment = F.when(F.col("row_no") % 4 == 0, "").otherwise(fb.normalize_text("text"))
-    values = F.array((F.col("quality") + 1).cast("string"), F.concat((F.col("toxic") + 1).cast("string"), F.lit("점")), comment)
+    points = F.concat((F.col("toxic") + 1).cast("string"), F.lit("점"))
+    values = F.array(F.coalesce((F.col("quality") + 1).cast("string"), F.lit("")), F.coalesce(points, F.lit("")), comment)
     body = rows.select("sheet", "row_no", F.posexplode(values).alias("col_no", "value"))
-    head = rows.select("sheet").distinct().select(
+    head = docs.select(sheet).distinct().select(
         "sheet", F.lit(0).cast("long").alias("row_no"),
         F.posexplode(F.expr("array('BQ1-1. quality', 'BQ1-2. toxic', 'comment')")).alias("col_no", "value"),
     )
@@ -90,28 +92,40 @@ def survey_cells(spark, sf):
     return shifted.unionByName(extra)
 
 
-_HDR = (
-    "SELECT sheet, 2::BIGINT AS header_row, c AS col_no, h AS header FROM (SELECT DISTINCT sheet FROM cells WHERE sheet % 2 = 0), "
-    "(VALUES (0::BIGINT, 'Lecture / Ratings / BQ1-1. quality'), (1, 'Lecture / ratings / BQ1-2. toxic'), (2, 'Other / comment')) x(c, h) "
-    "UNION ALL SELECT sheet, 0, col_no, value FROM cells WHERE row_no = 0 AND sheet % 2 = 1"
-)
+_QID = k.q(fv.QUESTION_ID)
+_FREE = lambda x: k.contains_any(f"lower({x})", fv.FREE_TEXT_HINTS)
 
 
-@register("voc_headers", C.query(_HDR, "cells"))
-def voc_headers(spark, sf):
-    headers = fb.collapse_headers(survey_cells(spark, sf))
-    question_row = F.when(F.col("sheet") % 2 == 0, 2).otherwise(0)
-    return headers.filter(F.col("header_row") == question_row).select("sheet", "header_row", "col_no", "header")
+def _survey_sql(name: str, source: str, by: str) -> str:
+    """Headers of every possible header row, the kind of each column, and the best header row."""
+    bare = f"regexp_replace({k.norm('value')}, '점$', '')"
+    same = " AND ".join(f"x.{c} = h.{c}" for c in by.split(", "))
+    qualified = ", ".join(f"h.{c}" for c in by.split(", "))
+    return rf"""
+{name}_fill AS (SELECT {by}, row_no, col_no, {k.norm('value')} AS leaf, last_value(nullif({k.norm('value')}, '') IGNORE NULLS) OVER (PARTITION BY {by}, row_no ORDER BY col_no) AS v FROM {source} WHERE row_no <= {fv.HEADER_ROW_LAST}),
+{name}_cand AS (SELECT x.*, h.header_row FROM {name}_fill x JOIN (SELECT DISTINCT {by}, row_no AS header_row FROM {name}_fill) h ON {same} AND x.row_no <= h.header_row WHERE x.v IS NOT NULL),
+{name}_step AS (SELECT *, lag(v) OVER (PARTITION BY {by}, header_row, col_no ORDER BY row_no) AS above FROM {name}_cand),
+{name}_header AS (SELECT {by}, header_row, col_no, string_agg(v, ' / ' ORDER BY row_no) AS header FROM {name}_step WHERE above IS NULL OR lower(above) <> lower(v) GROUP BY ALL),
+{name}_usable AS (SELECT {by}, row_no AS header_row FROM {name}_fill GROUP BY ALL HAVING bool_or(regexp_matches(leaf, {_QID}) OR {_FREE('leaf')})),
+{name}_value AS (SELECT {by}, row_no, col_no, CASE WHEN regexp_matches({bare}, '^[+-]?(\d+\.?\d*|\.\d+)$') AND try_cast({bare} AS DOUBLE) BETWEEN 1 AND 5 THEN try_cast({bare} AS DOUBLE) END AS score, {text_rich_sql('value')} AS rich
+  FROM {source} WHERE {k.norm('value')} <> ''),
+{name}_stat AS (SELECT {qualified}, h.header_row, h.col_no, h.header, upper(regexp_extract_all(h.header, {_QID}, 1)[-1]) AS qid, count(x.row_no) AS n, count(x.score) AS scored, max(x.score) AS top, count_if(coalesce(x.rich, false)) AS rich
+  FROM {name}_header h SEMI JOIN {name}_usable u USING ({by}, header_row) LEFT JOIN {name}_value x ON {same} AND x.col_no = h.col_no AND x.row_no > h.header_row GROUP BY ALL),
+{name}_kind AS (SELECT *, coalesce(starts_with(qid, 'BQ') AND n > 0 AND scored >= greatest(2, ceil(n * {fv.QUESTION_VALID_SHARE})), false) AS is_question, {_FREE('header')} AND rich > 0 AS freely FROM {name}_stat),
+{name}_rows AS (SELECT {qualified}, h.header_row, count(DISTINCT x.row_no) AS response_rows FROM {name}_kind h JOIN {name}_value x ON {same} AND x.col_no = h.col_no AND x.row_no > h.header_row AND ((h.is_question AND x.score IS NOT NULL) OR (NOT h.is_question AND h.freely)) GROUP BY ALL),
+{name} AS (SELECT *, least(response_rows, 120) * 0.05::DOUBLE + questions * 1.4::DOUBLE + free_texts * 0.8::DOUBLE + header_row * 0.35::DOUBLE AS score
+  FROM (SELECT {by}, header_row, count_if(is_question)::BIGINT AS questions, count_if(freely AND NOT is_question)::BIGINT AS free_texts FROM {name}_kind GROUP BY ALL) JOIN {name}_rows USING ({by}, header_row)
+  WHERE questions > 0 AND response_rows >= 2 QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY score DESC, header_row) = 1)"""
 
 
-C.add(
-    "survey",
-    """
-survey_best AS (
-  SELECT sheet, (CASE WHEN sheet % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS header_row, 2::BIGINT AS questions, 1::BIGINT AS free_texts, count(DISTINCT row_no) AS response_rows FROM cells WHERE row_no > 0 GROUP BY sheet),
-survey AS (SELECT *, least(response_rows, 120) * 0.05::DOUBLE + questions * 1.4::DOUBLE + free_texts * 0.8::DOUBLE + header_row * 0.35::DOUBLE AS score FROM survey_best)""",
-    "cells",
-)
+C.add("survey", _survey_sql("survey", "survey_cells", "sheet").strip(), "survey_cells")
+
+
+@register("voc_headers", C.query("SELECT sheet, header_row, col_no, header FROM survey_header", "survey"))
+def voc_headers(spark, sf):
+    """Collapsed headers for each of the first five rows as the header row."""
+    headers = fb.collapse_headers(survey_cells(spark, sf))
+    return headers.filter("header <> ''").select("sheet", "header_row", "col_no", "header")
 
 
 @register("voc_survey_sheets", C.query("SELECT sheet, header_row, questions, free_texts, response_rows, round(score, 6) AS score FROM survey", "survey"))
@@ -123,9 +137,11 @@ def voc_survey_sheets(spark, sf):
 @register(
     "voc_question_scores",
     C.query(
-        "SELECT sheet, CASE col_no WHEN 0 THEN 'BQ1-1' ELSE 'BQ1-2' END AS question_id, 'BQ1' AS grp, CASE col_no WHEN 0 THEN 'quality' ELSE 'toxic' END AS label, "
-        "5::BIGINT AS scale_max, round(avg(replace(value, '점', '')::DOUBLE), 2) AS average, count(*) AS response_count FROM cells WHERE row_no > 0 AND col_no < 2 GROUP BY ALL",
-        "cells",
+        "SELECT c.sheet, qid AS question_id, split_part(qid, '-', 1) AS grp, trim(regexp_replace(f.leaf, '(?i)^.*?\\b' || qid || '\\b[\\s.\\-:)]*', '')) AS label, "
+        "greatest(5, floor(any_value(c.top)))::BIGINT AS scale_max, round(avg(x.score), 2) AS average, count(*) AS response_count "
+        "FROM survey_kind c JOIN survey b ON b.sheet = c.sheet AND b.header_row = c.header_row JOIN survey_fill f ON f.sheet = c.sheet AND f.row_no = c.header_row AND f.col_no = c.col_no "
+        "JOIN survey_value x ON x.sheet = c.sheet AND x.col_no = c.col_no AND x.row_no > c.header_row AND x.score IS NOT NULL WHERE c.is_question GROUP BY c.sheet, qid, f.leaf",
+        "survey",
     ),
 )
 def voc_question_scores(spark, sf):
@@ -140,10 +156,27 @@ def voc_question_scores(spark, sf):
 )
 def voc_response_segments(spark, sf):
     sheet_cells = cells(spark, sf)
-    columns = fb.response_columns(sheet_cells).filter("is_meta OR is_text").select(
+    return fb.response_segments(sheet_cells, _asked(sheet_cells)).select("sheet", "locator", "text")
+
+
+def _asked(sheet_cells):
+    return fb.response_columns(sheet_cells).filter("is_meta OR is_text").select(
         "sheet", "col_no", "header", F.lit(1).cast("long").alias("first_row"), F.when(F.col("is_meta"), 0).otherwise(1).alias("priority")
     )
-    return fb.response_segments(sheet_cells, columns).select("sheet", "locator", "text")
+
+
+@register(
+    "voc_skipped_rows",
+    C.query(
+        "SELECT sheet, count(DISTINCT row_no) AS data_rows, count(DISTINCT row_no) - count(DISTINCT row_no) FILTER (col_no = 2) AS skipped FROM cells WHERE row_no > 0 AND value <> '' GROUP BY sheet",
+        "cells",
+    ),
+)
+def voc_skipped_rows(spark, sf):
+    """Rows with a rating or a comment, and how many of them gave no text."""
+    sheet_cells = cells(spark, sf)
+    columns = _asked(sheet_cells)
+    return fb.skipped_rows(sheet_cells, fb.response_segments(sheet_cells, columns), columns)
 
 
 @register(
@@ -161,6 +194,86 @@ def voc_sheet_choice(spark, sf):
     return select_with_margin(candidates, ["file_id"], ["sheet"]).select("file_id", "sheet", "score", "chosen")
 
 
+# --- files and their readings --------------------------------------------------------
+# four files a sheet: the survey, the same without question ids, that with a second sheet, a text
+C.add(
+    "file_cells",
+    f"""
+upload AS (SELECT DISTINCT sheet * 4 + f AS file_id, sheet, f, CASE WHEN f = 3 THEN 'text' WHEN (sheet + f) % 2 = 0 THEN 'survey_sheets' ELSE 'survey_csv' END AS kind FROM survey_cells, (VALUES (0), (1), (2), (3)) x(f)),
+file_cells AS (
+  SELECT u.file_id, p.part AS sheet, c.row_no, c.col_no, CASE WHEN u.f > 0 THEN regexp_replace(regexp_replace(c.value, '^BQ', 'Q'), '^comment$', 'notes') ELSE c.value END AS value
+  FROM upload u JOIN survey_cells c ON c.sheet = u.sheet, (VALUES (0), (1)) p(part) WHERE u.f < 3 AND (p.part = 0 OR (u.f = 2 AND u.kind = 'survey_sheets'))),
+{_survey_sql('filed', 'file_cells', 'file_id, sheet').strip()},
+filed_cols AS (SELECT file_id, sheet, col_no, count(*) AS non_empty, count_if({numeric_like_sql('value')}) AS numeric_like, count_if({text_rich_sql('value')}) AS text_like,
+    sum(length(value)) FILTER ({text_rich_sql('value')}) AS text_chars FROM file_cells WHERE row_no > 0 AND value <> '' GROUP BY ALL),
+filed_text AS (SELECT p.*, h.value AS label, {k.contains_any('lower(h.value)', fv.SHEET_HEADER_HINTS)} AS hinted, {k.contains_any('lower(h.value)', fv.SHEET_META_HINTS)} AS meta, coalesce(CASE WHEN {k.contains_any('lower(h.value)', fv.SHEET_TEXT_HINTS)} THEN text_like > 0
+    ELSE text_like >= 2 AND text_chars / text_like >= 8 END, false) AS is_text FROM filed_cols p LEFT JOIN file_cells h ON h.file_id = p.file_id AND h.sheet = p.sheet AND h.col_no = p.col_no AND h.row_no = 0 AND h.value <> ''),
+filed_score AS (
+  SELECT s.file_id, s.sheet, least(r.data_rows, 50) * 0.08::DOUBLE + s.text_columns * 1.2::DOUBLE + s.meta_columns * 0.2::DOUBLE + t.response_rows * 0.15::DOUBLE + s.hints * 0.6::DOUBLE - s.ratio * 1.5::DOUBLE AS score
+  FROM (SELECT file_id, sheet, sum(numeric_like)::DOUBLE / sum(non_empty) AS ratio, count_if(is_text) AS text_columns, count_if(NOT is_text AND coalesce(meta, false)) AS meta_columns, count_if(coalesce(hinted, false)) AS hints FROM filed_text GROUP BY ALL) s
+  JOIN (SELECT file_id, sheet, count(DISTINCT row_no) AS data_rows FROM file_cells WHERE row_no > 0 AND value <> '' GROUP BY ALL) r USING (file_id, sheet)
+  JOIN (SELECT c.file_id, c.sheet, count(DISTINCT row_no) AS response_rows FROM file_cells c JOIN filed_text t ON t.file_id = c.file_id AND t.sheet = c.sheet AND t.col_no = c.col_no AND t.is_text WHERE row_no > 0 AND value <> '' AND {text_rich_sql('value')} GROUP BY ALL) t USING (file_id, sheet)
+  WHERE s.text_columns > 0 AND r.data_rows >= 2 AND t.response_rows >= 2 AND s.ratio <= {fv.NUMERIC_RATIO_MAX}),
+pick_s AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS second FROM filed WINDOW w AS (PARTITION BY file_id ORDER BY score DESC, sheet)),
+pick_r AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS second FROM filed_score WINDOW w AS (PARTITION BY file_id ORDER BY score DESC, sheet)),
+routes AS (
+  SELECT u.file_id, u.kind, CASE WHEN kind = 'text' THEN 'plain' WHEN s.file_id IS NOT NULL THEN CASE WHEN s.second IS NULL OR s.score >= s.second + {fv.SELECTION_MARGIN} THEN 'survey' END
+      WHEN kind = 'survey_csv' THEN 'rows' WHEN r.file_id IS NOT NULL AND (r.second IS NULL OR r.score >= r.second + {fv.SELECTION_MARGIN}) THEN 'responses' END AS reading,
+    s.sheet AS s_sheet, r.sheet AS r_sheet, s.header_row FROM upload u LEFT JOIN pick_s s ON s.file_id = u.file_id AND s.rk = 1 LEFT JOIN pick_r r ON r.file_id = u.file_id AND r.rk = 1)""",
+    "survey_cells",
+)
+
+
+def _uploads(spark, sf):
+    sheets = survey_cells(spark, sf)
+    part = F.explode(F.expr("if(f = 2 AND sheet % 2 = 0, array(0L, 1L), array(0L))"))
+    plain_value = F.regexp_replace(F.regexp_replace("value", "^BQ", "Q"), "^comment$", "notes")
+    numbered = sheets.withColumn("f", F.explode(F.array(*map(F.lit, range(4)))))
+    file_id = (F.col("sheet") * 4 + F.col("f")).alias("file_id")
+    kind = F.when(F.col("f") == 3, "text").when((F.col("sheet") + F.col("f")) % 2 == 0, "survey_sheets").otherwise("survey_csv")
+    files = numbered.select(file_id, kind.alias("kind")).distinct()
+    file_cells = numbered.filter("f < 3").withColumn("part", part).select(
+        file_id, F.col("part").alias("sheet"), "row_no", "col_no", F.when(F.col("f") > 0, plain_value).otherwise(F.col("value")).alias("value")
+    )
+    plain = numbered.filter("f = 3 AND col_no = 2 AND value <> ''").select(file_id, F.concat(F.lit("full."), F.col("row_no").cast("string")).alias("locator"), F.col("value").alias("text"))
+    return files, stored(file_cells), plain
+
+
+@register(
+    "src_survey_route",
+    C.query(
+        "SELECT file_id, reading, (CASE reading WHEN 'survey' THEN s_sheet WHEN 'responses' THEN r_sheet END)::VARCHAR AS sheet, (CASE WHEN reading = 'survey' THEN header_row END)::VARCHAR AS header_row, "
+        "CASE WHEN reading IS NULL THEN file_id || ': sheet structure is ambiguous' END AS warning FROM routes",
+        "file_cells",
+    ),
+)
+def src_survey_route(spark, sf):
+    files, file_cells, _ = _uploads(spark, sf)
+    routes = fb.route_survey_files(files, file_cells)
+    return routes.withColumns({c: F.col(c).cast("string") for c in ("sheet", "header_row")})
+
+
+@register(
+    "src_survey_segments",
+    C.query(
+        f"""SELECT r.file_id, reading, c.sheet || '.row.' || (c.row_no - r.header_row) AS locator, string_agg(q.header || ': ' || {k.norm('c.value')}, ' | ' ORDER BY c.col_no) AS text
+FROM routes r JOIN filed_kind q ON q.file_id = r.file_id AND q.sheet = r.s_sheet AND q.header_row = r.header_row AND q.freely AND NOT q.is_question
+JOIN file_cells c ON c.file_id = r.file_id AND c.sheet = r.s_sheet AND c.col_no = q.col_no AND c.row_no > r.header_row AND {text_rich_sql('c.value')} WHERE reading = 'survey' GROUP BY r.file_id, reading, c.sheet, c.row_no, r.header_row
+UNION ALL SELECT r.file_id, reading, c.sheet || '.row.' || c.row_no, string_agg(coalesce(nullif({k.norm('lower(t.label)')}, ''), 'column ' || (c.col_no + 1)) || ': ' || {k.norm('c.value')}, ' | ' ORDER BY NOT (NOT t.is_text AND coalesce(t.meta, false)), c.col_no)
+FROM routes r JOIN filed_text t ON t.file_id = r.file_id AND t.sheet = r.r_sheet AND (t.is_text OR coalesce(t.meta, false))
+JOIN file_cells c ON c.file_id = r.file_id AND c.sheet = r.r_sheet AND c.col_no = t.col_no AND c.row_no > 0 AND {k.norm('c.value')} <> '' WHERE reading = 'responses' GROUP BY r.file_id, reading, c.sheet, c.row_no
+UNION ALL SELECT r.file_id, reading, 'row.' || c.row_no, string_agg(coalesce(nullif({k.norm('h.value')}, ''), 'column') || ': ' || {k.norm('c.value')}, ' | ' ORDER BY c.col_no)
+FROM routes r JOIN file_cells c ON c.file_id = r.file_id AND c.row_no > 0 AND {k.norm('c.value')} <> '' JOIN file_cells h ON h.file_id = c.file_id AND h.sheet = c.sheet AND h.row_no = 0 AND h.col_no = c.col_no WHERE reading = 'rows' GROUP BY r.file_id, reading, c.row_no
+UNION ALL SELECT r.file_id, reading, 'full.' || c.row_no, c.value FROM routes r JOIN upload u ON u.file_id = r.file_id JOIN survey_cells c ON c.sheet = u.sheet AND c.col_no = 2 AND c.value <> '' WHERE reading = 'plain'""",
+        "file_cells",
+    ),
+)
+def src_survey_segments(spark, sf):
+    files, file_cells, plain = _uploads(spark, sf)
+    routes = stored(fb.route_survey_files(files, file_cells))
+    return fb.routed_segments(routes, file_cells, plain)
+
+
 # --- responses ---------------------------------------------------------------------
 C.add(
     "responses",
