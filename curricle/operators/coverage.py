@@ -6,7 +6,7 @@ later steps work on that small table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curricle import fixed_values as fv
@@ -43,14 +43,13 @@ def coverage_grid(instructors: DataFrame, sections: DataFrame, aggregates: DataF
     ``instructors`` has ``course_id, instructor, instructor_ord``.  The grid comes
     from an equi-join on the course.
     """
+    # one row per lane with its few sections as a map: the aggregates are read once
+    cell = F.when(F.col("section_id").isNotNull(), F.struct("section_id", "tokens"))
+    unmapped = F.when(F.col("section_id").isNull(), F.col("tokens")).otherwise(0)
     totals = aggregates.groupBy(*GRID).agg(
         F.sum("tokens").alias("total_tokens"),
-        F.sum(F.when(F.col("section_id").isNull(), F.col("tokens")).otherwise(0)).alias(
-            "unmapped_tokens"
-        ),
-    )
-    cells = aggregates.filter(F.col("section_id").isNotNull()).withColumnRenamed(
-        "tokens", "section_tokens"
+        F.sum(unmapped).alias("unmapped_tokens"),
+        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
     )
     modes = F.array(*[F.lit(m) for m in fv.MODES])
     lanes = (
@@ -62,10 +61,10 @@ def coverage_grid(instructors: DataFrame, sections: DataFrame, aggregates: DataF
     zero = F.lit(0).cast("long")
     return (
         lanes.join(dims, "course_id")
-        .join(cells, [*GRID, "section_id"], "left")
-        .withColumn("section_tokens", F.coalesce("section_tokens", zero))
+        .withColumn("section_tokens", F.coalesce(F.col("_cells")[F.col("section_id")], zero))
         .withColumn("total_tokens", F.coalesce("total_tokens", zero))
         .withColumn("unmapped_tokens", F.coalesce("unmapped_tokens", zero))
+        .drop("_cells")
     )
 
 
@@ -83,10 +82,9 @@ def instructor_coverage(grid: DataFrame) -> DataFrame:
             0.0
         ),
     )
-    means = shares.groupBy("course_id", "mode", "section_id").agg(
-        F.avg("token_share").alias("average_share")
-    )
-    return shares.join(means, ["course_id", "mode", "section_id"]).withColumn(
+    # the grid holds a row per instructor and section of a course, not its chunks
+    everyone = Window.partitionBy("course_id", "mode", "section_id")
+    return shares.withColumn("average_share", F.avg("token_share").over(everyone)).withColumn(
         "deviation", F.col("token_share") - F.col("average_share")
     )
 

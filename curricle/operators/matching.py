@@ -3,11 +3,17 @@
 A chunk meets its course profile through one equi-join on ``course_id``; all
 scores, gates and rescue rules are then expressions over the few sections of
 that row.  Assigning a chunk therefore needs no shuffle at all, and a course
-that owns most chunks is spread like any other.
+that owns most chunks is spread like any other.  Only vectors, which are long, are
+dealt to blocks and multiplied there as matrices.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +29,9 @@ from curricle.functions.tokens import (
 )
 from curricle.operators.curriculum import with_course
 
+# the matrix products travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Thresholds = tuple[float, float]
 CHUNK_KEYS = ("course_id", "source_id", "chunk_seq", "part_no")
 
@@ -89,45 +98,83 @@ def score_lexical(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def _cosine_rule(a: str, b: str) -> str:
-    def length(v: str) -> str:
-        return f"sqrt(aggregate({v}, 0D, (s_, x_) -> s_ + double(x_) * x_))"
+VECTOR_BLOCK = 1_024
+
+
+def _unit_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows of length one; null and zero vectors stay zero, short ones are filled up."""
+    out = np.zeros((len(column), width))
+    for i, vector in enumerate(column.to_numpy() if len(column) else ()):
+        if vector is not None:
+            out[i, : len(vector)] = vector
+    out = np.nan_to_num(out)
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norms, out=out, where=norms > 0)
 
-    dot = f"aggregate(zip_with({a}, {b}, (x_, y_) -> double(x_) * y_), 0D, (s_, x_) -> s_ + x_)"
-    return let(
-        f"{length(a)} * {length(b)}", lambda n: f"if({n} > 0, greatest(0D, {dot} / {n}), 0D)"
-    )
 
+def _cosines(kept: list[str]):
+    """A task function: a block of chunk vectors times the sections of its course."""
 
-def vector_profiles(section_vectors: DataFrame) -> DataFrame:
-    """One row per course with its section vectors in section order."""
-    return section_vectors.groupBy("course_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col("section_ord").alias("ord"), "section_id", "vector"))
-        ).alias("vecs")
+    def work(chunks: pa.Table, sections: pa.Table) -> pa.Table:
+        sections = sections.sort_by([("section_ord", "ascending"), ("section_id", "ascending")])
+        sizes = [t["vector"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) for t in (chunks, sections)]
+        width = int(np.nan_to_num(np.concatenate([*sizes, [0]]).astype(np.float64)).max())
+        if len(sections) and len(chunks):
+            product = _unit_rows(chunks["vector"], width) @ _unit_rows(sections["vector"], width).T
+            flat = pa.array(np.maximum(product, 0.0).reshape(-1))
+            ends = pa.array(np.arange(len(chunks) + 1) * len(sections), pa.int32())
+            scores = pa.ListArray.from_arrays(ends, flat)
+        else:
+            scores = pa.nulls(len(chunks), pa.list_(pa.float64()))
+        return pa.Table.from_arrays([*(chunks[c] for c in kept), scores], names=[*kept, "scores"])
+
+    return work
+
+
+def _scored_vectors(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataFrame:
+    """Chunk columns and ``scores`` with all sections of the course, in section order.
+
+    Chunks of a course are dealt to blocks of bounded size; a block meets the section
+    vectors once and is multiplied as a matrix, so no norm is taken inside the pair loop
+    and no vector is copied per pair.  Without sections ``scores`` is null.
+    """
+    kept = [c for c in chunk_vectors.columns if c != "vector"]
+    counts = chunk_vectors.groupBy("course_id").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("_n"))
+    number = F.pmod(F.xxhash64(*kept, "vector"), F.col("_n")).alias("_block")
+    rows = chunk_vectors.join(counts, "course_id").select(*kept, "vector", number)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_block")
+    sections = section_vectors.join(counts, "course_id").select(
+        "course_id", blocks, "section_ord", "section_id", "vector"
+    )
+    schema = ", ".join(f"`{c}` {chunk_vectors.schema[c].dataType.simpleString()}" for c in kept)
+    key = ["course_id", "_block"]
+    return rows.groupBy(*key).cogroup(sections.groupBy(*key)).applyInArrow(
+        _cosines(kept), f"{schema}, scores array<double>"
     )
 
 
 def score_vectors(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataFrame:
-    """Non-negative cosine of each chunk vector with the sections of its course."""
-    joined = chunk_vectors.join(vector_profiles(section_vectors), "course_id", "left")
-    carried = [c for c in chunk_vectors.columns if c != "vector"]
-    return joined.select(
-        *carried,
+    """Non-negative cosine of each chunk vector with the sections of its course.
+
+    A zero vector scores 0 everywhere; a chunk of a course without sections gives one row
+    without section and score.
+    """
+    scored = _scored_vectors(chunk_vectors, section_vectors)
+    names = section_vectors.groupBy("course_id").agg(
+        F.sort_array(F.collect_list(F.struct("section_ord", "section_id"))).alias("_names")
+    )
+    return scored.join(names, "course_id", "left").select(
+        *[c for c in chunk_vectors.columns if c != "vector"],
         F.expr(
-            "inline_outer(transform(vecs, s -> named_struct('section_ord', s.ord, 'section_id', "
-            f"s.section_id, 'score', {_cosine_rule('vector', 's.vector')})))"
+            "inline_outer(transform(_names, (s, i) -> named_struct('section_ord', s.section_ord, "
+            "'section_id', s.section_id, 'score', scores[i])))"
         ),
     )
 
 
 def vector_score_rows(chunk_vectors: DataFrame, section_vectors: DataFrame) -> DataFrame:
     """``scores`` of each chunk vector with all sections of its course, in section order."""
-    joined = chunk_vectors.join(vector_profiles(section_vectors), "course_id")
-    return joined.select(
-        *[c for c in chunk_vectors.columns if c != "vector"],
-        F.expr(f"transform(vecs, s -> {_cosine_rule('vector', 's.vector')})").alias("scores"),
-    )
+    return _scored_vectors(chunk_vectors, section_vectors).filter(F.col("scores").isNotNull())
 
 
 # --- anchors -----------------------------------------------------------------

@@ -59,10 +59,13 @@ cov AS (SELECT *, avg(token_share) OVER (PARTITION BY course_id, mode, section_i
 )
 
 
+def token_totals(spark, sf):
+    return co.token_aggregates(assignments(spark, sf))
+
+
 def coverage(spark, sf):
     """Coverage of all modes; one lazy plan."""
-    aggregates = co.token_aggregates(assignments(spark, sf))
-    grid = co.coverage_grid(instructors(spark, sf), v.sections(spark, sf), aggregates)
+    grid = co.coverage_grid(instructors(spark, sf), v.sections(spark, sf), token_totals(spark, sf))
     return co.instructor_coverage(grid)
 
 
@@ -91,7 +94,7 @@ def agg_mode_fan_out(spark, sf):
 
 @register("agg_tokens", C.query("SELECT course_id, mode, instructor, section_id, tokens FROM tok_aggs", "tok_aggs"))
 def agg_tokens(spark, sf):
-    return co.token_aggregates(assignments(spark, sf))
+    return token_totals(spark, sf)
 
 
 _CELL = "course_id, mode, instructor, section_id"

@@ -75,20 +75,51 @@ def segments_from_slides(
 
 
 def segments_from_text(files: DataFrame) -> DataFrame:
-    """One ``full`` segment per text file (``path``, ``value``); blank files warn."""
+    """One ``full`` segment per text file (``path``, ``value``); blank files warn.
+
+    A warning that the file already has (see ``read_text_files``) is kept.
+    """
+    given = F.col("warning") if "warning" in files.columns else F.lit(None).cast("string")
+    empty = F.when(F.col("text") == "", F.lit("text: the file is empty"))
     return files.select(
-        *[c for c in files.columns if c != "value"],
+        *[c for c in files.columns if c not in ("value", "warning")],
         F.lit("text").alias("source_type"),
         F.lit("full").alias("locator"),
         F.lit(0).cast("long").alias("seq"),
-        normalize_text("value").alias("text"),
-    ).withColumn("warning", F.when(F.col("text") == "", F.lit("text: the file is empty")))
+        normalize_text(F.coalesce("value", F.lit(""))).alias("text"),
+        given.alias("_given"),
+    ).withColumn("warning", F.coalesce("_given", empty)).drop("_given")
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files with their path, ready for ``segments_from_text``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
+def read_text_files(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """Whole text files: ``path, value, size, modified_at, warning``.
+
+    Bytes that are no UTF-8 are left out and the file gets a warning.  ``expected`` (``path``,
+    as Spark names files) lists files that should be there: one that has vanished, even
+    while the folder is read, and one without any byte come as a row without a value.
+    """
+    scan = (
+        spark.read.option("ignoreMissingFiles", "true")
+        .text(path, wholetext=True, recursiveFileLookup=True)
+    )
+    sound = F.is_valid_utf8("value")
+    mended = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    found = scan.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.when(sound, F.col("value")).otherwise(mended).alias("value"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("modified_at"),
+        F.when(~sound, F.lit("text: bytes that are no UTF-8 were left out")).alias("warning"),
+    )
+    if expected is None:
+        return found
+    joined = expected.select(F.col("path").alias("_path")).distinct().join(
+        found, F.col("_path") == F.col("path"), "full_outer"
+    )
+    lost = F.when(F.col("path").isNull(), F.lit("text: the file has no content or is gone"))
+    return joined.select(
+        F.coalesce("path", "_path").alias("path"), "value", "size", "modified_at",
+        F.coalesce("warning", lost).alias("warning"),
     )
 
 
