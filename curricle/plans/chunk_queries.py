@@ -394,14 +394,15 @@ def dim_vocabulary(spark, sf):
     return cu.curriculum_vocab(v.sections(spark, sf))
 
 
-@register(
-    "dim_dictionary",
-    C.query(
-        f"SELECT DISTINCT course_id, lower(w) AS term FROM (SELECT course_id, unnest(string_split(trim(regexp_replace(p, {k.q(fv.DICTIONARY_BREAK)}, ' ', 'g')), ' ')) AS w FROM ("
-        "SELECT course_id, title AS p FROM sections UNION ALL SELECT course_id, alias FROM aliases UNION ALL SELECT course_id, term FROM manchors)) WHERE length(w) >= 2",
-        "described",
-    ),
+C.add(
+    "dictionary",
+    f"dictionary AS (SELECT DISTINCT course_id, lower(w) AS term FROM (SELECT course_id, unnest(string_split(trim(regexp_replace(p, {k.q(fv.DICTIONARY_BREAK)}, ' ', 'g')), ' ')) AS w FROM ("
+    "SELECT course_id, title AS p FROM sections UNION ALL SELECT course_id, alias FROM aliases UNION ALL SELECT course_id, term FROM manchors)) WHERE length(w) >= 2)",
+    "described",
 )
+
+
+@register("dim_dictionary", C.query("SELECT course_id, term FROM dictionary", "dictionary"))
 def dim_dictionary(spark, sf):
     return cu.dictionary_terms(described(spark, sf))
 
