@@ -243,16 +243,15 @@ headings AS (
   SELECT conv_id * 1000 + turn AS hid,
     CASE conv_id % 4 WHEN 0 THEN 'Chapter ' || turn || ': ' || t || ' 총 3강' WHEN 1 THEN t || ' / Decision Trees & overview'
       WHEN 2 THEN t || ' and Support Vector Machines SVM, Intro' ELSE 'Part 2 - (' || t || ')' END AS heading
-  FROM (SELECT conv_id, turn, {k.norm('text')} AS t FROM conversations WHERE role = 'user'))""",
+  FROM (SELECT conv_id, turn, {k.norm('text')} AS t FROM conversations))""",
 )
 
 
 def headings(spark, sf):
-    """Section headings in several layouts, around the user turns."""
+    """Section headings in several layouts, around the turns of all conversations."""
     t = tx.normalize_text("text")
     style = F.col("conv_id") % 4
-    rows = table(spark, sf, "conversations").filter(F.col("role") == "user")
-    return spread(rows).select(
+    return spread(table(spark, sf, "conversations")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("hid"),
         F.when(style == 0, F.concat(F.lit("Chapter "), F.col("turn").cast("string"), F.lit(": "), t, F.lit(" 총 3강")))
         .when(style == 1, F.concat(t, F.lit(" / Decision Trees & overview")))
