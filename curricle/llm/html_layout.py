@@ -6,7 +6,8 @@ element hidden by attribute or inline style, no closed details.  Text of formula
 and drawings (SVG) counts, but not their titles, definitions and annotations; text between
 the parts of a table stands before it, as browsers show it.  The layout keeps blank lines
 between blocks, marks and indents list items, numbers ordered ones, keeps white space of
-preformatted text and aligns table cells in columns.
+preformatted text and aligns table cells in columns.  Values of form fields are not text of
+the page and are left out.
 
 It is row local: one page at a time in Arrow batches, with explicit stacks, so deep nesting
 is no recursion and time grows with the length of the page.  Null, empty and tagless pages
@@ -16,6 +17,7 @@ give their (perhaps empty) text; repeated rows are alike; other columns are igno
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,7 +32,11 @@ MARKUP = re.compile(
 )
 LOOSE_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
-STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
+STYLE = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)")
+COMMENT_END = re.compile(r"--!?>")
+#: References to characters by more digits than any code has; leading zeros say nothing.
+ZEROS = re.compile(r"&#0+(?=\d)")
+TOO_LARGE = re.compile(r"&#[1-9]\d{7,};?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -185,13 +191,26 @@ class Table:
 def attributes_of(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, double, single, bare in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(double or single or bare))
+        found.setdefault(name.lower(), _unescaped(double or single or bare))
     return found
 
 
+def _number(value: str, other: int) -> int:
+    """The number of an attribute, which may have any number of digits."""
+    if not (value.isascii() and value.isdigit()):
+        return other
+    digits = value.lstrip("0")
+    return int(digits or "0") if len(digits) <= 10 else 10**10
+
+
 def _span(attributes: dict[str, str], name: str) -> int:
-    value = attributes.get(name, "1")
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
+    return min(max(_number(attributes.get(name, "1"), 1), 1), 1000)
+
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = TOO_LARGE.sub("\ufffd", ZEROS.sub("&#", text))
+    return unescape(text)
 
 
 class Element:
@@ -208,6 +227,7 @@ class Page:
 
     def __init__(self):
         self.open: list[Element] = [Element("", True, True, {})]
+        self.depths: dict[str, list[int]] = {}  # of the open elements, by name
         self.flows: list[Flow] = [Flow()]
         self.tables: list[Table] = []
         self.pre = 0
@@ -255,6 +275,7 @@ class Page:
         if shown:
             self._enter(element, above)
         if name not in VOID:
+            self.depths.setdefault(name, []).append(len(self.open))
             self.open.append(element)
             if (above.foreign or root) and source.endswith("/"):
                 self._close(len(self.open) - 1)
@@ -283,8 +304,7 @@ class Page:
             flow.block(0)
             if above.name == "ol":
                 if not above.number:
-                    start = above.attributes.get("start", "1")
-                    above.number = int(start) - 1 if start.isascii() and start.isdigit() else 0
+                    above.number = _number(above.attributes.get("start", "1"), 1) - 1
                 above.number += 1
                 flow.begin_item(f"{above.number}. ")
             else:
@@ -293,7 +313,7 @@ class Page:
             flow.block(1 if name in SPACED else 0)
             flow.indents.append("  ")
         elif name in BLOCKS:
-            inside = name in ("ul", "ol", "menu") and any(e.name == "li" for e in self.open)
+            inside = name in ("ul", "ol", "menu") and bool(self.depths.get("li"))
             flow.block(1 if name in SPACED and not inside else 0)
         if name == "pre":
             self.pre += 1
@@ -335,7 +355,7 @@ class Page:
             self.flows[-1].block(1 if name in SPACED else 0)
             self.flows[-1].indents.pop()
         elif name in BLOCKS:
-            inside = name in ("ul", "ol", "menu") and any(e.name == "li" for e in self.open)
+            inside = name in ("ul", "ol", "menu") and bool(self.depths.get("li"))
             self.flows[-1].block(1 if name in SPACED and not inside else 0)
         if name == "pre":
             self.pre -= 1
@@ -343,30 +363,33 @@ class Page:
     def _close(self, depth: int) -> None:
         while len(self.open) > depth:
             element = self.open.pop()
+            self.depths[element.name].pop()
             if element.shown:
                 self._leave(element)
 
+    def _last(self, names: frozenset) -> int:
+        """Depth of the innermost open element of these names, 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
     def _end_implied(self, names: frozenset, borders: frozenset) -> None:
         """Closes the outermost of the named elements above the nearest border."""
-        found = None
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].name in borders:
-                break
-            if self.open[depth].name in names:
-                found = depth
-        if found is not None:
-            self._close(found)
+        if not any(self.depths.get(n) for n in names):
+            return
+        border, found = self._last(borders), len(self.open)
+        for n in names:
+            own = self.depths.get(n)
+            if own and own[-1] > border:
+                found = min(found, own[bisect_right(own, border)])
+        self._close(found)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].name == name:
-                self._close(depth)
-                return
-            if self.open[depth].name in BORDERS and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        own = self.depths.get(name)
+        crosses = name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html")
+        if own and (crosses or self._last(BORDERS) <= own[-1]):
+            self._close(own[-1])
 
     def text(self, value: str) -> None:
         above = self.open[-1]
@@ -392,15 +415,18 @@ class Page:
 def render_page(html: str) -> str:
     """The visible text of a page."""
     page, at, length = Page(), 0, len(html)
-    find = html.find
+    find, last_end = html.find, html.rfind(">")
     while at < length:
         tag = find("<", at)
         if tag < 0:
             tag = length
         if tag > at:
-            page.text(unescape(html[at:tag]))
+            page.text(_unescaped(html[at:tag]))
         if tag == length:
             break
+        if tag > last_end and not html.startswith("<!--", tag):
+            page.text(_unescaped(html[tag:]))  # no tag ends any more
+            break
         found = MARKUP.match(html, tag) or LOOSE_TAG.match(html, tag)
         if not found:
             page.text("<")
@@ -413,8 +439,9 @@ def render_page(html: str) -> str:
             continue
         at = found.end()
         if found.lastgroup == "comment":
-            stop = find("-->", at)
-            at = length if stop < 0 else stop + 3
+            short = 1 if html.startswith(">", at) else 2 if html.startswith("->", at) else 0
+            stop = COMMENT_END.search(html, at)
+            at = at + short if short else stop.end() if stop else length
             continue
         name = found["name"] if "name" in found.groupdict() else None
         if not name:
@@ -428,7 +455,7 @@ def render_page(html: str) -> str:
             closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
             stop = closing.start() if closing else length
             inner = html[at:stop]
-            page.text(unescape(inner) if name in ("textarea", "title") else inner)
+            page.text(_unescaped(inner) if name in ("textarea", "title") else inner)
             page.end(name)
             after = find(">", stop)
             at = length if after < 0 else after + 1

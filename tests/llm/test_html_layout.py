@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -86,3 +87,25 @@ def test_query_over_rows(spark):
 )
 def test_text_of_table_parts_formulas_drawings_and_maps(html, text):
     assert render_page(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><td colspan=" + "9" * 5000 + ">a<td rowspan=" + "0" * 5000 + "1>b</table>", "a | b"),
+    ("<ol start=" + "8" * 5000 + "><li>a</ol>", "10000000000. a"),
+    ("a&#" + "6" * 5000 + ";b &#" + "0" * 5000 + "65;", "a\ufffdb A"),
+    ("<p style='backface-visibility:hidden'>a</p><p style='color:red;visibility: hidden'>b</p>", "a"),
+    ("a<!-->b<!--->c<!-- x --!>d<!-- y -->e", "abcde"),
+    ("a<!-- never ends", "a"),
+])
+def test_odd_numbers_styles_and_comments(html, text):
+    assert render_page(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 40_000, "<p><button>" + "<div>" * 40_000, "<div>x</b>" * 20_000, "<ul><li>" * 3_000, "<a href='" * 20_001,
+    "<p title=\"x>text " * 20_001, "<a " * 40_000, "<b>" * 40_000 + "</i>" * 40_000, "&#" * 40_000, "<!-->" * 40_000,
+])
+def test_time_grows_with_the_page(html):
+    began = time.perf_counter()
+    render_page(html)
+    assert time.perf_counter() - began < 5
