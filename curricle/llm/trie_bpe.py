@@ -7,7 +7,8 @@ that share a prefix share the states above: they are computed once.
 
 The trie is kept as the sorted list of distinct words.  Sorted order is its depth-first
 order and the common prefix with the word before says where a new branch leaves the path,
-so states live in one list that is cut back to the branch.
+so states live in one list that is cut back to the branch.  Only tokens that do end at a
+place are tried there, longest first: an automaton over all tokens names them.
 
 Each task walks the trie of the words of its batch that it has not seen lately; memory is
 bounded by a batch and `memory_words` remembered words.  There is no shuffle.  Texts are
@@ -84,61 +85,133 @@ class Vocabulary:
         return Vocabulary(made, rank_of, specials)
 
 
+class Suffixes:
+    """Which tokens end at a place of a path: an automaton over the bytes of all tokens.
+
+    A state is the longest end of the path that begins some token.  `longest` gives the
+    longest token that ends there, `shorter` the next one that ends it, -1 if there is none.
+    """
+
+    def __init__(self, id_of: dict[bytes, int]):
+        self.goto: dict[int, int] = {}  # state << 8 | byte
+        parents, own = [(0, 0)], [-1]
+        for token, number in id_of.items():
+            state = 0
+            for byte in token:
+                key = state << 8 | byte
+                if key not in self.goto:
+                    self.goto[key] = len(own)
+                    parents.append((state, byte))
+                    own.append(-1)
+                state = self.goto[key]
+            own[state] = number
+        depth = [0] * len(own)
+        for state in range(1, len(own)):
+            depth[state] = depth[parents[state][0]] + 1
+        self.fail, self.longest = [0] * len(own), [-1] * len(own)
+        self.shorter = [-1] * (max(id_of.values(), default=-1) + 1)
+        for state in sorted(range(1, len(own)), key=depth.__getitem__):
+            above, byte = parents[state]
+            fail = 0
+            while above:
+                above = self.fail[above]
+                found = self.goto.get(above << 8 | byte)
+                if found is not None:
+                    fail = found
+                    break
+            self.fail[state] = fail
+            if own[state] < 0:
+                self.longest[state] = self.longest[fail]
+            else:
+                self.longest[state] = own[state]
+                self.shorter[own[state]] = self.longest[fail]
+
+    def as_plain(self) -> tuple:
+        """What a broadcast carries: built-in types, which every worker can read."""
+        return self.goto, self.fail, self.longest, self.shorter
+
+
 class TrieEncoder:
     """Encodes sets of words; remembers which pairs of tokens fit together."""
 
-    def __init__(self, vocabulary: Vocabulary, memory_pairs: int = 1_000_000):
+    def __init__(
+        self, vocabulary: Vocabulary, suffixes: tuple | None = None, memory_pairs: int = 1_000_000
+    ):
         self.vocabulary = vocabulary
+        goto, self.fail, self.longest, self.shorter = suffixes or Suffixes(vocabulary.id_of).as_plain()
         self.bytes_of = {i: t for t, i in vocabulary.id_of.items()}
-        self.longest = max(map(len, vocabulary.id_of))
+        self.sizes = [0] * len(self.shorter)
+        for token, number in vocabulary.id_of.items():
+            self.sizes[number] = len(token)
         self.memory_pairs = memory_pairs
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.given, self.goto = goto, dict(goto)
 
-    def _fits(self, pair: tuple[bytes, bytes]) -> bool:
+    def _fits(self, before: int, token: int) -> bool:
         if len(self.pairs) >= self.memory_pairs:
             self.pairs.clear()
-        fits = merged(pair[0] + pair[1], self.vocabulary.rank_of) == [*pair]
-        self.pairs[pair] = fits
+        pair = [self.bytes_of[before], self.bytes_of[token]]
+        fits = merged(pair[0] + pair[1], self.vocabulary.rank_of) == pair
+        self.pairs[before << 32 | token] = fits
         return fits
 
+    def _step(self, state: int, byte: int) -> int:
+        """The state after a byte that begins no longer token from here; remembered."""
+        if len(self.goto) >= len(self.given) + self.memory_pairs:
+            self.goto = dict(self.given)
+        above, found = state, None
+        while found is None and above:
+            above = self.fail[above]
+            found = self.given.get(above << 8 | byte)
+        self.goto[state << 8 | byte] = found or 0
+        return found or 0
+
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, token ids) of each word; words must be distinct."""
-        id_of, longest, known = self.vocabulary.id_of, self.longest, self.pairs
-        last: list[bytes] = []  # last[i]: the last token of the first i + 1 bytes on the path
+        longest, shorter, sizes, known = self.longest, self.shorter, self.sizes, self.pairs
+        last: list[int] = []  # last[i]: the last token of the first i + 1 bytes on the path
+        states: list[int] = []
         path = b""
         for word in sorted(words):
             shared, limit = 0, min(len(path), len(word))
             while shared < limit and path[shared] == word[shared]:
                 shared += 1
-            del last[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for size in range(min(end, longest), 0, -1):
-                    token = word[end - size : end]
-                    if token not in id_of:
-                        continue
-                    if size < end:
-                        pair = (last[end - size - 1], token)
-                        fits = known.get(pair)
-                        if not (self._fits(pair) if fits is None else fits):
-                            continue
-                    last.append(token)
-                    break
+            del last[shared:], states[shared:]
+            state, goto = states[-1] if states else 0, self.goto
+            for end in range(shared, len(word)):
+                after = goto.get(state << 8 | word[end])
+                if after is None:
+                    after = self._step(state, word[end])
+                    goto = self.goto
+                state = after
+                token = longest[state]
+                while token >= 0:
+                    begin = end - sizes[token]
+                    if begin < 0:
+                        break
+                    fits = known.get(last[begin] << 32 | token)
+                    if self._fits(last[begin], token) if fits is None else fits:
+                        break
+                    token = shorter[token]
                 else:
-                    raise ValueError(f"the vocabulary lacks the byte {word[end - 1]}")
+                    raise ValueError(f"the vocabulary lacks the byte {word[end]}")
+                last.append(token)
+                states.append(state)
             path = word
             ids, end = [], len(word)
             while end:
-                ids.append(id_of[last[end - 1]])
-                end -= len(last[end - 1])
+                token = last[end - 1]
+                ids.append(token)
+                end -= sizes[token]
             ids.reverse()
             yield word, ids
 
 
-def _encoder(vocabulary: Vocabulary, memory_words: int):
+def _encoder(vocabulary: Vocabulary, memory_words: int, suffixes: tuple | None = None):
     """A function from a list of texts to, for each, (count, decimal ids, decoded bytes)."""
     import regex
 
-    encoder = TrieEncoder(vocabulary)
+    encoder = TrieEncoder(vocabulary, suffixes)
     cut = regex.compile(CUT).findall
     special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.specials, key=len, reverse=True))) or r"(?!)")
     memory: dict[str, tuple[int, str, bytes]] = {}
@@ -202,7 +275,10 @@ def encode_documents(
     kind = docs.schema[id_col].dataType
     vocabulary = Vocabulary.read(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (vocabulary.id_of, vocabulary.rank_of, vocabulary.specials)
+        (
+            (vocabulary.id_of, vocabulary.rank_of, vocabulary.specials),
+            Suffixes(vocabulary.id_of).as_plain(),
+        )
     )
     outputs = (
         [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -219,7 +295,8 @@ def encode_documents(
 
         import pyarrow as pa
 
-        encode = _encoder(Vocabulary(*shared.value), memory_words)
+        plain, suffixes = shared.value
+        encode = _encoder(Vocabulary(*plain), memory_words, suffixes)
         for batch in batches:
             texts = batch.column(1)
             done = 0
