@@ -123,8 +123,8 @@ def recommend_mode(estimates: DataFrame, vectors_available: bool = True, limits:
 def expand_playlists(inputs: DataFrame, entries: DataFrame, max_videos: int = fv.PLAYLIST_HARD_LIMIT) -> DataFrame:
     """Submitted URLs → videos; a lone video without metadata falls back to its id.
 
-    ``inputs``: ``input_url``; ``entries``: ``input_url, entry_no, id, title,
-    duration``.  Lists above the limit are flagged, not cut.
+    ``inputs``: ``input_url``, of which each counts once; ``entries``: ``input_url,
+    entry_no, id, title, duration``.  Lists above the limit are flagged, not cut.
     """
     raw_id = F.trim(F.coalesce("id", F.lit("")))
     path = F.trim(F.try_parse_url(raw_id, F.lit("PATH")), F.lit("/"))
@@ -132,7 +132,7 @@ def expand_playlists(inputs: DataFrame, entries: DataFrame, max_videos: int = fv
     vid = F.when(F.startswith(raw_id, F.lit("http")), F.coalesce(from_url, raw_id)).otherwise(raw_id)
     usable = entries.withColumn("vid", vid).filter(F.col("vid") != "")
     counts = entries.groupBy("input_url").agg(F.count("*").alias("listed"))
-    known = inputs.filter(is_video_url("input_url")).withColumn("is_playlist", is_playlist_url("input_url"))
+    known = inputs.select("input_url").distinct().filter(is_video_url("input_url")).withColumn("is_playlist", is_playlist_url("input_url"))
     joined = known.join(counts, "input_url", "left").join(
         usable.select("input_url", "entry_no", "vid", "title", "duration"), "input_url", "left"
     )

@@ -369,6 +369,16 @@ def dim_lexical_index(spark, sf):
     return tf.select("course_id", "section_id", "term", F.col("n").cast("long").alias("n"))
 
 
+@register(
+    "dim_title_tokens",
+    C.query(f"SELECT DISTINCT course_id, section_id, unnest({k.tok('title')}) AS term FROM described", "described"),
+)
+def dim_title_tokens(spark, sf):
+    """Distinct tokens of the section titles, the third part of the lexical index."""
+    titles = cu.lexical_index(described(spark, sf))[2]
+    return titles.select("course_id", "section_id", "term")
+
+
 @register(
     "dim_index_norms",
     C.query(

@@ -369,3 +369,17 @@ def rnk_excerpt_fallback(spark, sf):
 def rnk_excerpt(spark, sf):
     lines = sy.score_lines(plan_doc(spark, sf))
     return rk.budgeted_excerpt(lines, 900).select("doc_id", "page", "line", F.col("score").cast("long").alias("score"), "used")
+
+
+@register(
+    "cur_structure_hint",
+    f"""WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN html || {k.q(fv.ROADMAP_START[0])} WHEN 1 THEN html || ' ' || {k.q(fv.SCHEDULE_HINTS[0])} ELSE html END AS x FROM pages)
+SELECT page_id, {k.contains_any(k.norm('x'), (*fv.ROADMAP_START, *fv.SCHEDULE_HINTS))} AS hinted FROM t""",
+)
+def cur_structure_hint(spark, sf):
+    """Which texts announce a roadmap or a timetable."""
+    style = F.col("page_id") % 4
+    text = F.when(style == 0, F.concat("html", F.lit(fv.ROADMAP_START[0]))).when(
+        style == 1, F.concat("html", F.lit(" "), F.lit(fv.SCHEDULE_HINTS[0]))
+    ).otherwise(F.col("html"))
+    return v.table(spark, sf, "pages").select("page_id", sy.structure_hint(text).alias("hinted"))
