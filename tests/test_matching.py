@@ -117,3 +117,20 @@ def test_shares_cover_mapped_tokens_only(spark):
 def test_mode_is_available_without_mapped_tokens(spark):
     stats = spark.createDataFrame([("c", "speech", 1, 9, 0), ("c", "material", 0, 9, 9)], "course_id string, mode string, asset_count long, total_tokens long, mapped_tokens long")
     assert [r["mode"] for r in co.available_modes(stats).collect()] == ["speech"]
+
+
+def test_shuffled_chunks_carry_no_profile(spark):
+    chunks = chunk_rows(spark, [("youtube", "[1-1] Decision Tree", "entropy tree gain entropy"), ("pdf", "d", "decision tree")])
+    scores = spark.createDataFrame([("c", 0, [0.9, 0.1, 0.0])], "course_id string, source_id long, scores array<double>")
+    verdicts = chunks.select("course_id", "source_id", "chunk_seq", "part_no", F.lit("s1").alias("section_id"), F.lit("high").alias("confidence"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for options in ({}, {"vector_scores": scores}, {"adjudications": verdicts}):
+            plan = ma.assign_chunks(chunks, profiles(spark), labels=chunks, **options)._jdf.queryExecution().optimizedPlan()
+            text = plan.toString()
+            joins = [line for line in text.splitlines() if "Join LeftOuter" in line]
+            # the profiles' join is the outermost one: all others lie below it, indented further
+            assert "course_id" in joins[0] and " AND " not in joins[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
