@@ -134,3 +134,14 @@ def test_shuffled_chunks_carry_no_profile(spark):
             assert "course_id" in joins[0] and " AND " not in joins[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_restriction_inside_the_row_equals_the_joined_one(spark):
+    texts = ["decision tree with entropy", "weather", "svm kernel margin decision tree", "neural networks errors errors"]
+    chunks = chunk_rows(spark, [("pdf", "d", t) for t in texts])
+    found = ma.anchor_counts(chunks, profiles(spark))
+    joined = ma.restrict(ma.score_lexical(chunks, profiles(spark)), ma.material_candidates(found))
+    columns = ["source_id", "section_ord", "section_id", "score"]
+    want = sorted(map(tuple, joined.select(*columns).collect()))
+    got = ma.restrict_lexical(chunks, profiles(spark)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == want and len({r["score"] for r in got}) > 2
