@@ -119,3 +119,16 @@ def test_dedupe_keeps_the_first_copy(spark):
     kept, removed = ck.dedupe_chunks(chunks)
     assert sorted(r["source_id"] for r in kept.collect()) == [1, 9]
     assert {r["instructor"]: r["removed"] for r in removed.collect()} == {"a": 2, "b": 0}
+
+
+def test_clean_texts_are_identified_alike(spark):
+    rows = [
+        (i, "a", kind, i, loc, t)
+        for kind in ("pdf", "csv", "youtube")
+        for i, (loc, t) in enumerate([(" p. 1 ", "Tree\u00a0 of [music] Life"), ("q\t", "\u00a0"), ("r", "x-1 y [ z")])
+    ]
+    parts = ck.build_chunks(spark.createDataFrame(rows, SEGMENT), 3, 0)
+    columns = ["source_type", "text", "chunk_id", "fingerprint"]
+    want = sorted(map(tuple, ck.identify_chunks(parts).select(*columns).collect()))
+    assert sorted(map(tuple, ck.identify_chunks(parts, clean=True).select(*columns).collect())) == want
+    assert any(t == "" for _, t, _, _ in want)
