@@ -19,8 +19,11 @@ n-gram repeated, and lie in the shared folder; so the filter grows with the corp
 counted n-gram is in it, at any size.  As blocks are cut by the upper bits of a key, or-ing
 neighbours gives the filter of half as many: they are folded while the bits they hold stay
 within one half of a block.  A filter within `filter_bytes`, the bound of the broadcast, is
-broadcast.  A larger one stays where it is: each batch of documents sends its distinct keys
-to the shelf of blocks that holds them, and gets back their levels, one byte a key.
+broadcast.  A larger one is never whole anywhere: each batch of documents sends its distinct
+keys, with their counts in its training documents, to the shelf of blocks that holds them;
+there the blocks are filled from the counts of all batches and probed, and each batch gets back
+its levels, one byte a key.  So one shuffle counts and asks.  Keys travel with 48 of their 64
+bits; sharing those is far rarer than a false positive, and like one can only raise a count.
 
 Base scores are exact: counts of the `head` most frequent words are broadcast (a bounded
 number), all others are joined by word.  Words of the join are rare, so none is a hot key.
@@ -52,7 +55,7 @@ FILTER_BYTES = 64 << 20
 BITS_PER_TOKEN = 8
 #: Blocks that answer together when the filter is not broadcast (2 MB), and the text of a batch that asks.
 SHELF_BLOCKS = 128
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 HEAD = 300_000
 STRENGTH = 1000.0
 
@@ -253,11 +256,29 @@ class Answered:
     def levels(self, keys):
         import numpy as np
 
-        return self.found[np.searchsorted(self.keys, keys)]
+        return self.found[np.searchsorted(self.keys, narrowed(keys))]
+
+
+def _packed(rows) -> bytes:
+    """Rows as compressed Arrow: texts are written and shuffled once each."""
+    import pyarrow as pa
+
+    out = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(out, rows.schema, options=options) as writer:
+        writer.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(held):
+    import pyarrow as pa
+
+    (rows,) = pa.ipc.open_stream(held.as_buffer())
+    return rows
 
 
 def _batched(batches: Iterator) -> Iterator:
-    """From (doc_id, held_out, text) to (batch, documents): documents of about BATCH_BYTES a row."""
+    """From (doc_id, held_out, text) to (batch, documents): documents of about BATCH_BYTES a row, compressed."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -270,21 +291,34 @@ def _batched(batches: Iterator) -> Iterator:
         sizes = np.array([len(text.as_buffer()) for text in batch.column(2)], np.int64)
         full = (np.cumsum(sizes) - sizes) // BATCH_BYTES
         starts = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
-        offsets = pa.array(np.append(starts, len(batch)).astype(np.int32))
-        documents = pa.StructArray.from_arrays(batch.columns, ["doc_id", "held_out", "text"])
+        documents = [
+            _packed(batch.slice(start, stop - start))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)], strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(number + np.arange(len(starts))), pa.ListArray.from_arrays(offsets, documents)],
+            [pa.array(number + np.arange(len(starts))), pa.array(documents, pa.binary())],
             ["batch", "documents"],
         )
         number += len(starts)
 
 
-def _asked(texts):
-    """The sorted distinct keys of a batch: its words and its pairs."""
+def narrowed(keys):
+    """Keys without their last 16 bits, as they travel: two n-grams of a corpus seldom share the others."""
+    import numpy as np
+
+    return keys & np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def _asked(texts, held_out=None):
+    """The sorted distinct keys of a batch, its words and its pairs.
+
+    With `held_out` also how often each occurs in the documents that are learned from.
+    """
     import numpy as np
 
     end = word_numbers([b""])
-    held, documents, waiting = [unigram_keys(end)], [], 0
+    held, times = [unigram_keys(end)], [np.zeros(1)]
+    documents, first, waiting = [], 0, 0
     for at, text in enumerate(texts):
         documents.append(tokens_of(text.as_py()))
         waiting += len(documents[-1])
@@ -292,54 +326,100 @@ def _asked(texts):
             distinct, ids = indexed(documents)
             distinct_numbers = word_numbers(distinct)
             numbers = distinct_numbers[ids]
+            pairs = bigram_keys(np.concatenate([end, numbers[:-1]]), numbers)
             held.append(unigram_keys(distinct_numbers))
-            held.append(np.unique(bigram_keys(np.concatenate([end, numbers[:-1]]), numbers)))
-            documents, waiting = [], 0
-    return np.unique(np.concatenate(held))
+            if held_out is None:
+                held.append(np.unique(pairs))
+            else:
+                learned = np.repeat(~held_out[first : at + 1], [len(words) for words in documents])
+                held.append(pairs)
+                times += [np.bincount(ids, learned, len(distinct)), learned]
+            documents, first, waiting = [], at + 1, 0
+    keys = narrowed(np.concatenate(held))
+    if held_out is None:
+        return np.unique(keys)
+    keys, place = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.uint32)
+
+
+def _planes(numbers, width: int) -> bytes:
+    """The lowest `width` bytes of whole numbers, all first bytes first: the upper ones are mostly zero and compress."""
+    import numpy as np
+
+    return numbers.view(np.uint8).reshape(len(numbers), -1)[:, :width].T.tobytes()
+
+
+def _unplaned(held, width: int, kind):
+    import numpy as np
+
+    planes = np.frombuffer(held.as_buffer(), np.uint8).reshape(width, -1)
+    whole = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    whole[:, :width] = planes.T
+    return whole.view(kind).reshape(-1)
 
 
 def _requests(batches: Iterator, n_blocks: int) -> Iterator:
-    """From (batch, documents) to (shelf, batch, keys); the keys of a shelf are neighbours."""
+    """From (batch, documents) to (shelf, batch, keys, counts); the keys of a shelf are neighbours."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         for row in range(len(batch)):
-            keys = _asked(batch.column(1)[row].values.field("text"))
+            documents = _unpacked(batch.column(1)[row])
+            held_out = documents.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            keys, counts = _asked(documents.column("text"), held_out)
             shelves = _block_of(keys, n_blocks) // np.uint64(SHELF_BLOCKS)
             names, starts = np.unique(shelves, return_index=True)
-            offsets = np.append(starts, len(keys)) * 8
-            sent = pa.Array.from_buffers(
-                pa.binary(), len(names), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(keys)]
-            )
-            asker = np.full(len(names), batch.column(0)[row].as_py(), np.int64)
+            numbers = keys >> np.uint64(16)
+            steps = np.diff(numbers, prepend=np.uint64(0))
+            steps[starts] = numbers[starts]
+            ends = [*starts[1:].tolist(), len(keys)]
+            parts = list(zip(starts.tolist(), ends, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names.astype(np.int32)), pa.array(asker), sent], ["shelf", "batch", "keys"]
+                [
+                    pa.array(names.astype(np.int32)),
+                    pa.array(np.full(len(names), batch.column(0)[row].as_py(), np.int64)),
+                    pa.array([_planes(steps[a:b], 6) for a, b in parts], pa.binary()),
+                    pa.array([_planes(counts[a:b], 4) for a, b in parts], pa.binary()),
+                ],
+                ["shelf", "batch", "keys", "counts"],
             )
 
 
-def _answers(requests, blocks, n_blocks: int):
-    """One shelf: from (shelf, batch, keys) and (shelf, block, bits) to (batch, shelf, levels)."""
+def _shelf(keys, counts, n_blocks: int, first: int, size: int) -> LogFilter:
+    """The filter's blocks `first` to `first + size`, from the counts of all n-grams in them."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+    bits = np.zeros((size, BLOCK_BITS // 8), np.uint8)
+    for built in _build_blocks(iter([batch]), n_blocks):
+        # never seen: chance would have to heap half as many n-grams again into one block
+        if built.column(1)[0].as_py() > 1:
+            return _shelf(keys, counts, 2 * n_blocks, 2 * first, 2 * size)
+        bits[built.column(0)[0].as_py() - first] = np.frombuffer(built.column(2)[0].as_buffer(), np.uint8)
+    return LogFilter(bits.reshape(-1), n_blocks, first)
+
+
+def _answers(requests, n_blocks: int):
+    """One shelf: builds its blocks from the counts of all batches; to (batch, shelf, levels)."""
     import numpy as np
     import pyarrow as pa
 
-    replies = []
-    if len(requests):
-        shelf = requests.column("shelf")[0].as_py()
-        first = shelf * SHELF_BLOCKS
-        bits = np.zeros((min(SHELF_BLOCKS, n_blocks), BLOCK_BITS // 8), np.uint8)
-        for block, held in zip(blocks.column("block"), blocks.column("bits"), strict=True):
-            bits[block.as_py() - first] = np.frombuffer(held.as_py(), np.uint8)
-        lookup = LogFilter(bits.reshape(-1), n_blocks, first)
-        asked = [np.frombuffer(keys.as_buffer(), np.uint64) for keys in requests.column("keys")]
-        levels = lookup.levels(np.concatenate(asked)).astype(np.uint8)
-        ends = np.cumsum([len(keys) for keys in asked])
-        replies = [part.tobytes() for part in np.split(levels, ends[:-1])]
+    asked = [np.cumsum(_unplaned(keys, 6, np.uint64)) << np.uint64(16) for keys in requests.column("keys")]
+    counts = np.concatenate([_unplaned(n, 4, np.uint32) for n in requests.column("counts")])
+    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(place, counts, len(keys)).astype(np.int64)
+    size = min(SHELF_BLOCKS, n_blocks)
+    learned = total > 0
+    lookup = _shelf(keys[learned], total[learned], n_blocks, requests.column("shelf")[0].as_py() * SHELF_BLOCKS, size)
+    levels = lookup.levels(keys).astype(np.uint8)[place]
+    ends = np.cumsum([len(part) for part in asked])
     return pa.table(
         {
             "batch": requests.column("batch"),
             "shelf": requests.column("shelf"),
-            "levels": pa.array(replies, pa.binary()),
+            "levels": pa.array([part.tobytes() for part in np.split(levels, ends[:-1])], pa.binary()),
         }
     )
 
@@ -349,13 +429,12 @@ def _score_answered(batches, replies, head, total: float, strength: float):
     import numpy as np
     import pyarrow as pa
 
-    documents = batches.column("documents").combine_chunks().flatten()
+    rows = _unpacked(batches.column("documents")[0])
     levels = [found.as_py() for found in replies.sort_by("shelf").column("levels")]
     found = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
-    lookup = Answered(_asked(documents.field("text")), found)
+    lookup = Answered(_asked(rows.column("text")), found)
     if len(lookup.keys) != len(found):
         raise ValueError("a batch and the answers to it differ")
-    rows = pa.RecordBatch.from_arrays(documents.flatten(), ["doc_id", "held_out", "text"])
     return pa.Table.from_batches(_scores(iter([rows]), lookup, head.value, total, strength))
 
 
@@ -435,12 +514,17 @@ def _frequent(vocabulary: DataFrame, head: int) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in vocabulary.filter(F.col("n") >= least).collect()}
 
 
-def _built(training: DataFrame, vocabulary: DataFrame, n_tokens: int, bits_per_token: int):
-    """The stored blocks (block, held, bits) with all n-grams, and their number."""
+def _blocks_for(n_tokens: int, bits_per_token: int) -> int:
+    """So many blocks that the n-grams fill a half, a power of two."""
     # a token adds a level to its word and to its pair at most, so even if none repeats
     # the places they set are one half of these bits
     wanted = n_tokens * max(bits_per_token, 2 * 2 * HASHES)
-    n_blocks = 1 << (-(-wanted // BLOCK_BITS) - 1).bit_length()
+    return 1 << (-(-wanted // BLOCK_BITS) - 1).bit_length()
+
+
+def _built(training: DataFrame, vocabulary: DataFrame, n_tokens: int, bits_per_token: int):
+    """The stored blocks (block, held, bits) with all n-grams, and their number."""
+    n_blocks = _blocks_for(n_tokens, bits_per_token)
     words = vocabulary.mapInArrow(_word_keys, "key long, n long")
     ngrams = training.mapInArrow(_count_pairs, "key long, n long").unionAll(words)
     while True:
@@ -524,15 +608,17 @@ def score_documents(
     n_tokens, n_words = int(sums[0]), int(sums[1])
     total = n_tokens + 0.5 * (n_words + 1)
 
-    built, n_blocks = _built(training, vocabulary, max(1, n_tokens), bits_per_token)
-    folds_of = _foldings(built, n_blocks, max(1, n_tokens) * bits_per_token, filter_bytes)
-    filter_parts = None
-    if (n_blocks >> folds_of) * BLOCK_BITS <= filter_bytes * 8:
-        bits = np.zeros((n_blocks >> folds_of, BLOCK_BITS // 8), np.uint8)
-        for row in built.toLocalIterator():
-            bits[row.block >> folds_of] |= np.frombuffer(row.bits, np.uint8)
-        filter_parts = spark.sparkContext.broadcast((bits.reshape(-1), n_blocks >> folds_of))
-        del bits
+    learned, filter_parts = max(1, n_tokens), None
+    # a filter that cannot be folded to that size is built where its answers are wanted
+    if learned * bits_per_token <= filter_bytes * 8:
+        built, n_blocks = _built(training, vocabulary, learned, bits_per_token)
+        folds_of = _foldings(built, n_blocks, learned * bits_per_token, filter_bytes)
+        if (n_blocks >> folds_of) * BLOCK_BITS <= filter_bytes * 8:
+            bits = np.zeros((n_blocks >> folds_of, BLOCK_BITS // 8), np.uint8)
+            for row in built.toLocalIterator():
+                bits[row.block >> folds_of] |= np.frombuffer(row.bits, np.uint8)
+            filter_parts = spark.sparkContext.broadcast((bits.reshape(-1), n_blocks >> folds_of))
+            del bits
     frequent = {w: math.log10((n + 0.5) / total) for w, n in _frequent(vocabulary, head).items()}
     head_words = spark.sparkContext.broadcast(frequent)
 
@@ -557,24 +643,13 @@ def score_documents(
             lambda batches: _score(batches, filter_parts, head_words, total, strength), schema
         )
     else:
-        batched = stored(
-            corpus.mapInArrow(
-                _batched,
-                T.StructType(
-                    [T.StructField("batch", T.LongType()), T.StructField("documents", T.ArrayType(corpus.schema))]
-                ),
-            )
-        )
+        batched = stored(corpus.mapInArrow(_batched, "batch long, documents binary"))
+        n_blocks = _blocks_for(learned, bits_per_token)
         requests = batched.mapInArrow(
-            lambda batches: _requests(batches, n_blocks), "shelf int, batch long, keys binary"
+            lambda batches: _requests(batches, n_blocks), "shelf int, batch long, keys binary, counts binary"
         )
-        shelved = built.select((F.col("block") / SHELF_BLOCKS).cast("int").alias("shelf"), "block", "bits")
-        replies = (
-            requests.groupBy("shelf")
-            .cogroup(shelved.groupBy("shelf"))
-            .applyInArrow(
-                lambda asked, blocks: _answers(asked, blocks, n_blocks), "batch long, shelf int, levels binary"
-            )
+        replies = requests.groupBy("shelf").applyInArrow(
+            lambda asked: _answers(asked, n_blocks), "batch long, shelf int, levels binary"
         )
         found = (
             batched.groupBy("batch")

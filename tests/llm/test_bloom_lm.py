@@ -96,3 +96,30 @@ def test_no_counted_n_gram_is_dropped(spark, filter_bytes):
     assert got.keys() == whole.keys()
     for doc_id, (score, tokens) in got.items():
         assert abs(score - whole[doc_id][0]) <= 0.1 * tokens
+
+
+def test_a_shelf_that_chance_fills_is_cut_into_more_blocks_and_keeps_every_n_gram():
+    keys = m.narrowed(m.mixed(np.arange(60_000, dtype=np.uint64)))
+    keys = np.unique(keys[m._block_of(keys, 2) == 1])
+    counts = np.where(np.arange(len(keys)) % 3, 1, 7)
+    lookup = m._shelf(keys, counts, 2, 1, 1)
+    assert lookup.n_blocks > 2
+    least = np.searchsorted(np.array(m.THRESHOLDS), counts, side="right")
+    found = lookup.levels(keys)
+    assert (found >= least).all() and (found > least).mean() < 0.1
+
+
+def test_keys_and_counts_travel_in_bytes_and_held_out_documents_count_nothing():
+    import pyarrow as pa
+
+    texts = [b"a b a b c", b"a b z"]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([False, True]), pa.array(texts)], ["doc_id", "held_out", "text"])
+    (sent,) = m._requests(iter([pa.RecordBatch.from_arrays([pa.array([5]), pa.array([m._packed(rows)])], ["batch", "documents"])]), 1)
+    assert sent.column(0).to_pylist() == [0] and sent.column(1).to_pylist() == [5]
+    keys = np.cumsum(m._unplaned(sent.column(2)[0], 6, np.uint64)) << np.uint64(16)
+    counts = dict(zip(keys.tolist(), m._unplaned(sent.column(3)[0], 4, np.uint32).tolist(), strict=True))
+    number = lambda *words: m.word_numbers(list(words))
+    word = lambda w: counts[int(m.narrowed(m.unigram_keys(number(w)))[0])]
+    pair = lambda v, w: counts[int(m.narrowed(m.bigram_keys(number(v), number(w)))[0])]
+    assert [word(w) for w in (b"a", b"b", b"c", b"z", b"")] == [2, 2, 1, 0, 1]
+    assert [pair(*p) for p in ((b"a", b"b"), (b"", b"a"), (b"c", b""), (b"b", b"z"))] == [2, 1, 1, 0]
