@@ -16,15 +16,26 @@ def register_tokenizer(
     spark: SparkSession,
     fn: Callable[[Iterator[pd.Series]], Iterator[pd.Series]],
     name: str | None = None,
+    max_chars: int = 1 << 20,
 ) -> Callable[[ColumnLike], Column]:
     """Turn an analyser into a tokenizer usable wherever ``tokenize`` is.
 
     ``fn`` is an iterator of batches, so a model is loaded once per worker.  The
-    batches travel as Arrow.  With ``name`` the tokenizer is a SQL function too.
+    batches travel as Arrow and hold about ``max_chars`` characters, or one longer text, so
+    that their tokens fit into a worker whatever the texts' lengths.  With ``name`` the
+    tokenizer is a SQL function too.
     """
 
+    def bounded(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            sizes = texts.str.len().fillna(0).astype("int64")
+            full = ((sizes.cumsum() - sizes) // max_chars).to_numpy()
+            starts = [0, *((full[1:] != full[:-1]).nonzero()[0] + 1).tolist(), len(texts)]
+            for start, stop in zip(starts, starts[1:]):
+                yield texts.iloc[start:stop].reset_index(drop=True)
+
     def batches(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from fn(series)
+        yield from fn(bounded(series))
 
     batches.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(batches, "array<string>")

@@ -95,3 +95,28 @@ def test_tokenizer_plugin(spark):
 
     tokenizer = register_tokenizer(spark, letters)
     assert one(spark, "ab", tokenizer) == ["a", "b"]
+
+
+def test_tokenizer_batches_are_bounded_by_their_characters(spark):
+    def sizes(batches):
+        for batch in batches:
+            total = int(batch.str.len().fillna(0).sum())
+            yield batch.map(lambda text: [str(total), text or ""])
+
+    tokenizer = register_tokenizer(spark, sizes, max_chars=100)
+    texts = ["x" * 30] * 40 + [None, "", "y" * 500, "z"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", tokenizer("t").alias("t")).collect()
+    assert [r["t"][1] for r in sorted(got)] == [t or "" for t in texts]
+    assert max(int(r["t"][0]) for r in got) <= 100 + 500
+
+
+def test_value_facts_follow_the_single_rules(spark):
+    from curricle.functions import text as tx
+
+    values = ["", " \t ", "3", " 4.5점", "5.0e0", "7", "-", "12/3 %", "abc", "abcd", "가나다라", "a1b2", "12345678", "1234567x", "좋아요 매우", "x" * 50, "1 " * 40 + "점", None]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = frame.select(
+        tx.value_facts("v").alias("f"), (tx.normalize_text("v") == "").alias("blank"), tx.is_numeric_like("v").alias("n"), tx.is_text_rich("v").alias("r"), tx.parse_score("v").alias("s")
+    ).collect()
+    for r in rows:
+        assert tuple(r["f"]) == (r["blank"], r["n"], r["r"], r["s"])
