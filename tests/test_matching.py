@@ -145,3 +145,16 @@ def test_restriction_inside_the_row_equals_the_joined_one(spark):
     want = sorted(map(tuple, joined.select(*columns).collect()))
     got = ma.restrict_lexical(chunks, profiles(spark)).select(*columns).collect()
     assert sorted(map(tuple, got)) == want and len({r["score"] for r in got}) > 2
+
+
+def test_the_best_section_is_found_in_the_row_without_a_shuffle(spark):
+    chunks = chunk_rows(spark, [
+        ("pdf", "d", "decision tree with entropy and information gain"),
+        ("youtube", "v", "kernel trick and margin of the svm"),
+        ("csv", "t", "weather and football"),
+    ])
+    want = ma.best_assignment(ma.score_lexical(chunks, profiles(spark)), 0.2, 0.02)
+    got = ma.best_lexical(chunks, profiles(spark), (0.2, 0.02))
+    key = ["course_id", "source_id", "chunk_seq", "part_no", "section_id", "score", "runner_up"]
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+    assert {r["section_id"] for r in got.collect()} == {"s1", "s2", None}
