@@ -148,3 +148,15 @@ def test_long_vectors_many_sections(spark):
     sections = spark.createDataFrame([("c", j, f"s{j}", [rng.random() for _ in range(1536)]) for j in range(500)], "course_id string, section_ord int, section_id string, vector array<float>")
     rows = ma.vector_score_rows(chunks, sections).collect()
     assert len(rows) == 40 and {len(r.scores) for r in rows} == {500}
+
+
+def test_counts_from_stored_facts_equal_those_from_cells(spark):
+    values = [("0", "comment"), ("1", "the lecture was clear"), ("2", " \t"), ("3", ""), ("4", "3"), ("5", "x" * 9), ("6", None)]
+    rows = [("s", int(r), 0, v) for r, v in values] + [("s", int(r), 1, "5") for r, _ in values[1:4]]
+    cells = spark.createDataFrame(rows, "sheet string, row_no long, col_no int, value string")
+    facts = fb.cell_facts(cells)
+    assert {r.value for r in facts.filter("row_no > 4").collect()} == {None}
+    columns = spark.createDataFrame([("s", 0, "comment", 1, 0)], "sheet string, col_no int, header string, first_row long, priority int")
+    made = fb.response_segments(cells, columns)
+    assert sorted(r.row_no for r in fb.response_rows(facts, columns).collect()) == sorted(r.row_no for r in made.collect()) == [1, 4, 5]
+    assert fb.skipped_rows(facts, fb.response_rows(facts, columns), columns).collect() == fb.skipped_rows(cells, made, columns).collect()
