@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curricle.functions.needles import needle_groups
 from curricle.operators import feedback as fb
+from curricle.operators import keywords as kw
 from curricle.operators import ranking as rk
 
 
@@ -81,3 +83,29 @@ def test_five_million_rows_of_one_key(spark):
 
 def test_ranks_of_nothing(spark):
     assert rk.dense_positions(spark.createDataFrame([], "k string, o long"), ["k"], "o").count() == 0
+
+
+def test_terms_are_counted_and_dealt_once_for_all_scores(spark):
+    texts = ["alpha beta beta beta", "alpha gamma", "delta alpha", "beta gamma", "gamma"]
+    chunks = spark.createDataFrame([("c", f"i{n % 2}", "pdf", t) for n, t in enumerate(texts)], "course_id string, instructor string, source_type string, text string")
+    vocab = spark.createDataFrame([("c", "gamma")], "course_id string, term string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    table = kw.keyword_table(kw.chunk_keywords(chunks), vocab)
+    off = kw.tfidf(kw.off_curriculum_weights(kw.dealt_weights(table), vocab), kw.document_totals(table), "n_off_docs")
+    plain = kw.tfidf(kw.off_curriculum_weights(kw.keyword_weights(table), vocab), kw.document_totals(table), "n_off_docs")
+    want = {("i0", "alpha"): 2 * math.log(5 / 4) + 2, ("i1", "beta"): math.log(5 / 3) + 1, ("i0", "beta"): 6 * (math.log(5 / 3) + 1), ("i0", "delta"): math.log(5 / 2) + 1, ("i1", "alpha"): math.log(5 / 4) + 1}
+    for scored in (off, plain):
+        got = {(r["instructor"], r["term"]): r["score"] for r in scored.filter("mode = 'combined'").collect()}
+        assert got == pytest.approx(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scored = kw.tfidf(kw.dealt_weights(table), kw.document_totals(table)).filter("mode = 'combined'")
+        steps = scored._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # weights are dealt once, by part, and totals meet them there; no join or window by term or by the few courses and modes
+    moved = [s for s in steps if "Exchange hashpartitioning" in s]
+    assert sum("part#" in s for s in moved) == 2 and not any("term#" in s or "mode#" in s for s in moved)
+    assert any("ReusedExchange" in s for s in steps)
