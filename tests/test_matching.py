@@ -158,3 +158,16 @@ def test_the_best_section_is_found_in_the_row_without_a_shuffle(spark):
     key = ["course_id", "source_id", "chunk_seq", "part_no", "section_id", "score", "runner_up"]
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
     assert {r["section_id"] for r in got.collect()} == {"s1", "s2", None}
+
+
+def test_rescued_chunks_meet_titles_before_profiles(spark):
+    chunks = chunk_rows(spark, [("youtube", "[1-1] Decision Tree", "entropy tree gain entropy")])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = ma.title_rescue(chunks, profiles(spark), labels=chunks)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in text.splitlines() if "Join LeftOuter" in line]
+    # a join by label above the profiles' would gather profiles with all chunks of a label in one task
+    assert " AND " not in joins[0] and any("source_label" in line for line in joins[1:])
