@@ -171,3 +171,15 @@ def test_rescued_chunks_meet_titles_before_profiles(spark):
     joins = [line for line in text.splitlines() if "Join LeftOuter" in line]
     # a join by label above the profiles' would gather profiles with all chunks of a label in one task
     assert " AND " not in joins[0] and any("source_label" in line for line in joins[1:])
+
+
+def test_coverage_reads_its_assignments_once(spark):
+    chunks = chunk_rows(spark, [("youtube", "[1-1] Decision Tree", "entropy tree gain entropy"), ("pdf", "d", "decision tree")])
+    assigned = ma.assign_chunks(chunks, profiles(spark), labels=chunks).withColumn("instructor", F.lit("a"))
+    lanes = spark.createDataFrame([("c", "a", 1)], "course_id string, instructor string, instructor_ord int")
+    dims = spark.createDataFrame([("c", 1, "s1", "t", 100.0)], "course_id string, section_ord int, section_id string, title string, target_weight double")
+    shares = co.instructor_coverage(co.coverage_grid(lanes, dims, co.token_aggregates(assigned)))
+    for frame in (shares, co.mode_series(shares), co.average_series(shares)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        # chunks are exploded to their choice once: shares and means come from the same grid
+        assert plan.count("explode(array(if (isnull(late") == 1, plan
