@@ -256,7 +256,9 @@ class Answered:
     def levels(self, keys):
         import numpy as np
 
-        return self.found[np.searchsorted(self.keys, narrowed(keys))]
+        # sorted keys are looked up several times faster than keys in the order of the text
+        asked, place = np.unique(narrowed(keys), return_inverse=True)
+        return self.found[np.searchsorted(self.keys, asked)][place]
 
 
 def _packed(rows) -> bytes:
@@ -309,36 +311,45 @@ def narrowed(keys):
     return keys & np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def _asked(texts, held_out=None):
-    """The sorted distinct keys of a batch, its words and its pairs.
-
-    With `held_out` also how often each occurs in the documents that are learned from.
-    """
+def _stretches(texts) -> Iterator:
+    """From texts, for documents of about 300,000 tokens each: sizes, distinct words, the place of each token, keys of the words and of the pairs."""
     import numpy as np
 
     end = word_numbers([b""])
-    held, times = [unigram_keys(end)], [np.zeros(1)]
-    documents, first, waiting = [], 0, 0
+    documents, held = [], 0
     for at, text in enumerate(texts):
         documents.append(tokens_of(text.as_py()))
-        waiting += len(documents[-1])
-        if waiting > 300_000 or at == len(texts) - 1:
+        held += len(documents[-1])
+        if held >= 300_000 or at == len(texts) - 1:
             distinct, ids = indexed(documents)
-            distinct_numbers = word_numbers(distinct)
-            numbers = distinct_numbers[ids]
+            words = word_numbers(distinct)
+            numbers = words[ids]
+            # every document ends with the end, the context of the next one's first word
             pairs = bigram_keys(np.concatenate([end, numbers[:-1]]), numbers)
-            held.append(unigram_keys(distinct_numbers))
-            if held_out is None:
-                held.append(np.unique(pairs))
-            else:
-                learned = np.repeat(~held_out[first : at + 1], [len(words) for words in documents])
-                held.append(pairs)
-                times += [np.bincount(ids, learned, len(distinct)), learned]
-            documents, first, waiting = [], at + 1, 0
-    keys = narrowed(np.concatenate(held))
-    if held_out is None:
-        return np.unique(keys)
-    keys, place = np.unique(keys, return_inverse=True)
+            yield np.array([len(words) for words in documents], np.int64), distinct, ids, unigram_keys(words), pairs
+            documents, held = [], 0
+
+
+def _keys_of(stretches):
+    """The sorted distinct keys of a batch, its words and its pairs."""
+    import numpy as np
+
+    held = [unigram_keys(word_numbers([b""])), *(keys for *_, words, pairs in stretches for keys in (words, pairs))]
+    keys = np.sort(narrowed(np.concatenate(held)))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def _asked(texts, held_out):
+    """The same keys, and how often each occurs in the documents that are learned from."""
+    import numpy as np
+
+    held, times, first = [unigram_keys(word_numbers([b""]))], [np.zeros(1)], 0
+    for sizes, distinct, ids, words, pairs in _stretches(texts):
+        learned = np.repeat(~held_out[first : first + len(sizes)], sizes)
+        held += [words, pairs]
+        times += [np.bincount(ids, learned, len(distinct)), learned]
+        first += len(sizes)
+    keys, place = np.unique(narrowed(np.concatenate(held)), return_inverse=True)
     return keys, np.bincount(place, np.concatenate(times), len(keys)).astype(np.uint32)
 
 
@@ -432,71 +443,61 @@ def _score_answered(batches, replies, head, total: float, strength: float):
     rows = _unpacked(batches.column("documents")[0])
     levels = [found.as_py() for found in replies.sort_by("shelf").column("levels")]
     found = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
-    lookup = Answered(_asked(rows.column("text")), found)
+    stretches = list(_stretches(rows.column("text")))
+    lookup = Answered(_keys_of(stretches), found)
     if len(lookup.keys) != len(found):
         raise ValueError("a batch and the answers to it differ")
-    return pa.Table.from_batches(_scores(iter([rows]), lookup, head.value, total, strength))
+    return pa.Table.from_batches(_scores(rows, stretches, lookup, head.value, total, strength))
 
 
 def _score(batches: Iterator, filter_parts, head, total: float, strength: float) -> Iterator:
     """Scores against the broadcast filter."""
-    return _scores(batches, LogFilter(*filter_parts.value), head.value, total, strength)
+    lookup = LogFilter(*filter_parts.value)
+    for batch in batches:
+        yield from _scores(batch, _stretches(batch.column(2)), lookup, head.value, total, strength)
 
 
-def _scores(batches: Iterator, lookup, counts, total: float, strength: float) -> Iterator:
+def _scores(batch, stretches, lookup, counts, total: float, strength: float) -> Iterator:
     """Adds the model's score, the head's part of the base score, and the other words."""
     import numpy as np
     import pyarrow as pa
 
     least = np.array([0, *THRESHOLDS], np.float64)
     most = np.array([0, *[t - 1 for t in THRESHOLDS[1:]], THRESHOLDS[-1]], np.float64)
-    end = word_numbers([b""])
-    end_level = lookup.levels(unigram_keys(end))
+    end_level = lookup.levels(unigram_keys(word_numbers([b""])))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
 
-    for batch in batches:
-        texts = batch.column(2)
-        done = 0
-        while done < len(batch):
-            documents, held = [], 0
-            while done + len(documents) < len(batch) and held < 300_000:
-                documents.append(tokens_of(texts[done + len(documents)].as_py()))
-                held += len(documents[-1])
-            sizes = np.array([len(words) for words in documents], np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            distinct, ids = indexed(documents)
-            distinct_numbers = word_numbers(distinct)
-            numbers = distinct_numbers[ids]
-            levels = lookup.levels(unigram_keys(distinct_numbers))[ids]
-            # every document ends with the end, the context of the next one's first word
-            context = np.concatenate([end_level, levels[:-1]])
-            before = np.concatenate([end, numbers[:-1]])
-            alone = (least[levels] + 0.5) / total
-            pair = least[lookup.levels(bigram_keys(before, numbers))]
-            score = np.log10((pair + strength * alone) / (most[context] + strength))
-            logged = np.array([counts.get(word, 0.0) for word in distinct])[ids]
-            # no frequent word has probability one, so a zero stands for a rare word
-            rare = np.flatnonzero(logged == 0)
-            document = np.repeat(np.arange(len(documents)), sizes)[rare]
-            pairs, times = np.unique(document * len(distinct) + ids[rare], return_counts=True)
-            owner, word = np.divmod(pairs, len(distinct))
-            tokens = pa.array(distinct, pa.binary()).take(pa.array(word))
-            offsets = np.searchsorted(owner, np.arange(len(documents) + 1)).astype(np.int32)
-            words = pa.StructArray.from_arrays([tokens, pa.array(times.astype(np.int32))], ["token", "n"])
-            part = batch.slice(done, len(documents))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat((logged != 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(logged, starts)),
-                    pa.array(np.add.reduceat(score, starts)),
-                    pa.ListArray.from_arrays(pa.array(offsets), words),
-                ],
-                names,
-            )
-            done += len(documents)
+    done = 0
+    for sizes, distinct, ids, words, pairs in stretches:
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        levels = lookup.levels(words)[ids]
+        context = np.concatenate([end_level, levels[:-1]])
+        alone = (least[levels] + 0.5) / total
+        pair = least[lookup.levels(pairs)]
+        score = np.log10((pair + strength * alone) / (most[context] + strength))
+        logged = np.array([counts.get(word, 0.0) for word in distinct])[ids]
+        # no frequent word has probability one, so a zero stands for a rare word
+        rare = np.flatnonzero(logged == 0)
+        document = np.repeat(np.arange(len(sizes)), sizes)[rare]
+        found, times = np.unique(document * len(distinct) + ids[rare], return_counts=True)
+        owner, word = np.divmod(found, len(distinct))
+        tokens = pa.array(distinct, pa.binary()).take(pa.array(word))
+        offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
+        rare_words = pa.StructArray.from_arrays([tokens, pa.array(times.astype(np.int32))], ["token", "n"])
+        part = batch.slice(done, len(sizes))
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                part.column(1),
+                pa.array(sizes),
+                pa.array(np.add.reduceat((logged != 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(logged, starts)),
+                pa.array(np.add.reduceat(score, starts)),
+                pa.ListArray.from_arrays(pa.array(offsets), rare_words),
+            ],
+            names,
+        )
+        done += len(sizes)
 
 
 def _frequent(vocabulary: DataFrame, head: int) -> dict[bytes, int]:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from curricle.llm import bloom_lm as m
@@ -123,3 +124,18 @@ def test_keys_and_counts_travel_in_bytes_and_held_out_documents_count_nothing():
     pair = lambda v, w: counts[int(m.narrowed(m.bigram_keys(number(v), number(w)))[0])]
     assert [word(w) for w in (b"a", b"b", b"c", b"z", b"")] == [2, 2, 1, 0, 1]
     assert [pair(*p) for p in ((b"a", b"b"), (b"", b"a"), (b"c", b""), (b"b", b"z"))] == [2, 1, 1, 0]
+
+
+def test_a_batch_that_was_answered_is_tokenised_once(monkeypatch):
+    texts = [b"a b a", b"", b"B c", b"a b a c"] * 50
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": pa.array(texts, pa.binary())})
+    keys = m._keys_of(m._stretches(rows.column("text")))
+    asked, counts = m._asked(rows.column("text"), np.zeros(len(texts), bool))
+    assert keys.tolist() == asked.tolist() and counts.sum() == 2 * sum(len(m.tokens_of(text)) for text in texts)
+    batches = pa.table({"batch": [0], "documents": pa.array([m._packed(rows)], pa.binary())})
+    levels = (np.arange(len(keys)) % 3).astype(np.uint8).tobytes()
+    replies = pa.table({"batch": [0], "shelf": [0], "levels": pa.array([levels], pa.binary())})
+    seen, tokens_of = [], m.tokens_of
+    monkeypatch.setattr(m, "tokens_of", lambda text: seen.append(text) or tokens_of(text))
+    scored = m._score_answered(batches, replies, type("Head", (), {"value": {b"a": -1.0}}), 500.0, 1000.0)
+    assert seen == texts and scored.column("n_tokens").to_pylist()[:4] == [4, 1, 3, 5]
