@@ -132,3 +132,13 @@ def test_clean_texts_are_identified_alike(spark):
     want = sorted(map(tuple, ck.identify_chunks(parts).select(*columns).collect()))
     assert sorted(map(tuple, ck.identify_chunks(parts, clean=True).select(*columns).collect())) == want
     assert any(t == "" for _, t, _, _ in want)
+
+
+def test_long_sources_are_packed_in_batches_of_groups(spark):
+    rows = [(s, "c", "i", "l", "csv", n, f"r{n}", "w " * (1 + (s + n) % 5)) for s in range(3) for n in range(90)]
+    segments = spark.createDataFrame(rows, "source_id long, course_id string, instructor string, source_label string, source_type string, seq long, locator string, text string")
+    blocked = ck.pack_segments(segments, 12, 2, block_rows=8, fan=2)
+    plan = blocked._jdf.queryExecution().optimizedPlan().toString()
+    # a pandas frame per group cost more than its fold, all in the few tasks that small tables fill
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+    assert sorted(map(tuple, blocked.collect())) == sorted(map(tuple, ck.pack_segments(segments, 12, 2).collect()))
