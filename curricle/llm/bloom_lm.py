@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curricle.llm.frames import stored
+from curricle.llm.frames import gathered, stored, text_batches
 
 BASE = 1.5
 LEVELS = 64
@@ -56,6 +56,8 @@ BITS_PER_TOKEN = 8
 #: Blocks that answer together when the filter is not broadcast (2 MB), and the text of a batch that asks.
 SHELF_BLOCKS = 128
 BATCH_BYTES = 4 << 20
+#: N-grams that are put into the filter together.
+GATHERED = 50_000
 HEAD = 300_000
 STRENGTH = 1000.0
 
@@ -205,7 +207,7 @@ def _word_keys(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in gathered(batches, GATHERED):
         keys = unigram_keys(word_numbers(batch.column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "n"])
 
@@ -220,7 +222,7 @@ def _build_blocks(batches: Iterator, n_blocks: int) -> Iterator:
     # holds n-grams from some level on are those of at least that level
     rows_of: dict[int, int] = {}
     highest = np.zeros((0, BLOCK_BITS), np.uint8)
-    for batch in batches:
+    for batch in gathered(batches, GATHERED):
         keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         counts = batch.column(1).to_numpy(zero_copy_only=False)
         top = np.searchsorted(thresholds, counts, side="right").astype(np.uint8)
@@ -286,22 +288,31 @@ def _batched(batches: Iterator) -> Iterator:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        if not len(batch):
-            continue
-        # no row is cut; a batch begins where another BATCH_BYTES of text are full
-        sizes = np.array([len(text.as_buffer()) for text in batch.column(2)], np.int64)
-        full = (np.cumsum(sizes) - sizes) // BATCH_BYTES
-        starts = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
-        documents = [
-            _packed(batch.slice(start, stop - start))
-            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)], strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(number + np.arange(len(starts))), pa.array(documents, pa.binary())],
-            ["batch", "documents"],
+
+    def out(held):
+        nonlocal number
+        documents = _packed(pa.concat_batches(held))
+        number += 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number - 1]), pa.array([documents], pa.binary())], ["batch", "documents"]
         )
-        number += len(starts)
+
+    held, size = [], 0
+    for batch in batches:
+        # no row is cut; a batch ends with the row that fills BATCH_BYTES, to which empty texts add too
+        ends = size + np.cumsum([len(text.as_buffer()) + 16 for text in batch.column(2)], dtype=np.int64)
+        first = 0
+        while first < len(batch):
+            full = int(np.searchsorted(ends, BATCH_BYTES))
+            held.append(batch.slice(first, min(full + 1, len(batch)) - first))
+            if full < len(batch):
+                yield out(held)
+                ends -= ends[full]
+                held = []
+            first = full + 1
+        size = int(ends[-1]) if len(batch) else size
+    if held:
+        yield out(held)
 
 
 def narrowed(keys):
@@ -541,7 +552,8 @@ def _built(training: DataFrame, vocabulary: DataFrame, n_tokens: int, bits_per_t
             lambda batches, n=n_blocks: _with_held(_build_blocks(batches, n)),
             "block int, least_count long, held long, bits binary",
         )
-        built = stored(blocks)
+        with text_batches(training.sparkSession):
+            built = stored(blocks)
         # never seen: chance would have to heap half as many n-grams again into one block
         if built.filter("least_count > 1").isEmpty():
             return built.select("block", "held", "bits"), n_blocks
@@ -602,9 +614,9 @@ def score_documents(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
     training = corpus.filter("NOT held_out").select("text")
-    vocabulary = stored(
-        training.mapInArrow(_count_tokens, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    )
+    words = training.mapInArrow(_count_tokens, "token binary, n long")
+    with text_batches(spark):
+        vocabulary = stored(words.groupBy("token").agg(F.sum("n").alias("n")))
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_tokens, n_words = int(sums[0]), int(sums[1])
     total = n_tokens + 0.5 * (n_words + 1)
@@ -644,7 +656,8 @@ def score_documents(
             lambda batches: _score(batches, filter_parts, head_words, total, strength), schema
         )
     else:
-        batched = stored(corpus.mapInArrow(_batched, "batch long, documents binary"))
+        with text_batches(spark):
+            batched = stored(corpus.mapInArrow(_batched, "batch long, documents binary"))
         n_blocks = _blocks_for(learned, bits_per_token)
         requests = batched.mapInArrow(
             lambda batches: _requests(batches, n_blocks), "shelf int, batch long, keys binary, counts binary"
@@ -659,7 +672,11 @@ def score_documents(
                 lambda batches, levels: _score_answered(batches, levels, head_words, total, strength), schema
             )
         )
-    scored = stored(found.withColumn("row", F.monotonically_increasing_id()))
+    with text_batches(spark):
+        scored = stored(found.withColumn("row", F.monotonically_increasing_id()))
+    # nothing below reads them; each executor holds a copy, and each of its workers another
+    for shared in filter(None, (filter_parts, head_words)):
+        shared.unpersist()
     rare = scored.select("row", F.inline("rare")).withColumnRenamed("n", "times")
     joined = rare.join(vocabulary, "token", "left")
     seen = F.coalesce("n", F.lit(0))

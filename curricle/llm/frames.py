@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,37 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs started inside hand whole texts to Python in Arrow batches of at most `rows` rows.
+
+    A batch is held once by the JVM, outside its heap, and once by the worker, by each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    # zero or less means no bound
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def gathered(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches joined until they have `rows` rows; for small rows only."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words_of(text: Column) -> Column:
     """Words between blanks; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

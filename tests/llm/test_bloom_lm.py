@@ -139,3 +139,47 @@ def test_a_batch_that_was_answered_is_tokenised_once(monkeypatch):
     monkeypatch.setattr(m, "tokens_of", lambda text: seen.append(text) or tokens_of(text))
     scored = m._score_answered(batches, replies, type("Head", (), {"value": {b"a": -1.0}}), 500.0, 1000.0)
     assert seen == texts and scored.column("n_tokens").to_pylist()[:4] == [4, 1, 3, 5]
+
+
+def test_texts_reach_workers_in_small_batches_and_the_setting_is_put_back(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:") + "/rows-of-batches"
+    import os
+
+    os.makedirs(folder)
+    score, batched = m._score, m._batched
+
+    def noted(step):
+        def run(batches, *more):
+            def seen():
+                for batch in batches:
+                    open(f"{folder}/{len(batch)}", "w").close()
+                    yield batch
+
+            return step(seen(), *more)
+
+        return run
+
+    monkeypatch.setattr(m, "_score", noted(score))
+    monkeypatch.setattr(m, "_batched", noted(batched))
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "concat('a b', id % 7) AS text")
+    assert m.score_documents(docs).count() == m.score_documents(docs, filter_bytes=1000).count() == 6000
+    assert 0 < max(map(int, os.listdir(folder))) <= 1000 and spark.conf.get(key) == before
+
+
+def test_batches_of_documents_are_filled_over_arrow_batches(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(m, "BATCH_BYTES", 1000)
+    rows = [(i, i % 2 == 0, b"x" * (i * 37 % 200)) for i in range(100)] + [(200, False, b"y" * 5000), *((i, True, b"") for i in range(300, 400))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[i : i + 2], strict=True)], ["doc_id", "held_out", "text"]) for i in range(0, len(rows), 2)]
+    sent = list(m._batched(iter([batches[0].slice(0, 0), *batches])))
+    assert [b.column(0)[0].as_py() for b in sent] == [(3 << 32) + i for i in range(len(sent))]
+    documents = [m._unpacked(b.column(1)[0]) for b in sent]
+    assert [tuple(r.values()) for d in documents for r in d.to_pylist()] == rows
+    sizes = [sum(len(x) + 16 for x in d.column("text").to_pylist()) for d in documents]
+    assert all(s >= 1000 for s in sizes[:-1]) and sorted(sizes)[-2] < 1216 and max(sizes) < 6216
