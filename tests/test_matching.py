@@ -183,3 +183,14 @@ def test_coverage_reads_its_assignments_once(spark):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         # chunks are exploded to their choice once: shares and means come from the same grid
         assert plan.count("explode(array(if (isnull(late") == 1, plan
+
+
+def test_cards_make_their_chunks_once(spark, monkeypatch):
+    from curricle.plans import all_queries, views
+    from curricle.plans.registry import QUERIES
+
+    all_queries()
+    made, build = [], views.build_chunks
+    monkeypatch.setattr(views, "build_chunks", lambda segments: made.append(segments) or build(segments))
+    cards = QUERIES["ins_cards"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and cards.columns
