@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,61 @@ def test_cells_are_left_unvisited(spark):
 @pytest.mark.parametrize("rows", [[], [(1, [1.0], 1, 0, "")], [(100, [1.0], 1, 0, "")], [(100, [], 1, 0, ""), (101, [], 1, 0, "")]])
 def test_empty_and_tiny_tables(spark, tmp_path, rows):
     assert mined(spark, rows, tmp_path) == plain(rows)
+
+
+def many_cells(spark, monkeypatch, n_anchors=600):
+    """An index of many small cells, and anchors that visit them all, as one Arrow batch."""
+    monkeypatch.setattr(m, "CELL_ROWS", 1)
+    rows = vectors(2000, 16, 7, 2.0)
+    index = m.build_index(m.stored(m.integer_vectors(spark.createDataFrame(rows, SCHEMA), 256)))
+    anchors = [
+        {"anchor_id": i, "label": label, "v": [math.floor(256 * y) for y in x], "batch": 0, "tops": [0],
+         "leasts": [None], "floor": -math.inf, "ceiling": math.inf}
+        for i, x, label, *_ in rows[:n_anchors]
+    ]
+    schema = pa.schema([
+        ("anchor_id", pa.int64()), ("label", pa.int32()), ("v", pa.list_(pa.int64())), ("batch", pa.int32()),
+        ("tops", pa.list_(pa.int64())), ("leasts", pa.list_(pa.int64())), ("floor", pa.float64()), ("ceiling", pa.float64()),
+    ])
+    return index, pa.RecordBatch.from_pylist(anchors, schema)
+
+
+def test_visits_leave_a_task_in_small_batches(spark, monkeypatch):
+    """Not all visits of an Arrow batch of anchors at once, each with its vector."""
+    index, anchors = many_cells(spark, monkeypatch)
+    cells = int((index.sizes > 0).sum())
+    got = [len(b) for b in m._next_cells(index, 0.0, 1.0)(iter([anchors]))]
+    assert sum(got) == len(anchors) * cells > 200_000
+    assert max(got) <= 40_000
+
+
+def test_a_probe_serves_all_cells_of_a_shard(spark, monkeypatch):
+    index, anchors = many_cells(spark, monkeypatch, 50)
+    shards = int(index.shards.max()) + 1
+    visited = [0] * 50
+    probes = [r for b in m._probes(index, 0.0, 1.0)(iter([anchors])) for r in b.to_pylist()]
+    for r in probes:
+        visited[r["anchor_id"]] += sum(map(int.bit_count, r["cells"]))
+    assert len(probes) == 50 * shards < 50 * 20
+    assert set(visited) == {int((index.sizes > 0).sum())}
+
+
+@pytest.mark.parametrize("block", [8, 1000])
+def test_small_shards_and_pools_against_every_pair(spark, tmp_path, monkeypatch, block):
+    settings = {"BLOCK": block, "CELL_ROWS": 2, "SHARD_ROWS": (1, 30), "SHARD_CELLS": 8, "SHARDS": 50,
+                "VISITS_AT_ONCE": 5, "FOUND_AT_ONCE": 3}
+    for name, value in settings.items():
+        monkeypatch.setattr(m, name, value)
+    rows = vectors(900, 10, 8, 0.5) + [(i, [0.5] * 10, i % 3, 1, "t") for i in range(900, 960)]
+    want = plain(rows)
+    assert len(want) > 100
+    assert mined(spark, rows, tmp_path) == want
+
+
+def test_windows_of_large_scores(spark):
+    """100 times a score may exceed 64 bits."""
+    big = [(0, "a", [1 << 31, 0]), (1, "a", [1 << 30, 1]), (2, "b", [(1 << 30) - 7, 5]), (3, "b", [1 << 29, 0]), (4, "b", [858993460, 0]), (5, "b", [858993459, 0])]
+    frame = spark.createDataFrame(big, "vec_id long, label string, v array<long>")
+    got = sorted(map(tuple, m.hard_negatives(frame, F.col("vec_id") == 0).collect()))
+    top = 1 << 61
+    assert got == [(0, 1, 1, 2, top, (1 << 31) * ((1 << 30) - 7)), (0, 1, 2, 4, top, (1 << 31) * 858993460)]
